@@ -7,6 +7,7 @@ from tidemark.llm.secrets import find_secrets
 from tidemark.llm.sharding import shard_by_bytes
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.toxicity import toxicity
 
 
 def op2_token_counts(spark, sf_dir):
@@ -17,6 +18,10 @@ def op4_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -25,6 +30,6 @@ def op10_secrets(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_simhash, op8_sharding, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_simhash, op7_toxicity, op8_sharding, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
