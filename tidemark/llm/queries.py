@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tidemark.llm.common import table
+from tidemark.llm.decontaminate import contamination
+from tidemark.llm.mixing import mix
 from tidemark.llm.secrets import find_secrets
 from tidemark.llm.sharding import shard_by_bytes
 from tidemark.llm.simhash import simhash_components
@@ -14,10 +16,18 @@ def op2_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,6 +40,6 @@ def op10_secrets(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_simhash, op7_toxicity, op8_sharding, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_decontaminate, op4_simhash, op5_mixing, op7_toxicity, op8_sharding, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
