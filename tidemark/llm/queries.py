@@ -9,6 +9,7 @@ from tidemark.llm.secrets import find_secrets
 from tidemark.llm.sharding import shard_by_bytes
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.topk import top_k
 from tidemark.llm.toxicity import toxicity
 
 
@@ -36,10 +37,31 @@ def op8_sharding(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secrets(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_decontaminate, op4_simhash, op5_mixing, op7_toxicity, op8_sharding, op10_secrets)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_decontaminate, op4_simhash, op5_mixing, op7_toxicity, op8_sharding, op9_topk, op10_secrets)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_topk": """
+WITH fine AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM fine q JOIN fine c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+}
