@@ -8,11 +8,16 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.secrets import find_secrets
 from tidemark.llm.sharding import shard_by_bytes
 from tidemark.llm.simhash import simhash_components
+from tidemark.llm.suffixes import duplicate_spans
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.topk import top_k
 from tidemark.llm.toxicity import toxicity
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return duplicate_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_secrets(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_decontaminate, op4_simhash, op5_mixing, op7_toxicity, op8_sharding, op9_topk, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_decontaminate, op4_simhash, op5_mixing, op7_toxicity, op8_sharding, op9_topk, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_topk": """
