@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.lm import lm_scores
 from tidemark.llm.mixing import mix
 from tidemark.llm.secrets import find_secrets
 from tidemark.llm.sharding import shard_by_bytes
@@ -34,6 +35,10 @@ def op5_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +55,7 @@ def op10_secrets(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_decontaminate, op4_simhash, op5_mixing, op7_toxicity, op8_sharding, op9_topk, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_decontaminate, op4_simhash, op5_mixing, op6_lm_scores, op7_toxicity, op8_sharding, op9_topk, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_topk": """
