@@ -147,18 +147,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     leaves its task. Null or wordless texts and items match nothing; repeated rows each give rows; an
     empty benchmark gives none; other columns are not read.
     """
-    spark = docs.sparkSession
-    marks = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
-    total = marks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
+    kept, blocks = _marks(benchmark, item_col, item_text, block_bytes)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     names = ["id", "item", "n_matched", "n_windows", "n_changed", "verbatim", "start_token", "end_token"]
     schema = f"id {kind}, item {item_kind.simpleString()}, n_matched long, n_windows long, n_changed long, verbatim boolean, start_token long, end_token long"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def block(k: int) -> DataFrame:
-        got = marks.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        shared = spark.sparkContext.broadcast(sorted(((r.item, r.text) for r in got), key=repr))
+        shared = kept(k)
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = index(shared.value)
@@ -186,3 +182,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
         "start_token",
         "end_token",
     )
+
+
+def _marks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int):
+    """A function that broadcasts one block of the benchmark, and the number of blocks."""
+    marks = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
+    total = marks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // block_bytes))
+
+    def kept(k: int):
+        got = marks.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
+        return benchmark.sparkSession.sparkContext.broadcast(sorted(((r.item, r.text) for r in got), key=repr))
+
+    return kept, blocks
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, for which ``contamination`` has none. Rows are judged where they are: nothing is joined or shuffled."""
+    kept, blocks = _marks(benchmark, item_col, item_text, block_bytes)
+
+    def without(docs: DataFrame, k: int) -> DataFrame:
+        shared = kept(k)
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = index(shared.value)
+            for rows in batches:
+                yield rows.filter(pa.array([not search(x or "", items, coverage) for x in rows.column(text_col).to_pylist()], pa.bool_()))
+
+        return docs.mapInArrow(apply, docs.schema)
+
+    for k in range(blocks):
+        docs = without(docs, k)
+    return docs

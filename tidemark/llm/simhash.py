@@ -215,3 +215,26 @@ def simhash_components(docs: DataFrame, most: int = MOST_BITS, id_col: str = "do
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, most: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, all its columns, of each component of ``simhash_components``: that of the smallest id (of equal ids, the first).
+
+    Rows with a null id are in no component and stay.
+    """
+    place = docs.columns.index(text_col)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            fps = np.array([fingerprint(x or "") for x in rows.column(place).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fps, pa.int64())], [*rows.schema.names, "_fp"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = stage(docs.mapInArrow(apply, f"{fields}, _fp long").withColumn("_row", F.monotonically_increasing_id()))
+    known = rows.where(F.col(id_col).isNotNull())
+    # every code is named by itself, so that no id has to be unique
+    roots = components(link_codes(known.select(F.col("_fp").alias("node"), F.col("_fp").alias("fp")).distinct(), most))
+    found = known.select(F.col(id_col).alias("id"), "_row", F.col("_fp").alias("node")).join(roots, "node", "left")
+    firsts = found.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
+    stay = firsts.unionByName(rows.where(F.col(id_col).isNull()).select("_row"))
+    return rows.join(stay, "_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
