@@ -1 +1 @@
-
+"""DataFrame -> DataFrame operators; column names are parameters."""

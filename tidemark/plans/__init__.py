@@ -1 +1 @@
-
+"""Composed pipelines and models."""
