@@ -1,4 +1,396 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables: each applies one operator; ``catalog_sql`` holds the SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.catalog_sql import ORACLE_SQL
+from tidemark.functions.scalars import no_nulls, r6
+from tidemark.functions.timeops import offset
+from tidemark.operators import asof, checks, datasets, factors, importance, labels, metrics, neighbors, resample, shape
+from tidemark.plans import models, pipeline
+from tidemark.sources import raw, tables
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select(*(cols or ("event_id", "ts", "user_id", "event_type", "value")))
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: r6(F.col(c)) for c in cols})
+
+
+def at(text: str) -> Column:
+    return F.lit(text).cast("timestamp_ntz")
+
+
+VALUE_PLAN = resample.agg_plan(["value", "user_id"], None, ("value",))
+PAIR = ["event_type"]
+
+
+def downsample_right_closed(spark, d):
+    out = resample.downsample_right(events(spark, d), "6h", PAIR, VALUE_PLAN, tie=["event_id"])
+    return rounded(out, "value_last", "value_mean", "value_std")
+
+
+def downsample_left_mean(spark, d):
+    return rounded(resample.downsample_left(events(spark, d), "6h", PAIR, ["value"]), "value")
+
+
+def rolling_trailing(spark, d):
+    out = resample.rolling_trailing(events(spark, d), "1h", PAIR, VALUE_PLAN, tie=["event_id"], keep=["event_id", "event_type", "ts"])
+    return rounded(out, "value_last", "value_mean", "value_std")
+
+
+def asof_backward(spark, d):
+    e = events(spark, d)
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
+    right = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    return asof.asof_backward(left, right, ["user_id"], tie=["view_id"])
+
+
+def grid_locf(spark, d):
+    return asof.locf_grid(events(spark, d), "6h", PAIR, ["event_id", "value"], tie=["event_id"])
+
+
+def dedup_last_by_ts(spark, d):
+    return resample.last_by_time(read(spark, d, "orders").select("o_orderdate", "o_orderkey", "o_custkey", "o_totalprice"), ["o_orderdate"], ["o_orderkey"])
+
+
+def bucket_last_ceil(spark, d):
+    return resample.bucket_last_ceil(events(spark, d), "1d", PAIR, ["ts", "event_id"])
+
+
+def first_by_bucket(spark, d):
+    odd = events(spark, d).withColumn("value", F.when(F.col("value") > 5, F.col("value")))
+    return resample.first_by_bucket(odd, "1d", PAIR, ["value"])
+
+
+BOOK_LEVELS = 7
+
+
+def _book(spark, d):
+    """A book per order: side O asks and F bids, level by line number."""
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_quantity", "l_extendedprice")
+    made = []
+    for side, status in (("asks", "O"), ("bids", "F")):
+        for k in range(BOOK_LEVELS):
+            own = (F.col("l_linestatus") == status) & (F.col("l_linenumber") == k + 1)
+            amount, paid = (F.sum(F.when(own, F.col(c))) for c in ("l_quantity", "l_extendedprice"))
+            made += [(paid / amount).alias(f"{side}[{k}].price"), amount.alias(f"{side}[{k}].amount")]
+    owner = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return lines.groupBy("l_orderkey").agg(*made).join(owner, "l_orderkey")
+
+
+def book_factors(spark, d):
+    out = factors.base_factors(_book(spark, d), ["o_custkey"], "l_orderkey", BOOK_LEVELS)
+    return rounded(out, "vwap", "imbalance", "spread", "mid", "log_return")
+
+
+def derived_factors(spark, d):
+    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    back = lambda k: F.lag("value", k).over(order)
+    df = events(spark, d).select(
+        "event_id", "ts", F.col("value").alias("vwap"), back(1).alias("mid"), (F.col("value") - back(1)).alias("spread"), ((F.col("value") - back(2)) / 100).alias("imbalance"),
+        (F.col("value") - back(3)).alias("log_return"), *[(back(k) + 10).alias(f"vol_{m}m_lag0") for k, m in ((1, 1), (2, 5), (3, 30), (4, 60), (5, 120))],
+    )
+    out = factors.derived_factors(df)
+    names = ["spread_pct", "vwap_mid_diff", "vol_ratio_1_5", "vol_ratio_5_30", "vol_ratio_5_60", "vol_ratio_30_120", "imbalance_sq", "abs_imbalance", "lr_sq", "lr_abs"]
+    # a previous value of 0 makes spread_pct as large as 1e11, beyond six rounded places
+    return rounded(no_nulls(out).where("mid > 0.001").select("event_id", *names), *names)
+
+
+def time_of_day(spark, d):
+    return rounded(factors.time_of_day(events(spark, d, "event_id", "ts")), "tod_sin", "tod_cos")
+
+
+def trim_leading(spark, d):
+    return factors.trim_leading(events(spark, d, "event_id", "ts"))
+
+
+def time_range_filter(spark, d):
+    return factors.time_range(events(spark, d, "event_id", "ts", "value"), "2024-01-05 06:00:00", "2024-01-20 18:00:00")
+
+
+def clip_to_range(spark, d):
+    e = events(spark, d)
+    other = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("ts_grid"))
+    return factors.clip_to(e, other, ["user_id"]).select("user_id", "event_id", "ts")
+
+
+def log_return(spark, d):
+    df = datasets.with_day(events(spark, d)).withColumn("price", F.col("value") + 1)
+    return rounded(factors.log_return(df, "price", ["event_type", "date"], tie=["event_id"]).select("event_id", "event_type", "date", "log_return"), "log_return")
+
+
+def _daily(spark, d):
+    """Events and their value per type and day, on a dense grid."""
+    e = events(spark, d)
+    days = resample.downsample_left(e, "1d", PAIR, ["value"])
+    ends = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    kinds = e.select("event_type").distinct()
+    grid = asof.time_grid(kinds.join(ends, F.lit(True)).select("event_type", F.explode(F.array(F.col("a").cast("date").cast("timestamp_ntz"), F.col("b").cast("date").cast("timestamp_ntz"))).alias("ts")), "1d", PAIR)
+    return grid.join(days, ["event_type", "ts"], "left")
+
+
+def forward_label(spark, d):
+    return rounded(labels.forward_labels(_daily(spark, d), ["value"], "2d", PAIR), "value", "y_value")
+
+
+def forward_label_by_time(spark, d):
+    return rounded(labels.forward_labels_by_time(_daily(spark, d), ["value"], "2d", PAIR), "value", "y_value")
+
+
+def lag_features(spark, d):
+    out = labels.lag_features(_daily(spark, d), "value", ["1d", "7d"], PAIR, prefix="value_lag0")
+    return rounded(out, "value", "value_lag1d", "value_lag7d")
+
+
+def _vol(spark, d):
+    e = events(spark, d)
+    plan = [resample.AggItem("value", "std", "vol_5m"), resample.AggItem("value", "mean", "vol_1m")]
+    return resample.downsample_right(e, "1d", PAIR, plan, tie=["event_id"]).withColumnRenamed("ts", "ts_grid")
+
+
+def feature_join(spark, d):
+    out = labels.feature_join(_daily(spark, d), _vol(spark, d), ["vol_5m", "vol_1m"], PAIR, check=True)
+    return rounded(out, "value", "vol_5m_lag0", "vol_1m_lag0")
+
+
+def label_join(spark, d):
+    vol = _daily(spark, d).select("event_type", F.col("ts").alias("ts_grid"), F.coalesce("value", F.lit(0.0)).alias("vol_5m"))
+    out = labels.label_join(_daily(spark, d), vol, ["vol_5m"], "3d", PAIR)
+    return rounded(out, "value", "y_vol_5m")
+
+
+def symbol_code_map(spark, d):
+    customers = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("symbol"))
+    return datasets.with_symbol_code(customers, datasets.symbol_codes(read(spark, d, "nation").select(F.col("n_name").alias("symbol"))), check=True)
+
+
+def _hourly(spark, d, hours: str = "6h"):
+    return resample.downsample_left(events(spark, d), hours, PAIR, ["value"]).withColumnRenamed("event_type", "symbol")
+
+
+def pivot_fill_mean(spark, d):
+    h = _hourly(spark, d, "1h")
+    names = shape.symbols_of(h)
+    return rounded(shape.pivot_feature(h, "value", names), *names)
+
+
+def unpivot_long(spark, d):
+    h = _hourly(spark, d, "1h")
+    names = shape.symbols_of(h)
+    return rounded(shape.unpivot_long(shape.pivot_feature(h, "value", names), names, "value"), "value")
+
+
+def _parts(spark, d):
+    h = _hourly(spark, d)
+    return h.where(F.col("ts") < at("2024-01-22")), h.where(F.col("ts") >= at("2024-01-22"))
+
+
+BASE = ["click", "purchase", "view"]
+
+
+def time_neighbors(spark, d):
+    out = neighbors.time_neighbors(*_parts(spark, d), "value", [3, 5], BASE)
+    return rounded(out, "value_time_nn3_mean", "value_time_nn5_mean")
+
+
+def symbol_neighbors(spark, d):
+    out = neighbors.symbol_neighbors(*_parts(spark, d), "value", [1, 2], BASE)
+    return rounded(out, "value_symbol_nn1_mean", "value_symbol_nn2_mean")
+
+
+def neighbor_block(spark, d):
+    train, query = _parts(spark, d)
+    out = neighbors.neighbor_block(train, query, ["value"], [3], BASE, target="value")
+    return rounded(out, "value", "value_time_nn3_mean", "value_symbol_nn3_mean")
+
+
+def vector_neighbors(spark, d):
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    out = neighbors.nearest(v, v, 5, exclude_self=True)
+    return out.select(F.col("key").alias("query_id"), "rank", F.col("neighbor").alias("vec_id"), r6(F.col("distance")).alias("distance"))
+
+
+def _forecast(spark, d):
+    e = events(spark, d)
+    return models.lag_baseline(e.withColumn("y_true", F.col("value")), "value", PAIR, tie=["event_id"])
+
+
+METRICS = ("rmse", "mae", "corr", "qlike")
+
+
+def metrics_overall(spark, d):
+    return rounded(metrics.evaluate(_forecast(spark, d), [], eps=1.0), *METRICS)
+
+
+def metrics_by_symbol(spark, d):
+    return rounded(metrics.evaluate(_forecast(spark, d), PAIR, eps=1.0), *METRICS)
+
+
+def metrics_models(spark, d):
+    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    df = _forecast(spark, d).withColumn("lag2", F.lag("value", 2).over(order)).withColumnsRenamed({"y_pred": "lag1", "event_type": "symbol"})
+    return rounded(metrics.evaluate_all(df.where("lag2 is not null"), ["lag1", "lag2"]).select("symbol", "model", "n", "rmse", "mae"), "rmse", "mae")
+
+
+def metrics_bucketed(spark, d):
+    df = _forecast(spark, d).withColumns({"y_true": F.col("y_true") + 1, "y_pred": F.col("y_pred") + 1})
+    return rounded(metrics.bucketed(df, "1d", PAIR), "mse", *METRICS)
+
+
+def prediction_errors(spark, d):
+    return rounded(metrics.with_errors(_forecast(spark, d)).select("event_id", "error", "abs_error"), "error", "abs_error")
+
+
+def lag_baseline(spark, d):
+    return _forecast(spark, d).select("event_id", "event_type", "y_true", "y_pred")
+
+
+def truth_check(spark, d):
+    f = _forecast(spark, d).select("event_id", "y_true")
+    return metrics.truth_disagreements(f, f.withColumn("y_true", F.when(F.col("y_true") > 100, F.col("y_true") + 1).otherwise(F.col("y_true"))), ["event_id"])
+
+
+def _importances(spark, d):
+    lines = read(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    parts = read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("feature"))
+    return lines.join(parts, "l_partkey").select("feature", F.year("l_shipdate").cast("string").alias("block_name"), F.col("l_extendedprice").alias("importance_gain"), F.col("l_quantity").cast("long").alias("importance_split"))
+
+
+def importance_mean(spark, d):
+    return rounded(importance.importance_mean(_importances(spark, d)), "mean_gain", "mean_split")
+
+
+def importance_topk(spark, d):
+    return rounded(importance.top_features(_importances(spark, d), 10), "mean_gain", "mean_split")
+
+
+def importance_heatmap(spark, d):
+    return rounded(importance.importance_heatmap(_importances(spark, d), 8), "value")
+
+
+def importance_matrix(spark, d):
+    years = [str(y) for y in range(1995, 2002)]
+    out = importance.heatmap_matrix(_importances(spark, d), 8, years)
+    return rounded(out, *years).withColumnsRenamed({y: f"y{y}" for y in years})
+
+
+def rolling_day_splits(spark, d):
+    out = datasets.rolling_splits(datasets.with_day(events(spark, d)), "date", 21, 1, 1)
+    return out.groupBy("window_id", "window_name", "split", "event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def rolling_block_splits(spark, d):
+    e = events(spark, d)
+    blocks = pipeline.blocks(e, "2d")
+    out = datasets.rolling_splits(blocks, "block_start", 6, 0, 1)
+    return out.groupBy("window_id", "split").agg(F.count("*").alias("n"), F.min("block_start").alias("first_block"), F.max("block_start").alias("last_block"))
+
+
+def block_cut(spark, d):
+    return pipeline.blocks(events(spark, d), "36h").select("event_id", "block_start")
+
+
+def block_starts(spark, d):
+    return asof.block_starts(events(spark, d), "36h")
+
+
+def freq_fanout(spark, d):
+    out = datasets.freq_fanout(events(spark, d), ["3h", "6h", "1d"], ["user_id"], "value", PAIR, tie=["event_id"])
+    return rounded(out, "value")
+
+
+def training_sample(spark, d):
+    e = datasets.with_day(events(spark, d))
+    split = datasets.rolling_splits(e, "date", 21, 1, 1, newest_only=True)
+    down, roll, _ = datasets.training_sample(split.where("split = 'train'"), split.where("split = 'test'"), "6h", ["user_id"], "value", ["split", "event_type"], tie=["event_id"])
+    return rounded(down.unionByName(roll), "value")
+
+
+def window_cache(spark, d):
+    e = events(spark, d).withColumnRenamed("event_type", "symbol")
+    config = pipeline.Config(["click", "view"], ["click"], target="user_id", features=("value",), train_subsample="6h")
+    train, query = pipeline.window_cache(e, "2024-01-20", config)
+    return rounded(train.select("ts", "symbol", "value", F.lit("train").alias("role")).unionByName(query.select("ts", "symbol", "value", F.lit("query").alias("role"))), "value")
+
+
+def history_slice(spark, d):
+    return tables.read_history(events(spark, d, "event_id", "ts"), at("2024-01-20"), "7d")[0]
+
+
+def base_slice(spark, d):
+    e = events(spark, d).withColumnRenamed("event_type", "symbol")
+    return tables.base_slice(e, e.where("symbol = 'click' and value > 20").select("ts", "symbol")).select("event_id", "symbol", "ts")
+
+
+def union_dedup(spark, d):
+    e = events(spark, d)
+    kept = e.where(F.col("event_type").isin(["click", "view"])).select("user_id", "event_type")
+    return shape.union_widened([kept, e.select(F.col("user_id").cast("int").alias("user_id"), "event_type")]).distinct()
+
+
+def null_safe_drop(spark, d):
+    e = events(spark, d).withColumn("half", F.when(F.col("value") > 50, F.col("value")).when(F.col("value") < 10, F.lit(float("nan"))))
+    return no_nulls(e.select("event_id", "half")).select("event_id", F.isnan("half").alias("is_nan"))
+
+
+def alignment_check(spark, d):
+    return checks.grid_faults(_hourly(spark, d, "1h"), "1h", by=("symbol",))
+
+
+def step_counts(spark, d):
+    return checks.steps(_hourly(spark, d, "1h"), by=("symbol",))
+
+
+def grid_points(spark, d):
+    e = events(spark, d)
+    up, down = (raw.on_grid(F.col("ts"), "15m", u) for u in (True, False))
+    return e.select("event_id", up.alias("grid_up"), down.alias("grid_down"), offset("ts", "90m").alias("later"), offset("ts", "1d", back=True).alias("earlier"))
+
+
+def stride_sample(spark, d):
+    return shape.stride_sample(events(spark, d), 10, ["ts", "event_id"], PAIR).select("event_id", "event_type")
+
+
+def hash_sample(spark, d):
+    return shape.hash_sample(events(spark, d), 100, ["event_id"]).select("event_id", "value")
+
+
+def _features(spark, d):
+    daily = resample.downsample_left(events(spark, d), "3h", PAIR, ["value"])
+    df = labels.lag_features(daily, "value", ["3h", "6h", "1d"], PAIR, step=10_800_000_000)
+    return no_nulls(df), ["value_lag3h", "value_lag6h", "value_lag1d"]
+
+
+def linear_baseline(spark, d):
+    df, names = _features(spark, d)
+    cut = at("2024-01-22")
+    return models.linear_baseline(df.where(F.col("ts") < cut), df.where(F.col("ts") >= cut), names, "value", ["ts", "event_type"])
+
+
+def gbt_rolling(spark, d):
+    df, names = _features(spark, d)
+    split = datasets.rolling_splits(datasets.with_day(df), "date", 21, 1, 1, newest_only=True)
+    made, _, _ = models.train_windows(split, names, "value", ["ts", "event_type"], models.BoostParams(rounds=5, least_rows=5))
+    return made
+
+
+_ALL = [
+    downsample_right_closed, downsample_left_mean, rolling_trailing, asof_backward, grid_locf, dedup_last_by_ts, bucket_last_ceil, first_by_bucket, book_factors, derived_factors,
+    time_of_day, trim_leading, time_range_filter, clip_to_range, log_return, forward_label, forward_label_by_time, lag_features, feature_join, label_join, symbol_code_map,
+    pivot_fill_mean, unpivot_long, time_neighbors, symbol_neighbors, neighbor_block, vector_neighbors, metrics_overall, metrics_by_symbol, metrics_models, metrics_bucketed,
+    prediction_errors, lag_baseline, truth_check, importance_mean, importance_topk, importance_heatmap, importance_matrix, rolling_day_splits, rolling_block_splits, block_cut,
+    block_starts, freq_fanout, training_sample, window_cache, history_slice, base_slice, union_dedup, null_safe_drop, alignment_check, step_counts, grid_points, stride_sample,
+    hash_sample, linear_baseline, gbt_rolling,
+]
+QUERIES = {f.__name__: f for f in _ALL}
