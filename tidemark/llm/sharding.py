@@ -30,7 +30,8 @@ def minimax_cuts(sizes: list[int], n_shards: int) -> tuple[int, list[int]]:
     """Smallest feasible capacity, and for each shard the index at which it ends.
 
     The capacity is binary-searched. The cuts then go as near to an equal share of what is left as
-    the capacity allows, so that a large unit doesn't leave the last shards empty.
+    the capacity allows, and every shard takes a unit while there are any, so that a large unit
+    leaves no shard empty.
     """
     prefix = [0, *accumulate(sizes)]
     n, total = len(sizes), prefix[-1]
@@ -52,7 +53,7 @@ def minimax_cuts(sizes: list[int], n_shards: int) -> tuple[int, list[int]]:
         if end < n and share - prefix[end] > prefix[end + 1] - share:
             end += 1
         furthest = bisect_right(prefix, prefix[at] + low) - 1
-        at = n if left == 1 else min(max(end, first[left - 1], at), furthest)
+        at = n if left == 1 else min(max(end, first[left - 1], min(at + 1, n)), furthest)
         ends.append(at)
     return low, ends
 
