@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -10,6 +11,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Template tokens of a window, and least words among them that are no placeholder.
 WINDOW = 8
@@ -34,11 +36,10 @@ STOP = re.compile(r"[.!?\n]")
 def template(text: str) -> tuple[list[str], list[str]]:
     """Canonical tokens and the values that they stand for.
 
-    Numbers become ``<num>``, units behind a number ``<unit>``, words that begin in upper case inside
-    a sentence ``<name>`` (unless the text is all upper case); other words are lower-cased.
+    Numbers become ``<num>``, units behind a number ``<unit>``, capitalised words inside a sentence
+    ``<name>``; other words, and those all in upper case, are lower-cased.
     """
     shape, values, end, after_number = [], [], 0, False
-    loud = text.isupper()
     for m in TOKEN.finditer(text):
         t = m[0]
         low = t.lower()
@@ -47,7 +48,7 @@ def template(text: str) -> tuple[list[str], list[str]]:
             kind = "<num>"
         elif after_number and low in UNITS:
             kind = "<unit>"
-        elif t[0].isupper() and not first and not loud:
+        elif t[0].isupper() and not first and not t.isupper():
             kind = "<name>"
         else:
             kind = low
@@ -69,12 +70,17 @@ class Items:
 
 
 def index(items: list[tuple[object, str]]) -> Items:
-    """Items of fewer than ``WINDOW`` tokens are one window; windows with too few words don't count."""
+    """Items of fewer than ``WINDOW`` tokens are one window; windows with too few words don't count.
+
+    An item with names is also held in lower case, for texts that have lost their capitals. Keys of items are (item, form).
+    """
     out, shaped = Items(), []
     for item, text in items:
         shape, values = template(text)
-        shaped.append((item, shape))
-        out.values[item] = values
+        forms = [shape, *([template(text.lower())[0]] if "<name>" in shape else [])]
+        for form, shape in enumerate(forms):
+            shaped.append(((item, form), shape))
+            out.values[item, form] = values
     often = Counter(w for _, shape in shaped for w in set(shape))
     for item, shape in shaped:
         n = min(WINDOW, len(shape))
@@ -114,17 +120,36 @@ def search(text: str, items: Items, coverage: float) -> list[tuple]:
     for item, places in hits.items():
         if len(places) < coverage * items.sizes[item]:
             continue
-        places.sort()
-        length, best, run = len(items.values[item]), None, []
+        # a passage's windows lie at about the same distance to the item's, whatever else is like it nearby
+        places.sort(key=lambda h: h[0] - h[1])
+        slack, best, run = max(2, len(items.values[item]) // 5), None, []
         for hit in [*places, None]:
-            if run and (hit is None or hit[0] - run[0][0] > 2 * length or hit[1] < run[-1][1]):
-                match = _match(item, run, items, values)
+            if run and (hit is None or hit[0] - hit[1] - (run[-1][0] - run[-1][1]) > slack):
+                match = _match(item, chain(sorted(run, key=lambda h: (h[0], -h[1]))), items, values)
                 best = max(filter(None, (best, match)), key=lambda m: (m[1], -m[5]), default=None)
                 run = []
             run.append(hit)
         if best and best[1] >= coverage * items.sizes[item]:
-            found.append(best)
-    return found
+            found.append((item[0], *best[1:]))
+    names = dict.fromkeys(m[0] for m in found)
+    return [max((m for m in found if m[0] == name), key=lambda m: m[1] / m[2]) for name in names] if len(names) < len(found) else found
+
+
+def chain(hits: list[tuple]) -> list[tuple]:
+    """Longest part of ``hits`` (by place in the text, then backwards by place in the item) that goes on in both."""
+    ends: list[int] = []
+    last: list[int] = []
+    back = []
+    for k, hit in enumerate(hits):
+        n = bisect_left(ends, hit[1])
+        back.append(last[n - 1] if n else -1)
+        ends[n:] = [hit[1], *ends[n + 1 :]]
+        last[n:] = [k, *last[n + 1 :]]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(hits[k])
+        k = back[k]
+    return out[::-1]
 
 
 def _match(item: object, run: list[tuple], items: Items, values: list[str]) -> tuple | None:
@@ -149,6 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     """
     kept, blocks = _marks(benchmark, item_col, item_text, block_bytes)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
+    item_arrow = to_arrow_type(item_kind)
     names = ["id", "item", "n_matched", "n_windows", "n_changed", "verbatim", "start_token", "end_token"]
     schema = f"id {kind}, item {item_kind.simpleString()}, n_matched long, n_windows long, n_changed long, verbatim boolean, start_token long, end_token long"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -163,8 +189,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
                 for name, text in zip(part.column(0), part.column(1).to_pylist(), strict=True):
                     out += [(name.as_py(), *m) for m in search(text or "", items, coverage)]
                 cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
-                kinds = [part.schema.field(0).type, None, *[pa.int64()] * 3, pa.bool_(), *[pa.int64()] * 2]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) if t or out else pa.array(c, pa.int64()) for c, t in zip(cols, kinds, strict=True)], names)
+                kinds = [part.schema.field(0).type, item_arrow, *[pa.int64()] * 3, pa.bool_(), *[pa.int64()] * 2]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
         return rows.mapInArrow(apply, schema)
 
