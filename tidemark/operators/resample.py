@@ -88,7 +88,7 @@ def rolling_trailing(df: DataFrame, width: str | int, by: list[str], plan: list[
 def last_by_time(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """One row for each ``by``: that which comes last by ``order``, whole."""
     rest = [c for c in df.columns if c not in by]
-    out = df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
+    out = df.groupBy(*by).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*order)).alias("_last"))
     return out.select(*by, "_last.*")
 
 
