@@ -33,6 +33,11 @@ def test_snapshots(spark, tmp_path):
     assert two.count() == 2 and "bids[3].amount" in two.columns and "asks[0].price" not in two.columns
     with pytest.raises(FileNotFoundError):
         raw.load_snapshot(spark, str(tmp_path), "ABCUSDT", "2024-01-03")
+    both = ["ABCUSDT", "NOUSDT"]
+    assert raw.symbols_with_snapshots(spark, str(tmp_path), both, "2024-01-02", "skip") == ["ABCUSDT"]
+    for day, how in (("2024-01-02", "raise"), ("2024-01-03", "skip")):
+        with pytest.raises(FileNotFoundError):
+            raw.symbols_with_snapshots(spark, str(tmp_path), both, day, how)
 
 
 def test_volatility_files(spark, tmp_path):

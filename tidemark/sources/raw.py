@@ -62,6 +62,17 @@ def load_snapshot(spark: SparkSession, root: str, symbol: str, date: str, column
     return df
 
 
+def symbols_with_snapshots(spark: SparkSession, root: str, symbols: list[str], date: str, on_error: str = "raise") -> list[str]:
+    """Symbols whose snapshot file of a day is there, looked up before any plan is built.
+
+    ``on_error`` raise: a missing one is an error; skip: it is left out. None at all is an error either way.
+    """
+    there = [s for s in symbols if any(_exists(spark, snapshot_path(root, s, date) + e) for e in (".gz", ".zst", ""))]
+    if not there or (on_error == "raise" and len(there) < len(symbols)):
+        raise FileNotFoundError(f"no snapshots on {date} of {[s for s in symbols if s not in there]}")
+    return there
+
+
 def ingest_volatility(spark: SparkSession, pattern: str, columns: list[str] | None = None) -> DataFrame:
     """NPZ files ({symbol}/{date}_volatility.npz, structured array ``data``) as rows: path, timestamp (ns), doubles.
 
