@@ -23,7 +23,7 @@ CELL = 2048
 #: Upper levels of the index: bits of the Gray rank that a node's codes share.
 LEVELS = (16, 32, 48, 64)
 #: Node pairs expanded at once.
-PAIRS = 2_000_000
+PAIRS = 300_000
 
 
 def fingerprint(text: str) -> int:
@@ -137,18 +137,20 @@ class GrayIndex:
                 todo.append((level + 1, f[i], f[i + 1], f[j], f[j + 1], apart))
 
 
-def _least(labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Smallest label reachable over ``pairs``."""
-    labels = labels.copy()
-    while pairs:
-        before = labels.copy()
-        for i, j in pairs:
-            low = np.minimum(labels[i], labels[j])
-            np.minimum.at(labels, i, low)
-            np.minimum.at(labels, j, low)
-        if (before == labels).all():
-            break
-    return labels
+def _least(labels: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Smallest label reachable over ``pairs``, of which one batch at a time is held."""
+    root = np.arange(len(labels))
+    for i, j in pairs:
+        a, b = root[i], root[j]
+        while (apart := a != b).any():
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+            a, b = root[a], root[b]
+    least = labels.copy()
+    np.minimum.at(least, root, labels)
+    return least[root]
 
 
 def link_codes(nodes: DataFrame, most: int = MOST_BITS, cell: int = CELL) -> DataFrame:
@@ -173,8 +175,7 @@ def link_codes(nodes: DataFrame, most: int = MOST_BITS, cell: int = CELL) -> Dat
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def solve(names: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        found = list(GrayIndex(names, codes).links(most))
-        low = _least(ids, found)
+        low = _least(ids, GrayIndex(names, codes).links(most))
         at = low < ids
         return pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(low[at], pa.int64())], ["a", "b"])
 
