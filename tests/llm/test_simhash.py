@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from tidemark.llm.components import components
-from tidemark.llm.simhash import GrayIndex, fingerprint, gray_rank, link_codes, one_of_each, simhash_components
+from tidemark.llm.simhash import GrayIndex, fingerprint, gray_rank, link_codes, near_codes, one_of_each, shingles, similarity, simhash_components
 
 
 def plain(text):
@@ -90,3 +90,36 @@ def test_gray_neighbours_differ_in_one_bit_and_index_finds_all_pairs():
 
 def test_long_text():
     assert fingerprint("x y z " * 50_000) == plain("x y z " * 50_000)
+
+
+def test_near_copies_of_eight_tenths_go_and_others_stay(spark):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(80, 300))) for _ in range(40)]
+    originals = len(texts)
+    for base in range(0, 30):
+        for changes in (1, 2, 3, 25):
+            words = texts[base].split()
+            for at in rng.sample(range(len(words)), min(changes, len(words))):
+                words[at] = rng.choice(vocab)
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, _row string")
+    sets = [shingles(t, 5) for t in texts]
+    kept = {r.doc_id for r in one_of_each(docs.drop("_row")).collect()}
+    assert set(range(originals)) <= kept
+    copies = [i for i in range(originals, len(texts)) if any(similarity(sets[i], sets[j]) >= 0.8 for j in range(i))]
+    clean = [i for i in range(originals, len(texts)) if all(similarity(sets[i], sets[j]) < 0.8 for j in range(len(texts)) if j != i)]
+    assert len(copies) > 50 and len(clean) > 20
+    assert sum(i in kept for i in copies) <= 0.05 * len(copies)
+    assert set(clean) <= kept
+
+
+def test_near_codes_give_each_code_a_neighbour(spark):
+    rng = np.random.default_rng(4)
+    base = np.uint64(rng.integers(0, 1 << 63))
+    codes = np.unique([base ^ (np.uint64(1) << np.uint64(a)) ^ (np.uint64(1) << np.uint64(b)) for a in range(12) for b in range(a)])
+    nodes = spark.createDataFrame([(1000 - i, int(c)) for i, c in enumerate(codes.view(np.int64))], "node long, fp long")
+    pairs = {(r.a, r.b) for r in near_codes(nodes, 4, 8).collect()}
+    code = {1000 - i: int(c) for i, c in enumerate(codes)}
+    assert all(a > b and bin(code[a] ^ code[b]).count("1") <= 4 for a, b in pairs)
+    assert {x for p in pairs for x in p} == set(code)

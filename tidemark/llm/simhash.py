@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ SEED = 42
 MOST_BITS = 4
 #: The 64 bits in six blocks (start, width). Codes at four or fewer differing bits agree on two of them.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+#: Near copies of whole texts: similarity of the sets of WORDS-word shingles, looked for among word prints NEAR_BITS apart at most.
+WORDS, SIMILAR, NEAR_BITS = 5, 0.8, 8
 #: Codes that one index cell takes from each side; buckets beyond it are dealt to several cells.
 CELL = 2048
 #: Upper levels of the index: bits of the Gray rank that a node's codes share.
@@ -38,13 +40,39 @@ def fingerprint(text: str) -> int:
     ends = np.cumsum(sizes + 1) - 1
     starts, k = ends - sizes, min(SHINGLE, len(words))
     starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    digest, ones, step = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 1 << 15
-    for at in range(0, len(starts), step):
-        part = [digest(joined[a:b], SEED) for a, b in zip(starts[at : at + step], ends[at : at + step], strict=True)]
+    return majority(xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True))
+
+
+def majority(hashes: Iterator[int]) -> int:
+    """The bits that over half of the 64-bit hashes have; hashes are counted in batches."""
+    ones, n = np.zeros(64, np.int64), 0
+    while part := list(islice(hashes, 1 << 15)):
         bits = np.unpackbits(np.array(part, "<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
         ones += bits.sum(0, dtype=np.int32)
-    over = (2 * ones > len(starts)).astype(np.uint8)
-    return int(np.packbits(over, bitorder="little").view("<u8")[0])
+        n += len(part)
+    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def word_print(text: str) -> int:
+    """SimHash of the distinct words: it moves far less than that of shingles when a few words change."""
+    import xxhash
+
+    return majority(xxhash.xxh64_intdigest(w, SEED) for w in set(text.encode("utf-8", "surrogatepass").lower().split()))
+
+
+def shingles(text: str, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the ``k``-word shingles (of all words, if there are fewer)."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    k = min(k, len(words))
+    return np.array(sorted({xxhash.xxh64_intdigest(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1)}) if words else [], np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,14 +184,57 @@ def _least(labels: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -
 def link_codes(nodes: DataFrame, most: int = MOST_BITS, cell: int = CELL) -> DataFrame:
     """Edges (a, b) that connect all rows of ``nodes`` (node, fp; codes distinct) at ``most`` bits or fewer.
 
+    A cell gives one edge for each code that has a smaller neighbour, not all its pairs.
+    """
+
+    def solve(index: GrayIndex, codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = _least(ids, index.links(most))
+        at = low < ids
+        return ids[at], low[at]
+
+    return _in_cells(nodes, cell, solve)
+
+
+def near_codes(nodes: DataFrame, most: int = NEAR_BITS, cell: int = CELL) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` within ``most`` bits: in each cell a code's nearest and its smallest neighbour, not all."""
+
+    def solve(index: GrayIndex, codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(ids)
+        order = np.argsort(ids, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        least, near = np.full(n, n), np.full(n, 65 * n)
+        for i, j in index.links(most):
+            apart = np.bitwise_count(codes[i] ^ codes[j]).astype(np.int64)
+            for x, y in ((i, j), (j, i)):
+                other = ids[x] != ids[y]
+                np.minimum.at(least, x[other], rank[y[other]])
+                np.minimum.at(near, x[other], (apart * n + rank[y])[other])
+        at = np.flatnonzero(near < 65 * n)
+        a, b = np.append(at, at), order[np.append(least[at], near[at] % n)]
+        return np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            bits = np.unpackbits(rows.column(1).to_numpy().view(np.uint8), bitorder="little").reshape(-1, 64)
+            other = np.packbits(bits[:, np.arange(64) * 11 % 64].ravel(), bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(other)], ["node", "fp", "other"])
+
+    # buckets of the bits in another order, too: beyond four bits one order's buckets miss pairs
+    nodes = nodes.select("node", "fp").mapInArrow(dealt, "node long, fp long, other long")
+    return _in_cells(nodes, cell, solve, ("fp", "other"))
+
+
+def _in_cells(nodes: DataFrame, cell: int, solve, orders: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """What ``solve`` finds in each index cell of ``nodes`` (node, fp, and the code's bits in further ``orders``).
+
     Codes meet in the buckets of any two equal blocks. Buckets are counted first (pre-aggregated);
     lone codes go, and a bucket of more than ``cell`` codes is cut into chunks of which each pair
-    makes a cell, so no task takes a whole hot bucket. A cell gives one edge for each code that has a
-    smaller neighbour, not all its pairs.
+    makes a cell, so no task takes a whole hot bucket.
     """
-    field = {k: F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for k, (s, w) in enumerate(BLOCKS)}
-    pairs = list(combinations(range(len(BLOCKS)), 2))
-    keys = [(F.lit(c) * (1 << 22) + field[x] * (1 << BLOCKS[y][1]) + field[y]).cast("int") for c, (x, y) in enumerate(pairs)]
+    field = {(o, k): F.shiftrightunsigned(o, s).bitwiseAND(F.lit((1 << w) - 1)) for o in orders for k, (s, w) in enumerate(BLOCKS)}
+    pairs = [((o, x), (o, y)) for o in orders for x, y in combinations(range(len(BLOCKS)), 2)]
+    keys = [(F.lit(c) * (1 << 22) + field[x] * (1 << BLOCKS[y[1]][1]) + field[y]).cast("int") for c, (x, y) in enumerate(pairs)]
     rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / cell).cast("int")
@@ -174,10 +245,9 @@ def link_codes(nodes: DataFrame, most: int = MOST_BITS, cell: int = CELL) -> Dat
     rows = rows.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "fp")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def solve(names: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        low = _least(ids, GrayIndex(names, codes).links(most))
-        at = low < ids
-        return pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(low[at], pa.int64())], ["a", "b"])
+    def found(names: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        a, b = solve(GrayIndex(names, codes), codes, ids)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -190,10 +260,10 @@ def link_codes(nodes: DataFrame, most: int = MOST_BITS, cell: int = CELL) -> Dat
             new[1:] = np.any([x[1:] != x[:-1] for x in cols[:3]], axis=0)
             last = int(np.flatnonzero(new)[-1])  # the last cell may go on in the next batch
             if last:
-                yield solve(np.cumsum(new)[:last], cols[4][:last].view(np.uint64), cols[3][:last])
+                yield found(np.cumsum(new)[:last], cols[4][:last].view(np.uint64), cols[3][:last])
             held = [x[last:] for x in cols]
         if held is not None:
-            yield solve(np.zeros(len(held[0]), np.int64), held[4].copy().view(np.uint64), held[3])
+            yield found(np.zeros(len(held[0]), np.int64), held[4].copy().view(np.uint64), held[3])
 
     return rows.mapInArrow(apply, "a long, b long").distinct()
 
@@ -218,24 +288,47 @@ def simhash_components(docs: DataFrame, most: int = MOST_BITS, id_col: str = "do
     )
 
 
-def one_of_each(docs: DataFrame, most: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row, all its columns, of each component of ``simhash_components``: that of the smallest id (of equal ids, the first).
+def one_of_each(docs: DataFrame, most: int = MOST_BITS, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, all its columns, of each group of near copies: that of the smallest id (of equal ids, the first).
 
-    Rows with a null id are in no component and stay.
+    Groups are the components of ``simhash_components``, then among their first rows those of texts
+    whose five-word shingles are similar by ``similar`` or more. Candidates for the latter come from
+    the same index over word prints, a few a text; each is checked on the whole texts. Rows with a
+    null id are in no group and stay; an empty table gives no rows.
     """
     place = docs.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            fps = np.array([fingerprint(x or "") for x in rows.column(place).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fps, pa.int64())], [*rows.schema.names, "_fp"])
+            texts = [x or "" for x in rows.column(place).to_pylist()]
+            prints = [pa.array(np.array([f(x) for x in texts], np.uint64).view(np.int64)) for f in (fingerprint, word_print)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *prints], [*rows.schema.names, "_fp", "_wp"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = stage(docs.mapInArrow(apply, f"{fields}, _fp long").withColumn("_row", F.monotonically_increasing_id()))
+    rows = stage(docs.mapInArrow(apply, f"{fields}, _fp long, _wp long").withColumn("_row", F.monotonically_increasing_id()))
     known = rows.where(F.col(id_col).isNotNull())
     # every code is named by itself, so that no id has to be unique
     roots = components(link_codes(known.select(F.col("_fp").alias("node"), F.col("_fp").alias("fp")).distinct(), most))
-    found = known.select(F.col(id_col).alias("id"), "_row", F.col("_fp").alias("node")).join(roots, "node", "left")
-    firsts = found.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
-    stay = firsts.unionByName(rows.where(F.col(id_col).isNull()).select("_row"))
+    found = known.select(F.col(id_col).alias("id"), "_row", "_wp", F.col("_fp").alias("node")).join(roots, "node", "left")
+    firsts = stage(found.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "_row", "_wp")).alias("first")).select("first.*"))
+    codes = firsts.groupBy("_wp").agg(F.min(F.struct("id", "_row")).alias("first")).select("_wp", F.col("first._row").alias("node"))
+    same = firsts.join(codes, "_wp").where(F.col("_row") != F.col("node")).select(F.col("_row").alias("a"), F.col("node").alias("b"))
+    pairs = near_codes(codes.select("node", F.col("_wp").alias("fp"))).unionByName(same).distinct()
+    roots = components(_similar(pairs, rows.select("_row", F.col(text_col).cast("string").alias("text")), similar))
+    groups = firsts.join(roots.withColumnRenamed("node", "_row"), "_row", "left").groupBy(F.coalesce("root", "_row").alias("root"))
+    stay = groups.agg(F.min(F.struct("id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
+    stay = stay.unionByName(rows.where(F.col(id_col).isNull()).select("_row"))
     return rows.join(stay, "_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts' shingles are similar enough."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            sets = ([shingles(x or "", WORDS) for x in rows.column(k).to_pylist()] for k in (2, 3))
+            yield rows.filter(pa.array([similarity(x, y) >= similar for x, y in zip(*sets, strict=True)], pa.bool_())).select(["a", "b"])
+
+    both = pairs.join(texts.select(F.col("_row").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("_row").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
