@@ -53,6 +53,19 @@ def test_times_do_not_depend_on_the_session_zone(spark):
     assert r.again == r.us
 
 
+def test_hours_that_the_session_zone_skips(spark):
+    skipped = dt.datetime(2024, 3, 10, 2, 30, 0, 7)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(skipped,), (dt.datetime(1965, 7, 1, 0, 0, 0, 1),), (dt.datetime(2150, 7, 1),), (None,)], "ts timestamp_ntz")
+        rows = df.select("ts", epoch_us("ts").alias("us"), from_us(epoch_us("ts")).alias("again")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for r in rows[:3]:
+        assert r.again == r.ts and r.us == (r.ts - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+    assert rows[3].us is None
+
+
 @pytest.mark.parametrize(("kind", "value"), [("string", "2024-01-01 00:00:05"), ("long", 1_704_067_205_000_000_000), ("timestamp_ntz", dt.datetime(2024, 1, 1, 0, 0, 5))])
 def test_as_ntz(spark, kind, value):
     df = as_ntz(spark.createDataFrame([(value,), (None,)], f"t {kind}"), "t")

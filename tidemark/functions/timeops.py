@@ -54,8 +54,13 @@ def to_us(value: object) -> int | None:
 
 
 def epoch_us(col: Column | str) -> Column:
-    """Microseconds since 1970 of a TIMESTAMP_NTZ."""
-    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), F.col(col) if isinstance(col, str) else col)
+    """Microseconds since 1970 of a TIMESTAMP_NTZ.
+
+    The difference of two such times is an interval that no zone enters; ``timestampdiff`` would go
+    through the session's zone and miss hours that it skips.
+    """
+    since = (F.col(col) if isinstance(col, str) else col) - F.expr(EPOCH)
+    return (since.cast("interval second").cast("decimal(18,6)") * 1_000_000).cast("long")
 
 
 def from_us(col: Column | str) -> Column:
