@@ -341,6 +341,7 @@ def _hot_spans(found: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(j)[i].as_py()] * m, pa.int64()) for j in (0, 1)] + [pa.array(names, pa.binary()), pa.array(begin, pa.int64())], ["k1", "k2", "name", "begin"])
 
     rows = stage(found.mapInArrow(strings, "k1 long, k2 long, name binary, begin long"))
-    twice = rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    # written, so that both sides of the join are plain exchanges and a string seen very often can be split
+    twice = stage(rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
     rows = rows.join(twice, "name").select("k1", "k2", F.array("begin", F.col("begin") + LENGTH).alias("spans"))
     return rows.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
