@@ -40,7 +40,7 @@ def nearest(query: DataFrame, train: DataFrame, n: int, p: float = 2, key: str =
     """(key, rank, neighbor, distance): each query's ``n`` nearest rows of ``train`` by Minkowski-p, ties to the smaller key.
 
     Exact, without a cross join or broadcast of either side. Train rows lie in slabs along the first
-    coordinate, large slabs in several chunks. A query first meets one chunk of its own slab, which
+    coordinate, large slabs in several chunks; no task holds more than about ``cell`` rows of either side. A query first meets one chunk of its own slab, which
     bounds its n-th distance, then only slabs within that bound: coordinates can't be further apart
     than points. ``distance`` has no root taken. Rows with a null key, vector or component take no part.
     """
@@ -69,8 +69,13 @@ def nearest(query: DataFrame, train: DataFrame, n: int, p: float = 2, key: str =
         return pd.DataFrame({"_q": np.repeat(q["_q"].to_numpy(), at.shape[1]), "_t": t["_t"].to_numpy()[at.ravel()], "_d": far.ravel()})
 
     def met(q: DataFrame) -> DataFrame:
+        """Queries and train rows of the same chunk; a crowd of queries comes in parts, each with the chunk's rows."""
         cells = ["_slab", "_chunk"]
-        return q.groupBy(*cells).cogroup(train.groupBy(*cells)).applyInPandas(search, f"_q {q_kind}, _t {kind}, _d double")
+        parts = q.groupBy(*cells).agg(F.ceil(F.count("*") / cell).cast("int").alias("_parts"))
+        q = q.join(parts, cells).withColumn("_part", F.pmod(F.xxhash64("_q"), F.col("_parts")).cast("int")).drop("_parts")
+        t = train.join(parts, cells).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        cells.append("_part")
+        return q.groupBy(*cells).cogroup(t.groupBy(*cells)).applyInPandas(search, f"_q {q_kind}, _t {kind}, _d double")
 
     if slabs > 1:
         start = query.withColumn("_slab", slab(first)).withColumn("_chunk", F.lit(0))
