@@ -22,6 +22,7 @@ from tidemark.operators.resample import downsample_left
 from tidemark.plans.models import BoostParams, train_windows
 from tidemark.sources.tables import write_table
 
+#: Base factors that serve as features unless others are named.
 DEFAULT_FEATURES = ("vwap", "imbalance", "spread", "mid", "log_return")
 
 

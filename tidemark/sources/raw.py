@@ -17,6 +17,7 @@ from tidemark.operators.checks import require_even
 from tidemark.operators.factors import book_columns
 from tidemark.operators.resample import bucket_last_ceil, last_by_time
 
+#: Columns of a volatility series.
 VOL_COLUMNS = ["vol_1m", "vol_5m", "vol_10m", "vol_15m", "vol_30m", "vol_60m", "vol_120m"]
 
 
@@ -25,6 +26,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+# The layout and names of snapshot files.
 def snapshot_path(root: str, symbol: str, date: str) -> str:
     return f"{root}/{symbol}/book_snapshot_25/binance-futures_book_snapshot_25_{date}_{symbol}.csv"
 
