@@ -20,6 +20,9 @@ MOST_BITS = 4
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 #: Near copies of whole texts: similarity of the sets of WORDS-word shingles, looked for among word prints NEAR_BITS apart at most.
 WORDS, SIMILAR, NEAR_BITS = 5, 0.8, 8
+#: For these, blocks of which two are equal (26 bits, so that chance meetings stay rare), in several orders of the bits.
+WIDE_BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+STRIDES = (11, 23, 37)
 #: Codes that one index cell takes from each side; buckets beyond it are dealt to several cells.
 CELL = 2048
 #: Upper levels of the index: bits of the Gray rank that a node's codes share.
@@ -217,15 +220,16 @@ def near_codes(nodes: DataFrame, most: int = NEAR_BITS, cell: int = CELL) -> Dat
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             bits = np.unpackbits(rows.column(1).to_numpy().view(np.uint8), bitorder="little").reshape(-1, 64)
-            other = np.packbits(bits[:, np.arange(64) * 11 % 64].ravel(), bitorder="little").view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(other)], ["node", "fp", "other"])
+            others = [np.packbits(bits[:, np.arange(64) * k % 64].ravel(), bitorder="little").view(np.int64) for k in STRIDES]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(pa.array, others)], names)
 
-    # buckets of the bits in another order, too: beyond four bits one order's buckets miss pairs
-    nodes = nodes.select("node", "fp").mapInArrow(dealt, "node long, fp long, other long")
-    return _in_cells(nodes, cell, solve, ("fp", "other"), False)
+    # the bits in other orders, too: beyond four bits one order's buckets miss pairs
+    names = ["node", "fp", *[f"order{k}" for k in STRIDES]]
+    nodes = nodes.select("node", "fp").mapInArrow(dealt, ", ".join(f"{n} long" for n in names))
+    return _in_cells(nodes, cell, solve, names[1:], WIDE_BLOCKS, False)
 
 
-def _in_cells(nodes: DataFrame, cell: int, solve, orders: tuple[str, ...] = ("fp",), complete: bool = True) -> DataFrame:
+def _in_cells(nodes: DataFrame, cell: int, solve, orders: list[str] | tuple[str, ...] = ("fp",), blocks: list[tuple[int, int]] = BLOCKS, complete: bool = True) -> DataFrame:
     """What ``solve`` finds in each index cell of ``nodes`` (node, fp, and the code's bits in further ``orders``).
 
     Codes meet in the buckets of any two equal blocks. Buckets are counted first (pre-aggregated);
@@ -234,9 +238,9 @@ def _in_cells(nodes: DataFrame, cell: int, solve, orders: tuple[str, ...] = ("fp
     its own, dealt differently in every bucket: codes of a crowd have neighbours in any chunk, and
     the work stays in proportion.
     """
-    field = {(o, k): F.shiftrightunsigned(o, s).bitwiseAND(F.lit((1 << w) - 1)) for o in orders for k, (s, w) in enumerate(BLOCKS)}
-    pairs = [((o, x), (o, y)) for o in orders for x, y in combinations(range(len(BLOCKS)), 2)]
-    keys = [(F.lit(c) * (1 << 22) + field[x] * (1 << BLOCKS[y[1]][1]) + field[y]).cast("int") for c, (x, y) in enumerate(pairs)]
+    field = {(o, k): F.shiftrightunsigned(o, s).bitwiseAND(F.lit((1 << w) - 1)) for o in orders for k, (s, w) in enumerate(blocks)}
+    pairs = [((o, x), (o, y)) for o in orders for x, y in combinations(range(len(blocks)), 2)]
+    keys = [F.lit(c) * (1 << 32) + field[x] * (1 << blocks[y[1]][1]) + field[y] for c, (x, y) in enumerate(pairs)]
     rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / cell).cast("int")
