@@ -37,5 +37,19 @@ def test_tree_prunes_and_is_exact():
         assert got == want
 
 
+def test_own_row_takes_no_place_of_its_page():
+    rng = np.random.default_rng(8)
+    for n in (21, 100, 128, 2000):
+        sizes = [n] if n < 200 else rng.integers(6, 51, 70).tolist()
+        x = np.concatenate([np.floor(rng.normal(0, 300, 16) + rng.normal(0, 5, (m, 16))) for m in sizes]).astype(np.int64)
+        ids = np.arange(len(x))
+        ids[3] = 0  # two rows with the query's id
+        tree = MTree(ids, x)
+        for q in range(0, len(x), 20):
+            got = sorted(tree.search(int(ids[q]), x[q].astype(np.float64), [], 5), reverse=True)
+            want = sorted(((int(s), -int(i)) for s, i in zip(x @ x[q], ids, strict=True) if i != ids[q]), reverse=True)[:5]
+            assert got == want
+
+
 def test_empty_table(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []

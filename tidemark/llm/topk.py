@@ -86,6 +86,7 @@ class MTree:
                 _, rows, up = node
                 a, b = np.searchsorted(up, [far - limit, far + limit + 1e-9])  # the triangle inequality leaves these
                 rows = rows[a:b]
+                rows = rows[self.ids[rows] != own]  # before the cut below, which would count it
                 score = self.exact[rows] @ query
                 if len(best) == k:
                     at = score >= best[0][0]
@@ -94,8 +95,7 @@ class MTree:
                     cut = np.partition(score, len(score) - k)[len(score) - k]
                     rows, score = rows[score >= cut], score[score >= cut]
                 for s, i in zip(score.tolist(), self.ids[rows].tolist(), strict=True):
-                    if i != own:
-                        (heapq.heappush if len(best) < k else heapq.heappushpop)(best, (int(s), -i))
+                    (heapq.heappush if len(best) < k else heapq.heappushpop)(best, (int(s), -i))
                 continue
             _, pivots, radii, up, children = node
             may = np.abs(far - up) - radii <= limit  # known without computing a distance
