@@ -123,3 +123,16 @@ def test_near_codes_give_each_code_a_neighbour(spark):
     code = {1000 - i: int(c) for i, c in enumerate(codes)}
     assert all(a > b and bin(code[a] ^ code[b]).count("1") <= 4 for a, b in pairs)
     assert {x for p in pairs for x in p} == set(code)
+
+
+def test_near_codes_of_a_crowded_bucket_meet(spark):
+    rng = np.random.default_rng(6)
+    codes = (rng.integers(0, 1 << 38, 150).astype(np.uint64) << np.uint64(26)) | np.uint64(12345)
+    near = codes.copy()
+    for low, high in ((26, 39), (39, 52), (52, 64)):  # two bits in each block but those of the bucket
+        for k in range(len(codes)):
+            for b in rng.choice(np.arange(low, high), 2, replace=False):
+                near[k] ^= np.uint64(1) << np.uint64(b)
+    rows = [(i, int(c)) for i, c in enumerate(np.concatenate([codes, near]).view(np.int64))]
+    pairs = {(r.a, r.b) for r in near_codes(spark.createDataFrame(rows, "node long, fp long"), 6, 8).collect()}
+    assert {(150 + i, i) for i in range(150)} <= pairs

@@ -226,17 +226,15 @@ def near_codes(nodes: DataFrame, most: int = NEAR_BITS, cell: int = CELL) -> Dat
     # the bits in other orders, too: beyond four bits one order's buckets miss pairs
     names = ["node", "fp", *[f"order{k}" for k in STRIDES]]
     nodes = nodes.select("node", "fp").mapInArrow(dealt, ", ".join(f"{n} long" for n in names))
-    return _in_cells(nodes, cell, solve, names[1:], WIDE_BLOCKS, False)
+    return _in_cells(nodes, cell, solve, names[1:], WIDE_BLOCKS)
 
 
-def _in_cells(nodes: DataFrame, cell: int, solve, orders: list[str] | tuple[str, ...] = ("fp",), blocks: list[tuple[int, int]] = BLOCKS, complete: bool = True) -> DataFrame:
+def _in_cells(nodes: DataFrame, cell: int, solve, orders: list[str] | tuple[str, ...] = ("fp",), blocks: list[tuple[int, int]] = BLOCKS) -> DataFrame:
     """What ``solve`` finds in each index cell of ``nodes`` (node, fp, and the code's bits in further ``orders``).
 
     Codes meet in the buckets of any two equal blocks. Buckets are counted first (pre-aggregated);
     lone codes go, and a bucket of more than ``cell`` codes is cut into chunks of which each pair
-    makes a cell, so no task takes a whole hot bucket. Unless ``complete``, each chunk is a cell of
-    its own, dealt differently in every bucket: codes of a crowd have neighbours in any chunk, and
-    the work stays in proportion.
+    makes a cell, so no task takes a whole hot bucket.
     """
     field = {(o, k): F.shiftrightunsigned(o, s).bitwiseAND(F.lit((1 << w) - 1)) for o in orders for k, (s, w) in enumerate(blocks)}
     pairs = [((o, x), (o, y)) for o in orders for x, y in combinations(range(len(blocks)), 2)]
@@ -244,14 +242,11 @@ def _in_cells(nodes: DataFrame, cell: int, solve, orders: list[str] | tuple[str,
     rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / cell).cast("int")
-    rows = rows.join(sizes, "key").withColumn("m", chunks).withColumn("i", F.pmod(F.xxhash64("fp", *([] if complete else ["key"])), F.col("m")).cast("int"))
-    if complete:
-        other = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
-        rows = rows.select("key", "node", "fp", "i", other.alias("j"))
-        # of a bucket's cells i <= j, chunk i and chunk j meet in the one named by both
-        rows = rows.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "fp")
-    else:
-        rows = rows.select("key", "i", F.col("i").alias("j"), "node", "fp")
+    rows = rows.join(sizes, "key").withColumn("m", chunks).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+    rows = rows.select("key", "node", "fp", "i", other.alias("j"))
+    # of a bucket's cells i <= j, chunk i and chunk j meet in the one named by both
+    rows = rows.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "fp")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def found(names: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
