@@ -136,3 +136,60 @@ def test_near_codes_of_a_crowded_bucket_meet(spark):
     rows = [(i, int(c)) for i, c in enumerate(np.concatenate([codes, near]).view(np.int64))]
     pairs = {(r.a, r.b) for r in near_codes(spark.createDataFrame(rows, "node long, fp long"), 6, 8).collect()}
     assert {(150 + i, i) for i in range(150)} <= pairs
+
+
+def groups_of(texts):
+    """First numbers of the groups linked by 4 bits or by similarity of 0.8."""
+    root = list(range(len(texts)))
+    prints, sets = [fingerprint(t) for t in texts], [shingles(t, 5) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and (bin(prints[i] ^ prints[j]).count("1") <= 4 or similarity(sets[i], sets[j]) >= 0.8):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return set(root)
+
+
+def crowd(rng, short):
+    """Texts of one vocabulary in other orders, each with a true copy: word prints are close, texts are not."""
+    vocab = [f"v{k}" for k in range(30 if short else 80)]
+    texts = []
+    for _ in range(60):
+        words = list(vocab)
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    return texts + [" ".join([*t.split()[:-1], "other"]) for t in texts]
+
+
+@pytest.mark.parametrize("short", [True, False])
+def test_copies_in_a_crowd_of_like_words_all_go(spark, short):
+    texts = crowd(random.Random(21), short)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in one_of_each(docs).collect()} == groups_of(texts) == set(range(60))
+
+
+@pytest.mark.parametrize("cell", [3, 2048])
+def test_join_of_sets_is_exact_at_the_bound(spark, cell):
+    from tidemark.llm import setjoin
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 40, n).astype(np.uint64)) for n in rng.integers(1, 60, 40)]
+    for base in sets[:40]:  # sets that share 7 to 10 tenths
+        for share in (0.7, 0.8, 0.88, 0.9, 1.0):
+            kept = base[rng.random(len(base)) < share]
+            sets.append(np.unique(np.append(kept, rng.integers(0, 1 << 40, len(base) - len(kept)).astype(np.uint64))))
+    common = (np.unique(np.concatenate(sets[:5])), np.arange(len(np.unique(np.concatenate(sets[:5])))))
+    rows = [(i, i, len(x), [int(v) for v in setjoin.prefix(x, common, 0.8)], bytearray(setjoin.parity(x))) for i, x in enumerate(sets)]
+    items = spark.createDataFrame(rows, "node long, root long, n long, prefix array<long>, map binary")
+
+    def check(pairs):
+        good = [(r.a, r.b) for r in pairs.collect() if similarity(sets[r.a], sets[r.b]) >= 0.8]
+        return spark.createDataFrame(good, "a long, b long")
+
+    got = {r.node: r.root for r in setjoin.linked(items, check, 0.8, cell).collect()}
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if similarity(sets[i], sets[j]) >= 0.8:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert got == dict(enumerate(root))

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage
 from tidemark.llm.components import components
+from tidemark.llm.setjoin import common_shingles, linked, parity, prefix
 
 SHINGLE = 4
 SEED = 42
 MOST_BITS = 4
 #: The 64 bits in six blocks (start, width). Codes at four or fewer differing bits agree on two of them.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
-#: Near copies of whole texts: similarity of the sets of WORDS-word shingles, looked for among word prints NEAR_BITS apart at most.
+#: Near copies of whole texts: similarity of the sets of WORDS-word shingles; NEAR_BITS is for ``near_codes``.
 WORDS, SIMILAR, NEAR_BITS = 5, 0.8, 8
 #: For these, blocks of which two are equal (26 bits, so that chance meetings stay rare), in several orders of the bits.
 WIDE_BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
@@ -56,13 +57,6 @@ def majority(hashes: Iterator[int]) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def word_print(text: str) -> int:
-    """SimHash of the distinct words: it moves far less than that of shingles when a few words change."""
-    import xxhash
-
-    return majority(xxhash.xxh64_intdigest(w, SEED) for w in set(text.encode("utf-8", "surrogatepass").lower().split()))
-
-
 def shingles(text: str, k: int) -> np.ndarray:
     """Sorted distinct hashes of the ``k``-word shingles (of all words, if there are fewer)."""
     import xxhash
@@ -296,30 +290,36 @@ def one_of_each(docs: DataFrame, most: int = MOST_BITS, similar: float = SIMILAR
     """One row, all its columns, of each group of near copies: that of the smallest id (of equal ids, the first).
 
     Groups are the components of ``simhash_components``, then among their first rows those of texts
-    whose five-word shingles are similar by ``similar`` or more. Candidates for the latter come from
-    the same index over word prints, a few a text; each is checked on the whole texts. Rows with a
-    null id are in no group and stay; an empty table gives no rows.
+    whose five-word shingles are similar by ``similar`` or more; these are found exactly
+    (``setjoin.linked``) and checked on the whole texts. Rows with a null id are in no group and stay;
+    an empty table gives no rows.
     """
     place = docs.columns.index(text_col)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, lambda x: shingles(x, WORDS)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             texts = [x or "" for x in rows.column(place).to_pylist()]
-            prints = [pa.array(np.array([f(x) for x in texts], np.uint64).view(np.int64)) for f in (fingerprint, word_print)]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *prints], [*rows.schema.names, "_fp", "_wp"])
+            fps = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
+            cols: list[list] = [[], [], []]
+            for x in texts:
+                found = shingles(x, WORDS)
+                for col, value in zip(cols, (len(found), prefix(found, common.value, similar).view(np.int64), parity(found)), strict=True):
+                    col.append(value)
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fps), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], [*rows.schema.names, "_fp", "_n", "_prefix", "_map"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = stage(docs.mapInArrow(apply, f"{fields}, _fp long, _wp long").withColumn("_row", F.monotonically_increasing_id()))
+    rows = stage(docs.mapInArrow(apply, f"{fields}, _fp long, _n long, _prefix array<long>, _map binary").withColumn("_row", F.monotonically_increasing_id()))
     known = rows.where(F.col(id_col).isNotNull())
     # every code is named by itself, so that no id has to be unique
     roots = components(link_codes(known.select(F.col("_fp").alias("node"), F.col("_fp").alias("fp")).distinct(), most))
-    found = known.select(F.col(id_col).alias("id"), "_row", "_wp", F.col("_fp").alias("node")).join(roots, "node", "left")
-    firsts = stage(found.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "_row", "_wp")).alias("first")).select("first.*"))
-    codes = firsts.groupBy("_wp").agg(F.min(F.struct("id", "_row")).alias("first")).select("_wp", F.col("first._row").alias("node"))
-    same = firsts.join(codes, "_wp").where(F.col("_row") != F.col("node")).select(F.col("_row").alias("a"), F.col("node").alias("b"))
-    pairs = near_codes(codes.select("node", F.col("_wp").alias("fp"))).unionByName(same).distinct()
-    roots = components(_similar(pairs, rows.select("_row", F.col(text_col).cast("string").alias("text")), similar))
-    groups = firsts.join(roots.withColumnRenamed("node", "_row"), "_row", "left").groupBy(F.coalesce("root", "_row").alias("root"))
+    found = known.select(F.col(id_col).alias("id"), "_row", F.col("_fp").alias("node")).join(roots, "node", "left")
+    firsts = stage(found.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "_row")).alias("first")).select("first.*"))
+    items = rows.join(firsts.select("_row"), "_row", "left_semi").select(F.col("_row").alias("node"), F.col("_row").alias("root"), F.col("_n").alias("n"), F.col("_prefix").alias("prefix"), F.col("_map").alias("map"))
+    texts = rows.select("_row", F.col(text_col).cast("string").alias("text"))
+    roots = linked(items, lambda pairs: _similar(pairs, texts, similar), similar)
+    groups = firsts.join(roots.withColumnRenamed("node", "_row"), "_row").groupBy("root")
     stay = groups.agg(F.min(F.struct("id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
     stay = stay.unionByName(rows.where(F.col(id_col).isNull()).select("_row"))
     return rows.join(stay, "_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
