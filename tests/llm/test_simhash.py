@@ -193,3 +193,34 @@ def test_join_of_sets_is_exact_at_the_bound(spark, cell):
             if similarity(sets[i], sets[j]) >= 0.8:
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     assert got == dict(enumerate(root))
+
+
+def test_links_over_members_that_are_not_first_count(spark):
+    rng = random.Random(31)
+    vocab = [f"u{k}" for k in range(3000)]
+    texts = []
+    for _ in range(12):  # chains: each text is similar to the one before, few to the first
+        words = rng.choices(vocab, k=120)
+        for _ in range(7):
+            texts.append(" ".join(words))
+            words = list(words)
+            for at in rng.sample(range(110), 2):
+                words[at] = rng.choice(vocab)
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in one_of_each(docs).collect()} == groups_of(texts)
+
+
+def test_a_similar_text_of_a_member_that_is_not_first_goes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import simhash
+
+    rng = random.Random(5)
+    first, member = (" ".join(rng.choices([f"z{k}" for k in range(900)], k=60)) for _ in range(2))
+    copy = " ".join([*member.split()[:-1], "end"])
+    codes = [int(np.uint64(fingerprint(x)).view(np.int64)) for x in (first, member)]
+    # the first two texts are taken as linked by their codes
+    monkeypatch.setattr(simhash, "link_codes", lambda nodes, most: nodes.where(F.col("fp").isin(codes)).agg(F.max("node").alias("a"), F.min("node").alias("b")))
+    docs = spark.createDataFrame([(0, first), (1, member), (2, copy), (3, member)], "doc_id long, text string")
+    assert {r.doc_id for r in one_of_each(docs).collect()} == {0}

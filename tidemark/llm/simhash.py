@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations, islice
 
@@ -289,10 +290,10 @@ def simhash_components(docs: DataFrame, most: int = MOST_BITS, id_col: str = "do
 def one_of_each(docs: DataFrame, most: int = MOST_BITS, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, all its columns, of each group of near copies: that of the smallest id (of equal ids, the first).
 
-    Groups are the components of ``simhash_components``, then among their first rows those of texts
-    whose five-word shingles are similar by ``similar`` or more; these are found exactly
-    (``setjoin.linked``) and checked on the whole texts. Rows with a null id are in no group and stay;
-    an empty table gives no rows.
+    Groups are the components over both kinds of links: fingerprints ``most`` bits apart, as in
+    ``simhash_components``, and texts whose five-word shingles are similar by ``similar`` or more.
+    The latter are found exactly (``setjoin.linked``) among all distinct sets of shingles and checked
+    on the whole texts. Rows with a null id are in no group and stay; an empty table gives no rows.
     """
     place = docs.columns.index(text_col)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, lambda x: shingles(x, WORDS)))
@@ -301,25 +302,29 @@ def one_of_each(docs: DataFrame, most: int = MOST_BITS, similar: float = SIMILAR
         for rows in batches:
             texts = [x or "" for x in rows.column(place).to_pylist()]
             fps = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
-            cols: list[list] = [[], [], []]
+            cols: list[list] = [[], [], [], []]
             for x in texts:
                 found = shingles(x, WORDS)
-                for col, value in zip(cols, (len(found), prefix(found, common.value, similar).view(np.int64), parity(found)), strict=True):
+                for col, value in zip(cols, (hashlib.blake2b(found.tobytes(), digest_size=16).digest(), len(found), prefix(found, common.value, similar).view(np.int64), parity(found)), strict=True):
                     col.append(value)
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fps), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], [*rows.schema.names, "_fp", "_n", "_prefix", "_map"])
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fps), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], [*rows.schema.names, "_fp", "_set", "_n", "_prefix", "_map"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = stage(docs.mapInArrow(apply, f"{fields}, _fp long, _n long, _prefix array<long>, _map binary").withColumn("_row", F.monotonically_increasing_id()))
+    rows = stage(docs.mapInArrow(apply, f"{fields}, _fp long, _set binary, _n long, _prefix array<long>, _map binary").withColumn("_row", F.monotonically_increasing_id()))
     known = rows.where(F.col(id_col).isNotNull())
-    # every code is named by itself, so that no id has to be unique
-    roots = components(link_codes(known.select(F.col("_fp").alias("node"), F.col("_fp").alias("fp")).distinct(), most))
-    found = known.select(F.col(id_col).alias("id"), "_row", F.col("_fp").alias("node")).join(roots, "node", "left")
-    firsts = stage(found.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "_row")).alias("first")).select("first.*"))
-    items = rows.join(firsts.select("_row"), "_row", "left_semi").select(F.col("_row").alias("node"), F.col("_row").alias("root"), F.col("_n").alias("n"), F.col("_prefix").alias("prefix"), F.col("_map").alias("map"))
+    # codes and sets are named by a row that has them, so that no id has to be unique; a row links its code to its set
+    codes, sets = (stage(known.groupBy(c).agg(F.min("_row").alias("node"))) for c in ("_fp", "_set"))
+    same = [known.select("_row", c).join(names, c).select(F.col("_row").alias("a"), F.col("node").alias("b")) for c, names in (("_fp", codes), ("_set", sets))]
+    edges = link_codes(codes.select("node", F.col("_fp").alias("fp")), most).unionAll(same[0]).unionAll(same[1])
+    first = components(edges)
+    named = sets.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    items = rows.select(F.col("_row").alias("node"), F.col("_n").alias("n"), F.col("_prefix").alias("prefix"), F.col("_map").alias("map")).join(named, "node")
     texts = rows.select("_row", F.col(text_col).cast("string").alias("text"))
-    roots = linked(items, lambda pairs: _similar(pairs, texts, similar), similar)
-    groups = firsts.join(roots.withColumnRenamed("node", "_row"), "_row").groupBy("root")
+    moved = linked(items, lambda pairs: _similar(pairs, texts, similar), similar).join(named.withColumnRenamed("root", "old"), "node")
+    moved = moved.groupBy(F.col("old").alias("root")).agg(F.min("root").alias("top"))  # rows of one old root have one new root
+    groups = known.select(F.col(id_col).alias("id"), "_row").join(first.withColumnRenamed("node", "_row"), "_row", "left").select("id", "_row", F.coalesce("root", "_row").alias("root"))
+    groups = groups.join(moved, "root", "left").groupBy(F.coalesce("top", "root").alias("root"))
     stay = groups.agg(F.min(F.struct("id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
     stay = stay.unionByName(rows.where(F.col(id_col).isNull()).select("_row"))
     return rows.join(stay, "_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
