@@ -76,3 +76,27 @@ def test_empty_tables_repeated_rows_null_ids(spark):
     assert contamination(docs.limit(0), bench).collect() == []
     assert contamination(docs, bench.limit(0)).collect() == []
     assert decontaminated(docs, bench.limit(0)).count() == 3
+
+
+def test_items_of_many_slots(spark):
+    table = "Scores were 3 5 8 13 21 34 55 89 144 233 377 610 for Anna Berta Carla Dora"
+    items = [(1, "What is 12 + 15 * 3 - 7?"), (2, table), (3, "4 8 15 16 23 42"), (4, "7")]
+    changed = table.replace("13", "14").replace("610", "999").replace("Dora", "Emma")
+    docs = [
+        (1, "Some words first. What is 12 + 15 * 3 - 7? And more."), (2, "Then. What is 9 + 4 * 2 - 1?"), (3, f"some words. {table}"), (4, f"Some words. {changed}. More."),
+        (5, "the numbers 4 8 15 16 23 42 again"), (6, "the numbers 1 2 3 5 6 7 again"), (7, "What is 9 + 4 * 9 - 1?"),
+        (8, "Scores were 1 2 3 4 5 6 in one game"), (9, "row " + " ".join(map(str, range(400, 900)))), (10, "7 and 12 and 15"),
+    ]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = rows(contamination(df, bench))
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)}
+    assert [got[k].verbatim for k in sorted(got)] == [True, False, True, False, True]
+    assert sorted(r.doc_id for r in decontaminated(df, bench).collect()) == [6, 7, 8, 9, 10]
+
+
+def test_few_counted_windows_are_not_the_item(spark):
+    item = "the sum of all the first few 11 12 13 14 15 16 17 18 19 20 21 22"
+    clean = "we add the sum of all the first few 90 91 of them"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(1, clean), (2, f"here {item}"), (3, f"{item.replace('19', '77')} end")], "doc_id long, text string")
+    assert set(rows(contamination(df, bench))) == {(2, 1), (3, 1)}

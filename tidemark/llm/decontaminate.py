@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Template tokens of a window, and least words among them that are no placeholder.
+#: Template tokens of a window. Windows with fewer words that are no placeholder count on stricter evidence.
 WINDOW = 8
 LITERALS = 4
+#: Words that an item with such windows needs to be found with other values, and tokens that it needs to be found at all.
+SLOT_WORDS, SLOT_TOKENS = 2, 3
 #: Share of an item's windows that a passage must have.
 COVERAGE = 0.5
 #: Bytes of benchmark text whose windows are broadcast at once; a larger benchmark is taken in blocks.
@@ -29,7 +31,6 @@ UNITS = frozenset(
 )
 
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+")
-WORD = re.compile(r"[^\W\d_]+")
 STOP = re.compile(r"[.!?\n]")
 
 
@@ -67,10 +68,12 @@ class Items:
     sizes: dict = field(default_factory=dict)  # item -> windows
     anchors: dict = field(default_factory=lambda: defaultdict(Counter))  # word -> items -> windows it stands for
     widths: set = field(default_factory=set)
+    slotted: set = field(default_factory=set)  # windows of few words
+    whole: set = field(default_factory=set)  # items with such windows, and words enough to be found with other values
 
 
 def index(items: list[tuple[object, str]]) -> Items:
-    """Items of fewer than ``WINDOW`` tokens are one window; windows with too few words don't count.
+    """Items of fewer than ``WINDOW`` tokens are one window; ``slotted`` ones have few words or none.
 
     An item with names is also held in lower case, for texts that have lost their capitals. Keys of items are (item, form).
     """
@@ -82,16 +85,25 @@ def index(items: list[tuple[object, str]]) -> Items:
             shaped.append(((item, form), shape))
             out.values[item, form] = values
     often = Counter(w for _, shape in shaped for w in set(shape))
+    rarity = lambda w: (often[w], -len(w), w)
     for item, shape in shaped:
         n = min(WINDOW, len(shape))
+        literals = [w for w in shape if w[0] != "<"]
+        enough = len(literals) >= SLOT_WORDS
         for at in range(len(shape) - n + 1 if n else 0):
             window = tuple(shape[at : at + n])
             words = [w for w in window if w[0] != "<"]
             if len(words) < min(LITERALS, max(1, n // 2)):
-                continue
+                if n < SLOT_TOKENS:
+                    continue
+                out.slotted.add(window)
+                if enough:
+                    out.whole.add(item)
             out.windows[window].append((item, at))
             out.sizes[item] = out.sizes.get(item, 0) + 1
-            out.anchors[min(words, key=lambda w: (often[w], -len(w), w))][item] += 1
+            # no words: the window comes with its values, or with the whole item and so with the item's words
+            for word in {min(words, key=rarity)} if words else {max(out.values[item][at : at + n], key=len), *([min(literals, key=rarity)] if enough else [])}:
+                out.anchors[word][item] += 1
             out.widths.add(n)
     return out
 
@@ -106,17 +118,29 @@ def consistent(pairs: list[tuple[str, str]]) -> bool:
 def search(text: str, items: Items, coverage: float) -> list[tuple]:
     """(item, windows found, windows, slots, same values, first token, last token) of each passage's best match."""
     chance: Counter = Counter()
-    for word in items.anchors.keys() & set(WORD.findall(text.lower())):
+    for word in items.anchors.keys() & set(TOKEN.findall(text.lower())):
         chance.update(items.anchors[word])
-    if not any(n >= coverage * items.sizes[item] for item, n in chance.items()):
+    able = {item for item, n in chance.items() if n >= coverage * items.sizes[item]}
+    if not able:
         return []
     shape, values = template(text)
     hits: dict = defaultdict(list)
+    whole: dict = defaultdict(list)  # (item, distance) -> windows
     for n in items.widths:
         for at in range(len(shape) - n + 1):
-            for item, place in items.windows.get(tuple(shape[at : at + n]), ()):
-                hits[item].append((at, place, n))
+            window = tuple(shape[at : at + n])
+            for item, place in items.windows.get(window, ()):
+                if item not in able:
+                    continue
+                if window not in items.slotted or values[at : at + n] == items.values[item][place : place + n]:
+                    hits[item].append((at, place, n))
+                if item in items.whole:
+                    whole[item, at - place].append((at, place, n))
     found = []
+    for (item, _), run in whole.items():  # all windows in a row: slots may have other values everywhere
+        match = _match(item, run, items, values) if len(run) == items.sizes[item] else None
+        if match:
+            found.append((item[0], *match[1:]))
     for item, places in hits.items():
         if len(places) < coverage * items.sizes[item]:
             continue
@@ -132,7 +156,7 @@ def search(text: str, items: Items, coverage: float) -> list[tuple]:
         if best and best[1] >= coverage * items.sizes[item]:
             found.append((item[0], *best[1:]))
     names = dict.fromkeys(m[0] for m in found)
-    return [max((m for m in found if m[0] == name), key=lambda m: m[1] / m[2]) for name in names] if len(names) < len(found) else found
+    return [max((m for m in found if m[0] == name), key=lambda m: (m[1] / m[2], m[4], -m[5])) for name in names] if len(names) < len(found) else found
 
 
 def chain(hits: list[tuple]) -> list[tuple]:
@@ -167,7 +191,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
     Returns id, item, n_matched, n_windows, coverage, n_changed (slot tokens with another value),
     verbatim, start_token, end_token. An item is held if one passage has ``coverage`` of its template
-    windows and its slot values map one to one. The windows' hash table is broadcast in blocks of
+    windows and its slot values map one to one; windows of few words count where they have the
+    item's own values, or as part of the whole item. The windows' hash table is broadcast in blocks of
     ``block_bytes`` of benchmark text, so a benchmark of any size is searched whole and a text never
     leaves its task. Null or wordless texts and items match nothing; repeated rows each give rows; an
     empty benchmark gives none; other columns are not read.
