@@ -53,3 +53,22 @@ def test_own_row_takes_no_place_of_its_page():
 
 def test_empty_table(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_one_query_id_at_two_lengths_and_many_cells(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(n)]) for n in (4, 7) for i in range(120)] + [(50, [1.0] * 4)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = plain(rows)
+    assert sum(r[0] == 50 for r in want) == 25  # two lengths, and three more rows of one
+    assert sorted(tuple(r) for r in top_k(df).collect()) == want
+    assert sorted(tuple(r) for r in top_k(df, tree=16, block=2, work=500).collect()) == want
+
+
+def test_stored_tree_finds_the_same():
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.normal(0, 300, (3000, 8))).astype(np.int64)
+    tree = MTree(np.arange(3000), x)
+    again = MTree.unpack(tree.pack())
+    for q in x[::300].astype(np.float64):
+        assert sorted(tree.search(-1, q, [], 5)) == sorted(again.search(-1, q, [], 5))

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import heapq
+import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stage
+
 K, SCALE, EVERY = 5, 256, 50
 #: Vectors of a leaf page and of one tree; children of an inner node.
 PAGE, TREE, FANOUT = 128, 16_384, 16
-#: Queries broadcast at once (int32 vectors); more are searched in further passes.
-QUERIES = 20_000
+#: Queries of a row (2,048 at most: their number takes 11 bits), and inner products that a cell of trees and queries would need without any bound.
+QUERIES, WORK = 2_048, 20_000_000_000
 
 
 class MTree:
@@ -25,13 +30,27 @@ class MTree:
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self._place(ids, vectors)
+        #: node -> (its pivots, their covering radii, their distances to the node's own pivot, children) or a page
+        self.nodes: list = []
+        self._build(np.arange(len(ids)), self.points.mean(0))
+
+    def _place(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         norm = (vectors.astype(np.float64) ** 2).sum(1)
         self.top = float(norm.max())
         self.points = np.hstack([vectors, np.sqrt(np.maximum(self.top - norm, 0))[:, None]])
         self.exact, self.ids = vectors.astype(np.float64), ids
-        #: node -> (its pivots, their covering radii, their distances to the node's own pivot, children) or a page
-        self.nodes: list = []
-        self._build(np.arange(len(ids)), self.points.mean(0))
+
+    def pack(self) -> bytes:
+        """The tree as it is stored: ids, whole-number vectors and nodes; the rest follows from them."""
+        return pickle.dumps((self.ids, self.exact.astype(np.int64), self.nodes), pickle.HIGHEST_PROTOCOL)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> MTree:
+        tree = cls.__new__(cls)
+        ids, vectors, tree.nodes = pickle.loads(data)
+        tree._place(ids, vectors)
+        return tree
 
     def _build(self, rows: np.ndarray, pivot: np.ndarray) -> int:
         number = len(self.nodes)
@@ -107,65 +126,101 @@ class MTree:
         return best
 
 
-def top_k(table: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", block: int = QUERIES) -> DataFrame:
+def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(partition, number, size, ids, vectors) for each ``most`` rows (id, vector) of a task that are of one size."""
+    held: dict[int, list] = {}
+    part, number = TaskContext.get().partitionId(), 0
+
+    def whole(size: int) -> tuple:
+        ids, vectors = (np.concatenate(x) for x in zip(*held.pop(size), strict=True))
+        return part, number, size, ids, vectors
+
+    for batch in batches:
+        sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        ids, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        for size in set(sizes.tolist()):
+            at = np.flatnonzero(sizes == size)
+            while len(at):
+                sub, at = np.split(at, [most - sum(len(a) for a, _ in held.get(size, ()))])
+                held.setdefault(size, []).append((ids[sub], flat[starts[sub][:, None] + np.arange(size)].reshape(len(sub), size)))
+                if sum(len(a) for a, _ in held[size]) == most:
+                    yield whole(size)
+                    number += 1
+    for size in list(held):
+        yield whole(size)
+        number += 1
+
+
+def top_k(table: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", tree: int = TREE, block: int = QUERIES, work: int = WORK) -> DataFrame:
     """For each query (id divisible by ``every``) its ``k`` best rows: query_id, rank, vec_id, score.
 
     Components x become floor(256 * x); the score is the integer inner product; ties go to the
     smaller id; the query's own row is no candidate, and a query with fewer candidates gets all. Rows
     with a null id or vector, or with null or non-finite components, take no part; repeated rows are
-    candidates each; vectors of another length than the query's have no score with it; an empty table
-    gives no rows. Every partition builds trees of its rows and searches them best first; queries are
-    broadcast in blocks of ``block`` vectors, and k candidates a query and partition are shuffled.
+    candidates each, and repeated queries each give rows; vectors of another length than the query's
+    have no score with it; an empty table gives no rows.
+
+    Every ``tree`` rows of a task become one M-tree, written once; queries are written in rows of
+    ``block``. Groups of trees meet groups of queries in cells, as many as keep a cell at ``work``
+    products, cut so that the least is sent twice; a cell searches one tree after the other best
+    first and gives out k candidates a query. Neither side comes to the driver or is broadcast.
     """
-    spark = table.sparkSession
     x = F.col(vec_col)
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = table.where(F.col(id_col).isNotNull() & x.isNotNull()).where(fine)
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * SCALE).cast("long")).alias("v"))
-    asked = rows.where(F.col("id") % every == 0)
-    blocks = max(1, -(-asked.count() // block))
-
-    def found(b: int) -> DataFrame:
-        got = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        by_size: dict[int, tuple] = {}
-        for size in {len(r.v) for r in got}:
-            mine = [r for r in got if len(r.v) == size]
-            by_size[size] = (np.array([r.id for r in mine], np.int64), np.array([r.v for r in mine], np.int64).reshape(len(mine), size))
-        shared = spark.sparkContext.broadcast(by_size)
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict = {}
-            held: dict[int, list] = {}
-
-            def flush(size: int) -> None:
-                ids = np.concatenate([a for a, _ in held[size]])
-                tree = MTree(ids, np.concatenate([v for _, v in held[size]]))
-                held[size] = []
-                for n, (own, query) in enumerate(zip(*shared.value[size], strict=True)):
-                    best[size, n] = tree.search(int(own), query.astype(np.float64), best.get((size, n), []), k)
-
-            for part in batches:
-                sizes = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
-                ids, flat = part.column(0).to_numpy(), part.column(1).flatten().to_numpy()
-                starts = np.cumsum(sizes) - sizes
-                for size in set(sizes.tolist()) & set(shared.value):
-                    at = np.flatnonzero(sizes == size)
-                    for cut in range(0, len(at), TREE):
-                        sub = at[cut : cut + TREE]
-                        held.setdefault(size, []).append((ids[sub], flat[starts[sub][:, None] + np.arange(size)].reshape(len(sub), size)))
-                        if sum(len(a) for a, _ in held[size]) >= TREE:
-                            flush(size)
-            for size in [s for s, h in held.items() if h]:
-                flush(size)
-            out = [(int(shared.value[s][0][n]), n, -i, score) for (s, n), b in best.items() for score, i in b]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "copy", "vec_id", "score"])
-
-        return rows.mapInArrow(search, "query_id long, copy long, vec_id long, score long")
 
-    out = found(0)
-    for b in range(1, blocks):
-        out = out.unionAll(found(b))
-    order = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, number, size, ids, vectors in _cut(batches, tree):
+            cols = [pa.array([value], kind) for value, kind in ((part, pa.int64()), (number, pa.int64()), (size, pa.int64()), (len(ids), pa.int64()), (MTree(ids, vectors).pack(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, number, size, ids, vectors in _cut(batches, block):
+            cols = [pa.array([value], kind) for value, kind in ((part, pa.int64()), (number, pa.int64()), (size, pa.int64()), (len(ids), pa.int64()), (pickle.dumps((ids, vectors)), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    names = ["part", "number", "size", "n", "data"]
+    schema = "part long, number long, size long, n long, data binary"
+    index, queries = stage(rows.mapInArrow(trees, schema)), stage(rows.where(F.col("id") % every == 0).mapInArrow(asked, schema))
+    own, all_rows, n_trees = (int(v or 0) for v in (queries.agg(F.sum("n")).first()[0], *index.agg(F.sum("n"), F.count("*")).first()))
+    cells = max(2 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own * all_rows // work))
+    groups = max(1, min(n_trees, math.ceil(math.sqrt(cells * all_rows / max(1, own)))))
+    blocks = max(1, -(-cells // groups))
+
+    def dealt(df: DataFrame, kind: int, mine: str, n: int, other: str, m: int) -> DataFrame:
+        rows = df.withColumns({mine: F.pmod(F.xxhash64("part", "number"), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+        return rows.select("size", "g", "q", F.lit(kind).alias("kind"), "part", "number", "data")
+
+    cell = ["size", "g", "q"]
+    both = dealt(queries, 0, "q", blocks, "g", groups).unionAll(dealt(index, 1, "g", groups, "q", blocks))
+    both = both.repartition(groups * blocks, *cell).sortWithinPartitions(*cell, "kind")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, asking, best = None, [], []
+
+        def found() -> pa.RecordBatch:
+            out = [(uid, own, -i, score) for (uid, own, _), b in zip(asking, best, strict=True) for score, i in b]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["uid", "query_id", "vec_id", "score"])
+
+        for batch in batches:
+            for size, g, q, kind, part, number, data in zip(*(batch.column(j) for j in range(7)), strict=True):
+                if (at := (size.as_py(), g.as_py(), q.as_py())) != here:
+                    yield found()
+                    here, asking, best = at, [], []
+                if kind.as_py() == 0:
+                    ids, vectors = pickle.loads(data.as_py())
+                    first = (part.as_py() << 20 | number.as_py()) << 11
+                    asking += [(first + n, own, v) for n, (own, v) in enumerate(zip(ids.tolist(), vectors.astype(np.float64), strict=True))]
+                    best += [[] for _ in ids]
+                elif asking:
+                    one = MTree.unpack(data.as_py())
+                    best = [one.search(own, v, b, k) for (_, own, v), b in zip(asking, best, strict=True)]
+        yield found()
+
+    out = both.mapInArrow(search, "uid long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
