@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +17,22 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),  # runs of 24 or more are all that [0-9a-f]+ keeps
 }
-#: Weak candidates: alone they are no finding.
+#: Weak candidates: alone they are no finding. Every run of characters is bounded or starts at a word's edge, so that no text takes long.
 WEAK = {
     "ident": (r"(?i)\b(user|username|login|account|client_?id|key_?id|e-?mail)" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=@-]+)""", 2, 2),
+    "email": (r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", 0, 6),
     "key": (rf"(?i)\b(pwd|pass|passphrase|private_?key|auth|bearer|credentials?){VALUE}", 2, 4),
+    "run": (
+        r"(?<![0-9A-Za-z+/])(?:(?=[0-9]{0,22}[a-f])(?=[a-f]{0,22}[0-9])[0-9a-f]{12,23}|(?=[A-Za-z+/]{0,63}[0-9])(?=[A-Z0-9+/]{0,63}[a-z])(?=[a-z0-9+/]{0,63}[A-Z])[A-Za-z0-9+/]{16,64}={0,2})(?![0-9A-Za-z+/])",
+        0,
+        12,
+    ),
     "endpoint": (r"""(?i)\b(https?|jdbc:[a-z]+|postgres|mysql|redis|mongodb|s3|ftp)://[^\s"'<>]+""", 0, 8),
+    "address": (r"(?<![\w.@/-])(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|(?:[a-z0-9-]{1,63}\.){1,8}(?:com|org|net|io|dev|cloud|internal|local))(?![\w-]|\.\w)", 0, 4),
 }
-#: What a kind needs nearby: secrets need an identifier or endpoint, those need a secret.
-NEEDS = {"ident": ("assign", "hex", "key"), "key": ("ident", "access", "endpoint"), "endpoint": ("assign", "access", "hex", "key")}
+#: The role of each kind, and the roles that complete it: a secret needs an identifier or endpoint, those need a secret.
+ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "run": "secret", "access": "name", "ident": "name", "email": "name", "endpoint": "place", "address": "place"}
+COMPLETES = {"secret": ("name", "place"), "name": ("secret",), "place": ("secret",)}
 #: Code points between the starts of two parts of one scope, at most.
 SCOPE = 200
 
@@ -52,14 +63,16 @@ def _joined(col: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """Per row: id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
+    """Per row: id, n_assign, n_access, n_hex, base_sha256, spans, n_linked, links.
 
-    Strong (base) spans are always reported. Weak parts (identifiers, short keys, endpoints) are
-    reported only where a complementary part starts within ``scope`` code points: an interval join,
-    planned as range windows over each row's parts, so no pairs are made. Weak parts that overlap a
-    base span go. Spans are whole matches in code points, end exclusive. Null texts are empty; rows
-    with no finding have empty strings for spans; repeated rows and null ids each give a row; other
-    columns are not read.
+    Strong (base) spans are always reported. Weak parts (identifiers, mail addresses, short keys and
+    runs, endpoints, addresses) are reported only where a complementary part starts within ``scope``
+    code points. An interval join finds these: parts lie in cells of ``scope`` code points of their
+    row and meet those of the same and the neighbouring cells; as the matches of a kind don't overlap, a
+    part has few others in reach, however long the text is. ``links`` names them, the weak part first
+    (kind:start>kind:start, by place). Weak parts that overlap a base span go. Spans are whole matches
+    in code points, end exclusive. Null texts are empty; rows with no finding have empty strings for
+    spans and links; repeated rows and null ids each give a row; other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
@@ -69,28 +82,34 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stage(rows.select(F.monotonically_increasing_id().alias("rid"), "id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], base.alias("base"), weak.alias("weak")))
     plain, rest = rows.where(F.size("weak") == 0), rows.where(F.size("weak") > 0)
     parts = rest.select("rid", F.explode(F.concat("base", "weak")).alias("s")).select("rid", "s.*")
-    near = Window.partitionBy("rid").orderBy("start").rangeBetween(-scope, scope)
     before = Window.partitionBy("rid").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = Window.partitionBy("rid").orderBy("start", "ord").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     strong = F.col("ord") < len(BASE)
     parts = parts.select(
         "*",
-        *[F.max((F.col("kind") == k).cast("int")).over(near).alias(f"has_{k}") for k in [*BASE, *WEAK]],
         F.max(F.when(strong, F.col("end"))).over(before).alias("base_end"),
         F.min(F.when(strong, F.col("start"))).over(after).alias("base_start"),
     )
     apart = (F.coalesce("base_end", F.lit(0)) <= F.col("start")) & (F.coalesce("base_start", F.lit(1 << 30)) >= F.col("end"))
-    complete = F.lit(False)
-    for kind, needs in NEEDS.items():
-        complete = complete | ((F.col("kind") == kind) & (F.greatest(*[F.col(f"has_{k}") for k in needs]) == 1))
-    linked = parts.where(~strong & apart & complete).groupBy("rid").agg(F.collect_list(F.struct("start", "ord", "kind", "end")).alias("linked"))
-    none = F.array().cast(f"array<{SPAN}>")
-    rest = rest.join(linked, "rid", "left").withColumn("linked", F.coalesce("linked", none))
-    both = plain.withColumn("linked", none).unionByName(rest)
+    role = reduce(lambda c, k: F.when(F.col("kind") == k, ROLE[k]).otherwise(c), ROLE, F.lit(None).cast("string"))
+    parts = stage(parts.select("rid", "start", "ord", "kind", "end", role.alias("role"), strong.alias("strong"), apart.alias("apart")).where("strong or apart"))
+    cell = F.floor(F.col("start") / scope)
+    one = parts.where("not strong").select("rid", F.explode(F.sequence(cell - 1, cell + 1)).alias("cell"), *[F.col(c).alias(f"w_{c}") for c in ("start", "ord", "kind", "end", "role")])
+    other = parts.select("rid", cell.alias("cell"), *[F.col(c).alias(f"p_{c}") for c in ("start", "ord", "kind", "role")])
+    fits = reduce(or_, ((F.col("w_role") == r) & F.col("p_role").isin(*needs) for r, needs in COMPLETES.items()))
+    pairs = one.join(other, ["rid", "cell"]).where(fits & (F.abs(F.col("w_start") - F.col("p_start")) <= scope))
+    weak_span = F.struct(*[F.col(f"w_{c}").alias(c) for c in ("start", "ord", "kind", "end")])
+    link = F.struct("w_start", "w_ord", "w_kind", "p_start", "p_ord", "p_kind")
+    linked = pairs.groupBy("rid").agg(F.collect_set(weak_span).alias("linked"), F.collect_list(link).alias("links"))
+    none, no_links = F.array().cast(f"array<{SPAN}>"), F.array().cast("array<struct<w_start:int,w_ord:int,w_kind:string,p_start:int,p_ord:int,p_kind:string>>")
+    rest = rest.join(linked, "rid", "left").withColumns({"linked": F.coalesce("linked", none), "links": F.coalesce("links", no_links)})
+    both = plain.withColumns({"linked": none, "links": no_links}).unionByName(rest)
+    named = F.transform(F.array_sort("links"), lambda x: F.concat(x["w_kind"], F.lit(":"), x["w_start"].cast("string"), F.lit(">"), x["p_kind"], F.lit(":"), x["p_start"].cast("string")))
     return both.select(
         F.col("id").alias(id_col),
         *[f"n_{k}" for k in BASE],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.concat("base", "linked")).alias("spans"),
         F.size("linked").cast("long").alias("n_linked"),
+        F.array_join(named, ",").alias("links"),
     )
