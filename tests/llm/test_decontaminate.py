@@ -16,10 +16,18 @@ def test_template_slots():
     assert template("") == ([], [])
 
 
-def test_slots_must_map_one_to_one():
+def test_numbers_in_words_and_german_nouns():
+    assert template("He bought twelve kg of it and one more")[0] == ["he", "bought", "<num>", "<unit>", "of", "it", "and", "one", "more"]
+    german = "Wie viele Liter passen in das Becken und die Wanne, wenn Anna 12 l nimmt?"
+    assert "<name>" not in template(german)[0] and "becken" in template(german)[0]
+    assert "<name>" in template(german, nouns=False)[0]
+    assert template("Then Anna ran. Das ist ein Haus und der Baum")[0][1] == "<name>"  # each sentence for itself
+
+
+def test_an_item_slot_has_one_value():
     assert consistent([("3", "4"), ("5", "6"), ("3", "4")])
     assert not consistent([("3", "4"), ("3", "5")])
-    assert not consistent([("3", "4"), ("5", "4")])
+    assert consistent([("3", "4"), ("5", "4")])  # two of the text's values are equal by chance
 
 
 def test_verbatim_cased_and_reparameterised_items_are_found(spark):
@@ -34,14 +42,14 @@ def test_verbatim_cased_and_reparameterised_items_are_found(spark):
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, coverage int, item string")
     bench = spark.createDataFrame([(100, ITEM, "x"), (101, None, "x"), (102, "", "x"), (103, "other words entirely without any overlap with what the texts say here", "x")], "item_id long, text string, id string")
     got = rows(contamination(df, bench))
-    assert set(got) == {(k, 100) for k in (1, 2, 3, 4, 10, 11)}
+    assert set(got) == {(k, 100) for k in (1, 2, 3, 4, 8, 10, 11)}
     assert [got[k, 100].verbatim for k in (1, 2, 3, 4, 10, 11)] == [True, True, True, False, False, True]
     assert got[1, 100].n_matched == got[1, 100].n_windows == len(template(ITEM)[0]) - WINDOW + 1
     assert got[4, 100].n_changed == 5
-    assert sorted(r.doc_id for r in decontaminated(df, bench).collect()) == [5, 6, 7, 8, 9]
+    assert sorted(r.doc_id for r in decontaminated(df, bench).collect()) == [5, 6, 7, 9]
     # a benchmark taken in blocks gives the same
     assert set(rows(contamination(df, bench, block_bytes=20))) == set(got)
-    assert sorted(r.doc_id for r in decontaminated(df, bench, block_bytes=20).collect()) == [5, 6, 7, 8, 9]
+    assert sorted(r.doc_id for r in decontaminated(df, bench, block_bytes=20).collect()) == [5, 6, 7, 9]
 
 
 def test_neighbouring_and_edited_forms(spark):
@@ -89,9 +97,44 @@ def test_items_of_many_slots(spark):
     ]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = rows(contamination(df, bench))
-    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)}
-    assert [got[k].verbatim for k in sorted(got)] == [True, False, True, False, True]
-    assert sorted(r.doc_id for r in decontaminated(df, bench).collect()) == [6, 7, 8, 9, 10]
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (7, 1)}
+    assert [got[k].verbatim for k in sorted(got)] == [True, False, True, False, True, False]
+    assert sorted(r.doc_id for r in decontaminated(df, bench).collect()) == [6, 8, 9, 10]
+
+
+def test_equal_and_contradictory_values(spark):
+    item = "The shop sold 12 red boxes on the first day and 7 blue boxes on the last, then 12 red boxes went back"
+    equal, other = (item.replace("12", a).replace(" 7 ", f" {b} ") for a, b in (("9", "9"), ("nine", "four")))
+    against = item.replace("12", "9", 1)  # the same slot has two values
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"Well. {equal}."), (2, f"Well. {other}."), (3, f"Well. {against.replace('12', '8')}.")], "doc_id long, text string")
+    assert set(rows(contamination(df, bench))) == {(1, 1), (2, 1)}
+
+
+def test_windows_against_a_plain_count(spark):
+    """Items of words alone: as many windows at one distance must be found, fewer in the whole text must not be."""
+    rng = random.Random(9)
+    vocab = [f"w{chr(97 + k)}{chr(97 + k % 7)}" for k in range(12)]
+    items = [(i, rng.choices(vocab, k=rng.randint(10, 20))) for i in range(12)]
+    docs = []
+    for d in range(150):
+        words = rng.choices(vocab, k=rng.randint(0, 30))
+        own = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(len(own))] = rng.choice(vocab)
+        at = rng.randint(0, len(words))
+        docs.append((d, words[:at] + own + words[at:]))
+    got = set(rows(contamination(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id int, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id int, text string"))))
+    for d, text in docs:
+        for i, item in items:
+            n = len(item) - WINDOW + 1
+            at = [(a, b) for a in range(len(text) - WINDOW + 1) for b in range(n) if text[a : a + WINDOW] == item[b : b + WINDOW]]
+            at_one = max((len({b for a, b in at if a - b == far}) for far in {a - b for a, b in at}), default=0)
+            if at_one >= 0.5 * n:
+                assert (d, i) in got
+            if len({b for _, b in at}) < 0.5 * n:
+                assert (d, i) not in got
+    assert len(got) > 50
 
 
 def test_few_counted_windows_are_not_the_item(spark):

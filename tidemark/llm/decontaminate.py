@@ -25,27 +25,47 @@ BLOCK_BYTES = 16_000_000
 
 #: Units of measure recognised behind a number.
 UNITS = frozenset(
-    "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec second seconds min minute minutes h hour hours day days week weeks "
-    "month months year years hz khz mhz ghz b kb mb gb tb k c f v w kw a pa bar j kj cal kcal usd eur gbp dollar dollars "
+    "mm cm m km ft yd mi mg g kg lb oz ml l sec second seconds min minute minutes h hour hours day days week weeks "
+    "month months year years hz khz mhz ghz b kb mb gb tb v w kw pa bar kj cal kcal usd eur gbp dollar dollars "
     "euro euros cent cents percent meter meters metre metres kilometer kilometers gram grams kilogram kilograms liter liters mile miles".split()
 )
 
+#: Numbers in words ("one" is as often a pronoun, and stays a word).
+NUMBERS = frozenset(
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+)
+#: Words that are frequent in German and in no other language with Latin letters. A sentence with two of them writes
+#: its nouns with capitals, which then are words and not names.
+GERMAN = frozenset("und der das nicht ist ein eine einer eines einem einen dem mit auf von zu sich auch wird werden sind wurde nach bei aus wie wenn oder".split())
+
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+")
 STOP = re.compile(r"[.!?\n]")
 
 
-def template(text: str) -> tuple[list[str], list[str]]:
+def template(text: str, nouns: bool = True) -> tuple[list[str], list[str]]:
     """Canonical tokens and the values that they stand for.
 
-    Numbers become ``<num>``, units behind a number ``<unit>``, capitalised words inside a sentence
-    ``<name>``; other words, and those all in upper case, are lower-cased.
+    Numbers, in digits or words, become ``<num>``, units behind a number ``<unit>``, capitalised words
+    inside a sentence ``<name>``; other words, and those all in upper case, are lower-cased. With
+    ``nouns``, capitalised words of German sentences are words, too.
     """
     shape, values, end, after_number = [], [], 0, False
+    begin, german = 0, 0
+
+    def close() -> None:
+        if nouns and german > 1:
+            shape[begin:] = [v if k == "<name>" else k for k, v in zip(shape[begin:], values[begin:], strict=True)]
+
     for m in TOKEN.finditer(text):
         t = m[0]
         low = t.lower()
         first = not shape or STOP.search(text, end, m.start()) is not None
-        if t[0].isdigit():
+        if first:
+            close()
+            begin, german = len(shape), 0
+        german += low in GERMAN
+        if t[0].isdigit() or low in NUMBERS:
             kind = "<num>"
         elif after_number and low in UNITS:
             kind = "<unit>"
@@ -55,7 +75,8 @@ def template(text: str) -> tuple[list[str], list[str]]:
             kind = low
         shape.append(kind)
         values.append(low)
-        after_number, end = t[0].isdigit(), m.end()
+        after_number, end = kind == "<num>", m.end()
+    close()
     return shape, values
 
 
@@ -79,7 +100,7 @@ def index(items: list[tuple[object, str]]) -> Items:
     """
     out, shaped = Items(), []
     for item, text in items:
-        shape, values = template(text)
+        shape, values = template(text, False)
         forms = [shape, *([template(text.lower())[0]] if "<name>" in shape else [])]
         for form, shape in enumerate(forms):
             shaped.append(((item, form), shape))
@@ -109,10 +130,9 @@ def index(items: list[tuple[object, str]]) -> Items:
 
 
 def consistent(pairs: list[tuple[str, str]]) -> bool:
-    """Each slot value of the item stands for one value in the text, and the other way round."""
+    """Each slot value of the item stands for one value in the text. Two of its values may have become equal: that is chance, no contradiction."""
     there: dict[str, str] = {}
-    back: dict[str, str] = {}
-    return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in pairs)
+    return all(there.setdefault(a, b) == b for a, b in pairs)
 
 
 def search(text: str, items: Items, coverage: float) -> list[tuple]:
@@ -191,7 +211,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
     Returns id, item, n_matched, n_windows, coverage, n_changed (slot tokens with another value),
     verbatim, start_token, end_token. An item is held if one passage has ``coverage`` of its template
-    windows and its slot values map one to one; windows of few words count where they have the
+    windows and each of its slot values stands for one value there; windows of few words count where they have the
     item's own values, or as part of the whole item. The windows' hash table is broadcast in blocks of
     ``block_bytes`` of benchmark text, so a benchmark of any size is searched whole and a text never
     leaves its task. Null or wordless texts and items match nothing; repeated rows each give rows; an
