@@ -58,3 +58,14 @@ def test_shards_are_even_whole_and_numbered(spark):
 
 def test_empty_table(spark):
     assert shard_by_bytes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_huge_group_of_repeated_rows_is_numbered_in_cells(spark, monkeypatch):
+    from tidemark.llm import sharding
+
+    monkeypatch.setattr(sharding, "CELL_ROWS", 50)
+    docs = spark.createDataFrame([(7, "same text")] * 1200 + [(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    out = sharding.shard_by_bytes(docs, 5).collect()
+    for k in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == k) == list(range(sum(r.shard == k for r in out)))
+    assert len(out) == 1500 and len({r.shard for r in out if r.doc_id == 7 and r.size == 25}) == 1

@@ -12,8 +12,8 @@ from tidemark.llm.common import stage
 
 #: Hex digits of the text's digest that name a unit: 65,536 units at most come to the driver.
 UNIT_DIGITS = 4
-#: Cells that a unit's rows are dealt to for numbering, so that no unit is numbered by one task.
-CELLS = 16
+#: Rows that are numbered together: a unit's rows are dealt to as many cells as that takes, so that no task numbers a large one.
+CELL_ROWS = 20_000
 
 
 def fits(prefix: list[int], n_shards: int, capacity: int) -> bool:
@@ -71,10 +71,13 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, extra: int = 16, id_col:
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t")).select(
         "id", (F.octet_length("t").cast("long") + extra).alias("size"), F.crc32(F.encode("t", "UTF-8")).alias("crc"), F.md5(F.encode("t", "UTF-8")).alias("digest")
     )
-    rows = stage(rows.withColumn("unit", F.conv(F.substring("digest", 1, UNIT_DIGITS), 16, 10).cast("int")))
-    units = sorted((r.unit, r.bytes) for r in rows.groupBy("unit").agg(F.sum("size").alias("bytes")).collect())
+    # the row's number tells repeated rows apart
+    rows = stage(rows.withColumns({"unit": F.conv(F.substring("digest", 1, UNIT_DIGITS), 16, 10).cast("int"), "row": F.monotonically_increasing_id()}))
+    sums = stage(rows.groupBy("unit").agg(F.sum("size").alias("bytes"), F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("n_cells")))
+    units = sorted((r.unit, r.bytes) for r in sums.select("unit", "bytes").collect())
     _, ends = minimax_cuts([b for _, b in units], n_shards)
     names = [u for u, _ in units]
+    rows = rows.join(F.broadcast(sums.select("unit", "n_cells")), "unit")  # 65,536 rows at most
     bounds = [names[e] if e < len(names) else 1 << 30 for e in ends[:-1]]
     return _numbered(rows, bounds).select(
         F.col("id").alias(id_col),
@@ -92,9 +95,9 @@ def _numbered(rows: DataFrame, bounds: list[int]) -> DataFrame:
     shard: Column = F.lit(0)
     if bounds:
         shard = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("unit")))
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("id", "digest"), F.lit(CELLS)).cast("int"))
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("row"), F.col("n_cells")).cast("int"))
     cells = rows.groupBy("unit", "cell").agg(F.count("*").alias("n")).withColumn("shard", shard.cast("int"))
     before = Window.partitionBy("shard").orderBy("unit", "cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    inside = Window.partitionBy("unit", "cell").orderBy("digest", "id")
+    inside = Window.partitionBy("unit", "cell").orderBy("digest", "id", "row")
     return rows.withColumn("k", F.row_number().over(inside) - 1).join(cells, ["unit", "cell"]).withColumn("slot", (F.col("offset") + F.col("k")).cast("long"))
