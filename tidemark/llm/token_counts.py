@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
-#: Texts longer than this many characters are cut, each batch holds about so many characters.
+#: Texts longer than this many characters are cut, each batch holds about so many bytes.
 CHUNK_CHARS = 16_384
-BATCH_CHARS = 262_144
+BATCH_BYTES = 262_144
 #: One plain space between two characters that are neither spaces nor the library's own space mark.
 #: No piece of the vocabulary holds a space mark behind another character, so no merge crosses it.
 SAFE = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
@@ -62,8 +62,8 @@ def split_safely(text: str, chunk: int = CHUNK_CHARS) -> list[str]:
     return parts
 
 
-def lengths(texts: list[str], path: str, chunk: int = CHUNK_CHARS, batch: int = BATCH_CHARS) -> list[int]:
-    """Token counts of ``texts``, encoded in batches of about ``batch`` characters."""
+def lengths(texts: list[str], path: str, chunk: int = CHUNK_CHARS, batch: int = BATCH_BYTES, sizes: list[int] | None = None) -> list[int]:
+    """Token counts of ``texts``, encoded in batches of about ``batch`` bytes; ``sizes``: the texts' bytes, else their characters count."""
     sp, counts = _processor(path), [0] * len(texts)
     owners: list[int] = []
     parts: list[str] = []
@@ -79,7 +79,7 @@ def lengths(texts: list[str], path: str, chunk: int = CHUNK_CHARS, batch: int =
         for part in split_safely(text, chunk):
             owners.append(i)
             parts.append(part)
-            held += len(part)
+            held += len(part) * sizes[i] // max(1, len(text)) if sizes else len(part)
             if held >= batch:
                 flush()
                 held = 0
@@ -101,7 +101,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 4096, id_col:
         for rows in batches:
             texts = pc.fill_null(rows.column(1), "")
             n_bytes = pc.cast(pc.binary_length(texts), pa.int64())
-            n = lengths(texts.to_pylist(), path, chunk)
+            n = lengths(texts.to_pylist(), path, chunk, sizes=n_bytes.to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), n_bytes, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 ["id", "n_bytes", "n_tokens", "over_limit"],
