@@ -93,3 +93,11 @@ def test_empty_table_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "q" * 300), (None, "q" * 300), (1, None)], "doc_id long, text string")
     rows = sorted((r.doc_id or 0, r.n_removed) for r in duplicate_spans(docs).collect())
     assert rows == [(0, 300), (0, 300), (1, 0)]
+
+
+def test_no_table_stays_in_the_catalog(spark):
+    docs = spark.createDataFrame([(1, "ab" * 300), (2, "ab" * 300)], "doc_id long, text string")
+    before = {t.name for t in spark.catalog.listTables()}
+    out = duplicate_spans(docs)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert [r.n_removed for r in out.collect()] == [600, 600]

@@ -212,8 +212,8 @@ def merged_spans(runs: list[dict]) -> pa.RecordBatch:
     return _spans(k1[row], k2[row], place[row] - b + 1, place[row] - a + LENGTH)
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame]:
-    """Rows by the 128-bit key of their text, and the table of distinct texts, bucketed by that key so that no later join shuffles a text."""
+def _texts(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, str]:
+    """Rows by the 128-bit key of their text, and the table of distinct texts with its name, bucketed by that key so that no later join shuffles a text."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
@@ -221,7 +221,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFra
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     writer = texts.repartition(n, "k1", "k2").write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/{name}")
     writer.bucketBy(n, "k1", "k2").saveAsTable(name)
-    return rows.select("id", "k1", "k2"), spark.table(name)
+    return rows.select("id", "k1", "k2"), spark.table(name), name
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, part: int = PART) -> DataFrame:
@@ -237,7 +237,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows, texts = _texts(docs, id_col, text_col, n)
+    rows, texts, name = _texts(docs, id_col, text_col, n)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,7 +304,9 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     done = texts.select("k1", "k2", F.encode("text", "UTF-8").alias("text"), "copies").join(spans, ["k1", "k2"], "left")
     done = done.select("k1", "k2", "text", "copies", "spans").mapInArrow(cut, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
-    return rows.join(done, ["k1", "k2"]).select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    out = stage(rows.join(done, ["k1", "k2"]).select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"))
+    spark.sql(f"DROP TABLE {name}")  # the catalog keeps no trace; the files lie with the other stages
+    return out
 
 
 def removed(text: bytes, copies: int, spans: list[int] | None) -> tuple[int, int, int, str, list[int]]:
