@@ -5,7 +5,9 @@ import pytest
 import xxhash
 
 from tidemark.llm.components import components
-from tidemark.llm.simhash import GrayIndex, fingerprint, gray_rank, link_codes, near_codes, one_of_each, shingles, similarity, simhash_components
+from pyspark.sql import functions as F
+
+from tidemark.llm.simhash import GrayIndex, fingerprint, gray_rank, link_codes, one_of_each, shingles, similarity, simhash_components
 
 
 def plain(text):
@@ -114,30 +116,6 @@ def test_near_copies_of_eight_tenths_go_and_others_stay(spark):
     assert set(clean) <= kept
 
 
-def test_near_codes_give_each_code_a_neighbour(spark):
-    rng = np.random.default_rng(4)
-    base = np.uint64(rng.integers(0, 1 << 63))
-    codes = np.unique([base ^ (np.uint64(1) << np.uint64(a)) ^ (np.uint64(1) << np.uint64(b)) for a in range(12) for b in range(a)])
-    nodes = spark.createDataFrame([(1000 - i, int(c)) for i, c in enumerate(codes.view(np.int64))], "node long, fp long")
-    pairs = {(r.a, r.b) for r in near_codes(nodes, 4, 8).collect()}
-    code = {1000 - i: int(c) for i, c in enumerate(codes)}
-    assert all(a > b and bin(code[a] ^ code[b]).count("1") <= 4 for a, b in pairs)
-    assert {x for p in pairs for x in p} == set(code)
-
-
-def test_near_codes_of_a_crowded_bucket_meet(spark):
-    rng = np.random.default_rng(6)
-    codes = (rng.integers(0, 1 << 38, 150).astype(np.uint64) << np.uint64(26)) | np.uint64(12345)
-    near = codes.copy()
-    for low, high in ((26, 39), (39, 52), (52, 64)):  # two bits in each block but those of the bucket
-        for k in range(len(codes)):
-            for b in rng.choice(np.arange(low, high), 2, replace=False):
-                near[k] ^= np.uint64(1) << np.uint64(b)
-    rows = [(i, int(c)) for i, c in enumerate(np.concatenate([codes, near]).view(np.int64))]
-    pairs = {(r.a, r.b) for r in near_codes(spark.createDataFrame(rows, "node long, fp long"), 6, 8).collect()}
-    assert {(150 + i, i) for i in range(150)} <= pairs
-
-
 def groups_of(texts):
     """First numbers of the groups linked by 4 bits or by similarity of 0.8."""
     root = list(range(len(texts)))
@@ -224,3 +202,12 @@ def test_a_similar_text_of_a_member_that_is_not_first_goes(spark, monkeypatch):
     monkeypatch.setattr(simhash, "link_codes", lambda nodes, most: nodes.where(F.col("fp").isin(codes)).agg(F.max("node").alias("a"), F.min("node").alias("b")))
     docs = spark.createDataFrame([(0, first), (1, member), (2, copy), (3, member)], "doc_id long, text string")
     assert {r.doc_id for r in one_of_each(docs).collect()} == {0}
+
+
+def test_clashing_column_names_and_types_stay(spark):
+    rows = [(i, "some text of words number " + "abc"[i % 3], i, [i], None if i else 1.5) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int, _fp array<int>, `doc` double").withColumns({"_wp": F.lit(5), "_map": F.lit("m"), "root": F.lit(1), "node": F.lit(2), "id": F.lit("x"), "a b.c": F.lit(3)})
+    out = one_of_each(docs)
+    assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+    got = sorted(out.collect(), key=lambda r: r.doc_id)
+    assert [tuple(r) for r in got] == [tuple(r) for r in sorted(docs.collect(), key=lambda r: r.doc_id) if r.doc_id < 3]

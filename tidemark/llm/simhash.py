@@ -8,8 +8,10 @@ from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import stage
 from tidemark.llm.components import components
@@ -20,11 +22,8 @@ SEED = 42
 MOST_BITS = 4
 #: The 64 bits in six blocks (start, width). Codes at four or fewer differing bits agree on two of them.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
-#: Near copies of whole texts: similarity of the sets of WORDS-word shingles; NEAR_BITS is for ``near_codes``.
-WORDS, SIMILAR, NEAR_BITS = 5, 0.8, 8
-#: For these, blocks of which two are equal (26 bits, so that chance meetings stay rare), in several orders of the bits.
-WIDE_BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-STRIDES = (11, 23, 37)
+#: Near copies of whole texts: similarity of the sets of WORDS-word shingles.
+WORDS, SIMILAR = 5, 0.8
 #: Codes that one index cell takes from each side; buckets beyond it are dealt to several cells.
 CELL = 2048
 #: Upper levels of the index: bits of the Gray rank that a node's codes share.
@@ -193,37 +192,6 @@ def link_codes(nodes: DataFrame, most: int = MOST_BITS, cell: int = CELL) -> Dat
     return _in_cells(nodes, cell, solve)
 
 
-def near_codes(nodes: DataFrame, most: int = NEAR_BITS, cell: int = CELL) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` within ``most`` bits: in each cell a code's nearest and its smallest neighbour, not all."""
-
-    def solve(index: GrayIndex, codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(ids)
-        order = np.argsort(ids, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        least, near = np.full(n, n), np.full(n, 65 * n)
-        for i, j in index.links(most):
-            apart = np.bitwise_count(codes[i] ^ codes[j]).astype(np.int64)
-            for x, y in ((i, j), (j, i)):
-                other = ids[x] != ids[y]
-                np.minimum.at(least, x[other], rank[y[other]])
-                np.minimum.at(near, x[other], (apart * n + rank[y])[other])
-        at = np.flatnonzero(near < 65 * n)
-        a, b = np.append(at, at), order[np.append(least[at], near[at] % n)]
-        return np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            bits = np.unpackbits(rows.column(1).to_numpy().view(np.uint8), bitorder="little").reshape(-1, 64)
-            others = [np.packbits(bits[:, np.arange(64) * k % 64].ravel(), bitorder="little").view(np.int64) for k in STRIDES]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(pa.array, others)], names)
-
-    # the bits in other orders, too: beyond four bits one order's buckets miss pairs
-    names = ["node", "fp", *[f"order{k}" for k in STRIDES]]
-    nodes = nodes.select("node", "fp").mapInArrow(dealt, ", ".join(f"{n} long" for n in names))
-    return _in_cells(nodes, cell, solve, names[1:], WIDE_BLOCKS)
-
-
 def _in_cells(nodes: DataFrame, cell: int, solve, orders: list[str] | tuple[str, ...] = ("fp",), blocks: list[tuple[int, int]] = BLOCKS) -> DataFrame:
     """What ``solve`` finds in each index cell of ``nodes`` (node, fp, and the code's bits in further ``orders``).
 
@@ -293,14 +261,15 @@ def one_of_each(docs: DataFrame, most: int = MOST_BITS, similar: float = SIMILAR
     Groups are the components over both kinds of links: fingerprints ``most`` bits apart, as in
     ``simhash_components``, and texts whose five-word shingles are similar by ``similar`` or more.
     The latter are found exactly (``setjoin.linked``) among all distinct sets of shingles and checked
-    on the whole texts. Rows with a null id are in no group and stay; an empty table gives no rows.
+    on the whole texts. Rows with a null id are in no group and stay; an empty table gives no rows; columns may have any names.
     """
     place = docs.columns.index(text_col)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")  # as one column, so that no name clashes with those added
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, lambda x: shingles(x, WORDS)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = [x or "" for x in rows.column(place).to_pylist()]
+            texts = [x or "" for x in pc.struct_field(rows.column(0), [place]).to_pylist()]
             fps = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
             cols: list[list] = [[], [], [], []]
             for x in texts:
@@ -310,9 +279,10 @@ def one_of_each(docs: DataFrame, most: int = MOST_BITS, similar: float = SIMILAR
             kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fps), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], [*rows.schema.names, "_fp", "_set", "_n", "_prefix", "_map"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = stage(docs.mapInArrow(apply, f"{fields}, _fp long, _set binary, _n long, _prefix array<long>, _map binary").withColumn("_row", F.monotonically_increasing_id()))
-    known = rows.where(F.col(id_col).isNotNull())
+    schema = T.StructType([T.StructField("doc", docs.schema), *[T.StructField(*x) for x in (("_fp", T.LongType()), ("_set", T.BinaryType()), ("_n", T.LongType()), ("_prefix", T.ArrayType(T.LongType())), ("_map", T.BinaryType()))]])
+    rows = stage(docs.select(own).mapInArrow(apply, schema).withColumn("_row", F.monotonically_increasing_id()))
+    name, text = F.col(f"doc.`{id_col}`"), F.col(f"doc.`{text_col}`").cast("string")
+    known = rows.where(name.isNotNull())
     # codes and sets are named by a row that has them, so that no id has to be unique; a row links its code to its set
     codes, sets = (stage(known.groupBy(c).agg(F.min("_row").alias("node"))) for c in ("_fp", "_set"))
     same = [known.select("_row", c).join(names, c).select(F.col("_row").alias("a"), F.col("node").alias("b")) for c, names in (("_fp", codes), ("_set", sets))]
@@ -320,14 +290,14 @@ def one_of_each(docs: DataFrame, most: int = MOST_BITS, similar: float = SIMILAR
     first = components(edges)
     named = sets.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     items = rows.select(F.col("_row").alias("node"), F.col("_n").alias("n"), F.col("_prefix").alias("prefix"), F.col("_map").alias("map")).join(named, "node")
-    texts = rows.select("_row", F.col(text_col).cast("string").alias("text"))
+    texts = rows.select("_row", text.alias("text"))
     moved = linked(items, lambda pairs: _similar(pairs, texts, similar), similar).join(named.withColumnRenamed("root", "old"), "node")
     moved = moved.groupBy(F.col("old").alias("root")).agg(F.min("root").alias("top"))  # rows of one old root have one new root
-    groups = known.select(F.col(id_col).alias("id"), "_row").join(first.withColumnRenamed("node", "_row"), "_row", "left").select("id", "_row", F.coalesce("root", "_row").alias("root"))
+    groups = known.select(name.alias("id"), "_row").join(first.withColumnRenamed("node", "_row"), "_row", "left").select("id", "_row", F.coalesce("root", "_row").alias("root"))
     groups = groups.join(moved, "root", "left").groupBy(F.coalesce("top", "root").alias("root"))
     stay = groups.agg(F.min(F.struct("id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
-    stay = stay.unionByName(rows.where(F.col(id_col).isNull()).select("_row"))
-    return rows.join(stay, "_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    stay = stay.unionByName(rows.where(name.isNull()).select("_row"))
+    return rows.join(stay, "_row", "left_semi").select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
