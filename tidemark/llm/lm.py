@@ -3,32 +3,36 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage
 
 FOLDS, HELD_OUT = 7, 2
-#: Counts are held as levels 1 + floor(log(count) / log(STEP)); what discounting leaves to the lower order, as powers of SHARE.
-STEP, SHARE = 1.5, 0.8
-#: A bigram seen so often at least has a probability of its own, lessened by DISCOUNT.
-LEAST_PAIR, DISCOUNT = 2, 0.8
-#: The model's capacity: bits of the filter (broadcast), in blocks of 2**BLOCK bits, FILL of them set at most.
-BITS, BLOCK, FILL = 28, 16, 0.45
+#: Counts are held as levels 1 + floor(log(count) / log(STEP)), at most LEVELS of them; what is left to the lower order, as powers of SHARE.
+STEP, SHARE, LEVELS = 1.5, 0.8, 110
+#: Taken off every count of a word after others.
+DISCOUNT = 0.8
+#: The filter has BITS bits for each n-gram and level in it, of which PROBES are set: its size follows the counts.
+BITS, PROBES = 10, 6
+#: Bytes of a filter that is broadcast, at most; the blocks of a larger one stay where they are, and what to probe comes to them.
+BROADCAST = 96 << 20
 #: Words whose exact counts are broadcast, at most; the rest is joined.
 HEAD = 1 << 20
 #: Bytes of text hashed at once, n-grams that a task counts before it hands them on.
-GROUP, HELD = 4 << 20, 3_000_000
+GROUP, HELD = 4 << 20, 2_000_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-UNI, PAIR, LEFT = 0, 1, 2
-SALT = [np.uint64(x) for x in (0, 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)]
+#: Words, pairs and triples; and what contexts of one and of two words leave.
+UNI, PAIR, TRI, LEFT_ONE, LEFT_TWO = range(5)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -45,6 +49,8 @@ def salt(level: int) -> np.uint64:
 
 #: The token that ends a text.
 END = mixed(np.array([_A]))[0]
+SALT = mixed(np.arange(1, 6, dtype=np.uint64) * _C)
+START = np.array([END, END])
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _A)
 _BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
 
@@ -106,10 +112,26 @@ def groups(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield flush()
 
 
-def pairs(tokens: np.ndarray, before: np.uint64) -> np.ndarray:
-    """Hash of each token with the one before: 32 bits of the context, then 32 of the token."""
-    context = np.append(before, tokens[:-1])
-    return (context >> np.uint64(32) << np.uint64(32)) | (tokens >> np.uint64(32))
+def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """32 bits of a word's hash, then 32 of the next one's."""
+    return (first >> np.uint64(32) << np.uint64(32)) | (second >> np.uint64(32))
+
+
+def context_of(pair: np.ndarray) -> np.ndarray:
+    """40 bits that name a pair as the context of triples."""
+    return mixed(pair + _B) >> np.uint64(24)
+
+
+def ngrams(tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token: its pair with the one before, the pair of the two before, and its triple (40 bits of that pair, 24 of the token).
+
+    ``before``: the two tokens in front. What follows a text's end has nothing but ends before it, so no n-gram goes over two texts.
+    """
+    line = np.concatenate([before, tokens])
+    one, two = line[1:-1], line[:-2].copy()
+    two[one == END] = END
+    behind = pairs(two, one)
+    return pairs(one, tokens), behind, (context_of(behind) << np.uint64(24)) | (tokens >> np.uint64(40))
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,268 +143,401 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return h[new], np.add.reduceat(c, new) if len(new) else c
 
 
+def place(kind: int, h: np.ndarray, bits: int) -> np.ndarray:
+    """The block of n-grams: that of their context, so a context's n-grams are counted and stored in one place."""
+    context = h >> np.uint64(24) if kind in (TRI, LEFT_TWO) else h >> np.uint64(32)
+    return (mixed(context + _A) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def level(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(np.log(counts) / math.log(STEP) + 1e-9).astype(np.int64) + 1, LEVELS)
+
+
+def probes(key: np.ndarray, rank: int, size: np.ndarray | int) -> Iterator[np.ndarray]:
+    """Bits of (n-gram, level) in a block of ``size`` bits."""
+    x = mixed(key + salt(rank))
+    a, b = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+    for k in range(PROBES):
+        yield (a + np.uint64(k) * b) % size
+
+
+def filled(entries: list[tuple[int, np.ndarray, np.ndarray]]) -> bytes:
+    """A block of the log-frequency Bloom filter: an n-gram of level v is in it once for each level from 1 to v."""
+    size = max(64, -(-BITS * int(sum(steps.sum() for _, _, steps in entries)) // 64) * 64)
+    bits = np.zeros(size, bool)
+    for kind, h, steps in entries:
+        key = h ^ SALT[kind]
+        for rank in range(1, int(steps.max(initial=0)) + 1):
+            for at in probes(key[steps >= rank], rank, np.uint64(size)):
+                bits[at.astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+@dataclass
+class Filter:
+    """Blocks of a filter, end to end; ``first``: the first byte of each block, and the last one's end."""
+
+    data: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def joined(cls, blocks: list[tuple[int, bytes]], n: int) -> Filter:
+        """Those of ``n`` blocks that are there; an n-gram of another block isn't found."""
+        sizes = np.zeros(n + 1, np.int64)
+        for k, bits in blocks:
+            sizes[k + 1] = len(bits)
+        return cls(np.frombuffer(b"".join(bits for _, bits in sorted(blocks)), np.uint8), np.cumsum(sizes))
+
+    def levels(self, kind: int, h: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Probes level after level until one is missing; the number of those found."""
+        out = np.zeros(len(h), np.uint8)
+        size = (8 * (self.first[block + 1] - self.first[block])).astype(np.uint64)
+        alive, rank = np.flatnonzero(size), 1
+        start, key = 8 * self.first[block], h ^ SALT[kind]
+        while len(alive) and rank <= LEVELS:
+            left = np.arange(len(alive))
+            for at in probes(key[alive], rank, size[alive]):
+                # most of what isn't there goes at the first bit
+                bit = start[alive[left]] + at[left].astype(np.int64)
+                left = left[(self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+                if not len(left):
+                    break
+            alive = alive[left]
+            out[alive] = rank
+            rank += 1
+        return out
+
+
+def continued(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts (in order, side by side), and for each how often it goes on, and in how many ways."""
+    if not len(context):
+        return context, counts, counts
+    at = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    return context[at], np.add.reduceat(counts, at), np.diff(np.append(at, len(context)))
+
+
+def left_steps(total: np.ndarray, ways: np.ndarray) -> np.ndarray:
+    """What discounting leaves, DISCOUNT * ways / total, as powers of SHARE below DISCOUNT (which is what singles leave)."""
+    return np.round(np.log(np.maximum(ways / np.maximum(total, 1), 0.02)) / math.log(SHARE)).astype(np.int64)
+
+
+BLOCKS = "block long, words array<long>, counts array<long>, sums array<struct<kind:int,level:int,n:long,total:long>>, bits binary"
+
+
 def counted(texts: DataFrame, n: int) -> DataFrame:
-    """(kind, h, c): counts of words, and of pairs seen LEAST_PAIR times, over the column ``text``.
+    """One row a block: its words with their counts, sums by kind and level, and its part of the filter.
 
-    Tasks count what they hold and hand on sorted hashes by block; each block is summed in one place.
+    Tasks count words, pairs and triples of the column ``text`` as far as they hold them, and hand on
+    hashes by block; a block is summed in one place and becomes its part of the filter there, so
+    nothing is dealt out a second time.
     """
-    bits = max(2, (4 * n - 1).bit_length())
+    bits = block_bits(n)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], []]
+        held: list[list] = [[], [], []]
 
         def flush() -> pa.RecordBatch:
             rows = []
-            for kind in (UNI, PAIR):
-                if not held[kind]:
-                    continue
-                h, c = added(held[kind])
-                block = (mixed(h) >> np.uint64(64 - bits)).astype(np.int32)
-                order = np.argsort(block, kind="stable")
-                cuts = np.searchsorted(block[order], np.arange((1 << bits) + 1))
-                h, c = h[order], c[order].astype(np.uint32)
-                rows += [(k, kind, h[a:b].tobytes(), c[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-                held[kind].clear()
+            for kind in (UNI, PAIR, TRI):
+                if held[kind]:
+                    h, c = added(held[kind])
+                    block = place(kind, h, bits).astype(np.int32)
+                    order = np.argsort(block, kind="stable")
+                    cuts = np.searchsorted(block[order], np.arange((1 << bits) + 1))
+                    h, c = h[order], c[order].astype(np.uint32)
+                    rows += [(k, kind, h[a:b].tobytes(), c[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                    held[kind].clear()
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["block", "kind", "hs", "cs"])
 
-        before, size = END, 0
+        before, size = START, 0
         for batch in batches:
             for tokens, _ in groups(batch.column(0).to_pylist()):
-                for kind, x in ((UNI, tokens), (PAIR, pairs(tokens, before))):
+                pair, _, triple = ngrams(tokens, before)
+                for kind, x in ((UNI, tokens), (PAIR, pair), (TRI, triple)):
                     codes, names = pd.factorize(x)
                     held[kind].append((names, np.bincount(codes)))
                     size += len(names)
-                before = tokens[-1]
+                before = np.concatenate([before, tokens])[-2:]
                 if size >= HELD:
-                    held[:] = [[added(x)] if x else [] for x in held]
-                    size = sum(len(x[0][0]) for x in held if x)
-                    if size >= HELD // 2:
-                        yield flush()
-                        size = 0
+                    yield flush()
+                    size = 0
         yield flush()
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held = None, {}
 
         def total() -> pa.RecordBatch:
-            h, c = added(held)
-            keep = c >= (LEAST_PAIR if at[1] == PAIR else 1)
-            h, c = h[keep], c[keep]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), at[1], np.int32)), pa.array(h.view(np.int64)), pa.array(c)], ["kind", "h", "c"])
+            sums, entries = [], []
+            found = {kind: added(held.get(kind, [(np.zeros(0, np.uint64), np.zeros(0, np.int64))])) for kind in (UNI, PAIR, TRI)}
+            for kind, (h, c) in found.items():
+                steps = level(c)
+                entries.append((kind, h, steps))
+                n, sum_of = np.bincount(steps, minlength=1), np.bincount(steps, c, 1)
+                sums += [{"kind": kind, "level": int(k), "n": int(n[k]), "total": int(sum_of[k])} for k in np.flatnonzero(n)]
+            for kind, source, shift in ((LEFT_ONE, PAIR, 32), (LEFT_TWO, TRI, 24)):
+                context, often, ways = continued(found[source][0] >> np.uint64(shift), found[source][1])
+                entries.append((kind, context << np.uint64(shift), left_steps(often, ways)))
+            words, counts = found[UNI]
+            cols = [pa.array([at], pa.int64()), *[pa.array([x.astype(np.int64)], pa.list_(pa.int64())) for x in (words.view(np.int64), counts)]]
+            kinds = pa.list_(pa.struct([("kind", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("total", pa.int64())]))
+            return pa.RecordBatch.from_arrays([*cols, pa.array([sums], kinds), pa.array([filled(entries)], pa.binary())], ["block", "words", "counts", "sums", "bits"])
 
         for batch in batches:
             for block, kind, hs, cs in zip(*[batch.column(k) for k in range(4)], strict=True):
-                if (here := (block.as_py(), kind.as_py())) != at:
+                if block.as_py() != at:
                     if held:
                         yield total()
-                    at, held = here, []
-                held.append((np.frombuffer(hs.as_buffer(), np.uint64), np.frombuffer(cs.as_buffer(), np.uint32).astype(np.int64)))
+                    at, held = block.as_py(), {}
+                held.setdefault(kind.as_py(), []).append((np.frombuffer(hs.as_buffer(), np.uint64), np.frombuffer(cs.as_buffer(), np.uint32).astype(np.int64)))
         if held:
             yield total()
 
     rows = texts.select("text").mapInArrow(count, "block int, kind int, hs binary, cs binary")
-    return rows.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(combine, "kind int, h long, c long")
-
+    return rows.repartition(n, "block").sortWithinPartitions("block").mapInArrow(combine, BLOCKS)
 
-class Filter:
-    """Bloom filter over (n-gram, level): an n-gram of level v is in it once for each level from its kind's first up to v."""
-
-    def __init__(self, bits: int = BITS) -> None:
-        self.blocks = max(1, 1 << (bits - BLOCK))
-        self.data = np.zeros(self.blocks << (BLOCK - 3), np.uint8)
-
-    def block(self, key: np.ndarray) -> np.ndarray:
-        return (mixed(key + _B) % np.uint64(self.blocks)).astype(np.int64)
-
-    def places(self, key: np.ndarray, level: int, block: np.ndarray) -> Iterator[np.ndarray]:
-        x = mixed(key + salt(level))
-        for k in range(4):
-            yield (block << BLOCK) | ((x >> np.uint64(16 * k)) & np.uint64((1 << BLOCK) - 1)).astype(np.int64)
-
-    def add(self, key: np.ndarray, steps: np.ndarray) -> None:
-        block = self.block(key)
-        for level in range(1, int(steps.max(initial=0)) + 1):
-            more = steps >= level
-            for at in self.places(key[more], level, block[more]):
-                np.bitwise_or.at(self.data, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
-    def levels(self, key: np.ndarray) -> np.ndarray:
-        """Probes level after level until one is missing; the number of those found."""
-        out, block = np.zeros(len(key), np.int64), self.block(key)
-        alive, level = np.arange(len(key)), 1
-        while len(alive):
-            k, b = key[alive], block[alive]
-            for j in range(4):  # most of what isn't there goes at the first bit
-                x = mixed(k + salt(level))
-                at = (b << BLOCK) | ((x >> np.uint64(16 * j)) & np.uint64((1 << BLOCK) - 1)).astype(np.int64)
-                yes = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                alive, k, b = alive[yes], k[yes], b[yes]
-            out[alive] = level
-            level += 1
-        return out
+def block_bits(n: int) -> int:
+    """Blocks, as a power of two: four for each of ``n`` partitions at least."""
+    return max(2, (4 * n - 1).bit_length())
 
 
 @dataclass
 class Model:
-    """tokens: N; words: V; counts: a kind's mean count at each step; head: exact counts of the commonest words."""
+    """tokens: N; words: V; means: a kind's mean count at each level; head: exact counts of the commonest words; end: of the texts' ends."""
 
     tokens: int
     words: int
-    filter: Filter
-    counts: dict
+    bits: int
+    means: dict
     head: tuple
+    end: float
+    filter: Filter | None = None
 
     @property
     def mass(self) -> float:
         return float(self.tokens + self.words + 1)
 
-    def values(self, kind: int, h: np.ndarray) -> np.ndarray:
-        found, table = self.filter.levels(h ^ SALT[kind]), self.counts[kind]
-        return table[np.minimum(found, len(table) - 1)]
-
     def exact(self, h: np.ndarray) -> np.ndarray:
         """Counts of head words, -1 for others."""
         names, counts = self.head
+        if not len(names):
+            return np.full(len(h), -1)
         at = np.searchsorted(names, h)
         at[at == len(names)] = 0
-        return np.where(names[at] == h, counts[at], -1) if len(names) else np.full(len(h), -1)
-
-    def probabilities(self, tokens: np.ndarray, before: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 of each token's probability after the one before, its exact count or -1)."""
-        codes, names = pd.factorize(np.append(before, tokens))
-        count = self.values(UNI, names)
-        left = SHARE ** self.filter.levels(names ^ SALT[LEFT])
-        pair, which = pd.factorize(pairs(tokens, before))
-        own = self.values(PAIR, which)[pair]
-        context, token = codes[:-1], codes[1:]
-        seen = count[context]
-        p = np.where(seen > 0, np.minimum(np.maximum(own - DISCOUNT, 0) / np.maximum(seen, 1), 1 - left[context]), 0)
-        p = p + left[context] * (count[token] + 1) / self.mass
-        return np.log10(np.minimum(p, 1)), self.exact(names)[token]
-
-
-def level(count) -> object:
-    return (F.floor(F.log(count) / math.log(STEP) + 1e-9) + 1).cast("int")
-
-
-def fit(docs: DataFrame, bits: int = BITS, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """A model of the column ``text``, and the exact word counts (h, c)."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = stage(counted(docs, n)).withColumn("level", level(F.col("c")))
-    found = {(r.kind, r.level): (r.n, r.total) for r in counts.groupBy("kind", "level").agg(F.count("*").alias("n"), F.sum("c").alias("total")).collect()}
+        return np.where(names[at] == h, counts[at], -1)
+
+
+class Wanted:
+    """What some tokens need of the filter: ``keys`` are the distinct n-grams to probe, by kind; ``scores`` takes the levels found."""
+
+    def __init__(self, tokens: np.ndarray, before: np.ndarray) -> None:
+        pair, behind, triple = ngrams(tokens, before)
+        self.word, words = pd.factorize(np.append(before[1], tokens))
+        self.pair, twos = pd.factorize(np.append(pair, behind))
+        self.triple, threes = pd.factorize(triple)
+        self.after_end = np.append(before[1], tokens[:-1]) == END
+        self.keys = [(UNI, words), (PAIR, twos), (TRI, threes), (LEFT_ONE, words >> np.uint64(32) << np.uint64(32)), (LEFT_TWO, context_of(twos) << np.uint64(24))]
+
+    def scores(self, model: Model, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 of each token's probability, its exact count or -1)."""
+        counts = [model.means[kind][np.minimum(found[kind], len(model.means[kind]) - 1)] for kind in (UNI, PAIR, TRI)]
+        exact = model.exact(self.keys[UNI][1])
+        word = np.where(exact >= 0, exact, counts[UNI])
+        left = [DISCOUNT * SHARE ** found[kind].astype(np.float64) for kind in (LEFT_ONE, LEFT_TWO)]
+        context, token = self.word[:-1], self.word[1:]
+        pair, behind = np.split(self.pair, 2)
+        p = (word[token] + 1) / model.mass
+        twice = np.where(self.after_end, model.end, counts[PAIR][behind])
+        for own, often, rest in ((counts[PAIR][pair], word[context], left[0][context]), (counts[TRI][self.triple], twice, left[1][behind])):
+            seen = np.minimum(np.maximum(own - DISCOUNT, 0) / np.maximum(often, 1), 1 - rest)
+            p = np.where(often > 0, seen + rest * p, p)
+        return np.log10(np.minimum(p, 1)), exact[token]
+
+
+def fit(docs: DataFrame, head: int = HEAD, broadcast: int = BROADCAST) -> tuple[Model, DataFrame]:
+    """A model of the column ``text``, and its blocks. The model has the filter if that is at most ``broadcast`` bytes."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = stage(counted(docs, n))
+    sums = blocks.select(F.explode("sums").alias("s")).groupBy("s.kind", "s.level").agg(F.sum("s.n").alias("n"), F.sum("s.total").alias("total"))
+    found = {(r.kind, r.level): (r.n, r.total) for r in sums.collect()}  # a row for each kind and level
     tokens, words = (sum(x[k] for (kind, _), x in found.items() if kind == UNI) for k in (1, 0))
-    top = {kind: max([lv for k, lv in found if k == kind], default=0) for kind in (UNI, PAIR)}
-    least = {UNI: 1, PAIR: min([lv for k, lv in found if k == PAIR], default=1)}
-    # rare levels stay out once the filter would be too full: the model's capacity is fixed, its counts cover all texts
-    room = -math.log(1 - FILL) * (1 << bits) / 4
-    while sum(n * (lv - least[k] + 1) for (k, lv), (n, _) in found.items() if lv >= least[k]) > room:
-        low = min(least.values())
-        least = {k: max(v, low + 1) for k, v in least.items()}
-    tables = {}
-    for kind in (UNI, PAIR):
-        span = [found.get((kind, lv)) for lv in range(least[kind], top[kind] + 1)]
-        tables[kind] = np.array([0.0, *[x[1] / x[0] if x else STEP ** (least[kind] + i - 0.5) for i, x in enumerate(span)]])
-    uni, pair = counts.where(F.col("kind") == UNI), counts.where((F.col("kind") == PAIR) & (F.col("level") >= least[PAIR]))
-
-    def mean(kind: int):
-        values = F.array(*[F.lit(float(x)) for x in tables[kind]])
-        return F.coalesce(F.get(values, F.col("level") - least[kind] + 1), F.lit(0.0))
-
-    taken = pair.groupBy(F.shiftrightunsigned("h", 32).alias("u")).agg(F.sum(mean(PAIR) - DISCOUNT).alias("taken"))
-    contexts = uni.where(F.col("level") >= least[UNI]).select("h", F.shiftrightunsigned("h", 32).alias("u"), mean(UNI).alias("c")).join(taken, "u")
-    rest = F.greatest(1 - F.col("taken") / F.col("c"), F.lit(0.02))
-    contexts = contexts.select("h", F.round(F.log(rest) / math.log(SHARE)).cast("int").alias("steps"), F.lit(LEFT).alias("kind"))
-    entries = contexts
-    for kind, rows in ((UNI, uni.where(F.col("level") >= least[UNI])), (PAIR, pair)):
-        entries = entries.unionByName(rows.select("h", (F.col("level") - least[kind] + 1).alias("steps"), F.lit(kind).alias("kind")))
-    model = Model(tokens, words, filled(entries.where("steps > 0"), bits, n), tables, ())
-    total, cut = 0, top[UNI] + 1
+    means = {}
+    for kind in (UNI, PAIR, TRI):
+        top = max([lv for k, lv in found if k == kind], default=0)
+        means[kind] = np.array([0.0, *[x[1] / x[0] if (x := found.get((kind, lv))) else STEP ** (lv - 0.5) for lv in range(1, top + 1)]])
+    kept, cut = 0, LEVELS + 1
     for lv in sorted((lv for k, lv in found if k == UNI), reverse=True):
-        if (total := total + found[UNI, lv][0]) > head:
+        if (kept := kept + found[UNI, lv][0]) > head:
             break
         cut = lv
-    got = uni.where(F.col("level") >= cut).select("h", "c").toArrow()  # ``head`` words at most
+    least = STEP ** (cut - 1) * (1 - 1e-9)
+    got = exact_counts(blocks).where(F.col("c") >= least).toArrow()  # ``head`` words at most
     names, exact = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
     order = np.argsort(names)
-    model.head = (names[order], exact[order])
-    return model, uni.select("h", "c")
-
-
-def filled(entries: DataFrame, bits: int, n: int) -> Filter:
-    """The filter of ``entries`` (h, steps, kind): every block is set in one task, and only blocks come to the driver."""
-    blocks = Filter(bits).blocks
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, steps, kind in ([batch.column(k).to_numpy() for k in range(3)] for batch in batches):
-            key = h.view(np.uint64) ^ np.array(SALT)[kind]
-            yield pa.RecordBatch.from_arrays([pa.array(Filter(bits).block(key)), pa.array(key.view(np.int64)), pa.array(steps)], ["block", "key", "steps"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = Filter(bits), np.zeros(blocks, bool)
-        for block, key, steps in ([batch.column(k).to_numpy() for k in range(3)] for batch in batches):
-            own.add(key.view(np.uint64), steps)
-            seen[block] = True
-        at = np.flatnonzero(seen)
-        data = own.data.reshape(blocks, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([data[k].tobytes() for k in at], pa.binary())], ["block", "bits"])
-
-    rows = entries.select("h", "steps", "kind").mapInArrow(name, "block long, key long, steps int").repartition(n, "block")
-    got = rows.mapInArrow(build, "block long, bits binary").toArrow()
-    out = Filter(bits)
-    data = out.data.reshape(blocks, -1)
-    for block, part in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-        data[block] = np.frombuffer(part, np.uint8)
-    return out
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, head: int = HEAD) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    end = exact_counts(blocks).where(F.col("h") == int(END.view(np.int64))).first()
+    model = Model(tokens, words, block_bits(n), means, (names[order], exact[order]), float(end.c if end else 0))
+    if (blocks.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= broadcast:
+        model.filter = Filter.joined([(r.block, bytes(r.bits)) for r in blocks.select("block", "bits").toLocalIterator()], 1 << model.bits)
+    return model, blocks
 
-    Learns from all rows but those of one fold (crc32 of the id as text). Words and pairs of words
-    are counted exactly over all of them; counts go as levels into a Bloom filter of 2**``bits`` bits,
-    the rarest left out only where it would be too full. ``score`` sums log10 of discounted pair
-    probabilities over add-one word probabilities, all read from the filter by probing level after
-    level. ``base_score`` uses exact word counts: those of ``head`` words are broadcast, the other tokens
-    are joined. Null texts are empty (one token, the end); null ids count as an empty id, and learn; repeated
-    rows each give a row and are counted each; an empty table gives no rows; other columns are not read.
-    """
-    spark = docs.sparkSession
-    out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % FOLDS == HELD_OUT
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), out.alias("held_out"))
-    model, exact = fit(rows.where(~F.col("held_out")), bits, head)
-    shared = spark.sparkContext.broadcast(model)
+
+def exact_counts(blocks: DataFrame) -> DataFrame:
+    """(h, c): all words with their counts."""
+    return blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("h"), F.col("w.counts").alias("c"))
+
+
+def summed(model: Model, tokens: np.ndarray, owner: np.ndarray, n: int, score: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of ``n`` texts, whose number is ``owner``: tokens, head words, sum of their base, score; and the other words' hashes."""
+    known = count >= 0
+    values = (np.ones(len(tokens)), known, np.where(known, np.log10((np.maximum(count, 0) + 1) / model.mass), 0), score)
+    sums = np.stack([np.bincount(owner, v, n) for v in values])
+    at = np.flatnonzero(~known)
+    return sums, np.split(tokens[at], np.searchsorted(owner[at], np.arange(1, n)))
+
+
+NAMES = ["rid", "n_tokens", "n_head", "base", "score", "rare"]
+
+
+def rows_of(rids: list, sums: np.ndarray, rare: list[np.ndarray]) -> list[pa.Array]:
+    """Columns ``NAMES``."""
+    ends = np.cumsum([0, *map(len, rare)])
+    flat = np.concatenate([*rare, np.zeros(0, np.uint64)]).view(np.int64)
+    return [pa.array(rids, pa.int64()), *[pa.array(sums[k].astype(np.int64)) for k in (0, 1)], *[pa.array(sums[k]) for k in (2, 3)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+
+
+PARTIAL = "rid long, n_tokens long, n_head long, base double, score double, rare array<long>"
+
+
+def scored_here(rows: DataFrame, model: Model) -> DataFrame:
+    """The rows (rid, id, held_out, text) with ``PARTIAL`` for the text: every worker has the whole filter."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m, n = shared.value, batch.num_rows
-            sums, before = np.zeros((4, n)), END
-            rare: list[list] = [[] for _ in range(n)]
+            m, before = shared.value, START
+            sums, rare = np.zeros((4, batch.num_rows)), [[] for _ in range(batch.num_rows)]
             for tokens, owner in groups(batch.column(1).to_pylist()):
-                score, count = m.probabilities(tokens, before)
-                known, first = count >= 0, owner[0]
-                values = (np.ones(len(tokens)), known, np.where(known, np.log10((np.maximum(count, 0) + 1) / m.mass), 0), score)
-                for k, v in enumerate(values):
-                    part = np.bincount(owner - first, v)
-                    sums[k, first : first + len(part)] += part
-                at = np.flatnonzero(~known)
-                cuts = np.flatnonzero(np.diff(owner[at])) + 1
-                for i, h in zip(owner[at][np.append(0, cuts)] if len(at) else [], np.split(tokens[at], cuts), strict=False):
-                    rare[i].append(h)
-                before = tokens[-1]
+                wanted = Wanted(tokens, before)
+                found = [m.filter.levels(kind, h, place(kind, h, m.bits)) for kind, h in wanted.keys]
+                own, others = summed(m, tokens, owner, batch.num_rows, *wanted.scores(m, found))
+                sums += own
+                for held, x in zip(rare, others, strict=True):
+                    held.append(x)
+                before = np.concatenate([before, tokens])[-2:]
             lists = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in rare]
-            ends = np.cumsum([0, *map(len, lists)])
-            flat = np.concatenate([*lists, np.zeros(0, np.uint64)]).view(np.int64)
-            cols = [batch.column(0), batch.column(2), *[pa.array(sums[k].astype(np.int64)) for k in (0, 1)], *[pa.array(sums[k]) for k in (2, 3)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "held_out", "n_tokens", "n_head", "base", "score", "rare"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = rows.mapInArrow(apply, f"id {kind}, held_out boolean, n_tokens long, n_head long, base double, score double, rare array<long>")
-    scored = stage(scored.withColumn("rid", F.monotonically_increasing_id()))
+            cols = rows_of(batch.column(0).to_pylist(), sums, lists)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *cols], ["id", "held_out", *NAMES])
+
+    return rows.select("rid", "text", "id", "held_out").mapInArrow(apply, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, {PARTIAL}")
+
+
+def scored_apart(rows: DataFrame, model: Model, blocks: DataFrame) -> DataFrame:
+    """The same for a filter of any size: the distinct n-grams of a few megabytes of text go to the blocks' partitions, their levels come back."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = model.bits
+    shared = spark.sparkContext.broadcast(model)  # without the filter
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            rids, before = batch.column(0).to_numpy(), START
+            for tokens, owner in groups(batch.column(1).to_pylist()):
+                names, at = np.unique(owner, return_inverse=True)
+                data = pickle.dumps((tokens, at, rids[names].tolist(), before))
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), batch.column(c).take(pa.array(names))) for c in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([data], pa.binary()), *lists], ["chunk", "data", "rid", "id", "held_out"])
+                before, number = np.concatenate([before, tokens])[-2:], number + 1
+
+    def parts_of(wanted: Wanted) -> list[np.ndarray]:
+        return [place(kind, h, bits) % n for kind, h in wanted.keys]
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column(0), batch.column(1), strict=True):
+                tokens, _, _, before = pickle.loads(data.as_py())
+                wanted = Wanted(tokens, before)
+                by_part = parts_of(wanted)
+                found: dict[int, list] = {}
+                for (_, h), part in zip(wanted.keys, by_part, strict=True):
+                    order = np.argsort(part, kind="stable")
+                    for p, x in enumerate(np.split(h[order], np.searchsorted(part[order], np.arange(1, n)))):
+                        found.setdefault(p, []).append(x)
+                cols = [pa.array(list(found), pa.int64()), pa.array([1] * n), pa.array([chunk.as_py()] * n, pa.int64()), pa.array([pickle.dumps(x) for x in found.values()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "side", "name", "data"])
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, own, own_filter = None, [], None
+        for batch in batches:
+            for part, side, name, data in zip(*[batch.column(k) for k in range(4)], strict=True):
+                if part.as_py() != here:
+                    here, own, own_filter = part.as_py(), [], None
+                if side.as_py() == 0:
+                    own.append((name.as_py(), data.as_py()))
+                    continue
+                if own_filter is None:
+                    own_filter = Filter.joined(own, 1 << bits)
+                found = [own_filter.levels(kind, h, place(kind, h, bits)) for kind, h in enumerate(pickle.loads(data.as_py()))]
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.int64()), pa.array([here + 1], pa.int64()), pa.array([pickle.dumps(found)], pa.binary())], ["chunk", "part", "data"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, levels, kept, by_part = None, [], None, []
+
+        def done() -> pa.RecordBatch:
+            tokens, owner, rids, _, wanted = kept
+            sums, rare = summed(shared.value, tokens, owner, len(rids), *wanted.scores(shared.value, levels))
+            return pa.RecordBatch.from_arrays(rows_of(rids, sums, rare), NAMES)
+
+        for batch in batches:
+            for chunk, part, data in zip(*[batch.column(k) for k in range(3)], strict=True):
+                if chunk.as_py() != here:
+                    if kept:
+                        yield done()
+                    here = chunk.as_py()
+                    tokens, owner, rids, before = pickle.loads(data.as_py())
+                    wanted = Wanted(tokens, before)
+                    kept, by_part = (tokens, owner, rids, before, wanted), parts_of(wanted)
+                    levels = [np.zeros(len(h), np.uint8) for _, h in wanted.keys]
+                    continue
+                for own, at, found in zip(levels, by_part, pickle.loads(data.as_py()), strict=True):
+                    own[at == part.as_py() - 1] = found
+        if kept:
+            yield done()
+
+    kind = rows.schema["id"].dataType.simpleString()
+    chunks = stage(rows.select("rid", "text", "id", "held_out").mapInArrow(cut, f"chunk long, data binary, rid array<long>, id array<{kind}>, held_out array<boolean>"))
+    schema = "part long, side long, name long, data binary"
+    own = blocks.select(F.pmod("block", F.lit(n)).alias("part"), F.lit(0).cast("long").alias("side"), F.col("block").alias("name"), F.col("bits").alias("data"))
+    met = own.unionAll(chunks.select("chunk", "data").mapInArrow(asked, schema)).repartition(n, "part").sortWithinPartitions("part", "side")
+    back = met.mapInArrow(answered, "chunk long, part long, data binary").unionAll(chunks.select("chunk", F.lit(0).cast("long").alias("part"), "data"))
+    found = back.repartition(n, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(joined, PARTIAL)
+    sums = [F.sum(c).alias(c) for c in NAMES[1:5]]  # a long text lies in several chunks
+    names = chunks.select(F.explode(F.arrays_zip("rid", "id", "held_out")).alias("x")).select("x.*").groupBy("rid").agg(F.first("id").alias("id"), F.first("held_out").alias("held_out"))
+    return found.groupBy("rid").agg(*sums, F.flatten(F.collect_list("rare")).alias("rare")).join(names, "rid")
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, broadcast: int = BROADCAST) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Learns from all rows but those of one fold (crc32 of the id as text). Words, pairs and triples of
+    words are counted over all of them, none left out; counts go as levels into a Bloom filter whose
+    size follows them. ``score`` sums log10 of discounted triple probabilities over those of pairs and
+    add-one words, read by probing level after level. A filter of ``broadcast`` bytes at most is
+    broadcast; the distinct n-grams of the texts are sent to the blocks of a larger one, and find the
+    same. ``base_score`` uses exact word counts: those of ``head`` words are broadcast, the other
+    tokens are joined. Null texts are empty (one token, the end); null ids count as an empty id, and
+    learn; repeated rows each give a row and are counted each; an empty table gives no rows; other
+    columns are not read.
+    """
+    out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % FOLDS == HELD_OUT
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), out.alias("held_out"))
+    model, blocks = fit(rows.where(~F.col("held_out")), head, broadcast)
+    rows = rows.withColumn("rid", F.monotonically_increasing_id())
+    scored = stage(scored_here(rows, model) if model.filter is not None else scored_apart(rows, model, blocks))
     words = scored.select("rid", F.explode("rare").alias("h")).groupBy("rid", "h").agg(F.count("*").alias("n"))
-    words = words.join(exact, "h", "left")
+    words = words.join(exact_counts(blocks), "h", "left")
     each = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(model.mass))
     tail = words.groupBy("rid").agg(F.sum(F.col("n") * each).alias("tail"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_tail"))
     done = scored.drop("rare").join(tail, "rid", "left")
