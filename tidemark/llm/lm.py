@@ -22,9 +22,9 @@ STEP, SHARE, LEVELS = 1.5, 0.8, 110
 #: Taken off every count of a word after others.
 DISCOUNT = 0.8
 #: The filter has BITS bits for each n-gram and level in it, of which PROBES are set: its size follows the counts.
-BITS, PROBES = 10, 6
+BITS, PROBES = 9, 6
 #: Bytes of a filter that is broadcast, at most; the blocks of a larger one stay where they are, and what to probe comes to them.
-BROADCAST = 96 << 20
+BROADCAST = 192 << 20
 #: Words whose exact counts are broadcast, at most; the rest is joined.
 HEAD = 1 << 20
 #: Bytes of text hashed at once, n-grams that a task counts before it hands them on.
@@ -329,8 +329,18 @@ class Model:
         return np.where(names[at] == h, counts[at], -1)
 
 
+def probed(filter: Filter, keys: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """Levels of words, pairs and triples, and of what the words, and the triples' first two, leave as contexts. All of a key lie in its block."""
+    found = [filter.levels(kind, h, place(kind, h, bits)) for kind, h in enumerate(keys)]
+    for kind, source, shift in ((LEFT_ONE, UNI, 32), (LEFT_TWO, TRI, 24)):
+        context, back = np.unique(keys[source] >> np.uint64(shift), return_inverse=True)
+        h = context << np.uint64(shift)
+        found.append(filter.levels(kind, h, place(kind, h, bits))[back])
+    return found
+
+
 class Wanted:
-    """What some tokens need of the filter: ``keys`` are the distinct n-grams to probe, by kind; ``scores`` takes the levels found."""
+    """What some tokens need of the filter: ``keys`` are the distinct words, pairs and triples; ``scores`` takes what ``probed`` finds."""
 
     def __init__(self, tokens: np.ndarray, before: np.ndarray) -> None:
         pair, behind, triple = ngrams(tokens, before)
@@ -338,19 +348,19 @@ class Wanted:
         self.pair, twos = pd.factorize(np.append(pair, behind))
         self.triple, threes = pd.factorize(triple)
         self.after_end = np.append(before[1], tokens[:-1]) == END
-        self.keys = [(UNI, words), (PAIR, twos), (TRI, threes), (LEFT_ONE, words >> np.uint64(32) << np.uint64(32)), (LEFT_TWO, context_of(twos) << np.uint64(24))]
+        self.keys = [words, twos, threes]
 
     def scores(self, model: Model, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(log10 of each token's probability, its exact count or -1)."""
         counts = [model.means[kind][np.minimum(found[kind], len(model.means[kind]) - 1)] for kind in (UNI, PAIR, TRI)]
-        exact = model.exact(self.keys[UNI][1])
+        exact = model.exact(self.keys[UNI])
         word = np.where(exact >= 0, exact, counts[UNI])
         left = [DISCOUNT * SHARE ** found[kind].astype(np.float64) for kind in (LEFT_ONE, LEFT_TWO)]
         context, token = self.word[:-1], self.word[1:]
         pair, behind = np.split(self.pair, 2)
         p = (word[token] + 1) / model.mass
         twice = np.where(self.after_end, model.end, counts[PAIR][behind])
-        for own, often, rest in ((counts[PAIR][pair], word[context], left[0][context]), (counts[TRI][self.triple], twice, left[1][behind])):
+        for own, often, rest in ((counts[PAIR][pair], word[context], left[0][context]), (counts[TRI][self.triple], twice, left[1][self.triple])):
             seen = np.minimum(np.maximum(own - DISCOUNT, 0) / np.maximum(often, 1), 1 - rest)
             p = np.where(often > 0, seen + rest * p, p)
         return np.log10(np.minimum(p, 1)), exact[token]
@@ -420,8 +430,8 @@ def scored_here(rows: DataFrame, model: Model) -> DataFrame:
             sums, rare = np.zeros((4, batch.num_rows)), [[] for _ in range(batch.num_rows)]
             for tokens, owner in groups(batch.column(1).to_pylist()):
                 wanted = Wanted(tokens, before)
-                found = [m.filter.levels(kind, h, place(kind, h, m.bits)) for kind, h in wanted.keys]
-                own, others = summed(m, tokens, owner, batch.num_rows, *wanted.scores(m, found))
+                scores = wanted.scores(m, probed(m.filter, wanted.keys, m.bits))
+                own, others = summed(m, tokens, owner, batch.num_rows, *scores)
                 sums += own
                 for held, x in zip(rare, others, strict=True):
                     held.append(x)
@@ -446,22 +456,23 @@ def scored_apart(rows: DataFrame, model: Model, blocks: DataFrame) -> DataFrame:
             rids, before = batch.column(0).to_numpy(), START
             for tokens, owner in groups(batch.column(1).to_pylist()):
                 names, at = np.unique(owner, return_inverse=True)
-                data = pickle.dumps((tokens, at, rids[names].tolist(), before))
+                codes, words = pd.factorize(tokens)
+                data = pickle.dumps((words, codes.astype(np.min_scalar_type(len(words))), at.astype(np.min_scalar_type(len(names))), rids[names].tolist(), before))
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), batch.column(c).take(pa.array(names))) for c in (0, 2, 3)]
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([data], pa.binary()), *lists], ["chunk", "data", "rid", "id", "held_out"])
                 before, number = np.concatenate([before, tokens])[-2:], number + 1
 
     def parts_of(wanted: Wanted) -> list[np.ndarray]:
-        return [place(kind, h, bits) % n for kind, h in wanted.keys]
+        return [place(kind, h, bits) % n for kind, h in enumerate(wanted.keys)]
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data in zip(batch.column(0), batch.column(1), strict=True):
-                tokens, _, _, before = pickle.loads(data.as_py())
-                wanted = Wanted(tokens, before)
+                words, codes, _, _, before = pickle.loads(data.as_py())
+                wanted = Wanted(words[codes], before)
                 by_part = parts_of(wanted)
                 found: dict[int, list] = {}
-                for (_, h), part in zip(wanted.keys, by_part, strict=True):
+                for h, part in zip(wanted.keys, by_part, strict=True):
                     order = np.argsort(part, kind="stable")
                     for p, x in enumerate(np.split(h[order], np.searchsorted(part[order], np.arange(1, n)))):
                         found.setdefault(p, []).append(x)
@@ -479,14 +490,14 @@ def scored_apart(rows: DataFrame, model: Model, blocks: DataFrame) -> DataFrame:
                     continue
                 if own_filter is None:
                     own_filter = Filter.joined(own, 1 << bits)
-                found = [own_filter.levels(kind, h, place(kind, h, bits)) for kind, h in enumerate(pickle.loads(data.as_py()))]
+                found = probed(own_filter, pickle.loads(data.as_py()), bits)
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.int64()), pa.array([here + 1], pa.int64()), pa.array([pickle.dumps(found)], pa.binary())], ["chunk", "part", "data"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, levels, kept, by_part = None, [], None, []
 
         def done() -> pa.RecordBatch:
-            tokens, owner, rids, _, wanted = kept
+            tokens, owner, rids, wanted = kept
             sums, rare = summed(shared.value, tokens, owner, len(rids), *wanted.scores(shared.value, levels))
             return pa.RecordBatch.from_arrays(rows_of(rids, sums, rare), NAMES)
 
@@ -496,13 +507,14 @@ def scored_apart(rows: DataFrame, model: Model, blocks: DataFrame) -> DataFrame:
                     if kept:
                         yield done()
                     here = chunk.as_py()
-                    tokens, owner, rids, before = pickle.loads(data.as_py())
+                    words, codes, owner, rids, before = pickle.loads(data.as_py())
+                    tokens = words[codes]
                     wanted = Wanted(tokens, before)
-                    kept, by_part = (tokens, owner, rids, before, wanted), parts_of(wanted)
-                    levels = [np.zeros(len(h), np.uint8) for _, h in wanted.keys]
+                    kept, by_part = (tokens, owner.astype(np.int64), rids, wanted), parts_of(wanted)
+                    levels = [np.zeros(len(wanted.keys[kind]), np.uint8) for kind in (UNI, PAIR, TRI, UNI, TRI)]
                     continue
-                for own, at, found in zip(levels, by_part, pickle.loads(data.as_py()), strict=True):
-                    own[at == part.as_py() - 1] = found
+                for own, kind, found in zip(levels, (UNI, PAIR, TRI, UNI, TRI), pickle.loads(data.as_py()), strict=True):
+                    own[by_part[kind] == part.as_py() - 1] = found
         if kept:
             yield done()
 
