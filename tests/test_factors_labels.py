@@ -44,6 +44,9 @@ def test_derived_factors_and_time_of_day(spark):
     cols = {"vwap": 2.0, "mid": 4.0, "spread": 1.0, "imbalance": -0.5, "log_return": -0.1, "vol_1m_lag0": 1.0, "vol_5m_lag0": 2.0, "vol_30m_lag0": 4.0, "vol_60m_lag0": 8.0, "vol_120m_lag0": 0.0}
     df = spark.createDataFrame([(at(3600 * 6), *cols.values())], "ts timestamp_ntz, " + ", ".join(f"{c} double" for c in cols))
     r = derived_factors(df).first()
+    assert r.vwap_mid_diff == pytest.approx(-0.5)  # a share of mid
+    zero = derived_factors(df.withColumn("mid", F.lit(0.0))).first()
+    assert zero.spread_pct == math.inf and zero.vwap_mid_diff == math.inf
     assert r.spread_pct == pytest.approx(0.25) and r.vol_ratio_1_5 == pytest.approx(0.5) and r.vol_ratio_5_60 == pytest.approx(0.25)
     assert r.vol_ratio_30_120 == pytest.approx(4e9) and r.imbalance_sq == 0.25 and r.abs_imbalance == 0.5 and r.lr_abs == 0.1
     assert (r.hour, r.minute) == (6, 0) and r.tod_sin == pytest.approx(1) and r.tod_cos == pytest.approx(0, abs=1e-9)
@@ -96,6 +99,12 @@ def test_lags(spark):
         lag_features(grid(spark), "v", ["30s"], ["symbol"])
     with pytest.raises(ValueError):
         lag_features(grid(spark, 1), "v", ["20s"], ["symbol"])
+    gap = grid(spark, 40, skip=(20,))
+    with pytest.raises(ValueError):  # a missing row makes a lag too long
+        lag_features(gap, "v", ["1m"], ["symbol"])
+    assert lag_features(gap, "v", ["1m"], ["symbol"], check=False).count() == 39
+    long = lag_features(grid(spark, 500), "v", ["1m"], ["symbol"])  # over many time buckets
+    assert long.where("v_lag1m <> v - 3 or (v_lag1m is null and v > 2)").isEmpty()
 
 
 @pytest.mark.parametrize(("how", "n"), [("left", 6), ("right", 4), ("inner", 3), ("full", 7), ("cross", 24)])

@@ -24,6 +24,21 @@ def test_qlike_is_clipped_at_zero_predictions(spark):
     assert r.qlike == pytest.approx(2 - math.log(2) - 1)
 
 
+def test_bucketed_qlike_keeps_rows_of_zero(spark):
+    df = spark.createDataFrame([(T0, 0.0, 1.0), (T0, 1.0, 1.0)], "ts timestamp_ntz, y_true double, y_pred double")
+    assert bucketed(df, "5m", []).first().qlike == pytest.approx((-math.log(1e-12) - 1) / 2, rel=1e-6)
+
+
+def test_top_features_follow_the_column_asked_for(spark):
+    df = spark.createDataFrame([("a", "w", 9.0, 1), ("b", "w", 1.0, 9)], "feature string, block_name string, importance_gain double, importance_split long")
+    for col, best in ((importance.GAIN, "a"), (importance.SPLIT, "b")):
+        assert [r.feature for r in importance.importance_heatmap(df, 1, col=col).collect()] == [best]
+    only = df.drop(importance.GAIN)
+    assert importance.importance_heatmap(only, 1, col=importance.SPLIT).first().feature == "b"
+    with pytest.raises(ValueError):
+        importance.importance_heatmap(only, 1)
+
+
 def test_models_and_all(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0, 3.0), ("b", 2.0, 3.0, 2.0)], "symbol string, y_true double, m1 double, m2 float")
     got = {(r.symbol, r.model): r.mae for r in evaluate_all(df, ["m1", "m2"]).collect()}

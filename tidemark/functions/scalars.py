@@ -34,6 +34,18 @@ def r6(x: Column) -> Column:
     return F.floor(x * 1e6 + 0.5) / 1e6 + 0.0
 
 
+def quotient(x: Column, y: Column) -> Column:
+    """x / y as floating point has it: a zero divisor gives an infinity, or NaN for 0 / 0; nulls stay null."""
+    over_zero = F.when(x > 0, float("inf")).when(x < 0, float("-inf")).when(x == 0, float("nan"))
+    return F.when(y != 0, F.try_divide(x, y)).when(y == 0, over_zero)
+
+
+def r9(x: Column) -> Column:
+    """Rounded half up to nine significant digits, for values of any size; what is infinite becomes null."""
+    size = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))).cast("double"))
+    return F.when(x == 0, 0.0).when(F.abs(x) != float("inf"), F.floor(x / size * 1e8 + 0.5) / 1e8 * size)
+
+
 def no_nulls(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Rows without a null in ``cols`` (all columns by default); NaN is a value and stays."""
     cols = cols or df.columns

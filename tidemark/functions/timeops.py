@@ -63,6 +63,11 @@ def epoch_us(col: Column | str) -> Column:
     return (since.cast("interval second").cast("decimal(18,6)") * 1_000_000).cast("long")
 
 
+def ticks(df: DataFrame, col: str) -> Column:
+    """A time in microseconds, or a whole number as it is."""
+    return F.col(col).cast("long") if isinstance(df.schema[col].dataType, T.IntegralType) else epoch_us(col)
+
+
 def from_us(col: Column | str) -> Column:
     """TIMESTAMP_NTZ of microseconds since 1970."""
     us = F.col(col) if isinstance(col, str) else col

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scalars import finite_or_null, ratio, sum_of
+from tidemark.functions.scalars import finite_or_null, quotient, ratio, sum_of
 from tidemark.functions.timeops import epoch_us, to_us
 from tidemark.operators.checks import require_columns, require_rows
 
@@ -50,12 +50,15 @@ def log_return(df: DataFrame, col: str, by: list[str], ts: str = "ts", name: str
 
 
 def derived_factors(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Ratios and squares of the base factors and of the volatilities ``vol_*m_lag0``; with time-of-day columns if ``ts`` is a time."""
+    """Ratios and squares of the base factors and of the volatilities ``vol_*m_lag0``; with time-of-day columns if ``ts`` is a time.
+
+    Spread and vwap's distance are shares of mid (infinite where mid is 0); volatilities are divided by one that is lifted by ``EPS``.
+    """
     c = F.col
     over = lambda x, y: c(x) / (c(y) + EPS)
     made = {
-        "spread_pct": over("spread", "mid"),
-        "vwap_mid_diff": c("vwap") - c("mid"),
+        "spread_pct": quotient(c("spread"), c("mid")),
+        "vwap_mid_diff": quotient(c("vwap") - c("mid"), c("mid")),
         "vol_ratio_1_5": over("vol_1m_lag0", "vol_5m_lag0"),
         "vol_ratio_5_30": over("vol_5m_lag0", "vol_30m_lag0"),
         "vol_ratio_5_60": over("vol_5m_lag0", "vol_60m_lag0"),

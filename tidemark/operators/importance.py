@@ -31,8 +31,9 @@ def top_features(df: DataFrame, k: int, feature: str = "feature", by: str = "mea
 
 
 def block_importance(df: DataFrame, k: int, feature: str = "feature", block: str = "block_name", col: str = GAIN) -> DataFrame:
-    """(feature, block, value) of the top features, 0 where a block lacks one; long form of lines and heatmaps."""
-    top = top_features(df, k, feature).select(feature)
+    """(feature, block, value) of the features whose mean of ``col`` is largest, 0 where a block lacks one; long form of lines and heatmaps."""
+    require_columns(df, [col], "importances")
+    top = top_features(df, k, feature, f"mean_{col.removeprefix('importance_')}").select(feature)
     kept = df.join(F.broadcast(top), feature)  # k rows
     cells = top.join(kept.select(block).distinct(), F.lit(True))  # k features x blocks that are reported
     sums = kept.groupBy(feature, block).agg(F.sum(col).alias("value"))

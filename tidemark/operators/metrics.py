@@ -18,9 +18,9 @@ def qlike(y: Column, p: Column, eps: float = EPS) -> Column:
 
 
 def qlike_plain(y: Column, p: Column, eps: float = EPS) -> Column:
-    """The bucketed form: ratio y / (p + eps), not squared; null unless positive."""
-    r = y / (p + eps)
-    return F.when(r > 0, r - F.ln(r) - 1)
+    """The bucketed form: r - ln(r + eps) - 1 with r = y / (p + eps), not squared; null where r + eps isn't positive."""
+    r = ratio(y, p + eps)
+    return F.when(r + eps > 0, r - F.ln(r + eps) - 1)
 
 
 def correlation(y: Column, p: Column) -> Column:
