@@ -2,9 +2,11 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import neighbors
 from tidemark.operators.neighbors import nearest, neighbor_block, symbol_neighbors, time_neighbors
 from tidemark.operators.shape import pivot_feature, unpivot_long
 
@@ -80,3 +82,26 @@ def test_pivot_fills_means_and_unpivots(spark):
     wide = pivot_feature(df, "x", ["a.b", "c"])
     assert {r.ts: (r["a.b"], r["c"]) for r in wide.collect()} == {at(0): (1.0, 5.0), at(1): (3.0, 5.0)}
     assert sorted(tuple(r) for r in unpivot_long(wide, ["a.b", "c"], "x").collect()) == [("a.b", at(0), 1.0), ("a.b", at(1), 3.0), ("c", at(0), 5.0), ("c", at(1), 5.0)]
+
+
+def test_metrics(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "key int, vector array<double>")
+    w = np.array([4.0, 1.0, 0.25])
+    cases = {
+        ("cosine", None): 1 - (x @ x.T) / np.outer(*[np.linalg.norm(x, axis=1)] * 2),
+        ("manhattan", None): np.abs(x[:, None] - x).sum(2),
+        ("chebyshev", None): np.abs(x[:, None] - x).max(2),
+        ("minkowski", "w"): (w * (x[:, None] - x) ** 2).sum(2),
+        ("seuclidean", "V"): ((x[:, None] - x) ** 2 / w).sum(2),
+    }
+    for (metric, param), far in cases.items():
+        p, moved = neighbors.metric_space(metric, 2, {param: w.tolist()} if param else None)
+        placed = df.select("key", moved(F.col("vector")).alias("vector"))
+        got = {(r.key, r["rank"]): r.neighbor for r in neighbors.nearest(placed, placed, 3, p, exclude_self=True).collect()}
+        np.fill_diagonal(far, np.inf)
+        want = {(i, k + 1): int(j) for i in range(60) for k, j in enumerate(np.argsort(far[i], kind="stable")[:3])}
+        assert got == want, metric
+    with pytest.raises(ValueError):
+        neighbors.metric_space("jaccard")

@@ -56,6 +56,41 @@ def test_volatility_files(spark, tmp_path):
         raw.align_volatility(vol.where("vol_5m <> 2"), "20ms", ["symbol", "date"])
 
 
+def test_nanosecond_grid(spark):
+    ns = 1_704_153_600_000_000_000
+    vol = spark.createDataFrame([("a", ns + k, float(k)) for k in (0, 1, 20_000_000, 20_000_001)], "symbol string, timestamp long, vol_5m double")
+    got = {r.ts_grid.microsecond: r.vol_5m for r in raw.align_volatility(vol, "20ms", ["symbol"], check=False).collect()}
+    assert got == {0: 0.0, 20_000: 20_000_000.0, 40_000: 20_000_001.0}
+    with pytest.raises(ValueError):  # uneven by a nanosecond
+        raw.align_volatility(vol.where("vol_5m in (0, 20000000)").unionAll(vol.where("vol_5m = 20000001").withColumn("timestamp", F.col("timestamp") + 20_000_000)), "20ms", ["symbol"])
+
+
+def test_snapshots_of_other_column_order(spark, tmp_path):
+    names = book_columns()
+    for name, order in (("a", names), ("b", names[::-1])):
+        (tmp_path / f"{name}.csv").write_text(",".join(["timestamp", *order]) + "\n" + ",".join(["1000", *[str(names.index(c)) for c in order]]) + "\n")
+    rows = raw.read_snapshots(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()
+    assert len(rows) == 2 and all(r["bids[24].amount"] == names.index("bids[24].amount") and r["asks[0].price"] == 0 for r in rows)
+
+
+def test_result_files_and_features(spark, tmp_path):
+    for name, d in (("AAA", 1.0), ("BBB", 0.5)):
+        spark.createDataFrame([(0.0, d), (1.0, 1 + d)], "y_true double, y_pred double").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    got = tables.evaluate_files(spark, [str(tmp_path)]).collect()
+    assert [(r.symbol, r.rmse) for r in got] == [("BBB", 0.5), ("AAA", 1.0)]
+    found = tables.read_features(spark, {"y_pred": f"{tmp_path}/AAA", "gone": f"{tmp_path}/CCC"}, ["y_true"])
+    assert list(found) == ["y_pred"]
+
+
+def test_previous_day_tail(spark, tmp_path):
+    import datetime as dt
+
+    rows = [(dt.date(2024, 1, 1), dt.datetime(2024, 1, 1, h), h) for h in range(4)]
+    tables.write_table(spark.createDataFrame(rows, "date date, block_start timestamp_ntz, x int"), str(tmp_path), "blocks")
+    assert [t.hour for t in tables.previous_day_tail(spark, str(tmp_path), "2024-01-02", 2)] == [2, 3]
+    assert tables.previous_day_tail(spark, str(tmp_path), "2024-01-05", 2) == []
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x long").withColumn("date", F.col("ts").cast("date"))
 

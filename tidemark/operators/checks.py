@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.functions.timeops import duration_us, epoch_us
+from tidemark.functions.timeops import DAY_US, duration_us, epoch_us, floor_us, ticks
 
 
 def require_columns(df: DataFrame, names: list[str], what: str = "input") -> None:
@@ -21,15 +22,35 @@ def require_known(names: list[str], known: list[str], what: str) -> None:
         raise ValueError(f"unknown {what}: {unknown}; allowed are {sorted(known)}")
 
 
-def steps(df: DataFrame, ts: str = "ts", by: tuple[str, ...] = ()) -> DataFrame:
-    """(step, n): distances in microseconds between neighbouring times of each entity, with their counts."""
-    order = Window.partitionBy(*by).orderBy("_us") if by else Window.partitionBy(F.lit(0)).orderBy("_us")
-    us = df.select(*by, epoch_us(ts).alias("_us"))
-    return us.select((F.col("_us") - F.lag("_us").over(order)).alias("step")).where("step is not null").groupBy("step").agg(F.count("*").alias("n"))
+def steps(df: DataFrame, ts: str = "ts", by: tuple[str, ...] = (), bucket: str | int = DAY_US) -> DataFrame:
+    """(step, n): distances between neighbouring times of each entity, with their counts; in microseconds, or in a whole number's own unit."""
+    return _steps(df, ts, by, bucket).groupBy("step").agg(F.count("*").alias("n"))
+
+
+def even_groups(df: DataFrame, by: tuple[str, ...], ts: str = "ts") -> DataFrame:
+    """The entities whose times are evenly spaced (two times at least), for runs that leave out the others."""
+    return _steps(df, ts, by).groupBy(*by).agg(F.min("step").alias("_a"), F.max("step").alias("_b")).where("_a = _b").select(*by)
+
+
+def _steps(df: DataFrame, ts: str, by: tuple[str, ...], bucket: str | int = DAY_US) -> DataFrame:
+    """The entity and the distance, for each two neighbouring times.
+
+    Rows are dealt to (entity, time bucket), so that one long entity isn't sorted by one task; the step into a bucket is
+    found over one summary row per bucket.
+    """
+    plain = isinstance(df.schema[ts].dataType, T.IntegralType)
+    width = duration_us(bucket) * (1000 if plain else 1)
+    rows = df.select(*by, ticks(df, ts).alias("_us")).where("_us is not null").withColumn("_bucket", floor_us(F.col("_us"), width))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_us")
+    own = rows.select(*by, (F.col("_us") - F.lag("_us").over(inside)).alias("step"))
+    ends = rows.groupBy(*by, "_bucket").agg(F.min("_us").alias("_a"), F.max("_us").alias("_b"))
+    across = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket")
+    between = ends.select(*by, (F.col("_a") - F.lag("_b").over(across)).alias("step"))
+    return own.unionAll(between).where("step is not null")
 
 
 def require_even(df: DataFrame, ts: str = "ts", by: tuple[str, ...] = (), step: str | int | None = None) -> int:
-    """The one step between neighbouring times; raises if there are several, none, or another than ``step``."""
+    """The one step between neighbouring times; raises if there are several, none, or another than ``step``. Whole numbers keep their unit."""
     found = [r.step for r in steps(df, ts, by).limit(2).collect()]
     if len(found) != 1:
         raise ValueError("times are not evenly spaced" if found else "fewer than two times")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timeops import duration_us, epoch_us
 from tidemark.operators.checks import divisible, require_aligned, require_even, require_known
+from tidemark.operators.resample import with_halo
 
 JOINS = ("left", "right", "full", "inner", "cross")
 
@@ -35,8 +36,12 @@ def forward_labels(df: DataFrame, cols: list[str], ahead: str | int, by: list[st
         raise ValueError("an unchecked grid needs a step")
     width = require_even(df, ts, tuple(by), step) if check else duration_us(step)
     k = divisible(ahead, width)
-    order = Window.partitionBy(*by).orderBy(ts)
-    return df.select("*", *[F.lead(c, k).over(order).alias(f"{prefix}{c}") for c in cols])
+    if not check:
+        order = Window.partitionBy(*by).orderBy(ts)
+        return df.select("*", *[F.lead(c, k).over(order).alias(f"{prefix}{c}") for c in cols])
+    near, inside = with_halo(df, duration_us(ahead), by, ts, back=False), Window.partitionBy(*by, "_in").orderBy("_us")
+    out = near.select("*", *[F.lead(c, k).over(inside).alias(f"{prefix}{c}") for c in cols]).where("_in = _own")
+    return out.drop("_us", "_own", "_in")
 
 
 def forward_labels_by_time(df: DataFrame, cols: list[str], ahead: str | int, by: list[str], ts: str = "ts", prefix: str = "y_") -> DataFrame:
@@ -51,8 +56,11 @@ def label_join(origin: DataFrame, vol: DataFrame, cols: list[str], ahead: str |
     return origin.join(shifted, [*by, ts], how)
 
 
-def lag_features(df: DataFrame, col: str, lags: list[str], by: list[str], ts: str = "ts", prefix: str | None = None, step: int | None = None) -> DataFrame:
-    """``prefix_lag<d>``: the value d earlier, counted in rows of the median step. A ``_lag0`` at the name's end goes."""
+def lag_features(df: DataFrame, col: str, lags: list[str], by: list[str], ts: str = "ts", prefix: str | None = None, step: int | None = None, check: bool = True) -> DataFrame:
+    """``prefix_lag<d>``: the value d earlier, counted in rows of the median step. A ``_lag0`` at the name's end goes.
+
+    With ``check`` each lag's row must lie exactly d back (a missing row raises); rows of a group's start have no lag.
+    """
     if step is None:
         order = Window.partitionBy(*by).orderBy(ts)
         gaps = df.select((epoch_us(ts) - F.lag(epoch_us(ts)).over(order)).alias("gap"))
@@ -61,4 +69,16 @@ def lag_features(df: DataFrame, col: str, lags: list[str], by: list[str], ts: st
             raise ValueError("fewer than two times")
         step = int(got)
     name, order = (prefix or col).removesuffix("_lag0"), Window.partitionBy(*by).orderBy(ts)
-    return df.select("*", *[F.lag(col, divisible(d, step)).over(order).alias(f"{name}_lag{d}") for d in lags])
+    rows = {d: divisible(d, step) for d in lags}
+    if not check:
+        return df.select("*", *[F.lag(col, n).over(order).alias(f"{name}_lag{d}") for d, n in rows.items()])
+    near, inside = with_halo(df, max(map(duration_us, lags)), by, ts), Window.partitionBy(*by, "_in").orderBy("_us")
+    made = [(F.lag(col, n).over(inside).alias(f"{name}_lag{d}"), F.lag("_us", n).over(inside).alias(f"_at{k}")) for k, (d, n) in enumerate(rows.items())]
+    out = near.select("*", *[c for both in made for c in both]).where("_in = _own")
+    # off the grid: a row that lies elsewhere than d back, or none there although the group began by then
+    firsts = df.groupBy(*by).agg(F.min(epoch_us(ts)).alias("_first"))
+    off = [F.coalesce(F.col("_us") - F.col(f"_at{k}") != duration_us(d), F.col("_us") - duration_us(d) >= F.col("_first")) for k, d in enumerate(rows)]
+    bad = out.join(firsts, by).agg(*[F.count_if(x).alias(d) for d, x in zip(rows, off, strict=True)]).first().asDict()
+    if any(bad.values()):
+        raise ValueError(f"rows whose lag isn't exactly as long as wanted: {bad}")
+    return out.drop("_us", "_own", "_in", *[f"_at{k}" for k in range(len(rows))])

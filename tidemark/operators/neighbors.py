@@ -36,6 +36,33 @@ def _best(q: np.ndarray, t: np.ndarray, keys: np.ndarray, n: int, p: float) -> t
     return at, far
 
 
+#: Metrics that are Minkowski distances of some p.
+METRICS = {"euclidean": 2, "l2": 2, "manhattan": 1, "cityblock": 1, "l1": 1, "chebyshev": float("inf"), "infinity": float("inf")}
+
+
+def metric_space(metric: str = "minkowski", p: float = 2, params: dict | None = None):
+    """(p, function of an array column): the space in which the metric is a Minkowski distance.
+
+    ``params``: ``w``, weights of the coordinates, or ``V``, their variances (seuclidean). Cosine distances order points as
+    Euclidean ones between unit vectors do. Other metrics raise.
+    """
+    params = params or {}
+    if metric == "cosine":
+        norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
+        return 2, lambda x: F.transform(x, lambda v: F.try_divide(v, norm(x)))
+    if metric == "seuclidean":
+        scale, p = [1 / v**0.5 for v in params["V"]], 2
+    elif metric == "minkowski" or metric in METRICS:
+        p = METRICS.get(metric, p)
+        scale = [w if np.isinf(p) else w ** (1 / p) for w in params["w"]] if "w" in params else None
+    else:
+        raise ValueError(f"unknown metric {metric!r}; known are cosine, minkowski, seuclidean, {', '.join(sorted(METRICS))}")
+    if scale is None:
+        return p, lambda x: x
+    factors = F.array(*[F.lit(float(s)) for s in scale])
+    return p, lambda x: F.zip_with(x, factors, lambda v, s: v * s)
+
+
 def nearest(query: DataFrame, train: DataFrame, n: int, p: float = 2, key: str = "key", vector: str = "vector", cell: int = CELL, exclude_self: bool = False) -> DataFrame:
     """(key, rank, neighbor, distance): each query's ``n`` nearest rows of ``train`` by Minkowski-p, ties to the smaller key.
 
@@ -96,10 +123,10 @@ def nearest(query: DataFrame, train: DataFrame, n: int, p: float = 2, key: str =
     return found.select(F.col("_q").alias(key), "rank", F.col("_t").alias("neighbor"), F.col("_d").alias("distance"))
 
 
-def time_neighbors(train: DataFrame, query: DataFrame, feature: str, counts: list[int], base: list[str] | None = None, p: float = 2, ts: str = "ts", symbol: str = "symbol", agg=F.avg) -> DataFrame:
+def time_neighbors(train: DataFrame, query: DataFrame, feature: str, counts: list[int], base: list[str] | None = None, p: float = 2, ts: str = "ts", symbol: str = "symbol", agg=F.avg, metric: str = "minkowski", metric_params: dict | None = None) -> DataFrame:
     """``{feature}_time_nn{n}_mean`` for every query time and symbol, all n from one search at the largest.
 
-    Times are points whose coordinates are the base symbols' values; a feature is the ``agg`` of a
+    Times are points whose coordinates are the base symbols' values, their distances as in ``metric_space``; a feature is the ``agg`` of a
     symbol's train values at the n nearest train times. With fewer than n train times all count.
     """
     symbols = common_symbols(train, query, symbol)
@@ -107,7 +134,8 @@ def time_neighbors(train: DataFrame, query: DataFrame, feature: str, counts: lis
     if not base:
         raise ValueError("no base symbol among the common ones")
     train_wide, query_wide = (pivot_feature(df, feature, symbols, ts, symbol) for df in (train, query))
-    point = F.array(*[F.col(f"`{s}`") for s in base])
+    p, moved = metric_space(metric, p, metric_params)
+    point = moved(F.array(*[F.col(f"`{s}`") for s in base]))
     found = nearest(query_wide.select(F.col(ts).alias("key"), point.alias("vector")), train_wide.select(F.col(ts).alias("key"), point.alias("vector")), max(counts), p)
     values = unpivot_long(train_wide, symbols, "_value", ts, symbol).withColumnRenamed(ts, "neighbor")
     name = getattr(agg, "__name__", "mean").replace("avg", "mean")
@@ -115,7 +143,7 @@ def time_neighbors(train: DataFrame, query: DataFrame, feature: str, counts: lis
     return found.join(values, "neighbor").groupBy(F.col("key").alias(ts), symbol).agg(*made)
 
 
-def symbol_neighbors(train: DataFrame, query: DataFrame, feature: str, counts: list[int], base: list[str], p: float = 2, ts: str = "ts", symbol: str = "symbol", agg=F.avg) -> DataFrame:
+def symbol_neighbors(train: DataFrame, query: DataFrame, feature: str, counts: list[int], base: list[str], p: float = 2, ts: str = "ts", symbol: str = "symbol", agg=F.avg, metric: str = "minkowski") -> DataFrame:
     """``{feature}_symbol_nn{n}_mean``: a symbol's nearest base symbols by their train paths, itself left out; their values at the query time.
 
     A base symbol without another has its own value; other symbols without a neighbour NaN.
@@ -125,6 +153,11 @@ def symbol_neighbors(train: DataFrame, query: DataFrame, feature: str, counts: l
     if not base:
         raise ValueError("no base symbol among the common ones")
     paths = unpivot_long(pivot_feature(train, feature, symbols, ts, symbol), symbols, "_value", ts, symbol)
+    if metric == "cosine":
+        norms = paths.groupBy(symbol).agg(F.sqrt(F.sum(F.col("_value") * F.col("_value"))).alias("_norm"))
+        paths = paths.join(norms, symbol).select(symbol, ts, F.try_divide("_value", "_norm").alias("_value"))
+    else:
+        p, _ = metric_space(metric, p)
     others = paths.where(F.col(symbol).isin(base)).select(ts, F.col(symbol).alias("_base"), F.col("_value").alias("_b"))
     apart = F.abs(F.col("_value") - F.col("_b"))
     far = F.max(apart) if np.isinf(p) else F.sum(apart * apart if p == 2 else F.pow(apart, F.lit(float(p))))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import no_nulls
-from tidemark.functions.timeops import ceil_us, duration_us, epoch_us, floor_us, from_us
+from tidemark.functions.timeops import DAY_US, ceil_us, duration_us, epoch_us, floor_us, from_us, ticks
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,29 @@ def downsample_left(df: DataFrame, width: str | int, by: list[str], cols: list[s
     return df.groupBy(*by, start.alias("_start")).agg(*[F.avg(c).alias(c) for c in cols]).withColumnRenamed("_start", ts)
 
 
+def with_halo(df: DataFrame, reach: int, by: list[str], ts: str = "ts", back: bool = True, buckets: int = 64) -> DataFrame:
+    """Rows with ``_us``, their own time bucket ``_own`` and the bucket ``_in`` that they are dealt to.
+
+    A bucket also gets the rows up to ``reach`` microseconds before it (behind it, if not ``back``), so that windows of
+    that width over (``by``, ``_in``) are whole for its own rows. A hot group is spread over as many tasks as it has buckets.
+    """
+    width = max(1, reach + 1) * buckets
+    us = epoch_us(ts)
+    own, other = floor_us(us, width), floor_us(us + reach if back else us - reach, width)
+    return df.withColumn("_us", us).withColumn("_own", own).withColumn("_in", F.explode(F.when(own == other, F.array(own)).otherwise(F.array(own, other))))
+
+
+def previous(df: DataFrame, col: str, by: list[str], ts: str = "ts", tie: list[str] | None = None, name: str = "previous", bucket: str | int = DAY_US) -> DataFrame:
+    """The value of the row before, in its group. Rows are dealt to (group, time bucket); a bucket's last row is carried to the next by a row per bucket."""
+    order, by_bucket = [ts, *(tie or [])], [*by, "_bucket"]
+    rows = df.withColumn("_bucket", floor_us(ticks(df, ts), duration_us(bucket)))
+    own = F.lag(F.struct(F.col(col).alias("x"))).over(Window.partitionBy(*by_bucket).orderBy(*order))
+    ends = rows.groupBy(*by_bucket).agg(F.max_by(F.struct(F.col(col).alias("x")), F.struct(*order)).alias("_end"))
+    ends = ends.select(*by_bucket, F.lag("_end").over(Window.partitionBy(*by).orderBy("_bucket")).alias("_carried"))
+    out = rows.withColumn("_before", own).join(ends, by_bucket, "left")
+    return out.select(*df.columns, F.coalesce("_before", "_carried")["x"].alias(name))
+
+
 def rolling_trailing(df: DataFrame, width: str | int, by: list[str], plan: list[AggItem], ts: str = "ts", tie: list[str] | None = None, keep: list[str] | None = None, buckets: int = 64, drop_nulls: bool = False) -> DataFrame:
     """For each row the plan over (t - width, t]; rows of equal time see each other.
 
@@ -69,9 +92,7 @@ def rolling_trailing(df: DataFrame, width: str | int, by: list[str], plan: list[
     bucket as its halo. So the shuffle grows by 1 / ``buckets`` at most, and a hot group isn't sorted by one task.
     """
     w = duration_us(width)
-    us = epoch_us(ts)
-    own, last = floor_us(us, w * buckets), floor_us(us + w - 1, w * buckets)
-    rows = df.withColumn("_us", us).withColumn("_own", own).withColumn("_in", F.explode(F.when(own == last, F.array(own)).otherwise(F.array(own, last))))
+    rows = with_halo(df, w - 1, by, ts, buckets=buckets)
     frame = Window.partitionBy(*by, "_in").orderBy("_us").rangeBetween(-(w - 1), 0)
     ranked = F.struct("_us", *(tie or []))
     make = {

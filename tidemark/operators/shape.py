@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.timeops import DAY_US, duration_us, floor_us, ticks
+
 
 def symbols_of(df: DataFrame, symbol: str = "symbol", most: int = 5_000) -> list[str]:
     """Sorted distinct symbols for explicit pivot columns; more than ``most`` raise."""
@@ -23,9 +25,13 @@ def common_symbols(train: DataFrame, query: DataFrame, symbol: str = "symbol") -
     return both
 
 
-def pivot_feature(df: DataFrame, feature: str, symbols: list[str], ts: str = "ts", symbol: str = "symbol", fill_mean: bool = True) -> DataFrame:
-    """One row a time, one column a symbol, first value each; what is missing gets the column's mean."""
-    wide = df.groupBy(ts).pivot(symbol, symbols).agg(F.first(feature, ignorenulls=True))
+def pivot_feature(df: DataFrame, feature: str, symbols: list[str], ts: str = "ts", symbol: str = "symbol", fill_mean: bool = True, tie: list[str] | None = None) -> DataFrame:
+    """One row a time, one column a symbol; what is missing gets the column's mean.
+
+    Of several rows of one time and symbol the first by ``tie`` counts (without it, the least value): no result hangs on the shuffle.
+    """
+    value = F.col(f"`{feature}`")
+    wide = df.groupBy(ts).pivot(symbol, symbols).agg(F.min_by(value, F.when(value.isNotNull(), F.struct(*(tie or []), value))))
     if not fill_mean:
         return wide
     means = wide.agg(*[F.avg(f"`{s}`").alias(f"_m{k}") for k, s in enumerate(symbols)])
@@ -54,14 +60,22 @@ def union_widened(frames: list[DataFrame]) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
-    """``n`` rows by the least hash of their key: the same rows at every run and partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
-
-
-def stride_sample(df: DataFrame, every: int, order: list[str], by: list[str]) -> DataFrame:
-    """Rows 0, ``every``, 2 * ``every`` ... of each group."""
-    k = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return df.withColumn("_k", k).where(F.col("_k") % every == 0).drop("_k")
+    """``n`` rows by the least MD5 of seed and key, joined by colons: the same rows at every run and partitioning, and in any engine."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in key])), *key).limit(n)
+
+
+def stride_sample(df: DataFrame, every: int, order: list[str], by: list[str], bucket: str | int = DAY_US) -> DataFrame:
+    """Rows 0, ``every``, 2 * ``every`` ... of each group, by ``order`` (a time or whole number first).
+
+    Rows are numbered within time buckets; how many come before a bucket is summed over a row per bucket.
+    """
+    by_bucket = [*by, "_bucket"]
+    rows = df.withColumn("_bucket", floor_us(ticks(df, order[0]), duration_us(bucket)))
+    sizes = rows.groupBy(*by_bucket).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*by_bucket, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    k = F.row_number().over(Window.partitionBy(*by_bucket).orderBy(*order)) - 1
+    return rows.withColumn("_k", k).join(sizes, by_bucket).where((F.col("_before") + F.col("_k")) % every == 0).select(*df.columns)
 
 
 def normalised(df: DataFrame, col: str, by: list[str], name: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.timeops import ceil_us, duration_us, epoch_us, floor_us, from_ns, from_us
+from tidemark.functions.timeops import ceil_us, duration_ns, duration_us, epoch_us, floor_us, from_ns, from_us
 from tidemark.operators.asof import locf_grid
 from tidemark.operators.checks import require_even
 from tidemark.operators.factors import book_columns
-from tidemark.operators.resample import bucket_last_ceil, last_by_time
+from tidemark.operators.resample import last_by_time
 
 #: Columns of a volatility series.
 VOL_COLUMNS = ["vol_1m", "vol_5m", "vol_10m", "vol_15m", "vol_30m", "vol_60m", "vol_120m"]
@@ -32,14 +33,22 @@ def snapshot_path(root: str, symbol: str, date: str) -> str:
 
 
 def read_snapshots(spark: SparkSession, paths: list[str], columns: list[str] | None = None, timestamp: str = "timestamp") -> DataFrame:
-    """CSV book snapshots (also gz or zst) with an explicit schema: int64 microseconds, doubles; ``ts`` is added."""
+    """CSV book snapshots (also gz or zst) with an explicit schema: int64 microseconds, doubles; ``ts`` is added.
+
+    Columns are found by name, in each file's own order: files are grouped by their header row, which is read first.
+    """
     wanted = columns or book_columns()
     known = T.StructType([T.StructField(timestamp, T.LongType()), *[T.StructField(c, T.DoubleType()) for c in book_columns()]])
-    # columns are found by name: a header row says which are there and in what order
-    head = spark.read.option("header", True).csv(paths[0]).columns
-    schema = T.StructType([known[c] if c in known.names else T.StructField(c, T.StringType()) for c in head])
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(paths)
-    return df.select(timestamp, from_us(F.col(timestamp)).alias("ts"), *[f"`{c}`" for c in wanted])
+    alike: dict[tuple, list[str]] = {}
+    for path in paths:
+        alike.setdefault(tuple(spark.read.option("header", True).csv(path).columns), []).append(path)
+
+    def read(head: tuple, files: list[str]) -> DataFrame:
+        schema = T.StructType([known[c] if c in known.names else T.StructField(c, T.StringType()) for c in head])
+        df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(files)
+        return df.select(timestamp, from_us(F.col(timestamp)).alias("ts"), *[f"`{c}`" for c in wanted])
+
+    return reduce(DataFrame.unionByName, (read(head, files) for head, files in alike.items()))
 
 
 def load_snapshot(spark: SparkSession, root: str, symbol: str, date: str, columns: list[str] | None = None, subsample: str | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
@@ -95,11 +104,14 @@ def ingest_volatility(spark: SparkSession, pattern: str, columns: list[str] | No
 
 
 def align_volatility(vol: DataFrame, resolution: str | int, by: list[str], check: bool = True) -> DataFrame:
-    """Volatility on its grid: the last row of each right-closed bucket, labelled ``ts_grid``; steps must be even."""
-    df = vol.withColumn("ts", from_ns(F.col("timestamp")))
+    """Volatility on its grid: the last row of each right-closed bucket, labelled ``ts_grid``; steps must be even.
+
+    Steps and buckets are those of the nanoseconds: only the grid point becomes a time.
+    """
     if check:
-        require_even(df, "ts", tuple(by))
-    return bucket_last_ceil(df, resolution, by, ["timestamp"]).drop("ts")
+        require_even(vol, "timestamp", tuple(by))
+    grid = from_ns(ceil_us(F.col("timestamp"), duration_ns(resolution)))
+    return last_by_time(vol.withColumn("ts_grid", grid), [*by, "ts_grid"], ["timestamp"])
 
 
 def on_grid(ts: Column, step: str | int, up: bool = False) -> Column:

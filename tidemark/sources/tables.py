@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeops import duration_us
+from tidemark.operators.checks import require_columns
+from tidemark.operators.metrics import evaluate
 from tidemark.operators.shape import union_widened
 from tidemark.sources.raw import _exists
 
@@ -91,6 +95,39 @@ def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
     return union_widened(frames)
 
 
+def evaluate_files(spark: SparkSession, paths: list[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
+    """Metrics of each result file, best first: pred_file, folder, symbol (the rows' own, or the folder's name where they have none)."""
+    df = read_results(spark, paths)
+    require_columns(df, [y, p], "results")
+    folder = F.element_at(F.split("pred_file", "/"), -2)
+    own = F.col("symbol").cast("string") if "symbol" in df.columns else F.lit(None).cast("string")
+    names = df.groupBy("pred_file").agg(F.coalesce(F.min(own), F.first(folder)).alias("symbol"), F.first(folder).alias("folder"))
+    return evaluate(df, ["pred_file"], y, p).join(names, "pred_file").orderBy("rmse", "pred_file")
+
+
+def read_features(spark: SparkSession, paths: dict[str, str], columns: list[str]) -> dict[str, DataFrame]:
+    """A frame for each feature whose table is there and has rows; absent and empty ones are left out."""
+    frames = {f: spark.read.parquet(path).select(*columns, f) for f, path in paths.items() if _exists(spark, path)}
+    return {f: df for f, df in frames.items() if not df.isEmpty()}
+
+
+def previous_day_tail(spark: SparkSession, root: str, day: str, n: int, kind: str = "blocks", block: str = "block_start", freq: str | None = None) -> list:
+    """The last ``n`` blocks stored of the day before; none if that day isn't there."""
+    before = date.fromisoformat(day) - timedelta(days=1)
+    got = read_table(spark, root, kind, freq=freq).where(F.col("date") == F.lit(str(before)).cast("date")).select(block).distinct().orderBy(F.desc(block)).limit(n)
+    return sorted(r[0] for r in got.collect())
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; on one machine a temporary one will do."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        shared = tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
 def feature_columns(df: DataFrame, keys: tuple[str, ...] = ("ts", "symbol", "date"), target: str | None = None) -> list[str]:
     return [c for c in df.columns if c not in keys and c != target]
 
@@ -107,7 +144,7 @@ def write_table(df: DataFrame, root: str, kind: str, mode: str = "overwrite", fr
             return path
         df = df.join(F.broadcast(spark.read.parquet(path).select(*by).distinct()), by, "left_anti")  # one row a partition
     if by:
-        df = df.repartition(*by, F.pmod(F.xxhash64(*[c for c in df.columns if c not in by][:1]), F.lit(8)))
+        df = df.hint("rebalance", *by)  # a partition's rows come together; AQE cuts a large one into files of the advised size
     writer = df.write.option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
     writer = writer.partitionBy(*by) if by else writer
     writer.mode({"overwrite": "overwrite", "skip": "append", "error": "error"}[mode]).parquet(path)
