@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.factors import book_columns
 from tidemark.operators.resample import agg_plan, downsample_left, downsample_right
 from tidemark.plans import models, pipeline
+from tidemark.sources import tables
 from tidemark.streaming.resample import stream_downsample
 
 T0 = dt.datetime(2024, 1, 1)
@@ -56,11 +57,22 @@ def test_raw_to_report(spark, tmp_path):
     assert ready.count() == 3 * 4 * 142 and "mid_time_nn2_mean" in ready.columns and "imbalance_symbol_nn1_mean" in ready.columns
     assert {r.split for r in state.get("dataset").select("split").distinct().collect()} == {"train", "val", "test"}
     assert state.get("metrics_1h").first().n > 0 and math.isfinite(state.get("overall_1h").first().rmse)
+    assert tables.read_json(spark, f"{tmp_path}/1h/meta/run_config.json")["symbol_codes"] == {"A": 0, "B": 1, "C": 2}
+    assert tables.read_json(spark, f"{tmp_path}/meta/train_stage_summary.json")["freqs"]["1h"]["n_windows"] == 1
     frames = pipeline.report(state.get("predictions_1h"), state.get("importance_1h"), 3)
     assert frames["top_features"].count() == 3 and frames["by_symbol"].count() == 3
     assert [x.split(":")[0] for x in said] == ["aligned", "blocks", "all", "ready", "dataset", "train", "all"]
 
 
+def test_uneven_symbols_are_left_out_or_raise(spark):
+    snap, vol = inputs(spark, 1)
+    broken = vol.where("not (symbol = 'B' and hour(ts_grid) = 5)")
+    with pytest.raises(ValueError):
+        pipeline.aligned(snap, broken, VOLS, ["vol_5m"], "20m", levels=2)
+    got = pipeline.aligned(snap, broken, VOLS, ["vol_5m"], "20m", levels=2, on_error="skip")
+    assert {r.symbol for r in got.select("symbol").distinct().collect()} == {"A", "C"}
+
+
 def test_history_is_required(spark):
     snap, vol = inputs(spark, 2)
     df = pipeline.aligned(snap, vol, VOLS, ["vol_5m"], "20m", levels=2)

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.datasets import assembled
 from tidemark.operators.metrics import evaluate
+from tidemark.operators.resample import previous
 
 
 @dataclass(frozen=True)
@@ -45,39 +49,41 @@ def train_boosted(train: DataFrame, features: list[str], target: str, params: Bo
     return model, train.sparkSession.createDataFrame(rows, "feature string, importance_gain double, importance_split long")
 
 
-def predict(model, df: DataFrame, features: list[str], target: str, keep: list[str]) -> DataFrame:
-    return model.transform(assembled(df, features, target)).select(*keep, F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
+def predict(model, df: DataFrame, features: list[str], target: str, keep: list[str], as_float: bool = True) -> DataFrame:
+    return model.transform(assembled(df, features, target, as_float)).select(*keep, F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
 
 
-def train_windows(splits: DataFrame, features: list[str], target: str, keep: list[str], params: BoostParams = BoostParams(), done: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def train_windows(splits: DataFrame, features: list[str], target: str, keep: list[str], params: BoostParams = BoostParams(), done: tuple[str, ...] = (), at_once: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fit on each window's train rows, predict its test rows: (predictions, importances, metrics per window).
 
-    Windows named in ``done`` are left out. A window's model is one Spark job; only window names come to the driver.
+    Windows named in ``done`` are left out. ``splits`` is kept while ``at_once`` windows are fitted side by side, so that
+    one window's small jobs don't leave the cluster idle; only window names come to the driver.
     """
-    names = [r[0] for r in splits.select("window_name").distinct().orderBy("window_name").collect() if r[0] not in done]
-    if not names:
+    splits = splits.persist()
+    sizes = splits.groupBy("window_name").agg(*[F.count_if(F.col("split") == s).alias(s) for s in ("train", "test")]).collect()
+    if not [r for r in sizes if r.window_name not in done]:
         raise ValueError("no window to train")
-    predictions = importances = None
-    for name in names:
-        own = splits.where(F.col("window_name") == name)
-        train, test = own.where("split = 'train'"), own.where("split = 'test'")
-        if train.isEmpty() or test.isEmpty():
-            continue
-        model, gains = train_boosted(train, features, target, params)
-        made = predict(model, test, features, target, keep).withColumn("block_name", F.lit(name))
-        gains = gains.withColumn("block_name", F.lit(name))
-        predictions = made if predictions is None else predictions.unionByName(made)
-        importances = gains if importances is None else importances.unionByName(gains)
-    if predictions is None:
+    names = sorted(r.window_name for r in sizes if r.window_name not in done and r.train and r.test)
+    if not names:
         raise ValueError("every window lacks train or test rows")
+
+    def one(name: str) -> tuple[DataFrame, DataFrame]:
+        own = splits.where(F.col("window_name") == name)
+        model, gains = train_boosted(own.where("split = 'train'"), features, target, params)
+        made = predict(model, own.where("split = 'test'"), features, target, keep)
+        return tuple(df.withColumn("block_name", F.lit(name)) for df in (made, gains))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        made = list(pool.map(inheritable_thread_target(splits.sparkSession)(one), names))
+    predictions, importances = (reduce(DataFrame.unionByName, frames) for frames in zip(*made, strict=True))
     return predictions, importances, evaluate(predictions, ["block_name"])
 
 
 def lag_baseline(df: DataFrame, col: str, by: list[str], ts: str = "ts", tie: list[str] | None = None, name: str = "y_pred") -> DataFrame:
     """The value before as the forecast."""
-    return df.withColumn(name, F.lag(col).over(Window.partitionBy(*by).orderBy(ts, *(tie or []))))
+    return previous(df, col, by, ts, tie, name)
 
 
 def linear_baseline(train: DataFrame, test: DataFrame, features: list[str], target: str, keep: list[str], ridge: float = 0.0) -> DataFrame:
     model = LinearRegression(regParam=ridge).fit(assembled(train, features, target, False).select("features", "label"))
-    return predict(model, test, features, target, keep)
+    return predict(model, test, features, target, keep, False)

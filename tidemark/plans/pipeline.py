@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeops import offset
+from tidemark.functions.timeops import DAY_US, duration_us, offset
 from tidemark.operators.asof import block_of
-from tidemark.operators.checks import require_columns, require_history
+from tidemark.operators.checks import even_groups, require_columns, require_history
 from tidemark.operators.datasets import raw_block, rolling_splits, training_sample, with_day
 from tidemark.operators.factors import base_factors, clip_to, derived_factors, trim_leading
-from tidemark.operators.importance import top_features
+from tidemark.operators.importance import importance_mean, top_features
 from tidemark.operators.labels import feature_join, label_join
 from tidemark.operators.metrics import evaluate, with_errors
 from tidemark.operators.neighbors import neighbor_block
 from tidemark.operators.resample import downsample_left
 from tidemark.plans.models import BoostParams, train_windows
-from tidemark.sources.tables import write_table
+from tidemark.sources.tables import list_partitions, write_json, write_table
 
 #: Base factors that serve as features unless others are named.
 DEFAULT_FEATURES = ("vwap", "imbalance", "spread", "mid", "log_return")
@@ -82,9 +83,16 @@ def manifest(columns: list[str], target: str, keys: tuple[str, ...] = ("ts", "sy
     return [c for c in dict.fromkeys(columns) if c != target and c not in keys]
 
 
-def aligned(snapshots: DataFrame, vol: DataFrame, vol_cols: list[str], label_cols: list[str], ahead: str, levels: int = 25, trim_minutes: int = 15, check: bool = True) -> DataFrame:
-    """Snapshots and volatility of all symbols and days at once: clip, factors, volatilities, derived factors, labels, trim."""
+def aligned(snapshots: DataFrame, vol: DataFrame, vol_cols: list[str], label_cols: list[str], ahead: str, levels: int = 25, trim_minutes: int = 15, check: bool = True, on_error: str = "raise") -> DataFrame:
+    """Snapshots and volatility of all symbols and days at once: clip, factors, volatilities, derived factors, labels, trim.
+
+    A symbol's day whose volatility grid is uneven raises, or is left out if ``on_error`` is skip.
+    """
     by = ["symbol", "date"]
+    if on_error not in ("raise", "skip"):
+        raise ValueError("on_error must be raise or skip")
+    if on_error == "skip":
+        vol = vol.join(even_groups(vol, tuple(by), "ts_grid"), by, "left_semi")
     df = base_factors(clip_to(snapshots, vol, by), by, levels=levels)
     df = feature_join(df, vol, vol_cols, by)
     df = derived_factors(df)
@@ -98,11 +106,18 @@ def blocks(df: DataFrame, every: str) -> DataFrame:
     return block_of(df, every, F.lit(str(origin)).cast("timestamp_ntz"))
 
 
+def of_days(df: DataFrame, first: str, last: str, day: str = "date") -> DataFrame:
+    """Rows of these days, by the table's partition column if it has one, so that other days' directories aren't read."""
+    return df.where(F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date"))) if day in df.columns else df
+
+
 def window_cache(df: DataFrame, day: str, config: Config, check: bool = False) -> tuple[DataFrame, DataFrame]:
     """(train, query) of a day: the window before it, averaged to the train frequency, and the day's raw rows."""
     start = F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
     cols = [*config.features, config.target]
-    own = df.where(F.col("symbol").isin(config.symbols)).select("ts", "symbol", *cols)
+    back = -(-duration_us(config.train_window) // DAY_US)
+    own = of_days(df, str(date.fromisoformat(day) - timedelta(days=back)), day)
+    own = own.where(F.col("symbol").isin(config.symbols)).select("ts", "symbol", *cols)
     begin, end = offset(start, config.train_window, back=True), offset(start, "1d")
     if check:
         require_history(own, begin)
@@ -114,7 +129,7 @@ def ready_block(df: DataFrame, day: str, config: Config) -> DataFrame:
     """Query rows of a day with neighbour features, base features and the target."""
     train, query = window_cache(df, day, config)
     near = neighbor_block(train, query, list(config.features), list(config.neighbor_counts), config.base_symbols)
-    return near.join(df, ["ts", "symbol"], "left")
+    return near.join(of_days(df, day, day), ["ts", "symbol"], "left")
 
 
 def training_dataset(ready: DataFrame, config: Config, newest_only: bool = False) -> DataFrame:
@@ -143,11 +158,27 @@ def report(predictions: DataFrame, importances: DataFrame, k: int = 20) -> dict[
     return {
         "errors": with_errors(predictions),
         "overall": evaluate(predictions, []),
-        "by_symbol": evaluate(predictions, ["symbol"]),
+        "by_symbol": evaluate(predictions, ["symbol"]).orderBy("rmse", "symbol"),
         "top_features": top_features(importances, k),
     }
 
 
+def run_config(spark: SparkSession, config: Config, root: str, freq: str, days: list) -> None:
+    """The settings behind a frequency's dataset, with its symbol codes and days."""
+    codes = {s: k for k, s in enumerate(sorted(config.symbols))}
+    write_json(spark, asdict(config) | {"freq": freq, "symbol_codes": codes, "n_days": len(days), "days": [str(d) for d in days]}, f"{root}/meta/run_config.json")
+
+
+def freq_summary(spark: SparkSession, config: Config, root: str, freq: str, metrics: DataFrame, importances: DataFrame, overall: DataFrame) -> dict:
+    """Overall metrics and mean importances of a frequency as tables, and a summary, which is also returned."""
+    overall.write.mode("overwrite").parquet(f"{root}/overall")
+    importance_mean(importances).write.mode("overwrite").parquet(f"{root}/importance_mean")
+    found = spark.read.parquet(f"{root}/overall").first()
+    summary = {"freq": freq, "n_windows": metrics.count(), "boost": asdict(config.boost), "overall": found.asDict() if found else {}}
+    write_json(spark, summary, f"{root}/meta/run_summary.json")
+    return summary
+
+
 def cache_stages(root: str, vol_cols: list[str], label_cols: list[str]) -> list[tuple[str, Stage]]:
     """Raw to aligned and blocks; the state must hold ``snapshots`` and ``vol``."""
 
@@ -173,13 +204,19 @@ def main_stages(root: str, days: list[str]) -> list[tuple[str, Stage]]:
         state.put("ready", spark.read.parquet(f"{root}/ready"))
 
     def dataset(spark: SparkSession, config: Config, state: State) -> None:
-        state.put("dataset", spark.read.parquet(write_table(training_dataset(state.get("ready"), config), root, "dataset")))
+        made = training_dataset(state.get("ready"), config)
+        state.put("dataset", spark.read.parquet(write_table(made, root, "dataset")))
+        for freq in config.freqs:
+            run_config(spark, config, f"{root}/{freq}", freq, list_partitions(spark, root, "ready"))
 
     def train(spark: SparkSession, config: Config, state: State) -> None:
+        done = {}
         for freq in config.freqs:
             made, gains, metrics, overall = train_all(state.get("dataset"), config, freq)
             for kind, df in (("predictions", made), ("importance", gains), ("metrics", metrics)):
                 state.put(f"{kind}_{freq}", spark.read.parquet(write_table(df, f"{root}/{freq}", kind)))
             state.put(f"overall_{freq}", overall)
+            done[freq] = freq_summary(spark, config, f"{root}/{freq}", freq, *(state.get(f"{k}_{freq}") for k in ("metrics", "importance")), overall)
+        write_json(spark, {"freqs": done, "target": config.target}, f"{root}/meta/train_stage_summary.json")
 
     return [("ready", ready), ("dataset", dataset), ("train", train)]
