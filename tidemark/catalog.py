@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog_sql import ORACLE_SQL
-from tidemark.functions.scalars import no_nulls, r6
-from tidemark.functions.timeops import offset
+from tidemark.functions.scalars import no_nulls, r6, r9
+from tidemark.functions.timeops import epoch_us, offset
 from tidemark.operators import asof, checks, datasets, factors, importance, labels, metrics, neighbors, resample, shape
+from tidemark.operators.factors import book_columns
 from tidemark.plans import models, pipeline
 from tidemark.sources import raw, tables
+from tidemark.streaming import resample as stream
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -27,6 +31,11 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: r6(F.col(c)) for c in cols})
 
 
+def digits(df: DataFrame, *cols: str) -> DataFrame:
+    """Nine significant digits, for values that may be very large."""
+    return df.withColumns({c: r9(F.col(c)) for c in cols})
+
+
 def at(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
@@ -98,13 +107,12 @@ def derived_factors(spark, d):
     order = Window.partitionBy("event_type").orderBy("ts", "event_id")
     back = lambda k: F.lag("value", k).over(order)
     df = events(spark, d).select(
-        "event_id", "ts", F.col("value").alias("vwap"), back(1).alias("mid"), (F.col("value") - back(1)).alias("spread"), ((F.col("value") - back(2)) / 100).alias("imbalance"),
+        "event_id", "ts", F.col("value").alias("vwap"), back(1).alias("mid"), (F.col("value") - back(2)).alias("spread"), ((F.col("value") - back(2)) / 100).alias("imbalance"),
         (F.col("value") - back(3)).alias("log_return"), *[(back(k) + 10).alias(f"vol_{m}m_lag0") for k, m in ((1, 1), (2, 5), (3, 30), (4, 60), (5, 120))],
     )
     out = factors.derived_factors(df)
     names = ["spread_pct", "vwap_mid_diff", "vol_ratio_1_5", "vol_ratio_5_30", "vol_ratio_5_60", "vol_ratio_30_120", "imbalance_sq", "abs_imbalance", "lr_sq", "lr_abs"]
-    # a previous value of 0 makes spread_pct as large as 1e11, beyond six rounded places
-    return rounded(no_nulls(out).where("mid > 0.001").select("event_id", *names), *names)
+    return digits(rounded(out.where("lr_abs is not null and vol_ratio_30_120 is not null").select("event_id", *names), *names[2:]), *names[:2])
 
 
 def time_of_day(spark, d):
@@ -130,16 +138,20 @@ def log_return(spark, d):
     return rounded(factors.log_return(df, "price", ["event_type", "date"], tie=["event_id"]).select("event_id", "event_type", "date", "log_return"), "log_return")
 
 
-def _daily(spark, d):
-    """Events and their value per type and day, on a dense grid."""
+def _dense(spark, d, width: str):
+    """Mean value per type and bucket, on a grid without gaps over whole days."""
     e = events(spark, d)
-    days = resample.downsample_left(e, "1d", PAIR, ["value"])
+    days = resample.downsample_left(e, width, PAIR, ["value"])
     ends = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     kinds = e.select("event_type").distinct()
-    grid = asof.time_grid(kinds.join(ends, F.lit(True)).select("event_type", F.explode(F.array(F.col("a").cast("date").cast("timestamp_ntz"), F.col("b").cast("date").cast("timestamp_ntz"))).alias("ts")), "1d", PAIR)
+    grid = asof.time_grid(kinds.join(ends, F.lit(True)).select("event_type", F.explode(F.array(F.col("a").cast("date").cast("timestamp_ntz"), F.col("b").cast("date").cast("timestamp_ntz"))).alias("ts")), width, PAIR)
     return grid.join(days, ["event_type", "ts"], "left")
 
 
+def _daily(spark, d):
+    return _dense(spark, d, "1d")
+
+
 def forward_label(spark, d):
     return rounded(labels.forward_labels(_daily(spark, d), ["value"], "2d", PAIR), "value", "y_value")
 
@@ -209,6 +221,22 @@ def symbol_neighbors(spark, d):
     return rounded(out, "value_symbol_nn1_mean", "value_symbol_nn2_mean")
 
 
+def time_neighbors_manhattan(spark, d):
+    return rounded(neighbors.time_neighbors(*_parts(spark, d), "value", [3], BASE, metric="manhattan"), "value_time_nn3_mean")
+
+
+def time_neighbors_chebyshev(spark, d):
+    return rounded(neighbors.time_neighbors(*_parts(spark, d), "value", [3], BASE, p=float("inf")), "value_time_nn3_mean")
+
+
+def time_neighbors_weighted(spark, d):
+    return rounded(neighbors.time_neighbors(*_parts(spark, d), "value", [3], BASE, metric_params={"w": [4.0, 1.0, 0.25]}), "value_time_nn3_mean")
+
+
+def symbol_neighbors_manhattan(spark, d):
+    return rounded(neighbors.symbol_neighbors(*_parts(spark, d), "value", [2], BASE, p=1), "value_symbol_nn2_mean")
+
+
 def neighbor_block(spark, d):
     train, query = _parts(spark, d)
     out = neighbors.neighbor_block(train, query, ["value"], [3], BASE, target="value")
@@ -230,11 +258,11 @@ METRICS = ("rmse", "mae", "corr", "qlike")
 
 
 def metrics_overall(spark, d):
-    return rounded(metrics.evaluate(_forecast(spark, d), [], eps=1.0), *METRICS)
+    return digits(rounded(metrics.evaluate(_forecast(spark, d), []), *METRICS[:3]), "qlike")
 
 
 def metrics_by_symbol(spark, d):
-    return rounded(metrics.evaluate(_forecast(spark, d), PAIR, eps=1.0), *METRICS)
+    return digits(rounded(metrics.evaluate(_forecast(spark, d), PAIR), *METRICS[:3]), "qlike")
 
 
 def metrics_models(spark, d):
@@ -244,8 +272,7 @@ def metrics_models(spark, d):
 
 
 def metrics_bucketed(spark, d):
-    df = _forecast(spark, d).withColumns({"y_true": F.col("y_true") + 1, "y_pred": F.col("y_pred") + 1})
-    return rounded(metrics.bucketed(df, "1d", PAIR), "mse", *METRICS)
+    return digits(rounded(metrics.bucketed(_forecast(spark, d), "1d", PAIR), "mse", *METRICS[:3]), "qlike")
 
 
 def prediction_errors(spark, d):
@@ -279,6 +306,10 @@ def importance_heatmap(spark, d):
     return rounded(importance.importance_heatmap(_importances(spark, d), 8), "value")
 
 
+def importance_heatmap_split(spark, d):
+    return rounded(importance.importance_heatmap(_importances(spark, d), 8, col=importance.SPLIT), "value")
+
+
 def importance_matrix(spark, d):
     years = [str(y) for y in range(1995, 2002)]
     out = importance.heatmap_matrix(_importances(spark, d), 8, years)
@@ -312,8 +343,9 @@ def freq_fanout(spark, d):
 
 def training_sample(spark, d):
     e = datasets.with_day(events(spark, d))
-    split = datasets.rolling_splits(e, "date", 21, 1, 1, newest_only=True)
-    down, roll, _ = datasets.training_sample(split.where("split = 'train'"), split.where("split = 'test'"), "6h", ["user_id"], "value", ["split", "event_type"], tie=["event_id"])
+    split = datasets.rolling_splits(e, "date", 21, 1, 1)
+    by = ["window_id", "split", "event_type"]
+    down, roll, _ = datasets.training_sample(split.where("split = 'train'"), split.where("split = 'test'"), "6h", ["user_id"], "value", by, tie=["event_id"])
     return rounded(down.unionByName(roll), "value")
 
 
@@ -367,22 +399,88 @@ def hash_sample(spark, d):
 
 
 def _features(spark, d):
-    daily = resample.downsample_left(events(spark, d), "3h", PAIR, ["value"])
-    df = labels.lag_features(daily, "value", ["3h", "6h", "1d"], PAIR, step=10_800_000_000)
+    df = labels.lag_features(_dense(spark, d, "3h"), "value", ["3h", "6h", "1d"], PAIR)
     return no_nulls(df), ["value_lag3h", "value_lag6h", "value_lag1d"]
 
 
 def linear_baseline(spark, d):
     df, names = _features(spark, d)
     cut = at("2024-01-22")
-    return models.linear_baseline(df.where(F.col("ts") < cut), df.where(F.col("ts") >= cut), names, "value", ["ts", "event_type"])
+    made = models.linear_baseline(df.where(F.col("ts") < cut), df.where(F.col("ts") >= cut), names[:1], "value", ["ts", "event_type"])
+    return rounded(made, "y_true", "y_pred")
 
 
 def gbt_rolling(spark, d):
     df, names = _features(spark, d)
-    split = datasets.rolling_splits(datasets.with_day(df), "date", 21, 1, 1, newest_only=True)
-    made, _, _ = models.train_windows(split, names, "value", ["ts", "event_type"], models.BoostParams(rounds=5, least_rows=5))
-    return made
+    split = datasets.rolling_splits(datasets.with_day(df), "date", 21, 1, 1)
+    return models.train_windows(split, names, "value", ["ts", "event_type"])[0]
+
+
+def volatility_grid(spark, d):
+    """Nanosecond times a little past the events', on a six-hour grid."""
+    ns = epoch_us("ts") * 1000 + F.col("event_id") % 1000
+    vol = events(spark, d).select("event_type", "event_id", ns.alias("timestamp"), F.col("value").alias("vol_5m"))
+    return raw.align_volatility(vol, "6h", PAIR, check=False)
+
+
+def snapshot_files(spark, d):
+    """Books written as CSV with a header and read back by name."""
+    names = book_columns()
+    book = _book(spark, d).withColumn("timestamp", F.col("l_orderkey")).withColumns({c: F.lit(None).cast("double") for c in names if int(c.split("[")[1].split("]")[0]) >= BOOK_LEVELS})
+    path = tables.scratch_dir(spark)
+    book.select(*[f"`{c}`" for c in reversed(names)], "timestamp", F.lit("x").alias("exchange")).write.option("header", True).csv(path)
+    df = raw.read_snapshots(spark, [path])
+    out = factors.base_factors(df.withColumn("none", F.lit(0)), ["none"], "timestamp", keep=["none", "timestamp", "ts"]).select("timestamp", "ts", "vwap", "imbalance", "spread", "mid")
+    return rounded(out, "vwap", "imbalance", "spread", "mid")
+
+
+def table_sinks(spark, d):
+    """Aligned partitions: overwritten by date and symbol, then added to where a partition isn't there yet, read by symbol and day."""
+    e = datasets.with_day(events(spark, d, "event_id", "ts", "event_type", "value").withColumnRenamed("event_type", "symbol"))
+    root = tables.scratch_dir(spark)
+    tables.write_table(e.where("symbol in ('click', 'view')").withColumn("value", F.lit(-1.0)), root, "aligned")
+    tables.write_table(e.where("symbol = 'click'"), root, "aligned")
+    tables.write_table(e, root, "aligned", mode="skip")
+    return tables.read_aligned(spark, root, ["click", "signup", "view"], ["2024-01-05", "2024-01-06"], ["event_id", "symbol", "date", "value"])
+
+
+def result_files(spark, d):
+    """Metrics of each result file; files are named by their type's folder."""
+    made = _forecast(spark, d).select(F.col("event_type").alias("kind"), "y_true", "y_pred")
+    root = tables.scratch_dir(spark)
+    made.repartition("kind").write.partitionBy("kind").parquet(root)
+    out = tables.evaluate_files(spark, [root]).select(F.regexp_replace("symbol", "kind=", "").alias("symbol"), "n", "rmse", "mae")
+    return rounded(out, "rmse", "mae")
+
+
+def aligned_table(spark, d):
+    """Factors, volatilities, derived factors and labels of hourly books, one symbol and day after the other."""
+    by = ["symbol", "date"]
+    hourly = datasets.with_day(_dense(spark, d, "1h").withColumnRenamed("event_type", "symbol")).withColumn("v", F.coalesce("value", F.lit(0.0)) + 1)
+    level = {"asks[0].price": F.col("v") + 1, "bids[0].price": F.col("v"), "asks[0].amount": F.hour("ts") + 1.0, "bids[0].amount": F.lit(2.0)}
+    snapshots = hourly.withColumns(level).select(*by, "ts", *[f"`{c}`" for c in level])
+    vols = {f"vol_{m}m": F.col("v") * (k + 1) for k, m in enumerate((1, 5, 30, 60, 120))}
+    vol = hourly.withColumns(vols).select(*by, F.col("ts").alias("ts_grid"), *vols)
+    out = pipeline.aligned(snapshots, vol, list(vols), ["vol_5m"], "2h", levels=1)
+    return rounded(out.select(*by, "ts", "vwap", "imbalance", "log_return", "spread_pct", "vol_ratio_30_120", "vol_5m_lag0", "y_vol_5m"), "vwap", "imbalance", "log_return", "spread_pct", "vol_ratio_30_120", "vol_5m_lag0", "y_vol_5m")
+
+
+def ready_block(spark, d):
+    """A day's rows with neighbour features out of the week before."""
+    e = datasets.with_day(_dense(spark, d, "3h").withColumnRenamed("event_type", "symbol")).withColumn("value", F.coalesce("value", F.lit(0.0))).withColumn("y", F.col("value") * 2)
+    config = pipeline.Config(["click", "purchase", "view"], ["click", "purchase", "view"], target="y", features=("value",), neighbor_counts=(2,), train_subsample="6h")
+    out = pipeline.ready_block(e, "2024-01-20", config).select("ts", "symbol", "y", "value", "value_time_nn2_mean", "value_symbol_nn2_mean")
+    return rounded(out, "y", "value", "value_time_nn2_mean", "value_symbol_nn2_mean")
+
+
+def stream_downsample(spark, d):
+    """Six-hour buckets of the events as a stream, run to its end."""
+    e = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = stream.stream_downsample(e, "6h", "1h", PAIR, VALUE_PLAN, tie=["event_id"])
+    name = f"tidemark_{uuid.uuid4().hex}"
+    query = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", tables.scratch_dir(spark)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rounded(spark.table(name).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "value_last", "value_mean", "value_std")
 
 
 _ALL = [
@@ -391,6 +489,7 @@ _ALL = [
     pivot_fill_mean, unpivot_long, time_neighbors, symbol_neighbors, neighbor_block, vector_neighbors, metrics_overall, metrics_by_symbol, metrics_models, metrics_bucketed,
     prediction_errors, lag_baseline, truth_check, importance_mean, importance_topk, importance_heatmap, importance_matrix, rolling_day_splits, rolling_block_splits, block_cut,
     block_starts, freq_fanout, training_sample, window_cache, history_slice, base_slice, union_dedup, null_safe_drop, alignment_check, step_counts, grid_points, stride_sample,
-    hash_sample, linear_baseline, gbt_rolling,
+    hash_sample, linear_baseline, gbt_rolling, time_neighbors_manhattan, time_neighbors_chebyshev, time_neighbors_weighted, symbol_neighbors_manhattan, importance_heatmap_split,
+    volatility_grid, snapshot_files, table_sinks, result_files, aligned_table, ready_block, stream_downsample,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

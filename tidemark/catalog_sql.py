@@ -8,6 +8,12 @@ def r6(x: str) -> str:
     return f"(floor(({x}) * 1e6 + 0.5) / 1e6 + 0.0)"
 
 
+def r9(x: str) -> str:
+    """Nine significant digits as ``functions.scalars.r9`` has them."""
+    size = f"pow(10.0, floor(log10(abs({x}))))"
+    return f"(CASE WHEN ({x}) = 0 THEN 0.0 WHEN abs({x}) < 'inf'::DOUBLE THEN floor(({x}) / {size} * 1e8 + 0.5) / 1e8 * {size} END)"
+
+
 def ceil_ts(width: str, ts: str = "ts") -> str:
     us = width_us(width)
     return f"make_timestamp(CAST(((epoch_us({ts}) + {us - 1}) // {us}) * {us} AS BIGINT))"
@@ -35,6 +41,17 @@ HOURLY_1 = f"""SELECT event_type AS symbol, {floor_ts("1h")} AS ts, avg(value) A
 FILLED = """
 times AS (SELECT DISTINCT ts FROM h), names AS (SELECT DISTINCT symbol FROM h), means AS (SELECT symbol, avg(value) AS m FROM h GROUP BY symbol),
 filled AS (SELECT ts, symbol, coalesce(value, m) AS value FROM times CROSS JOIN names JOIN means USING (symbol) LEFT JOIN h USING (ts, symbol))"""
+
+
+def dense(width: str) -> str:
+    """Mean value of every type and bucket from the first to the last midnight, null where there is none."""
+    return f"""
+kinds AS (SELECT DISTINCT event_type FROM events),
+span AS (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM events)::TIMESTAMP, (SELECT max(ts)::DATE FROM events)::TIMESTAMP, INTERVAL {width_us(width) // 60_000_000} MINUTE)) AS ts),
+means AS (SELECT event_type, {floor_ts(width)} AS ts, avg(value) AS value FROM events GROUP BY ALL),
+dense AS (SELECT event_type, ts, value FROM kinds CROSS JOIN span LEFT JOIN means USING (event_type, ts))"""
+
+
 #: Days from the first to the last, for every type.
 DAILY = f"""
 kinds AS (SELECT DISTINCT event_type FROM events),
@@ -47,21 +64,31 @@ train AS (SELECT * FROM h WHERE ts < TIMESTAMP '2024-01-22'), query AS (SELECT *
 tm AS (SELECT symbol, avg(value) AS m FROM train GROUP BY 1), qm AS (SELECT symbol, avg(value) AS m FROM query GROUP BY 1),
 tf AS (SELECT ts, symbol, coalesce(value, m) AS value FROM (SELECT DISTINCT ts FROM train) CROSS JOIN tm LEFT JOIN train USING (ts, symbol)),
 qf AS (SELECT ts, symbol, coalesce(value, m) AS value FROM (SELECT DISTINCT ts FROM query) CROSS JOIN qm LEFT JOIN query USING (ts, symbol))"""
-TIME_RANKS = """
-apart AS (SELECT q.ts AS ts, t.ts AS near, sum((q.value - t.value) * (q.value - t.value)) AS d FROM qf q JOIN tf t ON q.symbol = t.symbol
+SQUARES = "sum((q.value - t.value) * (q.value - t.value))"
+
+
+def time_ranks(apart: str) -> str:
+    return f"""
+apart AS (SELECT q.ts AS ts, t.ts AS near, {apart} AS d FROM qf q JOIN tf t ON q.symbol = t.symbol
   WHERE q.symbol IN ('click', 'purchase', 'view') GROUP BY 1, 2),
 ranked AS (SELECT ts, near, row_number() OVER (PARTITION BY ts ORDER BY d, near) AS k FROM apart),
 by_time AS (SELECT r.ts, t.symbol, avg(value) FILTER (k <= 3) AS n3, avg(value) FILTER (k <= 5) AS n5 FROM ranked r JOIN tf t ON t.ts = r.near WHERE k <= 5 GROUP BY 1, 2)"""
-SYMBOL_RANKS = """
-paths AS (SELECT a.symbol, b.symbol AS base, sum((a.value - b.value) * (a.value - b.value)) AS d FROM tf a JOIN tf b USING (ts)
+
+
+def symbol_ranks(apart: str) -> str:
+    return f"""
+paths AS (SELECT a.symbol, b.symbol AS base, {apart} AS d FROM tf a JOIN tf b USING (ts)
   WHERE b.symbol IN ('click', 'purchase', 'view') AND a.symbol <> b.symbol GROUP BY 1, 2),
 close AS (SELECT symbol, base, row_number() OVER (PARTITION BY symbol ORDER BY d, base) AS j FROM paths),
 by_symbol AS (SELECT q.ts, c.symbol, avg(value) FILTER (j <= 1) AS n1, avg(value) FILTER (j <= 2) AS n2, avg(value) FILTER (j <= 3) AS n3
   FROM close c JOIN qf q ON q.symbol = c.base GROUP BY 1, 2)"""
+
+
+TIME_RANKS, SYMBOL_RANKS = time_ranks(SQUARES), symbol_ranks("sum((a.value - b.value) * (a.value - b.value))")
 FORECAST = "SELECT event_id, ts, event_type, value AS y_true, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS y_pred FROM events"
 
 
-def qlike(y: str, p: str, eps: str = "1.0") -> str:
+def qlike(y: str, p: str, eps: str = "1e-12") -> str:
     r = f"(greatest({y} * {y}, {eps}) / greatest({p} * {p}, {eps}))"
     return f"{r} - ln({r}) - 1"
 
@@ -114,10 +141,10 @@ SELECT g.event_type, g.ts, matched_ts, event_id, value FROM g ASOF LEFT JOIN r O
     "book_factors": _book(),
     "derived_factors": f"""
 WITH l AS (SELECT event_id, value AS v, {", ".join(f"lag(value, {k}) OVER w AS l{k}" for k in range(1, 6))} FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
-SELECT event_id, {r6("(v - l1) / (l1 + 1e-9)")} AS spread_pct, {r6("v - l1")} AS vwap_mid_diff, {r6("(l1 + 10) / ((l2 + 10) + 1e-9)")} AS vol_ratio_1_5, {r6("(l2 + 10) / ((l3 + 10) + 1e-9)")} AS vol_ratio_5_30,
+SELECT event_id, CASE WHEN l1 <> 0 THEN {r9("(v - l2) / l1")} END AS spread_pct, CASE WHEN l1 <> 0 THEN {r9("(v - l1) / l1")} END AS vwap_mid_diff, {r6("(l1 + 10) / ((l2 + 10) + 1e-9)")} AS vol_ratio_1_5, {r6("(l2 + 10) / ((l3 + 10) + 1e-9)")} AS vol_ratio_5_30,
   {r6("(l2 + 10) / ((l4 + 10) + 1e-9)")} AS vol_ratio_5_60, {r6("(l3 + 10) / ((l5 + 10) + 1e-9)")} AS vol_ratio_30_120, {r6("((v - l2) / 100) * ((v - l2) / 100)")} AS imbalance_sq,
   {r6("abs((v - l2) / 100)")} AS abs_imbalance, {r6("(v - l3) * (v - l3)")} AS lr_sq, {r6("abs(v - l3)")} AS lr_abs
-FROM l WHERE l5 IS NOT NULL AND l1 > 0.001""",
+FROM l WHERE l5 IS NOT NULL""",
     "time_of_day": f"""
 SELECT event_id, ts, CAST(hour(ts) AS INTEGER) AS hour, CAST(minute(ts) AS INTEGER) AS minute, {r6("sin((hour(ts) * 60 + minute(ts)) * (2 * pi() / 1440))")} AS tod_sin,
   {r6("cos((hour(ts) * 60 + minute(ts)) * (2 * pi() / 1440))")} AS tod_cos FROM events""",
@@ -149,17 +176,17 @@ SELECT ts, {", ".join(f"max({r6('value')}) FILTER (symbol = '{s}') AS {s}" for s
 WITH {PARTS}, {TIME_RANKS}, {SYMBOL_RANKS}
 SELECT q.ts, q.symbol, {r6("q.value")} AS value, {r6("t.n3")} AS value_time_nn3_mean, {r6("s.n3")} AS value_symbol_nn3_mean
 FROM query q LEFT JOIN by_time t USING (ts, symbol) LEFT JOIN by_symbol s USING (ts, symbol)""",
-    "metrics_overall": f"SELECT {SCORES}, {r6('avg(' + qlike('y_true', 'y_pred') + ')')} AS qlike FROM ({FORECAST}) WHERE y_pred IS NOT NULL",
-    "metrics_by_symbol": f"SELECT event_type, {SCORES}, {r6('avg(' + qlike('y_true', 'y_pred') + ')')} AS qlike FROM ({FORECAST}) WHERE y_pred IS NOT NULL GROUP BY 1",
+    "metrics_overall": f"SELECT {SCORES}, {r9('avg(' + qlike('y_true', 'y_pred') + ')')} AS qlike FROM ({FORECAST}) WHERE y_pred IS NOT NULL",
+    "metrics_by_symbol": f"SELECT event_type, {SCORES}, {r9('avg(' + qlike('y_true', 'y_pred') + ')')} AS qlike FROM ({FORECAST}) WHERE y_pred IS NOT NULL GROUP BY 1",
     "metrics_models": f"""
 WITH f AS (SELECT event_type AS symbol, value, lag(value) OVER w AS lag1, lag(value, 2) OVER w AS lag2 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
 m AS (SELECT symbol, 'lag1' AS model, value, lag1 AS p FROM f WHERE lag2 IS NOT NULL UNION ALL SELECT symbol, 'lag2', value, lag2 FROM f WHERE lag2 IS NOT NULL),
 a AS (SELECT * FROM m UNION ALL SELECT 'ALL', model, value, p FROM m)
 SELECT symbol, model, count(*) AS n, {r6("sqrt(avg((value - p) * (value - p)))")} AS rmse, {r6("avg(abs(value - p))")} AS mae FROM a GROUP BY 1, 2""",
     "metrics_bucketed": f"""
-WITH f AS (SELECT event_type, {floor_ts("1d")} AS bucket, y_true + 1 AS y_true, y_pred + 1 AS y_pred FROM ({FORECAST}) WHERE y_pred IS NOT NULL)
+WITH f AS (SELECT event_type, {floor_ts("1d")} AS bucket, y_true, y_pred, y_true / (y_pred + 1e-12) AS ratio FROM ({FORECAST}) WHERE y_pred IS NOT NULL)
 SELECT event_type, bucket, {SCORES}, {r6("avg((y_true - y_pred) * (y_true - y_pred))")} AS mse,
-  {r6("avg(y_true / (y_pred + 1e-12) - ln(y_true / (y_pred + 1e-12)) - 1)")} AS qlike FROM f GROUP BY 1, 2""",
+  {r9("avg(ratio - ln(ratio + 1e-12) - 1)")} AS qlike FROM f GROUP BY 1, 2""",
     "prediction_errors": f"SELECT event_id, {r6('y_pred - y_true')} AS error, {r6('abs(y_pred - y_true)')} AS abs_error FROM ({FORECAST})",
     "lag_baseline": f"SELECT event_id, event_type, y_true, y_pred FROM ({FORECAST})",
     "truth_check": "SELECT event_id, value AS y_left, value + 1 AS y_right FROM events WHERE value > 100",
@@ -188,11 +215,12 @@ FROM w JOIN d ON k BETWEEN i AND i + 6 GROUP BY ALL""",
         f"SELECT event_type, {ceil_ts(f)} AS ts, {r6(last('value'))} AS value, {last('user_id')} AS user_id_last, '{f}' AS freq FROM events GROUP BY event_type, {ceil_ts(f)}" for f in ("3h", "6h", "1d")
     ),
     "training_sample": f"""
-WITH {DAYS}, m AS (SELECT max(k) AS top FROM days), e AS (SELECT events.*, CASE WHEN k = top THEN 'test' WHEN k < top - 1 THEN 'train' END AS split FROM events JOIN days ON date = ts::DATE CROSS JOIN m WHERE k > top - 23)
-SELECT split, event_type, {ceil_ts("6h")} AS ts, {r6(last("value"))} AS value, {last("user_id")} AS user_id_last FROM e WHERE split = 'train' GROUP BY split, event_type, {ceil_ts("6h")}
+WITH {DAYS}, w AS (SELECT unnest(generate_series(0, (SELECT max(k) FROM days) - 22)) AS i),
+e AS (SELECT events.*, CAST(i AS INTEGER) AS window_id, CASE WHEN k = i + 22 THEN 'test' WHEN k < i + 21 THEN 'train' END AS split FROM events JOIN days ON date = ts::DATE JOIN w ON k BETWEEN i AND i + 22)
+SELECT window_id, split, event_type, {ceil_ts("6h")} AS ts, {r6(last("value"))} AS value, {last("user_id")} AS user_id_last FROM e WHERE split = 'train' GROUP BY window_id, split, event_type, {ceil_ts("6h")}
 UNION ALL
-SELECT split, event_type, ts, {r6("v")}, u FROM (SELECT split, event_type, ts, {last("value")} OVER w AS v, {last("user_id")} OVER w AS u FROM e WHERE split = 'test'
-  WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW))""",
+SELECT window_id, split, event_type, ts, {r6("v")}, u FROM (SELECT window_id, split, event_type, ts, {last("value")} OVER w AS v, {last("user_id")} OVER w AS u FROM e WHERE split = 'test'
+  WINDOW w AS (PARTITION BY window_id, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW))""",
     "window_cache": f"""
 SELECT {floor_ts("6h")} AS ts, event_type AS symbol, {r6("avg(value)")} AS value, 'train' AS role FROM events
 WHERE event_type IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-13' AND ts < TIMESTAMP '2024-01-20' GROUP BY {floor_ts("6h")}, event_type
@@ -210,6 +238,48 @@ SELECT symbol, count(*) AS n_rows, count(*) FILTER (step <> 3600000000) AS n_une
 WITH h AS ({HOURLY_1}), s AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY symbol ORDER BY ts) AS step FROM h) SELECT step, count(*) AS n FROM s WHERE step IS NOT NULL GROUP BY 1""",
     "grid_points": f"SELECT event_id, {ceil_ts('15m')} AS grid_up, {floor_ts('15m')} AS grid_down, ts + INTERVAL 90 MINUTE AS later, ts - INTERVAL 1 DAY AS earlier FROM events",
     "stride_sample": "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k FROM events) WHERE k % 10 = 0",
+    "hash_sample": "SELECT event_id, value FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 100",
+    "linear_baseline": f"""
+WITH {dense("3h")}, l AS (SELECT *, lag(value) OVER w AS x, lag(value, 2) OVER w AS x2, lag(value, 8) OVER w AS x8 FROM dense WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+f AS (SELECT * FROM l WHERE value IS NOT NULL AND x IS NOT NULL AND x2 IS NOT NULL AND x8 IS NOT NULL),
+m AS (SELECT regr_slope(value, x) AS a, regr_intercept(value, x) AS b FROM f WHERE ts < TIMESTAMP '2024-01-22')
+SELECT ts, event_type, {r6("value")} AS y_true, {r6("a * x + b")} AS y_pred FROM f CROSS JOIN m WHERE ts >= TIMESTAMP '2024-01-22'""",
+    "time_neighbors_manhattan": f"WITH {PARTS}, {time_ranks('sum(abs(q.value - t.value))')} SELECT ts, symbol, {r6('n3')} AS value_time_nn3_mean FROM by_time",
+    "time_neighbors_chebyshev": f"WITH {PARTS}, {time_ranks('max(abs(q.value - t.value))')} SELECT ts, symbol, {r6('n3')} AS value_time_nn3_mean FROM by_time",
+    "time_neighbors_weighted": f"""
+WITH {PARTS}, {time_ranks("sum(CASE q.symbol WHEN 'click' THEN 4 WHEN 'purchase' THEN 1 ELSE 0.25 END * (q.value - t.value) * (q.value - t.value))")}
+SELECT ts, symbol, {r6("n3")} AS value_time_nn3_mean FROM by_time""",
+    "symbol_neighbors_manhattan": f"WITH {PARTS}, {symbol_ranks('sum(abs(a.value - b.value))')} SELECT ts, symbol, {r6('n2')} AS value_symbol_nn2_mean FROM by_symbol",
+    "importance_heatmap_split": f"""
+WITH imp AS ({IMPORTANCES.replace("l_extendedprice AS gain, CAST(l_quantity AS BIGINT) AS split", "CAST(l_quantity AS BIGINT) AS gain")}), {TOP}, {CELLS}
+SELECT feature, block_name, {r6("CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0 END")} AS value FROM cells WINDOW w AS (PARTITION BY feature)""",
+    "volatility_grid": """
+WITH v AS (SELECT event_type, event_id, epoch_us(ts) * 1000 + event_id % 1000 AS timestamp, value AS vol_5m FROM events),
+g AS (SELECT *, ((timestamp + 21599999999999) // 21600000000000) * 21600000000 AS us FROM v)
+SELECT event_type, make_timestamp(us) AS ts_grid, max(timestamp) AS timestamp, arg_max(event_id, timestamp) AS event_id, arg_max(vol_5m, timestamp) AS vol_5m FROM g GROUP BY event_type, us""",
+    "snapshot_files": f"""
+SELECT l_orderkey AS timestamp, make_timestamp(l_orderkey) AS ts, vwap, imbalance, spread, mid FROM ({_book()})""",
+    "table_sinks": """
+SELECT event_id, event_type AS symbol, ts::DATE AS date, CASE WHEN event_type = 'view' THEN -1.0 ELSE value END AS value FROM events
+WHERE event_type IN ('click', 'signup', 'view') AND ts::DATE IN (DATE '2024-01-05', DATE '2024-01-06')""",
+    "result_files": f"""
+SELECT event_type AS symbol, count(*) AS n, {r6("sqrt(avg((y_true - y_pred) * (y_true - y_pred)))")} AS rmse, {r6("avg(abs(y_true - y_pred))")} AS mae FROM ({FORECAST}) WHERE y_pred IS NOT NULL GROUP BY 1""",
+    "aligned_table": f"""
+WITH {dense("1h")}, h AS (SELECT event_type AS symbol, ts, ts::DATE AS date, coalesce(value, 0) + 1 AS v, hour(ts) + 1.0 AS aq FROM dense),
+f AS (SELECT *, ((v + 1) * aq + v * 2) / (aq + 2) AS vwap, (aq - 2) / (aq + 2) AS imbalance, v + 0.5 AS mid, lead(v * 2, 2) OVER w AS y FROM h WINDOW w AS (PARTITION BY symbol, date ORDER BY ts))
+SELECT symbol, date, ts, {r6("vwap")} AS vwap, {r6("imbalance")} AS imbalance, {r6("log_return")} AS log_return, {r6("1 / mid")} AS spread_pct,
+  {r6("(v * 3) / (v * 5 + 1e-9)")} AS vol_ratio_30_120, {r6("v * 2")} AS vol_5m_lag0, {r6("y")} AS y_vol_5m
+FROM (SELECT *, ln((v + 1 + v) / 2) - lag(ln((v + 1 + v) / 2)) OVER (PARTITION BY symbol, date ORDER BY ts) AS log_return FROM f) WHERE hour(ts) > 0""",
+    "ready_block": f"""
+WITH {dense("3h")}, e AS (SELECT event_type AS symbol, ts, coalesce(value, 0) AS value FROM dense WHERE event_type IN ('click', 'purchase', 'view')),
+tf AS (SELECT symbol, {floor_ts("6h")} AS ts, avg(value) AS value FROM e WHERE ts >= TIMESTAMP '2024-01-13' AND ts < TIMESTAMP '2024-01-20' GROUP BY ALL),
+qf AS (SELECT * FROM e WHERE ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-21'),
+apart AS (SELECT q.ts AS ts, t.ts AS near, {SQUARES} AS d FROM qf q JOIN tf t ON q.symbol = t.symbol GROUP BY 1, 2),
+ranked AS (SELECT ts, near, row_number() OVER (PARTITION BY ts ORDER BY d, near) AS k FROM apart),
+by_time AS (SELECT r.ts, t.symbol, avg(value) AS n2 FROM ranked r JOIN tf t ON t.ts = r.near WHERE k <= 2 GROUP BY 1, 2), {SYMBOL_RANKS}
+SELECT q.ts, q.symbol, {r6("q.value * 2")} AS y, {r6("q.value")} AS value, {r6("t.n2")} AS value_time_nn2_mean, {r6("s.n2")} AS value_symbol_nn2_mean
+FROM qf q LEFT JOIN by_time t USING (ts, symbol) LEFT JOIN by_symbol s USING (ts, symbol)""",
+    "stream_downsample": f"SELECT event_type, {ceil_ts('6h')} AS ts, {_PLAN} FROM events GROUP BY event_type, {ceil_ts('6h')}",
     "vector_neighbors": f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 d AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_sum([(a.x[i] - b.x[i]) * (a.x[i] - b.x[i]) for i in generate_series(1, len(a.x))]) AS distance
