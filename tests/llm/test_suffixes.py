@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.suffixes import LENGTH, Run, _runs, anchors, duplicate_spans, merge
+from tidemark.llm.suffixes import LENGTH, Run, _runs, anchors, collapsed, duplicate_spans, merge, windows
 
 
 def brute(texts):
@@ -48,7 +48,7 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("hot", [100_000, 5])
+@pytest.mark.parametrize("hot", [100_000, 5, 1])
 def test_equals_the_plain_definition(spark, hot):
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, k1 string")
@@ -87,6 +87,27 @@ def test_merge_gives_sorted_suffixes_and_their_common_prefixes():
         assert got == sorted(s for x in lists for s in x)
 
 
+def test_windows_cover_every_distance_and_share_keys():
+    rng = random.Random(4)
+    text = words(rng, 300).encode()
+    for near, far in ((0, LENGTH - 64), (5, 40), (16, 17), (136, 136)):
+        at = 600
+        made = list(windows(77, text[at : at + LENGTH - near], text[at - far : at][::-1], near, far))
+        assert [a for *_, low, high in made for a in range(low, high + 1)] == list(range(near, far + 1))
+        for key, right, left, low, high in made:
+            assert right == text[at : at + LENGTH - low] and left == text[at - high : at][::-1]
+            whole = text[at - high : at + LENGTH - low]  # another text with these bytes has the key
+            other = dict((x[3], x[0]) for x in windows(77, (whole[high:] + b"?" * LENGTH)[: LENGTH - low], whole[:high][::-1], low, high))
+            assert key == other[low]
+
+
+def test_equal_surroundings_are_sent_once():
+    held = {3: {(b"right", b"left", 2, 5): [(100, 1, 1), (300, 1, 1), (50, 2, 2)], (b"other", b"", 0, 0): [(7, 3, 3)]}}
+    runs, spans = collapsed(held)
+    assert runs == {3: [(b"right", b"left", 2, 5, 100, 1, 1), (b"other", b"", 0, 0, 7, 3, 3)]}
+    assert spans == [(1, 1, 95, 298), (1, 1, 295, 498), (2, 2, 45, 248)]
+
+
 def test_empty_table_and_null_ids(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert duplicate_spans(none).collect() == []

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,9 @@ LENGTH = 200
 GRAM = 64
 #: Bytes hashed at once, and suffixes that a task sorts at once.
 CHUNK, HELD = 1 << 19, 60_000
-#: Suffixes of a part that one merge takes on average; grams seen more often are dealt out by whole strings.
-PART, HOT = 50_000, 100_000
+#: Suffixes of a part that one merge takes on average. Suffixes at grams seen over HOT times are cut by distance to the string's
+#: start into windows of WINDOW distances, whose strings have all but so many bytes in common: these name the part.
+PART, HOT, WINDOW = 50_000, 100_000, 17
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _LOW = np.uint64(0xFFFFFFFF)
@@ -160,11 +162,38 @@ def repeated(lcp: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndarra
     return out
 
 
-RUN = "part int, lcp binary, sizes binary, rest binary, lefts binary, before binary, near binary, far binary, place binary, k1 binary, k2 binary"
+#: A run; or, where ``ends`` isn't empty, spans from ``place`` to ``ends`` that a task found repeated by itself.
+RUN = "part long, lcp binary, sizes binary, rest binary, lefts binary, before binary, near binary, far binary, place binary, k1 binary, k2 binary, ends binary"
 SPANS = "k1 long, k2 long, spans array<long>"
 
 
-def _runs(held: dict[int, list]) -> pa.RecordBatch:
+def windows(h: int, right: bytes, left: bytes, near: int, far: int) -> Iterator[tuple[int, bytes, bytes, int, int]]:
+    """(key, right, left, near, far) of a suffix at a very frequent gram, for each window of distances from start to anchor.
+
+    ``right`` begins at the gram, ``left`` are the bytes before it, backwards. At distances a to b, equal
+    strings share LENGTH - b bytes to the right and a to the left: the key is made of these.
+    """
+    for a in range(near // WINDOW * WINDOW, far + 1, WINDOW):
+        b = min(a + WINDOW - 1, LENGTH - GRAM)
+        shared = hashlib.blake2b(right[: LENGTH - b] + b"|" + left[:a], digest_size=8, salt=a.to_bytes(2)).digest()
+        low, high = max(near, a), min(far, b)
+        yield h ^ int.from_bytes(shared), right[: LENGTH - low], left[:high], low, high
+
+
+def collapsed(held: dict[int, dict]) -> tuple[dict[int, list], list[tuple]]:
+    """One suffix for all that are equal with what lies before them; and the spans of those that are two or more: they are repeats as they are."""
+    runs: dict[int, list] = {}
+    spans = []
+    for part, found in held.items():
+        runs[part] = [(*suffix, *places[0]) for suffix, places in found.items()]
+        for (_, _, near, far), places in found.items():
+            if len(places) > 1:
+                spans += [(k1, k2, at - far, at - near + LENGTH) for at, k1, k2 in places]
+    return runs, spans
+
+
+def _runs(held: dict[int, list], spans: list[tuple] = (), home: int = 0) -> pa.RecordBatch:
+    """A row for each part's run, and one for ``spans``, which goes to the part ``home``."""
     rows = []
     for part, found in held.items():
         found.sort()
@@ -173,11 +202,14 @@ def _runs(held: dict[int, list]) -> pa.RecordBatch:
         cols = [np.array(c) for c in zip(*[x[2:] for x in found], strict=True)]
         rows.append((
             part, bytes(shared), bytes(len(r) - s for r, s in zip(rights, shared, strict=True)), b"".join(r[s:] for r, s in zip(rights, shared, strict=True)),
-            bytes(len(x[1]) for x in found), b"".join(x[1] for x in found), *[c.astype(np.uint8).tobytes() for c in cols[:2]], *[c.astype(np.int64).tobytes() for c in cols[2:]],
+            bytes(len(x[1]) for x in found), b"".join(x[1] for x in found), *[c.astype(np.uint8).tobytes() for c in cols[:2]], *[c.astype(np.int64).tobytes() for c in cols[2:]], b"",
         ))
+    if spans:
+        k1, k2, begin, end = (np.array(x, np.int64).tobytes() for x in zip(*spans, strict=True))
+        rows.append((home, *[b""] * 7, begin, k1, k2, end))
     names = [x.split()[0] for x in RUN.split(", ")]
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(cols)], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(cols)], names)
 
 
 def _spans(k1: np.ndarray, k2: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -229,9 +261,11 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A byte goes if a ``LENGTH``-byte string over it starts anywhere else, in the same text or another.
     Equal texts are one entry of the index (all of a long one goes). Anchors' grams are counted first;
-    suffixes at grams seen once can't repeat and stay at home. The others are sorted where they are, cut into
-    parts by gram and exchanged front-coded; a loser tree merges each part's runs. Grams seen more than
-    ``hot`` times are dealt out by hashes of whole strings, so no group lands in one task. Null texts
+    suffixes at grams seen once can't repeat and stay at home. Of the others, those that a task has
+    twice with all that counts of their surroundings are one; they are sorted where they are, cut into
+    parts by gram and exchanged front-coded; a loser tree merges each part's runs. Suffixes at grams seen more than
+    ``hot`` times go the same way, but as several of fewer distances each, dealt out by far longer strings than the gram
+    (``windows``), so no group lands in one task. Null texts
     are empty; texts under ``LENGTH`` bytes keep all; repeated rows and null ids each give a row; an
     empty table gives none; further columns are not read.
     """
@@ -255,33 +289,41 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = texts.select("k1", "k2", F.encode("text", "UTF-8").alias("text"))
     seen = stage(whole.mapInArrow(grams, "k1 long, k2 long, h long, n long"))
     twice = stage(seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
-    total = twice.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    total = twice.agg(F.sum("n").alias("n")).first()
     wanted = seen.select("k1", "k2", "h").join(twice.select("h", (F.col("n") > hot).alias("hot")), "h")
     lists = wanted.groupBy("k1", "k2").agg(*[F.collect_list(F.when(c, F.col("h"))).alias(name) for c, name in ((~F.col("hot"), "h"), (F.col("hot"), "often"))])
     found = whole.join(lists, ["k1", "k2"])
     parts = max(4 * n, -(-(total.n or 0) // part))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = defaultdict(list)
-        size = 0
+        held: dict[int, dict] = defaultdict(lambda: defaultdict(list))
+        size, home = 0, parts + TaskContext.get().partitionId()
         for batch in batches:
             for i, text in enumerate(batch.column(2).to_pylist()):
-                k1, k2, good = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(3)[i].values.to_numpy()
+                place = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                good, often = (np.array(batch.column(c)[i].values.to_numpy(zero_copy_only=False), np.int64) for c in (3, 4))
                 for h, p, near, far in anchors(text):
-                    keep = np.isin(h, good)
+                    keep, split = np.isin(h, good), np.isin(h, often)
                     for x, at, a, b in zip((h[keep].view(np.uint64) % np.uint64(parts)).tolist(), p[keep].tolist(), near[keep].tolist(), far[keep].tolist(), strict=True):
-                        held[x].append((text[at : at + LENGTH - a], text[at - b : at][::-1], a, b, at, k1, k2))
+                        held[x][text[at : at + LENGTH - a], text[at - b : at][::-1], a, b].append((at, *place))
                         size += 1
+                    for x, at, a, b in zip(h[split].view(np.uint64).tolist(), p[split].tolist(), near[split].tolist(), far[split].tolist(), strict=True):
+                        for key, *suffix in windows(x, text[at : at + LENGTH - a], text[at - b : at][::-1], a, b):
+                            held[key % parts][tuple(suffix)].append((at, *place))
+                            size += 1
                     if size >= HELD:
-                        yield _runs(held)
+                        yield _runs(*collapsed(held), home)
                         held.clear()
                         size = 0
-        yield _runs(held)
+        yield _runs(*collapsed(held), home)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
             for run in batch.to_pylist():
+                if run["ends"]:
+                    yield _spans(*(np.frombuffer(run[c], np.int64) for c in ("k1", "k2", "place", "ends")))
+                    continue
                 if held and held[0]["part"] != run["part"]:
                     yield merged_spans(held)
                     held = []
@@ -289,10 +331,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if held:
             yield merged_spans(held)
 
-    cold = found.select("k1", "k2", "text", "h").where(F.size("h") > 0)
-    spans = cold.mapInArrow(sort, RUN).repartition(n, "part").sortWithinPartitions("part").mapInArrow(combine, SPANS)
-    if (total.most or 0) > hot:
-        spans = spans.unionByName(_hot_spans(found.select("k1", "k2", "text", "often").where(F.size("often") > 0)))
+    spans = found.select("k1", "k2", "text", "h", "often").mapInArrow(sort, RUN)
+    spans = spans.repartition(n, "part").sortWithinPartitions("part").mapInArrow(combine, SPANS)
     spans = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,24 +366,3 @@ def removed(text: bytes, copies: int, spans: list[int] | None) -> tuple[int, int
         at = end
     digest.update(text[at:])
     return len(text), sum(merged[1::2]) - sum(merged[::2]), len(merged) // 2, digest.hexdigest(), merged
-
-
-def _hot_spans(found: DataFrame) -> DataFrame:
-    """Spans at grams seen very often: whole strings are counted by their hashes (pre-aggregated), then those seen twice are kept."""
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                good = batch.column(3)[i].values.to_numpy()
-                for h, p, near, far in anchors(text):
-                    keep = np.isin(h, good)
-                    begin = np.concatenate([np.arange(at - b, at - a + 1) for at, a, b in zip(p[keep], near[keep], far[keep], strict=True)] or [np.zeros(0, np.int64)])
-                    names = [hashlib.blake2b(text[s : s + LENGTH], digest_size=16).digest() for s in begin.tolist()]
-                    m = len(names)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(j)[i].as_py()] * m, pa.int64()) for j in (0, 1)] + [pa.array(names, pa.binary()), pa.array(begin, pa.int64())], ["k1", "k2", "name", "begin"])
-
-    rows = stage(found.mapInArrow(strings, "k1 long, k2 long, name binary, begin long"))
-    # written, so that both sides of the join are plain exchanges and a string seen very often can be split
-    twice = stage(rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
-    rows = rows.join(twice, "name").select("k1", "k2", F.array("begin", F.col("begin") + LENGTH).alias("spans"))
-    return rows.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
