@@ -1,16 +1,18 @@
-"""Nearest-neighbour features: exact search over slabs, and neighbours among times or among symbols."""
+"""Nearest-neighbour features: exact search over cells around pivots, and neighbours among times or among symbols."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.shape import common_symbols, pivot_feature, unpivot_long
 
-#: Rows of a slab's chunk, and distances that a task holds at once.
-CELL, HELD = 20_000, 4_000_000
+#: Rows of a cell's chunk, distances that a task holds at once, and pivots at most.
+CELL, HELD, PIVOTS = 20_000, 4_000_000, 1_024
 
 
 def _distances(q: np.ndarray, t: np.ndarray, p: float) -> np.ndarray:
@@ -63,31 +65,54 @@ def metric_space(metric: str = "minkowski", p: float = 2, params: dict | None =
     return p, lambda x: F.zip_with(x, factors, lambda v, s: v * s)
 
 
+def _length(d: np.ndarray, p: float) -> np.ndarray:
+    """Distances for which the triangle inequality holds, of sums without the root."""
+    return d if np.isinf(p) or p <= 1 else d ** (1 / p)
+
+
 def nearest(query: DataFrame, train: DataFrame, n: int, p: float = 2, key: str = "key", vector: str = "vector", cell: int = CELL, exclude_self: bool = False) -> DataFrame:
     """(key, rank, neighbor, distance): each query's ``n`` nearest rows of ``train`` by Minkowski-p, ties to the smaller key.
 
-    Exact, without a cross join or broadcast of either side. Train rows lie in slabs along the first
-    coordinate, large slabs in several chunks; no task holds more than about ``cell`` rows of either side. A query first meets one chunk of its own slab, which
-    bounds its n-th distance, then only slabs within that bound: coordinates can't be further apart
-    than points. ``distance`` has no root taken. Rows with a null key, vector or component take no part.
+    Exact, without a cross join or broadcast of either side. Train rows lie in cells, that of the nearest
+    of up to ``PIVOTS`` pivots (train rows taken by hash, which every task knows), large cells in several
+    chunks; no task holds more than about ``cell`` rows of either side. A query first meets one chunk of
+    its own cell, which bounds its n-th distance, then only cells whose radius reaches into that bound
+    (triangle inequality). ``distance`` has no root taken. Rows with a null key, vector or component take
+    no part. ``train`` is kept while the search runs.
     """
     sound = F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
     query = query.where(sound).select(F.col(key).alias("_q"), F.col(vector).cast("array<double>").alias("_x"))
-    train = train.where(sound).select(F.col(key).alias("_t"), F.col(vector).cast("array<double>").alias("_x"))
+    train = train.where(sound).select(F.col(key).alias("_t"), F.col(vector).cast("array<double>").alias("_x")).persist()
     most = n + int(exclude_self)
-    first = F.get("_x", F.lit(0))
-    total = train.count()
-    slabs = max(1, -(-total // cell))
-    bounds = sorted(set(train.select(first.alias("_c")).approxQuantile("_c", [k / slabs for k in range(1, slabs)], 0.25 / slabs))) if slabs > 1 else []
+    kind, q_kind = train.schema["_t"].dataType.simpleString(), query.schema["_q"].dataType.simpleString()
+    wanted = min(PIVOTS, max(1, -(-train.count() // cell)))
+    taken = train.orderBy(F.xxhash64("_t"), "_t").limit(wanted).collect()
+    pivots = np.array([r["_x"] for r in taken], np.float64)
 
-    def slab(x: Column) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= x)) if bounds else F.lit(0)
+    def lengths(vectors: pd.Series) -> np.ndarray:
+        return _length(_distances(np.stack(vectors), pivots, p), p)
 
-    train = train.withColumn("_slab", slab(first))
-    sizes = train.groupBy("_slab").agg(F.ceil(F.count("*") / cell).cast("int").alias("_chunks"))  # a row for each slab
-    train = train.join(sizes, "_slab").withColumn("_chunk", F.pmod(F.xxhash64("_t"), F.col("_chunks")).cast("int")).drop("_chunks")
-    kind = train.schema["_t"].dataType.simpleString()
-    q_kind = query.schema["_q"].dataType.simpleString()
+    def pieces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return (part.iloc[at : at + 1000] for part in parts for at in range(0, len(part), 1000))
+
+    def settled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in pieces(parts):
+            far = lengths(rows["_x"])
+            own = far.argmin(1)
+            yield rows.assign(_cell=own.astype(np.int32), _far=far[np.arange(len(rows)), own])
+
+    if len(pivots) > 1:
+        train = train.mapInPandas(settled, f"_t {kind}, _x array<double>, _cell int, _far double").persist()
+    else:
+        train = train.withColumns({"_cell": F.lit(0), "_far": F.lit(0.0)})
+    sizes = train.groupBy("_cell").agg(F.ceil(F.count("*") / cell).cast("int").alias("_chunks"), F.max("_far").alias("_radius"))
+    found = sizes.collect()  # a row for each pivot
+    chunks, radius = np.zeros(max(1, len(pivots)), np.int64), np.full(max(1, len(pivots)), -np.inf)
+    for r in found:
+        chunks[r["_cell"]], radius[r["_cell"]] = r["_chunks"], r["_radius"]
+    there = chunks > 0
+    train = train.join(F.broadcast(sizes.select("_cell", "_chunks")), "_cell")
+    train = train.select("_t", "_x", "_cell", F.pmod(F.xxhash64("_t"), F.col("_chunks")).cast("int").alias("_chunk"))
 
     def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
@@ -97,24 +122,34 @@ def nearest(query: DataFrame, train: DataFrame, n: int, p: float = 2, key: str =
 
     def met(q: DataFrame) -> DataFrame:
         """Queries and train rows of the same chunk; a crowd of queries comes in parts, each with the chunk's rows."""
-        cells = ["_slab", "_chunk"]
+        cells = ["_cell", "_chunk"]
         parts = q.groupBy(*cells).agg(F.ceil(F.count("*") / cell).cast("int").alias("_parts"))
         q = q.join(parts, cells).withColumn("_part", F.pmod(F.xxhash64("_q"), F.col("_parts")).cast("int")).drop("_parts")
         t = train.join(parts, cells).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
         cells.append("_part")
         return q.groupBy(*cells).cogroup(t.groupBy(*cells)).applyInPandas(search, f"_q {q_kind}, _t {kind}, _d double")
 
-    if slabs > 1:
-        start = query.withColumn("_slab", slab(first)).withColumn("_chunk", F.lit(0))
-        reach = met(start).groupBy("_q").agg(F.max("_d").alias("_d"), F.count("*").alias("_n")).where(F.col("_n") >= most)
-        root = F.col("_d") if np.isinf(p) else F.pow("_d", F.lit(1 / p))
-        query = query.join(reach.select("_q", (root * (1 + 1e-9)).alias("_r")), "_q", "left")
-        low = F.when(F.col("_r").isNotNull(), slab(first - F.col("_r"))).otherwise(F.lit(0))
-        high = F.when(F.col("_r").isNotNull(), slab(first + F.col("_r"))).otherwise(F.lit(len(bounds)))
-        query = query.withColumn("_slab", F.explode(F.sequence(low, high)))
+    def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in pieces(parts):
+            own = np.where(there, lengths(rows["_x"]), np.inf).argmin(1)
+            yield rows.assign(_cell=own.astype(np.int32), _chunk=np.int32(0))
+
+    def within(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each chunk of each cell that may hold one of the query's nearest."""
+        for rows in pieces(parts):
+            reach = rows["_r"].fillna(np.inf).to_numpy()
+            i, c = np.nonzero(there & (lengths(rows["_x"]) - radius <= reach[:, None] * (1 + 1e-9) + 1e-12))
+            many = chunks[c]
+            number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield rows.iloc[np.repeat(i, many)][["_q", "_x"]].assign(_cell=np.repeat(c, many).astype(np.int32), _chunk=number.astype(np.int32))
+
+    schema = f"_q {q_kind}, _x array<double>, _cell int, _chunk int"
+    if len(pivots) > 1 or chunks.sum() > 1:
+        bound = met(query.mapInPandas(first, schema)).groupBy("_q").agg(F.max("_d").alias("_d"), F.count("*").alias("_n")).where(F.col("_n") >= most)
+        root = F.col("_d") if np.isinf(p) or p <= 1 else F.pow("_d", F.lit(1 / p))
+        query = query.join(bound.select("_q", root.alias("_r")), "_q", "left").mapInPandas(within, schema)
     else:
-        query = query.withColumn("_slab", F.lit(0))
-    query = query.join(sizes, "_slab").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select("_q", "_x", "_slab", "_chunk")
+        query = query.withColumns({"_cell": F.lit(0), "_chunk": F.lit(0)})
     found = met(query)
     if exclude_self:
         found = found.where("_q <> _t")
