@@ -7,6 +7,7 @@ import xxhash
 from tidemark.llm.components import components
 from pyspark.sql import functions as F
 
+from tidemark.llm.setjoin import linked, parity, prefix
 from tidemark.llm.simhash import GrayIndex, fingerprint, gray_rank, link_codes, one_of_each, shingles, similarity, simhash_components
 
 
@@ -211,3 +212,30 @@ def test_clashing_column_names_and_types_stay(spark):
     assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
     got = sorted(out.collect(), key=lambda r: r.doc_id)
     assert [tuple(r) for r in got] == [tuple(r) for r in sorted(docs.collect(), key=lambda r: r.doc_id) if r.doc_id < 3]
+
+
+@pytest.mark.parametrize("cell", [4, 2048])
+def test_every_similar_pair_of_a_crowd_is_joined_in_cells_of_any_size(spark, cell):
+    """One common passage puts all sets into the same cells; pairs are found whichever chunks they lie in."""
+    rng = random.Random(31)
+    passage = [f"common{k}" for k in range(12)]
+    texts = []
+    for _ in range(40):
+        own = [f"w{rng.randrange(10_000)}" for _ in range(rng.randint(5, 60))]
+        texts.append(" ".join(passage + own))
+        for _ in range(rng.randint(0, 2)):
+            copy = list(own)
+            copy[rng.randrange(len(copy))] = "changed"
+            texts.append(" ".join(passage + copy))
+    sets = [shingles(t, 5) for t in texts]
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))  # no order that keeps the passage out of the prefixes
+    rows = [(i, i, len(s), prefix(s, none, 0.8).view(np.int64).tolist(), bytearray(parity(s))) for i, s in enumerate(sets)]
+    items = spark.createDataFrame(rows, "node long, root long, n long, prefix array<long>, map binary")
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if similarity(sets[a], sets[b]) >= 0.8]
+    good = spark.createDataFrame(pairs, "a long, b long")
+    got = {r.node: r.root for r in linked(items, lambda found: found.join(good, ["a", "b"], "left_semi"), 0.8, cell).collect()}
+    want = list(range(len(texts)))
+    for a, b in sorted(pairs):
+        x, y = want[a], want[b]
+        want = [min(x, y) if r in (x, y) else r for r in want]
+    assert len(pairs) > 10 and [got[i] for i in range(len(texts))] == want
