@@ -13,7 +13,7 @@ from tidemark.llm.common import stage
 #: Hex digits of the text's digest that name a unit: 65,536 units at most come to the driver.
 UNIT_DIGITS = 4
 #: Rows that are numbered together: a unit's rows are dealt to as many cells as that takes, so that no task numbers a large one.
-CELL_ROWS = 20_000
+CELL_ROWS = 2_000
 
 
 def fits(prefix: list[int], n_shards: int, capacity: int) -> bool:
