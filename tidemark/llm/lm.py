@@ -18,17 +18,20 @@ from tidemark.llm.common import stage
 
 FOLDS, HELD_OUT = 7, 2
 #: Counts are held as levels 1 + floor(log(count) / log(STEP)), at most LEVELS of them; what is left to the lower order, as powers of SHARE.
-STEP, SHARE, LEVELS = 1.5, 0.8, 110
-#: Taken off every count of a word after others.
+STEP, SHARE, LEVELS = 1.5, 0.64, 110
+#: Taken off every count of a word after others. Words and pairs are in the model from their first time, triples from their second
+#: (at every size of input): what triples seen once would have stays with the pairs.
 DISCOUNT = 0.8
+LEAST = (1, 1, 2)
 #: The filter has BITS bits for each n-gram and level in it, of which PROBES are set: its size follows the counts.
 BITS, PROBES = 9, 6
 #: Bytes of a filter that is broadcast, at most; the blocks of a larger one stay where they are, and what to probe comes to them.
-BROADCAST = 192 << 20
+BROADCAST = 160 << 20
 #: Words whose exact counts are broadcast, at most; the rest is joined.
 HEAD = 1 << 20
-#: Bytes of text hashed at once, n-grams that a task counts before it hands them on.
-GROUP, HELD = 4 << 20, 2_000_000
+#: Bytes of text hashed at once, tokens whose n-grams are counted (or asked for) together, or sought beside a whole filter in memory;
+#: n-grams that a task holds before it hands them on.
+GROUP, TOKENS, BESIDE, HELD = 1 << 20, 700_000, 120_000, 4_000_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words, pairs and triples; and what contexts of one and of two words leave.
@@ -112,6 +115,20 @@ def groups(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield flush()
 
 
+def gathered(texts: list[str | None], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``groups`` put together until they have ``least`` tokens."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for found in groups(texts):
+        held.append(found)
+        size += len(found[0])
+        if size >= least:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """32 bits of a word's hash, then 32 of the next one's."""
     return (first >> np.uint64(32) << np.uint64(32)) | (second >> np.uint64(32))
@@ -208,17 +225,14 @@ class Filter:
         return out
 
 
-def continued(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts (in order, side by side), and for each how often it goes on, and in how many ways."""
+def left(context: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts (given in order, side by side), and what the n-grams of ``least`` or more leave of each to the lower order, as powers of SHARE."""
     if not len(context):
-        return context, counts, counts
+        return context, counts
     at = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-    return context[at], np.add.reduceat(counts, at), np.diff(np.append(at, len(context)))
-
-
-def left_steps(total: np.ndarray, ways: np.ndarray) -> np.ndarray:
-    """What discounting leaves, DISCOUNT * ways / total, as powers of SHARE below DISCOUNT (which is what singles leave)."""
-    return np.round(np.log(np.maximum(ways / np.maximum(total, 1), 0.02)) / math.log(SHARE)).astype(np.int64)
+    taken = np.add.reduceat(np.where(counts >= least, counts - DISCOUNT, 0), at)
+    rest = np.maximum(1 - taken / np.add.reduceat(counts, at), 0.02)
+    return context[at], np.round(np.log(rest) / math.log(SHARE)).astype(np.int64)
 
 
 BLOCKS = "block long, words array<long>, counts array<long>, sums array<struct<kind:int,level:int,n:long,total:long>>, bits binary"
@@ -253,11 +267,11 @@ def counted(texts: DataFrame, n: int) -> DataFrame:
 
         before, size = START, 0
         for batch in batches:
-            for tokens, _ in groups(batch.column(0).to_pylist()):
+            for tokens, _ in gathered(batch.column(0).to_pylist(), TOKENS):
                 pair, _, triple = ngrams(tokens, before)
                 for kind, x in ((UNI, tokens), (PAIR, pair), (TRI, triple)):
                     codes, names = pd.factorize(x)
-                    held[kind].append((names, np.bincount(codes)))
+                    held[kind].append((names, np.bincount(codes).astype(np.uint32)))
                     size += len(names)
                 before = np.concatenate([before, tokens])[-2:]
                 if size >= HELD:
@@ -272,13 +286,15 @@ def counted(texts: DataFrame, n: int) -> DataFrame:
             sums, entries = [], []
             found = {kind: added(held.get(kind, [(np.zeros(0, np.uint64), np.zeros(0, np.int64))])) for kind in (UNI, PAIR, TRI)}
             for kind, (h, c) in found.items():
-                steps = level(c)
+                often = c >= LEAST[kind]
+                h, c = h[often], c[often]
+                steps = level(c) - LEAST[kind] + 1
                 entries.append((kind, h, steps))
                 n, sum_of = np.bincount(steps, minlength=1), np.bincount(steps, c, 1)
                 sums += [{"kind": kind, "level": int(k), "n": int(n[k]), "total": int(sum_of[k])} for k in np.flatnonzero(n)]
             for kind, source, shift in ((LEFT_ONE, PAIR, 32), (LEFT_TWO, TRI, 24)):
-                context, often, ways = continued(found[source][0] >> np.uint64(shift), found[source][1])
-                entries.append((kind, context << np.uint64(shift), left_steps(often, ways)))
+                context, steps = left(found[source][0] >> np.uint64(shift), found[source][1], LEAST[source])
+                entries.append((kind, context << np.uint64(shift), steps))
             words, counts = found[UNI]
             cols = [pa.array([at], pa.int64()), *[pa.array([x.astype(np.int64)], pa.list_(pa.int64())) for x in (words.view(np.int64), counts)]]
             kinds = pa.list_(pa.struct([("kind", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("total", pa.int64())]))
@@ -355,12 +371,14 @@ class Wanted:
         counts = [model.means[kind][np.minimum(found[kind], len(model.means[kind]) - 1)] for kind in (UNI, PAIR, TRI)]
         exact = model.exact(self.keys[UNI])
         word = np.where(exact >= 0, exact, counts[UNI])
-        left = [DISCOUNT * SHARE ** found[kind].astype(np.float64) for kind in (LEFT_ONE, LEFT_TWO)]
+        rests = [SHARE ** found[kind].astype(np.float64) for kind in (LEFT_ONE, LEFT_TWO)]
         context, token = self.word[:-1], self.word[1:]
         pair, behind = np.split(self.pair, 2)
         p = (word[token] + 1) / model.mass
         twice = np.where(self.after_end, model.end, counts[PAIR][behind])
-        for own, often, rest in ((counts[PAIR][pair], word[context], left[0][context]), (counts[TRI][self.triple], twice, left[1][self.triple])):
+        # a triple is no more frequent than its pairs: what the filter finds without them isn't there
+        triple = np.where((found[PAIR][pair] >= LEAST[TRI]) & (twice >= LEAST[TRI]), counts[TRI][self.triple], 0)
+        for own, often, rest in ((counts[PAIR][pair], word[context], rests[0][context]), (triple, twice, rests[1][self.triple])):
             seen = np.minimum(np.maximum(own - DISCOUNT, 0) / np.maximum(often, 1), 1 - rest)
             p = np.where(often > 0, seen + rest * p, p)
         return np.log10(np.minimum(p, 1)), exact[token]
@@ -376,7 +394,7 @@ def fit(docs: DataFrame, head: int = HEAD, broadcast: int = BROADCAST) -> tuple[
     means = {}
     for kind in (UNI, PAIR, TRI):
         top = max([lv for k, lv in found if k == kind], default=0)
-        means[kind] = np.array([0.0, *[x[1] / x[0] if (x := found.get((kind, lv))) else STEP ** (lv - 0.5) for lv in range(1, top + 1)]])
+        means[kind] = np.array([0.0, *[x[1] / x[0] if (x := found.get((kind, lv))) else STEP ** (lv + LEAST[kind] - 1.5) for lv in range(1, top + 1)]])
     kept, cut = 0, LEVELS + 1
     for lv in sorted((lv for k, lv in found if k == UNI), reverse=True):
         if (kept := kept + found[UNI, lv][0]) > head:
@@ -428,7 +446,7 @@ def scored_here(rows: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             m, before = shared.value, START
             sums, rare = np.zeros((4, batch.num_rows)), [[] for _ in range(batch.num_rows)]
-            for tokens, owner in groups(batch.column(1).to_pylist()):
+            for tokens, owner in gathered(batch.column(1).to_pylist(), BESIDE):
                 wanted = Wanted(tokens, before)
                 scores = wanted.scores(m, probed(m.filter, wanted.keys, m.bits))
                 own, others = summed(m, tokens, owner, batch.num_rows, *scores)
@@ -454,7 +472,7 @@ def scored_apart(rows: DataFrame, model: Model, blocks: DataFrame) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             rids, before = batch.column(0).to_numpy(), START
-            for tokens, owner in groups(batch.column(1).to_pylist()):
+            for tokens, owner in gathered(batch.column(1).to_pylist(), TOKENS):
                 names, at = np.unique(owner, return_inverse=True)
                 codes, words = pd.factorize(tokens)
                 data = pickle.dumps((words, codes.astype(np.min_scalar_type(len(words))), at.astype(np.min_scalar_type(len(names))), rids[names].tolist(), before))
@@ -534,8 +552,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from all rows but those of one fold (crc32 of the id as text). Words, pairs and triples of
-    words are counted over all of them, none left out; counts go as levels into a Bloom filter whose
-    size follows them. ``score`` sums log10 of discounted triple probabilities over those of pairs and
+    words are counted over all of them; counts (of triples, from 2 on) go as levels into a Bloom filter whose
+    size follows them, at any size of input. ``score`` sums log10 of discounted triple probabilities over those of pairs and
     add-one words, read by probing level after level. A filter of ``broadcast`` bytes at most is
     broadcast; the distinct n-grams of the texts are sent to the blocks of a larger one, and find the
     same. ``base_score`` uses exact word counts: those of ``head`` words are broadcast, the other
