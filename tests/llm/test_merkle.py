@@ -1,0 +1,96 @@
+import hashlib
+import random
+import zlib
+
+import pytest
+
+from tidemark.llm.merkle import manifest, manifest_check
+
+
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def enc(v):
+    return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+
+def climb(nodes, want):
+    """Root of ``nodes`` and each start's steps (before, after)."""
+    steps, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for k, p in enumerate(at):
+            run = p // 8 * 8
+            steps[k].append(("".join(nodes[run:p]), "".join(nodes[p + 1 : run + 8])))
+        nodes = [sha("".join(nodes[r : r + 8])) for r in range(0, len(nodes), 8)]
+        at = [p // 8 for p in at]
+    return nodes[0], steps
+
+
+def plain(rows):
+    """Rows of (doc_id, text, lang, source, n_chars) in plain Python: the contract's columns."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+    def leaf(r, text):
+        return sha("".join(enc(v) for v in (r[0], r[3], r[2], r[4], text)))
+
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    parts, out = [], []
+    for lang in langs:
+        mine = sorted((r for r in rows if r[2] == lang), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r, r[1])))
+        parts.append((mine, *climb([leaf(r, r[1]) for r in mine], None)))
+    root, tops = climb([p[1] for p in parts], None)
+    for (mine, subroot, steps), top in zip(parts, tops):
+        for r, own in zip(mine, steps):
+            path, text = own + top, r[1]
+            if text is not None and r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0:
+                text = text.translate(lower)
+            h = leaf(r, text)
+            for before, after in path:
+                h = sha(before + h + after)
+            out.append((r[0], leaf(r, r[1]), subroot, root, sha("".join(a + b for a, b in path)), h, h == root))
+    return out
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(n, langs, seed=1):
+    rng = random.Random(seed)
+    pieces = ["", "A", "ßé", "plain words", "UPPER Case\n", "x" * 3000, None]
+    return [(rng.randrange(n), rng.choice(pieces), rng.choice(langs), rng.choice(["s1", None, "S"]), rng.choice([None, 3, -7])) for _ in range(n)]
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        docs(700, ["en", "en", "en", "de", None, "", "É", "zz"]),  # ids repeat
+        docs(80, [f"l{i}" for i in range(40)], 2),  # more groups than one run
+        [(5, "A", "en", "s", 1)],
+        [(5, "A", "en", "s", 1)] * 20 + [(None, "B", None, None, None)],
+    ],
+)
+def test_equals_a_plain_tree(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = manifest_check(df.selectExpr("*", "1 as g", "'x' as pos", "3 as n", "0 as digest"))  # clashing names
+    got = [(r.doc_id, r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(plain(rows), key=str)
+    assert any(not r[-1] for r in got) or len(rows) < 80
+
+
+def test_empty_table_and_nodes(spark):
+    assert manifest_check(spark.createDataFrame([], SCHEMA)).collect() == []
+    rows, nodes = manifest(spark.createDataFrame(docs(100, ["en", "de"]), SCHEMA))
+    assert rows.where("verified").count() == 100
+    digests = {r.digest for r in nodes.collect()}
+    assert {rows.first().root, rows.first().subroot} <= digests
+    kids = {r.digest: r.kids for r in nodes.collect()}
+    assert all(sha(k) == d for d, k in kids.items())
+
+
+def test_one_changed_row_fails_alone(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(k, f"text {k}", "en", "s", 6) for k in range(100)], SCHEMA)
+    rows, _ = manifest(df, claimed={"source": F.when(F.col("doc_id") == 42, "other").otherwise(F.col("source"))})
+    assert [r.doc_id for r in rows.where("not verified").collect()] == [42]

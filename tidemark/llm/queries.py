@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.divergence import source_divergence
 from tidemark.llm.lm import lm_scores
+from tidemark.llm.merkle import manifest_check
 from tidemark.llm.mixing import mix
+from tidemark.llm.quality import quality_rules
+from tidemark.llm.queries_sql import DIVERGENCE_SQL, merkle_sql
 from tidemark.llm.secrets import find_secrets
 from tidemark.llm.sharding import shard_by_bytes
 from tidemark.llm.simhash import simhash_components
@@ -55,9 +59,24 @@ def op10_secrets(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_decontaminate, op4_simhash, op5_mixing, op6_lm_scores, op7_toxicity, op8_sharding, op9_topk, op10_secrets)}
+def op11_merkle(spark, sf_dir):
+    return manifest_check(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark, sf_dir):
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark, sf_dir):
+    rows, _ = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_decontaminate, op4_simhash, op5_mixing, op6_lm_scores, op7_toxicity, op8_sharding, op9_topk, op10_secrets, op11_merkle, op12_divergence, op13_quality)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle": merkle_sql(),
+    "op12_divergence": DIVERGENCE_SQL,
     "op9_topk": """
 WITH fine AS (
   SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v
