@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from tidemark.llm.secrets import BASE, COMPLETES, ROLE, WEAK, find_secrets
 
@@ -86,6 +89,15 @@ def test_no_pattern_is_slow_on_one_long_word(spark):
     assert len(out) == 5
 
 
+def test_very_many_matches_in_one_text(spark):
+    text = "token=abcdef1 user=bob\n" * 50_000
+    at = time.perf_counter()
+    (r,) = find_secrets(spark.createDataFrame([(1, text)], "doc_id int, text string")).select("n_assign", "n_linked", "base_sha256", F.length("spans")).collect()
+    assert time.perf_counter() - at < 60
+    assert (r.n_assign, r.n_linked) == (50_000, 50_000)
+    assert r.base_sha256 == digest(base(text))
+
+
 def test_repeated_rows_null_ids_empty_table(spark):
     docs = spark.createDataFrame([(None, "token=abcdef"), (1, "token=abcdef"), (1, "token=abcdef")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_assign) for r in find_secrets(docs).collect()) == [(0, 1), (1, 1), (1, 1)]

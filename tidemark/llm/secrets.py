@@ -37,24 +37,43 @@ COMPLETES = {"secret": ("name", "place"), "name": ("secret",), "place": ("secret
 SCOPE = 200
 
 SPAN = "struct<start:int,ord:int,kind:string,end:int>"
+PIECE = "struct<ord:int,i:int,gap:int,hit:int,ok:boolean>"
 
+SIGN = "contains(t, ':') or contains(t, '=')"
+#: What a text (column t) must hold for a kind to match at all: quick tests, so that the patterns read few texts.
+NEEDS = {
+    "assign": SIGN,
+    "access": "contains(t, 'AKIA')",
+    "hex": "true",
+    "ident": SIGN,
+    "email": "contains(t, '@')",
+    "key": SIGN,
+    "run": "t rlike '[0-9]'",
+    "endpoint": "contains(t, '://')",
+    "address": "t rlike '[0-9A-Za-z-][.][0-9a-z]'",
+}
+
+
+def hits(kind: str, pattern: str) -> Column:
+    """All non-overlapping matches in column ``t``."""
+    return F.when(F.expr(NEEDS[kind]), F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
-def spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
-    """All non-overlapping matches with their places: texts between matches and matches, laid end to end."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        value = F.regexp_extract(x["hit"], pattern, group) if group else x["hit"]
-        span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(value) >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+def pieces(kind: str, order: int, pattern: str, group: int, least: int) -> Column:
+    """Length of each match (column ``kind``), of the text between it and the one before, and whether its value is long enough.
+
+    The texts between matches are bound once; within the inner lambda a split would run again for each match.
+    """
 
-    pairs = F.transform(matches, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("hit")))
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def measured(gaps: Column) -> Column:
+        def one(hit: Column, i: Column) -> Column:
+            value = F.regexp_extract(hit, pattern, group) if group else hit
+            return F.struct(F.lit(order).alias("ord"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), F.length(hit).alias("hit"), (F.length(value) >= least).alias("ok"))
+
+        return F.transform(kind, one)
+
+    found = F.get(F.transform(F.array(F.split("t", pattern, -1)), measured), F.lit(0))
+    return F.when(F.size(kind) > 0, found).otherwise(F.array().cast(f"array<{PIECE}>"))
 
 
 def _joined(col: Column) -> Column:
@@ -62,6 +81,10 @@ def _joined(col: Column) -> Column:
     return F.array_join(parts, ",")
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """Per row: id, n_assign, n_access, n_hex, base_sha256, spans, n_linked, links.
 
@@ -76,14 +99,20 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    made = [spans(F.col("t"), k, i, *spec).alias(k) for i, (k, spec) in enumerate((BASE | WEAK).items())]
-    rows = rows.select("id", *made)
-    base, weak = F.concat(*BASE), F.concat(*WEAK)
-    rows = stage(rows.select(F.monotonically_increasing_id().alias("rid"), "id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], base.alias("base"), weak.alias("weak")))
-    plain, rest = rows.where(F.size("weak") == 0), rows.where(F.size("weak") > 0)
-    parts = rest.select("rid", F.explode(F.concat("base", "weak")).alias("s")).select("rid", "s.*")
+    kinds = BASE | WEAK
+    rows = rows.select("id", "t", *[hits(k, spec[0]).alias(k) for k, spec in kinds.items()])
+    found = [pieces(k, i, *spec) for i, (k, spec) in enumerate(kinds.items())]
+    rows = stage(rows.select(F.monotonically_increasing_id().alias("rid"), "id", F.concat(*found).alias("pieces")))
+    plain, rest = (rows.where(c).select("rid", "id") for c in ("size(pieces) = 0", "size(pieces) > 0"))
+    # places are sums of the lengths before: a window over a kind's matches, so that a text takes time in line with its matches
+    parts = rows.where("size(pieces) > 0").select("rid", F.explode("pieces").alias("s")).select("rid", "s.*").repartition("rid")
+    so_far = Window.partitionBy("rid", "ord").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(so_far).cast("int")).where("ok")
+    names = F.array(*map(F.lit, kinds))
+    parts = parts.select("rid", (F.col("end") - F.col("hit")).alias("start"), "ord", F.get(names, F.col("ord")).alias("kind"), "end")
     before = Window.partitionBy("rid").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("rid").orderBy("start", "ord").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # the rows after, in falling order: a frame that ends at the last row would be gone through anew for each row
+    after = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("ord")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     strong = F.col("ord") < len(BASE)
     parts = parts.select(
         "*",
@@ -102,12 +131,14 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     link = F.struct("w_start", "w_ord", "w_kind", "p_start", "p_ord", "p_kind")
     linked = pairs.groupBy("rid").agg(F.collect_set(weak_span).alias("linked"), F.collect_list(link).alias("links"))
     none, no_links = F.array().cast(f"array<{SPAN}>"), F.array().cast("array<struct<w_start:int,w_ord:int,w_kind:string,p_start:int,p_ord:int,p_kind:string>>")
-    rest = rest.join(linked, "rid", "left").withColumns({"linked": F.coalesce("linked", none), "links": F.coalesce("links", no_links)})
-    both = plain.withColumns({"linked": none, "links": no_links}).unionByName(rest)
+    own = parts.where("strong").groupBy("rid").agg(F.collect_list(F.struct("start", "ord", "kind", "end")).alias("base"))
+    rest = rest.join(own, "rid", "left").join(linked, "rid", "left")
+    empty = {"base": none, "linked": none, "links": no_links}
+    both = plain.withColumns(empty).unionByName(rest.withColumns({k: F.coalesce(k, v) for k, v in empty.items()}))
     named = F.transform(F.array_sort("links"), lambda x: F.concat(x["w_kind"], F.lit(":"), x["w_start"].cast("string"), F.lit(">"), x["p_kind"], F.lit(":"), x["p_start"].cast("string")))
     return both.select(
         F.col("id").alias(id_col),
-        *[f"n_{k}" for k in BASE],
+        *[_count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.concat("base", "linked")).alias("spans"),
         F.size("linked").cast("long").alias("n_linked"),
