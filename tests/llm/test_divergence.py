@@ -3,12 +3,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import divergence
-from tidemark.llm.divergence import Trie, shares, source_divergence
+from tidemark.llm.divergence import Trie, shares, source_divergence, terms_of
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id int, text string, lang string, source string, item int, docs int, term string"
@@ -60,7 +61,7 @@ def corpus(n=400, seed=3):
 @pytest.mark.parametrize("held", [250_000, 40])
 def test_equals_plain_audit(spark, monkeypatch, held):
     monkeypatch.setattr(divergence, "HELD", held)
-    monkeypatch.setattr(divergence, "LOOK", 500)
+    monkeypatch.setattr(divergence, "BLOCK", 500)
     monkeypatch.setattr(divergence, "OPEN", 7)
     monkeypatch.setattr(divergence, "CELLS", 30)
     rows = corpus()
@@ -76,26 +77,48 @@ def test_empty_tables_and_lone_sources(spark):
     assert plain(one) == []
 
 
+def fill(items):
+    trie = Trie()
+    for key, source, n in items:
+        leaf = trie.leaves([key])
+        trie.add(leaf, np.array([1]))
+        trie.add_counts(leaf, np.array([source]), np.array([n]))
+    return trie
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.binary(min_size=1, max_size=6), st.sampled_from("abc"), st.integers(1, 9)), max_size=60), st.integers(0, 60))
+@given(st.lists(st.tuples(st.one_of(st.binary(min_size=1, max_size=9), st.text("ab", min_size=1, max_size=9).map(str.encode)), st.integers(0, 2), st.integers(1, 9)), min_size=1, max_size=60), st.integers(1, 60))
 def test_tries_merge_and_walk_in_byte_order(items, cut):
-    parts = [Trie(), Trie()]
     want = defaultdict(lambda: [0, Counter()])
-    for k, (key, source, n) in enumerate(items):
-        parts[k >= cut].add(key, 1, {source: n})
+    for key, source, n in items:
         want[key][0] += 1
         want[key][1][source] += n
-    parts[0].merge(parts[1])
-    got = [(k, d, c) for k, (d, c) in parts[0].walk()]
-    assert got == [(k, want[k][0], dict(want[k][1])) for k in sorted(want)]
-    assert parts[0].size == len(want)
+    trie = fill(items[:cut])
+    trie.merge(fill(items[cut:]))
+    if cut % 2:
+        trie.settle(3)
+        assert trie.held == sum(len(c) for _, c in want.values())
+    keys, docs, ends, sources, counts = trie.sums(3)
+    assert keys == sorted(want) and trie.size == len(want)
+    assert docs.tolist() == [want[k][0] for k in keys]
+    for k, key in enumerate(keys):
+        own = slice(ends[k - 1] if k else 0, ends[k])
+        assert dict(zip(sources[own].tolist(), counts[own].tolist())) == want[key][1]
 
 
 def test_a_chain_of_prefixes_is_no_recursion():
-    trie = Trie()
-    for n in range(1, 4000):
-        trie.add(b"a" * n, 1, {"s": 1})
-    assert [len(k) for k, _ in trie.walk()] == list(range(1, 4000))
+    trie = fill([(b"a" * n, 0, 1) for n in range(1, 4000)])
+    assert [len(k) for k in trie.walk()[0]] == list(range(1, 4000))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aB zé[`{@日\x80\n")), max_size=8), st.integers(0, 3))
+def test_terms_of_whole_texts(texts, skip):
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    array = pa.array([t.encode() for t in texts], pa.binary()).slice(skip)
+    code, names, text = terms_of(array)
+    want = [(k, t.encode()) for k, x in enumerate(texts[skip:]) for t in TERM.findall(x.translate(lower))]
+    assert list(zip(text.tolist(), [names[c] for c in code])) == want
 
 
 def test_shares_are_exact():
