@@ -1,6 +1,8 @@
 import datetime as dt
+import math
 import random
 import statistics
+import time
 
 import pytest
 
@@ -66,6 +68,35 @@ def test_rolling_at_a_bucket_edge_equals_the_bucket(spark):
             assert (r.x_last, pytest.approx(r.x_mean), pytest.approx(r.x_std)) == (d.x_last, d.x_mean, d.x_std)
 
 
+def test_rolling_far_from_zero_with_nulls_and_nan(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), at(rng.randint(-300, 300)), k, rng.choice([None, *[5e7 + rng.random() for _ in range(6)]]), None) for k in range(300)]
+    rows.append(("a", at(40), 1000, float("nan"), None))
+    plan = agg_plan(["x", "y"], None, ("x", "y"))
+    got = {r.id: r for r in rolling_trailing(frame(spark, rows), "20s", ["g"], plan, tie=["id"], keep=["id"]).collect()}
+    for g, ts, k, *_ in rows:
+        own = [x for h, t, _, x, _ in rows if h == g and ts - dt.timedelta(seconds=20) < t <= ts and x is not None]
+        r = got[k]
+        if any(math.isnan(x) for x in own):
+            assert math.isnan(r.x_mean) and g == "a" and at(40) <= ts < at(60)
+        else:
+            assert r.x_mean == (pytest.approx(statistics.fmean(own), abs=1e-7) if own else None)
+            assert r.x_std == pytest.approx(statistics.stdev(own) if len(own) > 1 else 0.0, abs=1e-7)
+        assert (r.y_last, r.y_mean, r.y_std) == (None, None, 0.0)
+
+
+def test_rolling_takes_no_longer_for_wide_windows(spark):
+    df = spark.range(120_000).selectExpr("cast(id % 1 as string) as g", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id * 0.02) as ts", "cast(id as int) as id", "cast(id % 97 as double) as x", "0.0D as y")
+    plan, took = agg_plan(["x"], None, ("x",)), {}
+    for width in ("1s", "1s", "600s"):  # the first warms up
+        begin = time.perf_counter()
+        rolling_trailing(df, width, ["g"], plan, tie=["id"]).write.format("noop").mode("overwrite").save()
+        took[width] = time.perf_counter() - begin
+    assert took["600s"] < 5 * took["1s"] + 2  # 30,000 rows a window instead of 50
+    exchanges = rolling_trailing(df, "1s", ["g"], plan, tie=["id"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges == 1
+
+
 def test_last_rows_are_whole(spark):
     df = frame(spark, [("a", at(1), 1, 1.0, 1.0), ("a", at(1), 2, None, 2.0), ("a", at(11), 3, 3.0, 3.0)])
     assert [(r.id, r.x) for r in last_by_time(df, ["g", "ts"], ["id"]).orderBy("ts").collect()] == [(2, None), (3, 3.0)]

@@ -88,21 +88,65 @@ def previous(df: DataFrame, col: str, by: list[str], ts: str = "ts", tie: list[s
 def rolling_trailing(df: DataFrame, width: str | int, by: list[str], plan: list[AggItem], ts: str = "ts", tie: list[str] | None = None, keep: list[str] | None = None, buckets: int = 64, drop_nulls: bool = False) -> DataFrame:
     """For each row the plan over (t - width, t]; rows of equal time see each other.
 
-    Rows are dealt to (group, time bucket of ``buckets`` widths); those of a bucket's last width also go to the next
+    Time is cut into blocks of one ``width``. A window is then the end of one block and the beginning of the next: both are
+    running aggregates, from either side of a block, and each row looks up the one that begins behind its t - width.
+    So the work doesn't grow with the rows in a window, and nothing is ever subtracted: counts, sums and variances of the two
+    parts are combined, which loses no digits and lets a NaN or infinity go with its row.
+
+    Rows are dealt once, to (group, time bucket of ``buckets`` widths); those of a bucket's last width also go to the next
     bucket as its halo. So the shuffle grows by 1 / ``buckets`` at most, and a hot group isn't sorted by one task.
     """
     w = duration_us(width)
-    rows = with_halo(df, w - 1, by, ts, buckets=buckets)
-    frame = Window.partitionBy(*by, "_in").orderBy("_us").rangeBetween(-(w - 1), 0)
-    ranked = F.struct("_us", *(tie or []))
-    make = {
-        "last": lambda c: F.max_by(c, ranked).over(frame),
-        "mean": lambda c: F.avg(c).over(frame),
-        "std": lambda c: F.coalesce(F.stddev_samp(c).over(frame), F.lit(0.0)),
-    }
     keep = keep if keep is not None else [*by, ts]
-    out = rows.select("_in", "_own", *keep, *[make[x.how](F.col(f"`{x.source}`")).alias(f"_p{k}") for k, x in enumerate(plan)]).where("_in = _own")
-    out = out.select(*keep, *[F.col(f"_p{k}").alias(x.name) for k, x in enumerate(plan)])
+    moments = list(dict.fromkeys(x.source for x in plan if x.how != "last"))
+    deal = [F.col(f"`{c}`").alias(f"_g{k}") for k, c in enumerate(by)]
+    kept = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)]) if keep else F.lit(0)
+    rows = with_halo(df, w - 1, by, ts, buckets=buckets).select(
+        *deal,
+        "_in",
+        "_us",
+        (F.col("_in") == F.col("_own")).alias("_mine"),
+        F.expr(f"_us div {w} - if(_us % {w} < 0, 1, 0)").alias("_block"),
+        kept.alias("_keep"),
+        F.struct(*[F.col(f"`{c}`") for c in (tie or [])]).alias("_tie") if tie else F.lit(0).alias("_tie"),
+        *[F.col(f"`{x.source}`").alias(f"_v{k}") for k, x in enumerate(plan) if x.how == "last"],
+        *[F.col(f"`{c}`").cast("double").alias(f"_m{k}") for k, c in enumerate(moments)],
+    )
+    cell = [*[f"_g{k}" for k in range(len(by))], "_in"]
+    rows = rows.repartition(*cell)  # all windows below are within these
+    block = Window.partitionBy(*cell, "_block")
+    begin = block.orderBy("_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    end = block.orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    peers = block.orderBy("_us").rangeBetween(0, 0)
+
+    def state(frame) -> Column:
+        parts = [F.struct(F.count(f"_m{k}").over(frame).alias("n"), F.sum(f"_m{k}").over(frame).alias("s"), F.var_pop(f"_m{k}").over(frame).alias("v")).alias(f"m{k}") for k in range(len(moments))]
+        return F.struct(F.lit(0).alias("some"), *parts)
+
+    lasts = [F.max_by(f"_v{k}", "_tie").over(peers).alias(f"l{k}") for k, x in enumerate(plan) if x.how == "last"]
+    rows = rows.select(*cell, "_us", "_block", "_mine", "_keep", state(begin).alias("_begin"), state(end).alias("_end"), F.struct(F.lit(0).alias("some"), *lasts).alias("_last"))
+    # each row stands in its block with the aggregate behind it, and asks in the block before at its own t - width
+    have = F.struct(F.col("_block").alias("b"), F.col("_us").alias("at"), F.lit(1).alias("has"), F.col("_end").alias("state"), F.when(F.lit(False), F.struct("_keep", "_begin", "_last")).alias("row"))
+    ask = F.struct((F.col("_block") - 1).alias("b"), (F.col("_us") - w).alias("at"), F.lit(0).alias("has"), F.when(F.lit(False), F.col("_end")).alias("state"), F.struct("_keep", "_begin", "_last").alias("row"))
+    both = rows.select(*cell, F.explode(F.when(F.col("_mine"), F.array(have, ask)).otherwise(F.array(have))).alias("x"))
+    both = both.select(*cell, F.col("x.b").alias("_block"), F.col("x.at").alias("_at"), F.col("x.has").alias("_has"), F.col("x.state").alias("_state"), F.col("x.row").alias("_row"))
+    behind = block.orderBy(F.desc("_at"), "_has").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_found", F.last("_state", ignorenulls=True).over(behind)).where("_has = 0")
+
+    def value(k: int, x: AggItem) -> Column:
+        if x.how == "last":
+            return F.col(f"_row._last.l{k}")
+        m = moments.index(x.source)
+        n1, s1, v1 = (F.coalesce(F.col(f"_row._begin.m{m}.{c}"), F.lit(0.0)) for c in "nsv")
+        n2, s2, v2 = (F.coalesce(F.col(f"_found.m{m}.{c}"), F.lit(0.0)) for c in "nsv")
+        n = n1 + n2
+        if x.how == "mean":
+            return F.when(n > 0, (s1 + s2) / n)
+        apart = F.when((n1 > 0) & (n2 > 0), F.try_divide(s1, n1) - F.try_divide(s2, n2)).otherwise(0.0)
+        spread = n1 * v1 + n2 * v2 + F.try_divide(apart * apart * n1 * n2, n)
+        return F.when(n > 1, F.sqrt(spread / (n - 1))).otherwise(0.0)
+
+    out = found.select(*[F.col(f"_row._keep.c{k}").alias(c) for k, c in enumerate(keep)], *[value(k, x).alias(x.name) for k, x in enumerate(plan)])
     return no_nulls(out) if drop_nulls else out
 
 
