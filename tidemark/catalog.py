@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.catalog_sql import ORACLE_SQL
 from tidemark.functions.scalars import no_nulls, r6, r9
 from tidemark.functions.timeops import epoch_us, offset
-from tidemark.operators import asof, checks, datasets, factors, importance, labels, metrics, neighbors, resample, shape
+from tidemark.operators import asof, checks, datasets, factors, importance, labels, metrics, neighbors, resample, shape, watch
 from tidemark.operators.factors import book_columns
 from tidemark.plans import models, pipeline
-from tidemark.sources import raw, tables
+from tidemark.sources import arrays, raw, tables
 from tidemark.streaming import resample as stream
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -380,6 +380,12 @@ def alignment_check(spark, d):
     return checks.grid_faults(_hourly(spark, d, "1h"), "1h", by=("symbol",))
 
 
+def even_counts(spark, d):
+    """The same counts over a grid with gaps and over one without."""
+    gaps, whole = (watch.even_counts(df, step, [g]) for df, step, g in ((_hourly(spark, d, "1h"), "1h", "symbol"), (_daily(spark, d), "1d", "event_type")))
+    return gaps.withColumn("grid", F.lit("hourly")).unionByName(whole.withColumn("grid", F.lit("daily")))
+
+
 def step_counts(spark, d):
     return checks.steps(_hourly(spark, d, "1h"), by=("symbol",))
 
@@ -444,6 +450,15 @@ def table_sinks(spark, d):
     return tables.read_aligned(spark, root, ["click", "signup", "view"], ["2024-01-05", "2024-01-06"], ["event_id", "symbol", "date", "value"])
 
 
+def npz_arrays(spark, d):
+    """Two days of events, written as float32 arrays per type and day and read back, one day pruned."""
+    e = events(spark, d).where((F.col("ts") >= at("2024-01-05")) & (F.col("ts") < at("2024-01-07"))).select(F.col("event_type").alias("symbol"), F.to_date("ts").alias("date"), "ts", "event_id", "value")
+    root = tables.scratch_dir(spark)
+    arrays.write_npz(e.withColumn("split", F.lit("pred")), root, ["value"], {"event_id": "long"}, ["symbol", "date"], order=["event_id"])
+    out = arrays.read_npz(spark, root, "split string, event_id long, value float", ["symbol", "date"]).where("date = '2024-01-06'")
+    return out.select("symbol", F.to_date("date").alias("date"), "event_id", F.col("value").cast("double").alias("value"))
+
+
 def result_files(spark, d):
     """Metrics of each result file; files are named by their type's folder."""
     made = _forecast(spark, d).select(F.col("event_type").alias("kind"), "y_true", "y_pred")
@@ -488,8 +503,8 @@ _ALL = [
     time_of_day, trim_leading, time_range_filter, clip_to_range, log_return, forward_label, forward_label_by_time, lag_features, feature_join, label_join, symbol_code_map,
     pivot_fill_mean, unpivot_long, time_neighbors, symbol_neighbors, neighbor_block, vector_neighbors, metrics_overall, metrics_by_symbol, metrics_models, metrics_bucketed,
     prediction_errors, lag_baseline, truth_check, importance_mean, importance_topk, importance_heatmap, importance_matrix, rolling_day_splits, rolling_block_splits, block_cut,
-    block_starts, freq_fanout, training_sample, window_cache, history_slice, base_slice, union_dedup, null_safe_drop, alignment_check, step_counts, grid_points, stride_sample,
+    block_starts, freq_fanout, training_sample, window_cache, history_slice, base_slice, union_dedup, null_safe_drop, alignment_check, even_counts, step_counts, grid_points, stride_sample,
     hash_sample, linear_baseline, gbt_rolling, time_neighbors_manhattan, time_neighbors_chebyshev, time_neighbors_weighted, symbol_neighbors_manhattan, importance_heatmap_split,
-    volatility_grid, snapshot_files, table_sinks, result_files, aligned_table, ready_block, stream_downsample,
+    volatility_grid, snapshot_files, table_sinks, npz_arrays, result_files, aligned_table, ready_block, stream_downsample,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -234,9 +234,14 @@ SELECT event_id, event_type AS symbol, ts FROM events WHERE ts BETWEEN (SELECT m
     "alignment_check": f"""
 WITH h AS ({HOURLY_1}), s AS (SELECT symbol, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY symbol ORDER BY ts) AS step FROM h)
 SELECT symbol, count(*) AS n_rows, count(*) FILTER (step <> 3600000000) AS n_uneven, CAST(coalesce(sum(greatest(step // 3600000000 - 1, 0)), 0) AS BIGINT) AS n_missing FROM s GROUP BY 1""",
+    "even_counts": f"""
+WITH {DAILY}, x AS (SELECT 'hourly' AS grid, symbol AS g, ts, 3600000000 AS width FROM ({HOURLY_1}) UNION ALL SELECT 'daily', event_type, ts, 86400000000 FROM daily),
+s AS (SELECT grid, g, width, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY grid, g ORDER BY ts) AS step FROM x)
+SELECT grid, count(*) AS n_rows, count(DISTINCT g) AS n_groups, count(*) FILTER (step <> width) AS n_off FROM s GROUP BY grid""",
     "step_counts": f"""
 WITH h AS ({HOURLY_1}), s AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY symbol ORDER BY ts) AS step FROM h) SELECT step, count(*) AS n FROM s WHERE step IS NOT NULL GROUP BY 1""",
     "grid_points": f"SELECT event_id, {ceil_ts('15m')} AS grid_up, {floor_ts('15m')} AS grid_down, ts + INTERVAL 90 MINUTE AS later, ts - INTERVAL 1 DAY AS earlier FROM events",
+    "npz_arrays": "SELECT event_type AS symbol, CAST(ts AS DATE) AS date, event_id, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-06'",
     "stride_sample": "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k FROM events) WHERE k % 10 = 0",
     "hash_sample": "SELECT event_id, value FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 100",
     "linear_baseline": f"""

@@ -62,11 +62,13 @@ def require_even(df: DataFrame, ts: str = "ts", by: tuple[str, ...] = (), step:
 def grid_faults(df: DataFrame, step: str | int, ts: str = "ts", by: tuple[str, ...] = ()) -> DataFrame:
     """Per entity: rows, rows whose distance to the one before isn't ``step``, missing grid points."""
     width = duration_us(step)
-    order = Window.partitionBy(*by).orderBy("_us")
-    rows = df.select(*by, epoch_us(ts).alias("_us")).withColumn("_step", F.col("_us") - F.lag("_us").over(order))
-    bad = (F.col("_step") != width).cast("long")
-    missing = F.greatest(F.expr(f"_step div {width}") - 1, F.lit(0))
-    return rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(bad), F.lit(0)).alias("n_uneven"), F.coalesce(F.sum(missing), F.lit(0)).alias("n_missing"))
+    rows = df.select(*by, F.lit(None).cast("long").alias("step"), F.lit(1).alias("row"))
+    rows = rows.unionAll(_steps(df, ts, by).select(*by, "step", F.lit(0).alias("row")))
+    bad = (F.col("step") != width).cast("long")
+    missing = F.greatest(F.expr(f"step div {width}") - 1, F.lit(0))
+    return rows.groupBy(*by).agg(
+        F.sum("row").alias("n_rows"), F.coalesce(F.sum(bad), F.lit(0)).alias("n_uneven"), F.coalesce(F.sum(F.when(F.col("step").isNotNull(), missing)), F.lit(0)).alias("n_missing")
+    )
 
 
 def divisible(lag: str | int, step: int) -> int:

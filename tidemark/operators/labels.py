@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeops import duration_us, epoch_us
-from tidemark.operators.checks import divisible, require_aligned, require_even, require_known
+from tidemark.operators.checks import divisible, require_aligned, require_even, require_known, steps
 from tidemark.operators.resample import with_halo
 
 JOINS = ("left", "right", "full", "inner", "cross")
@@ -62,9 +62,7 @@ def lag_features(df: DataFrame, col: str, lags: list[str], by: list[str], ts: st
     With ``check`` each lag's row must lie exactly d back (a missing row raises); rows of a group's start have no lag.
     """
     if step is None:
-        order = Window.partitionBy(*by).orderBy(ts)
-        gaps = df.select((epoch_us(ts) - F.lag(epoch_us(ts)).over(order)).alias("gap"))
-        got = gaps.agg(F.median("gap").alias("step")).first().step
+        got = steps(df, ts, tuple(by)).agg(F.percentile("step", 0.5, F.col("n")).alias("step")).first().step
         if got is None:
             raise ValueError("fewer than two times")
         step = int(got)
