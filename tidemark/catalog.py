@@ -12,7 +12,7 @@ from tidemark.functions.scalars import no_nulls, r6, r9
 from tidemark.functions.timeops import epoch_us, offset
 from tidemark.operators import asof, checks, datasets, factors, importance, labels, metrics, neighbors, resample, shape, watch
 from tidemark.operators.factors import book_columns
-from tidemark.plans import models, pipeline
+from tidemark.plans import boosting, models, pipeline
 from tidemark.sources import arrays, raw, tables
 from tidemark.streaming import resample as stream
 
@@ -422,6 +422,21 @@ def gbt_rolling(spark, d):
     return models.train_windows(split, names, "value", ["ts", "event_type"])[0]
 
 
+def boost_leafwise(spark, d):
+    """Leaf-wise trees per window, stopped by its validation day: predictions."""
+    df, names = _features(spark, d)
+    split = datasets.rolling_splits(datasets.with_day(df), "date", 21, 2, 2, newest_only=True)
+    params = boosting.LeafParams(rate=0.3, leaves=6, rounds=4, bins=32, least_rows=10, patience=2)
+    return rounded(models.train_windows(split, names, "value", ["ts", "event_type"], params)[0], "y_true", "y_pred")
+
+
+def boost_stumps(spark, d):
+    """Two rounds of the best single split of any feature, over all rows."""
+    df, names = _features(spark, d)
+    params = boosting.LeafParams(rate=0.5, leaves=2, rounds=2, bins=16, row_share=1.0, feature_share=1.0, least_rows=20)
+    return rounded(boosting.train_leafwise(df, names, "value", params).predict(df).select("event_type", "ts", "y_pred"), "y_pred")
+
+
 def volatility_grid(spark, d):
     """Nanosecond times a little past the events', on a six-hour grid."""
     ns = epoch_us("ts") * 1000 + F.col("event_id") % 1000
@@ -504,7 +519,7 @@ _ALL = [
     pivot_fill_mean, unpivot_long, time_neighbors, symbol_neighbors, neighbor_block, vector_neighbors, metrics_overall, metrics_by_symbol, metrics_models, metrics_bucketed,
     prediction_errors, lag_baseline, truth_check, importance_mean, importance_topk, importance_heatmap, importance_matrix, rolling_day_splits, rolling_block_splits, block_cut,
     block_starts, freq_fanout, training_sample, window_cache, history_slice, base_slice, union_dedup, null_safe_drop, alignment_check, even_counts, step_counts, grid_points, stride_sample,
-    hash_sample, linear_baseline, gbt_rolling, time_neighbors_manhattan, time_neighbors_chebyshev, time_neighbors_weighted, symbol_neighbors_manhattan, importance_heatmap_split,
+    hash_sample, linear_baseline, gbt_rolling, boost_leafwise, boost_stumps, time_neighbors_manhattan, time_neighbors_chebyshev, time_neighbors_weighted, symbol_neighbors_manhattan, importance_heatmap_split,
     volatility_grid, snapshot_files, table_sinks, npz_arrays, result_files, aligned_table, ready_block, stream_downsample,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -58,6 +58,30 @@ kinds AS (SELECT DISTINCT event_type FROM events),
 span AS (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM events)::TIMESTAMP, (SELECT max(ts)::DATE FROM events)::TIMESTAMP, INTERVAL 1 DAY)) AS ts),
 means AS (SELECT event_type, {floor_ts("1d")} AS ts, avg(value) AS value FROM events GROUP BY ALL),
 daily AS (SELECT event_type, ts, value FROM kinds CROSS JOIN span LEFT JOIN means USING (event_type, ts))"""
+
+
+def stumps(rounds: int, bins: int, rate: float, least: int) -> str:
+    """Rounds of the best single split over histogram sums of whole numbers, for rows f(event_type, ts, value, x1, x2, x3)."""
+    parts = [
+        "wide AS (SELECT row_number() OVER (ORDER BY event_type, ts) AS id, * FROM f)",
+        "long AS (SELECT id, unnest([1, 2, 3]) AS feat, unnest([x1, x2, x3]) AS x FROM wide)",
+        "ranked AS (SELECT feat, x, row_number() OVER (PARTITION BY feat ORDER BY x) AS r, count(*) OVER (PARTITION BY feat) AS n FROM long)",
+        f"cuts AS (SELECT DISTINCT feat, x AS cut FROM ranked JOIN (SELECT unnest(range(1, {bins})) AS k) ON r = CAST(ceil(n * (k / {float(bins)})) AS BIGINT))",
+        "binned AS (SELECT id, l.feat, 1 + count(cut) AS bin FROM long l LEFT JOIN cuts c ON c.feat = l.feat AND c.cut < l.x GROUP BY id, l.feat)",
+        "unit AS (SELECT pow(2, ceil(log2(max(abs(value)))) - 30) AS grain FROM wide)",
+        "p0 AS (SELECT id, value, grain, CAST(sum(CAST(floor(value / grain + 0.5) AS BIGINT)) OVER () AS DOUBLE) / count(*) OVER () * grain AS pred FROM wide CROSS JOIN unit)",
+    ]
+    for k in range(rounds):
+        parts += [
+            f"g{k} AS (SELECT id, CAST(floor((pred - value) / grain + 0.5) AS BIGINT) AS g FROM p{k})",
+            f"h{k} AS (SELECT feat, bin, sum(g) AS g, count(*) AS n FROM binned JOIN g{k} USING (id) GROUP BY ALL)",
+            f"c{k} AS (SELECT feat, bin, CAST(sum(g) OVER w AS DOUBLE) AS g, sum(n) OVER w AS n, CAST(sum(g) OVER (PARTITION BY feat) AS DOUBLE) AS t, sum(n) OVER (PARTITION BY feat) AS m FROM h{k} WINDOW w AS (PARTITION BY feat ORDER BY bin))",
+            f"s{k} AS (SELECT * FROM c{k} WHERE n >= {least} AND m - n >= {least} ORDER BY g * g / (n + 1.0) + (t - g) * (t - g) / (m - n + 1.0) DESC, feat, bin LIMIT 1)",
+            f"p{k + 1} AS (SELECT p.id, value, grain, pred + CASE WHEN b.bin <= s.bin THEN -{rate} * grain * s.g / (s.n + 1.0) ELSE -{rate} * grain * (s.t - s.g) / (s.m - s.n + 1.0) END AS pred FROM p{k} p CROSS JOIN s{k} s JOIN binned b ON b.id = p.id AND b.feat = s.feat)",
+        ]
+    return ", ".join(parts)
+
+
 PARTS = f"""
 h AS ({HOURLY}),
 train AS (SELECT * FROM h WHERE ts < TIMESTAMP '2024-01-22'), query AS (SELECT * FROM h WHERE ts >= TIMESTAMP '2024-01-22'),
@@ -249,6 +273,10 @@ WITH {dense("3h")}, l AS (SELECT *, lag(value) OVER w AS x, lag(value, 2) OVER w
 f AS (SELECT * FROM l WHERE value IS NOT NULL AND x IS NOT NULL AND x2 IS NOT NULL AND x8 IS NOT NULL),
 m AS (SELECT regr_slope(value, x) AS a, regr_intercept(value, x) AS b FROM f WHERE ts < TIMESTAMP '2024-01-22')
 SELECT ts, event_type, {r6("value")} AS y_true, {r6("a * x + b")} AS y_pred FROM f CROSS JOIN m WHERE ts >= TIMESTAMP '2024-01-22'""",
+    "boost_stumps": f"""
+WITH {dense("3h")}, l AS (SELECT *, lag(value) OVER w AS x1, lag(value, 2) OVER w AS x2, lag(value, 8) OVER w AS x3 FROM dense WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+f AS (SELECT * FROM l WHERE value IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL), {stumps(2, 16, 0.5, 20)}
+SELECT event_type, ts, {r6("pred")} AS y_pred FROM p2 JOIN wide USING (id)""",
     "time_neighbors_manhattan": f"WITH {PARTS}, {time_ranks('sum(abs(q.value - t.value))')} SELECT ts, symbol, {r6('n3')} AS value_time_nn3_mean FROM by_time",
     "time_neighbors_chebyshev": f"WITH {PARTS}, {time_ranks('max(abs(q.value - t.value))')} SELECT ts, symbol, {r6('n3')} AS value_time_nn3_mean FROM by_time",
     "time_neighbors_weighted": f"""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.datasets import assembled
 from tidemark.operators.metrics import evaluate
 from tidemark.operators.resample import previous
+from tidemark.plans.boosting import LeafParams, train_leafwise
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,20 @@ def predict(model, df: DataFrame, features: list[str], target: str, keep: list[s
     return model.transform(assembled(df, features, target, as_float)).select(*keep, F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
 
 
-def train_windows(splits: DataFrame, features: list[str], target: str, keep: list[str], params: BoostParams = BoostParams(), done: tuple[str, ...] = (), at_once: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+def train_window(own: DataFrame, features: list[str], target: str, keep: list[str], params: BoostParams | LeafParams) -> tuple[DataFrame, DataFrame]:
+    """(predictions of the test rows, importances) of one window; leaf-wise trees stop early by its val rows, if it has any."""
+    train, test = own.where("split = 'train'"), own.where("split = 'test'")
+    if isinstance(params, BoostParams):
+        model, gains = train_boosted(train, features, target, params)
+        return predict(model, test, features, target, keep), gains
+    model = train_leafwise(train, features, target, params, own.where("split = 'val'"), keep or None)
+    rows = [(f, g, k) for f, (g, k) in model.importances().items()]
+    gains = own.sparkSession.createDataFrame(rows, "feature string, importance_gain double, importance_split long")
+    test = model.predict(test, "_made").select(*keep, F.col(target).cast("float").cast("double").alias("y_true"), F.col("_made").alias("y_pred"))
+    return test, gains
+
+
+def train_windows(splits: DataFrame, features: list[str], target: str, keep: list[str], params: BoostParams | LeafParams = BoostParams(), done: tuple[str, ...] = (), at_once: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fit on each window's train rows, predict its test rows: (predictions, importances, metrics per window).
 
     Windows named in ``done`` are left out. ``splits`` is kept while ``at_once`` windows are fitted side by side, so that
@@ -69,9 +83,7 @@ def train_windows(splits: DataFrame, features: list[str], target: str, keep: lis
 
     def one(name: str) -> tuple[DataFrame, DataFrame]:
         own = splits.where(F.col("window_name") == name)
-        model, gains = train_boosted(own.where("split = 'train'"), features, target, params)
-        made = predict(model, own.where("split = 'test'"), features, target, keep)
-        return tuple(df.withColumn("block_name", F.lit(name)) for df in (made, gains))
+        return tuple(df.withColumn("block_name", F.lit(name)) for df in train_window(own, features, target, keep, params))
 
     with ThreadPoolExecutor(at_once) as pool:
         made = list(pool.map(inheritable_thread_target(splits.sparkSession)(one), names))
