@@ -114,3 +114,22 @@ def test_shapes(spark):
         shape.common_symbols(spark.createDataFrame([("a",)], "symbol string"), spark.createDataFrame([("b",)], "symbol string"))
     with pytest.raises(ValueError):
         shape.symbols_of(df.select(F.col("id").cast("string").alias("symbol")), most=10)
+
+
+def test_merged_partials_equal_metrics_over_all_rows(spark):
+    import random
+
+    from tidemark.operators.metrics import evaluate, merged, partials
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(7), 1e6 + rng.gauss(0, 1), 1e6 + rng.gauss(0, 1)) for _ in range(500)] + [("c", 1, 2.0, 3.0), ("c", 2, 2.0, 5.0), ("d", 1, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "g string, block int, y_true double, y_pred double")
+    parts = partials(df, ["g", "block"])
+    for by in (["g"], []):
+        want = {tuple(r[c] for c in by): r for r in evaluate(df, by).collect()}
+        got = {tuple(r[c] for c in by): r for r in merged(parts, by).collect()}
+        assert set(got) == set(want)
+        for k, w in want.items():
+            assert got[k].n == w.n
+            for c in ("rmse", "mae", "corr", "qlike"):
+                assert got[k][c] == (w[c] if w[c] is None else pytest.approx(w[c], rel=1e-8)), (k, c)

@@ -13,7 +13,7 @@ from tidemark.functions.timeops import epoch_us, offset
 from tidemark.operators import asof, checks, datasets, factors, importance, labels, metrics, neighbors, resample, shape, watch
 from tidemark.operators.factors import book_columns
 from tidemark.plans import boosting, models, pipeline
-from tidemark.sources import arrays, raw, tables
+from tidemark.sources import arrays, publish, raw, tables
 from tidemark.streaming import resample as stream
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -265,6 +265,16 @@ def metrics_by_symbol(spark, d):
     return digits(rounded(metrics.evaluate(_forecast(spark, d), PAIR), *METRICS[:3]), "qlike")
 
 
+def metrics_merged(spark, d):
+    """Statistics of each day, published in two runs of which the second brings days again, merged into metrics by type."""
+    df = _forecast(spark, d).withColumn("block_name", F.col("ts").cast("date").cast("string"))
+    root, cut = tables.scratch_dir(spark), at("2024-01-16")
+    for part in (df.where(F.col("ts") < cut), df.where(F.col("ts") >= at("2024-01-10"))):
+        publish.publish(metrics.partials(part, ["block_name", "event_type"]), root, "partials")
+    got = metrics.merged(publish.read_published(spark, root, "partials"), PAIR)
+    return digits(rounded(got, *METRICS[:3]), "qlike")
+
+
 def metrics_models(spark, d):
     order = Window.partitionBy("event_type").orderBy("ts", "event_id")
     df = _forecast(spark, d).withColumn("lag2", F.lag("value", 2).over(order)).withColumnsRenamed({"y_pred": "lag1", "event_type": "symbol"})
@@ -516,7 +526,7 @@ def stream_downsample(spark, d):
 _ALL = [
     downsample_right_closed, downsample_left_mean, rolling_trailing, asof_backward, grid_locf, dedup_last_by_ts, bucket_last_ceil, first_by_bucket, book_factors, derived_factors,
     time_of_day, trim_leading, time_range_filter, clip_to_range, log_return, forward_label, forward_label_by_time, lag_features, feature_join, label_join, symbol_code_map,
-    pivot_fill_mean, unpivot_long, time_neighbors, symbol_neighbors, neighbor_block, vector_neighbors, metrics_overall, metrics_by_symbol, metrics_models, metrics_bucketed,
+    pivot_fill_mean, unpivot_long, time_neighbors, symbol_neighbors, neighbor_block, vector_neighbors, metrics_overall, metrics_by_symbol, metrics_merged, metrics_models, metrics_bucketed,
     prediction_errors, lag_baseline, truth_check, importance_mean, importance_topk, importance_heatmap, importance_matrix, rolling_day_splits, rolling_block_splits, block_cut,
     block_starts, freq_fanout, training_sample, window_cache, history_slice, base_slice, union_dedup, null_safe_drop, alignment_check, even_counts, step_counts, grid_points, stride_sample,
     hash_sample, linear_baseline, gbt_rolling, boost_leafwise, boost_stumps, time_neighbors_manhattan, time_neighbors_chebyshev, time_neighbors_weighted, symbol_neighbors_manhattan, importance_heatmap_split,

@@ -202,6 +202,7 @@ SELECT q.ts, q.symbol, {r6("q.value")} AS value, {r6("t.n3")} AS value_time_nn3_
 FROM query q LEFT JOIN by_time t USING (ts, symbol) LEFT JOIN by_symbol s USING (ts, symbol)""",
     "metrics_overall": f"SELECT {SCORES}, {r9('avg(' + qlike('y_true', 'y_pred') + ')')} AS qlike FROM ({FORECAST}) WHERE y_pred IS NOT NULL",
     "metrics_by_symbol": f"SELECT event_type, {SCORES}, {r9('avg(' + qlike('y_true', 'y_pred') + ')')} AS qlike FROM ({FORECAST}) WHERE y_pred IS NOT NULL GROUP BY 1",
+    "metrics_merged": f"SELECT event_type, {SCORES}, {r9('avg(' + qlike('y_true', 'y_pred') + ')')} AS qlike FROM ({FORECAST}) WHERE y_pred IS NOT NULL GROUP BY 1",
     "metrics_models": f"""
 WITH f AS (SELECT event_type AS symbol, value, lag(value) OVER w AS lag1, lag(value, 2) OVER w AS lag2 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
 m AS (SELECT symbol, 'lag1' AS model, value, lag1 AS p FROM f WHERE lag2 IS NOT NULL UNION ALL SELECT symbol, 'lag2', value, lag2 FROM f WHERE lag2 IS NOT NULL),

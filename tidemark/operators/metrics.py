@@ -81,3 +81,47 @@ def truth_disagreements(df: DataFrame, other: DataFrame, keys: list[str], y: str
     """Rows of equal keys whose true values differ: models must be judged on the same truth."""
     both = df.select(*keys, F.col(y).alias("_a")).join(other.select(*keys, F.col(y).alias("_b")), keys)
     return both.where(F.abs(F.col("_a") - F.col("_b")) > tolerance).select(*keys, F.col("_a").alias("y_left"), F.col("_b").alias("y_right"))
+
+
+#: Statistics that metrics are made of; those of several blocks combine into those of their union.
+PARTS = ("n", "sq", "abs", "qlike", "mean_t", "mean_q", "spread_t", "spread_q", "shared")
+
+
+def partials(df: DataFrame, by: list[str], y: str = "y_true", p: str = "y_pred", eps: float = EPS) -> DataFrame:
+    """The ``PARTS`` of each ``by`` over pairs that are both finite: sums of errors, means, and spreads around the own means."""
+    t, q = F.col(y).cast("double"), F.col(p).cast("double")
+    return df.where(finite(t) & finite(q)).groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.sum((t - q) * (t - q)).alias("sq"),
+        F.sum(F.abs(t - q)).alias("abs"),
+        F.sum(qlike(t, q, eps)).alias("qlike"),
+        F.avg(t).alias("mean_t"),
+        F.avg(q).alias("mean_q"),
+        (F.var_pop(t) * F.count("*")).alias("spread_t"),
+        (F.var_pop(q) * F.count("*")).alias("spread_q"),
+        (F.covar_pop(t, q) * F.count("*")).alias("shared"),
+    )
+
+
+def merged(parts: DataFrame, by: list[str]) -> DataFrame:
+    """n, rmse, mae, corr and qlike of each ``by`` from the ``PARTS`` of any finer groups.
+
+    Spreads are brought to the common mean by the distances of the means, so no large numbers cancel. A group's parts
+    may be any number: they are aggregated twice, never gathered.
+    """
+    key = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    means = parts.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"_{c}") for c in ("mean_t", "mean_q")])
+    both = parts.join(means, key) if by else parts.join(F.broadcast(means), F.lit(True))  # one row
+    t, q, n = F.col("mean_t") - F.col("_mean_t"), F.col("mean_q") - F.col("_mean_q"), F.col("n")
+    sums = both.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum("sq").alias("sq"), F.sum("abs").alias("abs"), F.sum("qlike").alias("q"),
+        F.sum(F.col("spread_t") + n * t * t).alias("tt"), F.sum(F.col("spread_q") + n * q * q).alias("qq"), F.sum(F.col("shared") + n * t * q).alias("tq"),
+    )
+    return sums.where("n > 0").select(
+        *by,
+        "n",
+        F.sqrt(F.col("sq") / F.col("n")).alias("rmse"),
+        (F.col("abs") / F.col("n")).alias("mae"),
+        ratio(F.col("tq"), F.sqrt(F.col("tt")) * F.sqrt(F.col("qq"))).alias("corr"),
+        (F.col("q") / F.col("n")).alias("qlike"),
+    )

@@ -27,6 +27,7 @@ LAYOUT = {
     "dataset": ["freq", "window_name", "split"],
     "predictions": ["block_name"],
     "metrics": [],
+    "partials": ["block_name"],
     "importance": ["block_name"],
 }
 
