@@ -105,3 +105,45 @@ def test_metrics(spark):
         assert got == want, metric
     with pytest.raises(ValueError):
         neighbors.metric_space("jaccard")
+
+
+@pytest.mark.parametrize("metric", ["hamming", "canberra", "braycurtis", "correlation", "mahalanobis"])
+def test_other_metrics_equal_brute_force(spark, metric, monkeypatch):
+    rng = np.random.default_rng(4)
+    t, q = rng.integers(-3, 4, (90, 4)) + 0.5, rng.integers(-3, 4, (25, 4)) + 0.5
+    cov = np.cov(t.T)
+
+    def far(a, b):
+        if metric == "hamming":
+            return np.mean(a != b)
+        if metric == "canberra":
+            return np.sum(np.abs(a - b) / (np.abs(a) + np.abs(b)))
+        if metric == "braycurtis":
+            return np.sum(np.abs(a - b)) / max(np.sum(np.abs(a + b)), 1e-300)
+        if metric == "correlation":
+            return 1 - np.corrcoef(a, b)[0, 1]
+        return (a - b) @ np.linalg.inv(cov) @ (a - b)
+
+    if metric == "correlation":  # constant vectors have none
+        t, q = (x[x.std(axis=1) > 0] for x in (t, q))
+    p, moved = neighbors.metric_space(metric, params={"V": cov} if metric == "mahalanobis" else None)
+    frames = [spark.createDataFrame([(k, [float(v) for v in x]) for k, x in enumerate(m)], "key long, vector array<double>").withColumn("vector", moved(F.col("vector"))) for m in (q, t)]
+    got = neighbors.nearest(*frames, 4, p, cell=20).collect()
+    for k in range(len(q)):
+        mine = sorted((r["rank"], r.neighbor) for r in got if r.key == k)
+        own = [far(q[k], t[i]) for _, i in mine]
+        assert [r for r, _ in mine] == [1, 2, 3, 4]
+        assert own == pytest.approx(sorted(far(q[k], x) for x in t)[:4], abs=1e-9)
+
+
+def test_any_callable_over_neighbours(spark):
+    rows = [(T0 + dt.timedelta(hours=k), s, float((k * 7 + j * 3) % 11)) for k in range(12) for j, s in enumerate("abc")]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, symbol string, value double")
+    train, query = df.where(F.col("ts") < T0 + dt.timedelta(hours=8)), df.where(F.col("ts") >= T0 + dt.timedelta(hours=8))
+    for made in (neighbors.time_neighbors, neighbors.symbol_neighbors):
+        a = made(train, query, "value", [2, 3], ["a", "b", "c"], agg=np.mean)
+        b = made(train, query, "value", [2, 3], ["a", "b", "c"])
+        assert a.columns == b.columns
+        x, y = (sorted(f.collect(), key=lambda r: (r.ts, r.symbol)) for f in (a, b))
+        for r, w in zip(x, y):
+            assert tuple(r)[:2] == tuple(w)[:2] and tuple(r)[2:] == pytest.approx(tuple(w)[2:])

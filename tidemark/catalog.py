@@ -233,6 +233,42 @@ def time_neighbors_weighted(spark, d):
     return rounded(neighbors.time_neighbors(*_parts(spark, d), "value", [3], BASE, metric_params={"w": [4.0, 1.0, 0.25]}), "value_time_nn3_mean")
 
 
+def time_neighbors_mahalanobis(spark, d):
+    return rounded(neighbors.time_neighbors(*_parts(spark, d), "value", [3], BASE, metric="mahalanobis"), "value_time_nn3_mean")
+
+
+def time_neighbors_correlation(spark, d):
+    return rounded(neighbors.time_neighbors(*_parts(spark, d), "value", [3], BASE, metric="correlation"), "value_time_nn3_mean")
+
+
+def time_neighbors_canberra(spark, d):
+    return rounded(neighbors.time_neighbors(*_parts(spark, d), "value", [3], BASE, metric="canberra"), "value_time_nn3_mean")
+
+
+def trimmed(values, axis):
+    """Mean without the least and the greatest value."""
+    return (values.sum(axis) - values.min(axis) - values.max(axis)) / (values.shape[axis] - 2)
+
+
+def time_neighbors_trimmed(spark, d):
+    return rounded(neighbors.time_neighbors(*_parts(spark, d), "value", [5], BASE, agg=trimmed), "value_time_nn5_trimmed")
+
+
+def symbol_neighbors_chebyshev(spark, d):
+    return rounded(neighbors.symbol_neighbors(*_parts(spark, d), "value", [2], BASE, p=float("inf")), "value_symbol_nn2_mean")
+
+
+def symbol_neighbors_cosine(spark, d):
+    return rounded(neighbors.symbol_neighbors(*_parts(spark, d), "value", [2], BASE, metric="cosine"), "value_symbol_nn2_mean")
+
+
+def symbol_neighbors_weighted(spark, d):
+    """Later times weigh more."""
+    train, query = _parts(spark, d)
+    w = train.select("ts").distinct().select("ts", F.dayofmonth("ts").cast("double").alias("w"))
+    return rounded(neighbors.symbol_neighbors(train, query, "value", [2], BASE, metric_params={"w": w}), "value_symbol_nn2_mean")
+
+
 def symbol_neighbors_manhattan(spark, d):
     return rounded(neighbors.symbol_neighbors(*_parts(spark, d), "value", [2], BASE, p=1), "value_symbol_nn2_mean")
 
@@ -529,7 +565,8 @@ _ALL = [
     pivot_fill_mean, unpivot_long, time_neighbors, symbol_neighbors, neighbor_block, vector_neighbors, metrics_overall, metrics_by_symbol, metrics_merged, metrics_models, metrics_bucketed,
     prediction_errors, lag_baseline, truth_check, importance_mean, importance_topk, importance_heatmap, importance_matrix, rolling_day_splits, rolling_block_splits, block_cut,
     block_starts, freq_fanout, training_sample, window_cache, history_slice, base_slice, union_dedup, null_safe_drop, alignment_check, even_counts, step_counts, grid_points, stride_sample,
-    hash_sample, linear_baseline, gbt_rolling, boost_leafwise, boost_stumps, time_neighbors_manhattan, time_neighbors_chebyshev, time_neighbors_weighted, symbol_neighbors_manhattan, importance_heatmap_split,
+    hash_sample, linear_baseline, gbt_rolling, boost_leafwise, boost_stumps, time_neighbors_manhattan, time_neighbors_chebyshev, time_neighbors_weighted, symbol_neighbors_manhattan, time_neighbors_mahalanobis, time_neighbors_correlation, time_neighbors_canberra,
+    time_neighbors_trimmed, symbol_neighbors_chebyshev, symbol_neighbors_cosine, symbol_neighbors_weighted, importance_heatmap_split,
     volatility_grid, snapshot_files, table_sinks, npz_arrays, result_files, aligned_table, ready_block, stream_downsample,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

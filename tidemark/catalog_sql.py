@@ -91,12 +91,23 @@ qf AS (SELECT ts, symbol, coalesce(value, m) AS value FROM (SELECT DISTINCT ts F
 SQUARES = "sum((q.value - t.value) * (q.value - t.value))"
 
 
-def time_ranks(apart: str) -> str:
-    return f"""
+#: Mahalanobis distances of three coordinates, times the covariance's determinant: by its cofactors.
+WHITE = """
+tw AS (SELECT ts, max(value) FILTER (symbol = 'click') AS x, max(value) FILTER (symbol = 'purchase') AS y, max(value) FILTER (symbol = 'view') AS z FROM tf GROUP BY 1),
+qw AS (SELECT ts, max(value) FILTER (symbol = 'click') AS x, max(value) FILTER (symbol = 'purchase') AS y, max(value) FILTER (symbol = 'view') AS z FROM qf GROUP BY 1),
+v AS (SELECT covar_samp(x, x) AS a, covar_samp(x, y) AS b, covar_samp(x, z) AS e, covar_samp(y, y) AS d, covar_samp(y, z) AS f, covar_samp(z, z) AS g FROM tw),
+apart AS (SELECT q.ts AS ts, t.ts AS near, (d * g - f * f) * pow(q.x - t.x, 2) + (a * g - e * e) * pow(q.y - t.y, 2) + (a * d - b * b) * pow(q.z - t.z, 2)
+  + 2 * ((e * f - b * g) * (q.x - t.x) * (q.y - t.y) + (b * f - d * e) * (q.x - t.x) * (q.z - t.z) + (b * e - a * f) * (q.y - t.y) * (q.z - t.z)) AS d
+  FROM qw q CROSS JOIN tw t CROSS JOIN v)"""
+
+
+def time_ranks(apart: str, pairs: str = "") -> str:
+    pairs = pairs or f"""
 apart AS (SELECT q.ts AS ts, t.ts AS near, {apart} AS d FROM qf q JOIN tf t ON q.symbol = t.symbol
-  WHERE q.symbol IN ('click', 'purchase', 'view') GROUP BY 1, 2),
+  WHERE q.symbol IN ('click', 'purchase', 'view') GROUP BY 1, 2)"""
+    return f"""{pairs},
 ranked AS (SELECT ts, near, row_number() OVER (PARTITION BY ts ORDER BY d, near) AS k FROM apart),
-by_time AS (SELECT r.ts, t.symbol, avg(value) FILTER (k <= 3) AS n3, avg(value) FILTER (k <= 5) AS n5 FROM ranked r JOIN tf t ON t.ts = r.near WHERE k <= 5 GROUP BY 1, 2)"""
+by_time AS (SELECT r.ts, t.symbol, avg(value) FILTER (k <= 3) AS n3, avg(value) FILTER (k <= 5) AS n5, (sum(value) - min(value) - max(value)) / (count(*) - 2) AS trimmed FROM ranked r JOIN tf t ON t.ts = r.near WHERE k <= 5 GROUP BY 1, 2)"""
 
 
 def symbol_ranks(apart: str) -> str:
@@ -283,6 +294,13 @@ SELECT event_type, ts, {r6("pred")} AS y_pred FROM p2 JOIN wide USING (id)""",
     "time_neighbors_weighted": f"""
 WITH {PARTS}, {time_ranks("sum(CASE q.symbol WHEN 'click' THEN 4 WHEN 'purchase' THEN 1 ELSE 0.25 END * (q.value - t.value) * (q.value - t.value))")}
 SELECT ts, symbol, {r6("n3")} AS value_time_nn3_mean FROM by_time""",
+    "time_neighbors_mahalanobis": f"WITH {PARTS}, {time_ranks('', WHITE)} SELECT ts, symbol, {r6('n3')} AS value_time_nn3_mean FROM by_time",
+    "time_neighbors_correlation": f"WITH {PARTS}, {time_ranks('-corr(q.value, t.value)')} SELECT ts, symbol, {r6('n3')} AS value_time_nn3_mean FROM by_time",
+    "time_neighbors_canberra": f"WITH {PARTS}, {time_ranks('sum(abs(q.value - t.value) / (abs(q.value) + abs(t.value)))')} SELECT ts, symbol, {r6('n3')} AS value_time_nn3_mean FROM by_time",
+    "time_neighbors_trimmed": f"WITH {PARTS}, {time_ranks(SQUARES)} SELECT ts, symbol, {r6('trimmed')} AS value_time_nn5_trimmed FROM by_time",
+    "symbol_neighbors_chebyshev": f"WITH {PARTS}, {symbol_ranks('max(abs(a.value - b.value))')} SELECT ts, symbol, {r6('n2')} AS value_symbol_nn2_mean FROM by_symbol",
+    "symbol_neighbors_cosine": f"WITH {PARTS}, {symbol_ranks('-sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value))')} SELECT ts, symbol, {r6('n2')} AS value_symbol_nn2_mean FROM by_symbol",
+    "symbol_neighbors_weighted": f"WITH {PARTS}, {symbol_ranks('sum(day(ts) * (a.value - b.value) * (a.value - b.value))')} SELECT ts, symbol, {r6('n2')} AS value_symbol_nn2_mean FROM by_symbol",
     "symbol_neighbors_manhattan": f"WITH {PARTS}, {symbol_ranks('sum(abs(a.value - b.value))')} SELECT ts, symbol, {r6('n2')} AS value_symbol_nn2_mean FROM by_symbol",
     "importance_heatmap_split": f"""
 WITH imp AS ({IMPORTANCES.replace("l_extendedprice AS gain, CAST(l_quantity AS BIGINT) AS split", "CAST(l_quantity AS BIGINT) AS gain")}), {TOP}, {CELLS}
