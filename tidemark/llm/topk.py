@@ -33,13 +33,13 @@ class MTree:
         self._place(ids, vectors)
         #: node -> (its pivots, their covering radii, their distances to the node's own pivot, children) or a page
         self.nodes: list = []
-        self._build(np.arange(len(ids)), self.points.mean(0))
+        self._build(np.arange(len(ids)), self.centre)
 
     def _place(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         norm = (vectors.astype(np.float64) ** 2).sum(1)
         self.top = float(norm.max())
         self.points = np.hstack([vectors, np.sqrt(np.maximum(self.top - norm, 0))[:, None]])
-        self.exact, self.ids = vectors.astype(np.float64), ids
+        self.exact, self.ids, self.centre = vectors.astype(np.float64), ids, self.points.mean(0)
 
     def pack(self) -> bytes:
         """The tree as it is stored: ids, whole-number vectors and nodes; the rest follows from them."""
@@ -93,7 +93,7 @@ class MTree:
             return np.sqrt(max(size + self.top - 2 * best[0][0], 0)) + 1e-6 * (1 + np.sqrt(size + self.top))
 
         heapq.heapify(best)
-        start = float(np.sqrt(((self.points.mean(0) - q) ** 2).sum()))
+        start = float(np.sqrt(((self.centre - q) ** 2).sum()))
         todo = [(0.0, 0, start)]
         while todo:
             low, number, far = heapq.heappop(todo)
