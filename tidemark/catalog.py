@@ -525,8 +525,8 @@ def result_files(spark, d):
     made = _forecast(spark, d).select(F.col("event_type").alias("kind"), "y_true", "y_pred")
     root = tables.scratch_dir(spark)
     made.repartition("kind").write.partitionBy("kind").parquet(root)
-    out = tables.evaluate_files(spark, [root]).select(F.regexp_replace("symbol", "kind=", "").alias("symbol"), "n", "rmse", "mae")
-    return rounded(out, "rmse", "mae")
+    out = tables.evaluate_files(spark, [root]).select(F.regexp_replace("symbol", "kind=", "").alias("symbol"), "n", *METRICS)
+    return digits(rounded(out, *METRICS[:3]), "qlike")
 
 
 def aligned_table(spark, d):

@@ -314,8 +314,7 @@ SELECT l_orderkey AS timestamp, make_timestamp(l_orderkey) AS ts, vwap, imbalanc
     "table_sinks": """
 SELECT event_id, event_type AS symbol, ts::DATE AS date, CASE WHEN event_type = 'view' THEN -1.0 ELSE value END AS value FROM events
 WHERE event_type IN ('click', 'signup', 'view') AND ts::DATE IN (DATE '2024-01-05', DATE '2024-01-06')""",
-    "result_files": f"""
-SELECT event_type AS symbol, count(*) AS n, {r6("sqrt(avg((y_true - y_pred) * (y_true - y_pred)))")} AS rmse, {r6("avg(abs(y_true - y_pred))")} AS mae FROM ({FORECAST}) WHERE y_pred IS NOT NULL GROUP BY 1""",
+    "result_files": f"SELECT event_type AS symbol, {SCORES}, {r9('avg(' + qlike('y_true', 'y_pred') + ')')} AS qlike FROM ({FORECAST}) WHERE y_pred IS NOT NULL GROUP BY 1",
     "aligned_table": f"""
 WITH {dense("1h")}, h AS (SELECT event_type AS symbol, ts, ts::DATE AS date, coalesce(value, 0) + 1 AS v, hour(ts) + 1.0 AS aq FROM dense),
 f AS (SELECT *, ((v + 1) * aq + v * 2) / (aq + 2) AS vwap, (aq - 2) / (aq + 2) AS imbalance, v + 0.5 AS mid, lead(v * 2, 2) OVER w AS y FROM h WINDOW w AS (PARTITION BY symbol, date ORDER BY ts))
