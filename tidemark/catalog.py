@@ -458,7 +458,7 @@ def _features(spark, d):
 def linear_baseline(spark, d):
     df, names = _features(spark, d)
     cut = at("2024-01-22")
-    made = models.linear_baseline(df.where(F.col("ts") < cut), df.where(F.col("ts") >= cut), names[:1], "value", ["ts", "event_type"])
+    made = models.linear_baseline(df.where(F.col("ts") < cut), df.where(F.col("ts") >= cut), names, "value", ["ts", "event_type"])
     return rounded(made, "y_true", "y_pred")
 
 

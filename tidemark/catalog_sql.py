@@ -281,10 +281,14 @@ WITH h AS ({HOURLY_1}), s AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (PART
     "stride_sample": "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k FROM events) WHERE k % 10 = 0",
     "hash_sample": "SELECT event_id, value FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 100",
     "linear_baseline": f"""
-WITH {dense("3h")}, l AS (SELECT *, lag(value) OVER w AS x, lag(value, 2) OVER w AS x2, lag(value, 8) OVER w AS x8 FROM dense WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
-f AS (SELECT * FROM l WHERE value IS NOT NULL AND x IS NOT NULL AND x2 IS NOT NULL AND x8 IS NOT NULL),
-m AS (SELECT regr_slope(value, x) AS a, regr_intercept(value, x) AS b FROM f WHERE ts < TIMESTAMP '2024-01-22')
-SELECT ts, event_type, {r6("value")} AS y_true, {r6("a * x + b")} AS y_pred FROM f CROSS JOIN m WHERE ts >= TIMESTAMP '2024-01-22'""",
+WITH {dense("3h")}, l AS (SELECT *, lag(value) OVER w AS x, lag(value, 2) OVER w AS y, lag(value, 8) OVER w AS z FROM dense WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+r AS (SELECT * FROM l WHERE value IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
+v AS (SELECT covar_pop(x, x) AS a, covar_pop(x, y) AS b, covar_pop(x, z) AS e, covar_pop(y, y) AS d, covar_pop(y, z) AS f, covar_pop(z, z) AS g, covar_pop(x, value) AS p, covar_pop(y, value) AS q,
+  covar_pop(z, value) AS s, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, avg(value) AS m FROM r WHERE ts < TIMESTAMP '2024-01-22'),
+c AS (SELECT *, a * (d * g - f * f) + b * (e * f - b * g) + e * (b * f - d * e) AS det FROM v),
+w AS (SELECT ((d * g - f * f) * p + (e * f - b * g) * q + (b * f - d * e) * s) / det AS wx, ((e * f - b * g) * p + (a * g - e * e) * q + (b * e - a * f) * s) / det AS wy,
+  ((b * f - d * e) * p + (b * e - a * f) * q + (a * d - b * b) * s) / det AS wz, mx, my, mz, m FROM c)
+SELECT ts, event_type, {r6("value")} AS y_true, {r6("m + wx * (x - mx) + wy * (y - my) + wz * (z - mz)")} AS y_pred FROM r CROSS JOIN w WHERE ts >= TIMESTAMP '2024-01-22'""",
     "boost_stumps": f"""
 WITH {dense("3h")}, l AS (SELECT *, lag(value) OVER w AS x1, lag(value, 2) OVER w AS x2, lag(value, 8) OVER w AS x3 FROM dense WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
 f AS (SELECT * FROM l WHERE value IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL), {stumps(2, 16, 0.5, 20)}
