@@ -59,3 +59,10 @@ def test_blocks_count_from_the_origin(spark):
     assert [r[0] for r in block_starts(df, "10s").orderBy("block_start").collect()] == [at(5), at(15), at(25), at(35)]
     got = block_of(df, "10s", F.lit(str(at(5))).cast("timestamp_ntz"))
     assert [r.block_start for r in got.orderBy("ts").collect()] == [at(5), at(5), at(15), at(35)]
+
+
+def test_a_null_group_is_carried_over_buckets_as_others_are(spark):
+    t = dt.datetime(2024, 1, 1)
+    left = spark.createDataFrame([(None, t + dt.timedelta(days=3)), ("a", t + dt.timedelta(days=3))], "k string, ts timestamp_ntz")
+    right = spark.createDataFrame([(None, t, 1), ("a", t, 2)], "k string, ts timestamp_ntz, v int")
+    assert {r.k: r.v for r in asof_backward(left, right, ["k"]).collect()} == {None: 1, "a": 2}

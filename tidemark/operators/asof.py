@@ -14,7 +14,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], ts: str = "t
     The matched row is carried as one struct, so its own nulls stay null. Rows of both sides are dealt
     to (group, time bucket); what a bucket's start has seen is the last row of the buckets before it,
     found over one summary row per bucket. So one hot group is spread over as many tasks as it has
-    buckets, and no pair of rows is ever made. ``tie`` orders right rows of equal time.
+    buckets, and no pair of rows is ever made. ``tie`` orders right rows of equal time. Null in ``by`` is a group as others are.
     """
     width, right_ts = duration_us(bucket), right_ts or ts
     cols = cols or [c for c in right.columns if c not in {*by, right_ts}]
@@ -32,7 +32,9 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], ts: str = "t
     ends = ends.select(*by, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
     inside = Window.partitionBy(*by, "_bucket").orderBy("_us", "_side", "_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_found", F.last("_value", ignorenulls=True).over(inside)).where("_side = 1")
-    found = found.join(ends, [*by, "_bucket"], "left").withColumn("_found", F.coalesce("_found", "_carried"))
+    ends = ends.select(*[F.col(c).alias(f"_e{k}") for k, c in enumerate([*by, "_bucket"])], "_carried")
+    same = [F.col(c).eqNullSafe(F.col(f"_e{k}")) for k, c in enumerate([*by, "_bucket"])]
+    found = found.join(ends, same, "left").withColumn("_found", F.coalesce("_found", "_carried"))
     kept = [F.col(f"_found.{c}").alias(c) for c in cols]
     return found.select("_row.*", F.col("_found._ts").alias("matched_ts"), *kept)
 
