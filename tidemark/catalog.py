@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +10,10 @@ from tidemark.functions.scalars import no_nulls, r6, r9
 from tidemark.functions.timeops import epoch_us, offset
 from tidemark.operators import asof, checks, datasets, factors, importance, labels, metrics, neighbors, resample, shape, watch
 from tidemark.operators.factors import book_columns
-from tidemark.plans import boosting, models, pipeline
+from tidemark.plans import boosting, carried, models, pipeline
 from tidemark.sources import arrays, publish, raw, tables
 from tidemark.streaming import resample as stream
+from tidemark.streaming import windows as stream_windows
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -391,10 +390,20 @@ def training_sample(spark, d):
     e = datasets.with_day(events(spark, d))
     split = datasets.rolling_splits(e, "date", 21, 1, 1)
     by = ["window_id", "split", "event_type"]
-    down, roll, _ = datasets.training_sample(split.where("split = 'train'"), split.where("split = 'test'"), "6h", ["user_id"], "value", by, tie=["event_id"])
+    down, roll, _ = datasets.training_sample(split.where("split = 'train'"), split.where("split <> 'train'"), "6h", ["user_id"], "value", by, tie=["event_id"])
     return rounded(down.unionByName(roll), "value")
 
 
+def carried_windows(spark, d):
+    """Windows of 20 + 2 + 1 days, the last days arriving one by one."""
+    e, root = datasets.with_day(events(spark, d)), tables.scratch_dir(spark)
+    how = carried.Carried(root, "6h", ("event_type",), tuple(VALUE_PLAN), 20, 2, 1, tie=("event_id",))
+    days = checks.require_days(e, 23)
+    for own in (days[:-2], days[-2:-1], days[-1:]):
+        carried.arrive(e.where(F.col("date").between(own[0], own[-1])), how)
+    return rounded(carried.carried_windows(spark, how).drop("window_name"), "value_last", "value_mean", "value_std")
+
+
 def window_cache(spark, d):
     e = events(spark, d).withColumnRenamed("event_type", "symbol")
     config = pipeline.Config(["click", "view"], ["click"], target="user_id", features=("value",), train_subsample="6h")
@@ -550,13 +559,50 @@ def ready_block(spark, d):
 
 
 def stream_downsample(spark, d):
-    """Six-hour buckets of the events as a stream, run to its end."""
-    e = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = stream.stream_downsample(e, "6h", "1h", PAIR, VALUE_PLAN, tie=["event_id"])
-    name = f"tidemark_{uuid.uuid4().hex}"
-    query = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", tables.scratch_dir(spark)).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return rounded(spark.table(name).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "value_last", "value_mean", "value_std")
+    """Six-hour buckets of the events as a stream: each is given out once, when the watermark has passed it, into a Parquet table."""
+    live, root, close = _stream(spark, d)
+    out = stream.stream_downsample(live, "6h", "1h", PAIR, VALUE_PLAN, tie=["event_id"])
+    for step in (lambda: None, close):
+        step()
+        out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    made = spark.read.parquet(f"{root}/out").where("event_type is not null").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return rounded(made, "value_last", "value_mean", "value_std")
+
+
+def _stream(spark, d):
+    """The events as a stream, and a later row that closes the last buckets, which comes in a second run."""
+    root = tables.scratch_dir(spark)
+    e = read(spark, d, "events")
+    live = spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*").unionByName(spark.readStream.schema(e.schema).parquet(f"{root}/closing*"))
+    live = live.withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def close():
+        last = e.select(*[(F.max("ts") + F.expr("interval 400 days") if c == "ts" else F.lit(None).cast(e.schema[c].dataType)).alias(c) for c in e.columns])
+        last.write.parquet(f"{root}/closing")
+
+    return live, root, close
+
+
+def stream_trailing(spark, d):
+    """The trailing hour of each event, as a stream in append mode: one run over the events, one that goes on from its checkpoint."""
+    live, root, close = _stream(spark, d)
+    for step in (lambda: None, close):
+        step()
+        stream_windows.trailing_stream(live, "1h", "1h", PAIR, VALUE_PLAN, f"{root}/out", f"{root}/checkpoint", tie=["event_id"], keep=["event_id", "event_type", "ts"], buckets=24).awaitTermination()
+    out = spark.read.parquet(f"{root}/out").where("event_id is not null").drop("batch").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return rounded(out, "value_last", "value_mean", "value_std")
+
+
+def stream_asof(spark, d):
+    """Each purchase with the user's last view of the five days before it, both sides as streams."""
+    live, root, close = _stream(spark, d)
+    left = live.where("event_type = 'purchase' or event_type is null").select("event_id", "user_id", "ts", "value")
+    right = live.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    for step in (lambda: None, close):
+        step()
+        stream_windows.asof_stream(left, right, ["user_id"], "5d", "1h", f"{root}/out", f"{root}/checkpoint", tie=["view_id"], buckets=2).awaitTermination()
+    out = spark.read.parquet(f"{root}/out").where("event_id is not null").drop("batch")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "matched_ts")})
 
 
 _ALL = [
@@ -567,6 +613,6 @@ _ALL = [
     block_starts, freq_fanout, training_sample, window_cache, history_slice, base_slice, union_dedup, null_safe_drop, alignment_check, even_counts, step_counts, grid_points, stride_sample,
     hash_sample, linear_baseline, gbt_rolling, boost_leafwise, boost_stumps, time_neighbors_manhattan, time_neighbors_chebyshev, time_neighbors_weighted, symbol_neighbors_manhattan, time_neighbors_mahalanobis, time_neighbors_correlation, time_neighbors_canberra,
     time_neighbors_trimmed, symbol_neighbors_chebyshev, symbol_neighbors_cosine, symbol_neighbors_weighted, importance_heatmap_split,
-    volatility_grid, snapshot_files, table_sinks, npz_arrays, result_files, aligned_table, ready_block, stream_downsample,
+    volatility_grid, snapshot_files, table_sinks, npz_arrays, result_files, aligned_table, ready_block, stream_downsample, stream_trailing, stream_asof, carried_windows,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

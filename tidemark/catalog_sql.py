@@ -252,11 +252,19 @@ FROM w JOIN d ON k BETWEEN i AND i + 6 GROUP BY ALL""",
     ),
     "training_sample": f"""
 WITH {DAYS}, w AS (SELECT unnest(generate_series(0, (SELECT max(k) FROM days) - 22)) AS i),
-e AS (SELECT events.*, CAST(i AS INTEGER) AS window_id, CASE WHEN k = i + 22 THEN 'test' WHEN k < i + 21 THEN 'train' END AS split FROM events JOIN days ON date = ts::DATE JOIN w ON k BETWEEN i AND i + 22)
+e AS (SELECT events.*, CAST(i AS INTEGER) AS window_id, CASE WHEN k = i + 22 THEN 'test' WHEN k < i + 21 THEN 'train' ELSE 'val' END AS split FROM events JOIN days ON date = ts::DATE JOIN w ON k BETWEEN i AND i + 22)
 SELECT window_id, split, event_type, {ceil_ts("6h")} AS ts, {r6(last("value"))} AS value, {last("user_id")} AS user_id_last FROM e WHERE split = 'train' GROUP BY window_id, split, event_type, {ceil_ts("6h")}
 UNION ALL
-SELECT window_id, split, event_type, ts, {r6("v")}, u FROM (SELECT window_id, split, event_type, ts, {last("value")} OVER w AS v, {last("user_id")} OVER w AS u FROM e WHERE split = 'test'
-  WINDOW w AS (PARTITION BY window_id, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW))""",
+SELECT window_id, split, event_type, ts, {r6("v")}, u FROM (SELECT window_id, split, event_type, ts, {last("value")} OVER w AS v, {last("user_id")} OVER w AS u FROM e WHERE split <> 'train'
+  WINDOW w AS (PARTITION BY window_id, split, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW))""",
+    "carried_windows": f"""
+WITH {DAYS}, w AS (SELECT unnest(generate_series(0, (SELECT max(k) FROM days) - 22)) AS i),
+e AS (SELECT events.*, CAST(i AS INTEGER) AS window_id, CASE WHEN k = i + 22 THEN 'test' WHEN k < i + 20 THEN 'train' ELSE 'val' END AS split FROM events JOIN days ON date = ts::DATE JOIN w ON k BETWEEN i AND i + 22)
+SELECT window_id, split, event_type, {ceil_ts("6h")} AS ts, {_PLAN} FROM e WHERE split = 'train' GROUP BY window_id, split, event_type, {ceil_ts("6h")}
+UNION ALL
+SELECT window_id, split, event_type, ts, {r6("vl")}, {r6("vm")}, {r6("coalesce(vs, 0)")}, ul FROM (
+  SELECT window_id, split, event_type, ts, {last("value")} OVER w AS vl, avg(value) OVER w AS vm, stddev_samp(value) OVER w AS vs, {last("user_id")} OVER w AS ul FROM e WHERE split <> 'train'
+  WINDOW w AS (PARTITION BY window_id, split, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW))""",
     "window_cache": f"""
 SELECT {floor_ts("6h")} AS ts, event_type AS symbol, {r6("avg(value)")} AS value, 'train' AS role FROM events
 WHERE event_type IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-13' AND ts < TIMESTAMP '2024-01-20' GROUP BY {floor_ts("6h")}, event_type
@@ -342,3 +350,9 @@ d AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_sum([(a.x[i] - b.x[i
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d)
 SELECT query_id, rank, vec_id, {r6("distance")} AS distance FROM r WHERE rank <= 5""",
 }
+ORACLE_SQL["stream_trailing"] = ORACLE_SQL["rolling_trailing"]
+ORACLE_SQL["stream_asof"] = """
+WITH l AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'),
+r AS (SELECT user_id, ts AS matched_ts, arg_max(event_id, event_id) AS view_id, arg_max(value, event_id) AS view_value FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+m AS (SELECT l.*, matched_ts, view_id, view_value, matched_ts >= ts - INTERVAL 5 DAY AS near FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.matched_ts)
+SELECT event_id, user_id, ts, value, CASE WHEN near THEN matched_ts END AS matched_ts, CASE WHEN near THEN view_id END AS view_id, CASE WHEN near THEN view_value END AS view_value FROM m"""

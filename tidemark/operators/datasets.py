@@ -43,21 +43,25 @@ def raw_block(df: DataFrame, target: str, ts: str = "ts", symbol: str = "symbol"
     return no_nulls(df.select(ts, symbol, target, *[f"`{c}`" for c in rest]))
 
 
+def window_rows(units: list, train: int, val: int, test: int, step: int = 1, newest_only: bool = False) -> list[tuple]:
+    """(unit, window_id, window_name, split, units of the same split before it) for each unit of each window."""
+    span, rows = train + val + test, []
+    starts = list(enumerate(range(0, len(units) - span + 1, step)))
+    for i, at in starts[-1:] if newest_only else starts:
+        for k in range(span):
+            split, back = ("train", k) if k < train else ("val", k - train) if k < train + val else ("test", k - train - val)
+            rows.append((units[at + k], i, f"window_{i:03d}_{units[at + train + val]}", split, back))
+    return rows
+
+
 def rolling_splits(df: DataFrame, unit: str, train: int, val: int, test: int, step: int = 1, newest_only: bool = False) -> DataFrame:
     """Each row once for every window that its unit (a day or block) is in, with window_id, window_name and split.
 
     Windows count the units that exist, in order; gaps are no units. The units are few (one a day or
     block): they come to the driver, and their windows are a small table for a broadcast join.
     """
-    span = train + val + test
-    units = require_days(df, span, unit)
-    starts = list(range(0, len(units) - span + 1, step))
-    if newest_only:
-        starts = starts[-1:]
-    rows = []
-    for i, at in enumerate(starts):
-        name = f"window_{i:03d}_{units[at + train + val]}"
-        rows += [(units[at + k], i, name, "train" if k < train else "val" if k < train + val else "test") for k in range(span)]
+    units = require_days(df, train + val + test, unit)
+    rows = [r[:4] for r in window_rows(units, train, val, test, step, newest_only)]
     table = df.sparkSession.createDataFrame(rows, f"`{unit}` {df.schema[unit].dataType.simpleString()}, window_id int, window_name string, split string")
     return df.join(F.broadcast(table), unit)
 

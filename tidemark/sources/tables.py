@@ -29,6 +29,9 @@ LAYOUT = {
     "metrics": [],
     "partials": ["block_name"],
     "importance": ["block_name"],
+    "carried_parts": ["unit"],
+    "carried_trails": ["unit"],
+    "carried_tails": ["unit"],
 }
 
 
