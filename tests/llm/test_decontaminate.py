@@ -143,3 +143,34 @@ def test_few_counted_windows_are_not_the_item(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     df = spark.createDataFrame([(1, clean), (2, f"here {item}"), (3, f"{item.replace('19', '77')} end")], "doc_id long, text string")
     assert set(rows(contamination(df, bench))) == {(2, 1), (3, 1)}
+
+
+def test_changes_outside_of_the_windows_found_are_reported(spark):
+    """A name at a sentence's start and a unit that turns into a word hide the windows that they are in; ends, insertions and cuts."""
+    item = "Maria has 12 red boxes in the old shop near the river. Maria sells each of them for 3 euros to a friend who lives next door and comes by on most of the days"
+    words = item.split()
+    forms = {
+        1: item, 2: "Anna" + item[5:], 3: item.replace("3 euros", "4 złoty"), 4: item.replace("river. Maria", "river. Anna"), 5: item.replace("days", "nights"),
+        6: item.replace("old shop", "old little shop"), 7: " ".join(words[12:]), 8: item.replace("12", "9"), 9: "Anna" + item[5:].replace("12", "15").replace("3 euros", "4 złoty"),
+    }
+    docs = [(k, f"Some words before it here. {t}. And what comes then.") for k, t in forms.items()]
+    docs += [(20, f"{item.split('. ')[1]}"), (21, None), (22, "")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = rows(contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench))
+    assert {k[0]: v.n_changed for k, v in got.items()} == {1: 0, 2: 1, 3: 2, 4: 1, 5: 1, 6: 1, 7: 0, 8: 1, 9: 4, 20: 0}
+    assert {k[0] for k, v in got.items() if v.verbatim} == {1, 7, 20}
+
+
+def test_changes_against_a_plain_alignment(spark):
+    """Items of words with single ones replaced, far from each other: each is counted, and no token around the item is."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    items, docs, want = [(i, rng.sample(vocab, 60)) for i in range(10)], [], {}
+    for d in range(60):
+        item, own = rng.choice(items)
+        places = rng.sample([0, 25, 59], rng.randint(0, 3))
+        text = ["zz" if k in places else w for k, w in enumerate(own)]
+        docs.append((d, " ".join(rng.choices(vocab, k=rng.randint(0, 50)) + text + rng.choices(vocab, k=rng.randint(0, 50)))))
+        want[d, item] = len(places)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {k: r.n_changed for k, r in rows(contamination(df, bench)).items()} == want

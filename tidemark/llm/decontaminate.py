@@ -7,6 +7,8 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -206,11 +208,51 @@ def _match(item: object, run: list[tuple], items: Items, values: list[str]) -> t
     return (item, len({p for _, p, _ in run}), items.sizes[item], len(moved), not moved, run[0][0], run[-1][0] + run[-1][2])
 
 
+def _differing(own: list[str], there: list[str]) -> int:
+    """Tokens with another value, put in or left out."""
+    if len(own) == len(there):
+        return sum(a != b for a, b in zip(own, there, strict=True))
+    steps = SequenceMatcher(None, own, there, autojunk=False).get_opcodes()
+    return sum(max(b - a, d - c) for kind, a, b, c, d in steps if kind != "equal")
+
+
+def _beyond(own: list[str], there: list[str]) -> int:
+    """Tokens of another value where the item goes on beyond its last window found, counted outwards.
+
+    Less than a window is compared whole: one change at an end hides all of it. More is, as far out as half of the tokens agree: the
+    item may be cut off there.
+    """
+    differ = [a != b for a, b in zip(own, there, strict=False)]
+    if len(own) < WINDOW:
+        return sum(differ)
+    counted = list(accumulate(differ))
+    return max((n for k, n in enumerate(counted, 1) if 2 * n <= k), default=0)
+
+
+def changes(text: str, name: object, items: Items, first: int, last: int) -> int | None:
+    """Tokens in which the passage differs from the item, windows found or not, out to the item's ends; None if it has no such windows."""
+    shape, values = template(text)
+    best = None
+    for form in (0, 1):
+        for n in (n for n in items.widths if n <= last - first):
+            starts, stops = ([p for item, p in items.windows.get(tuple(shape[at : at + n]), ()) if item == (name, form)] for at in (first, last - n))
+            for a in starts:
+                k = bisect_left(stops, a + last - first - n)
+                for b in stops[max(0, k - 1) : k + 1]:
+                    if b >= a and (best is None or abs(last - first - (b + n - a)) < best[0]):
+                        best = abs(last - first - (b + n - a)), a, b + n, form
+    if best is None:
+        return None
+    _, a, b, form = best
+    own = items.values[name, form]
+    return _differing(own[a:b], values[first:last]) + _beyond(own[:a][::-1], values[:first][::-1]) + _beyond(own[b:], values[last:])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per text and benchmark item that it holds, verbatim or with other slot values.
 
-    Returns id, item, n_matched, n_windows, coverage, n_changed (slot tokens with another value),
-    verbatim, start_token, end_token. An item is held if one passage has ``coverage`` of its template
+    Returns id, item, n_matched, n_windows, coverage, n_changed (tokens with another value, put in or left out between the
+    passage's ends, or beyond them as far as the item goes on: see ``_beyond``), verbatim (none), start_token, end_token. An item is held if one passage has ``coverage`` of its template
     windows and each of its slot values stands for one value there; windows of few words count where they have the
     item's own values, or as part of the whole item. The windows' hash table is broadcast in blocks of
     ``block_bytes`` of benchmark text, so a benchmark of any size is searched whole and a text never
@@ -232,7 +274,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
             for part in batches:
                 out = []
                 for name, text in zip(part.column(0), part.column(1).to_pylist(), strict=True):
-                    out += [(name.as_py(), *m) for m in search(text or "", items, coverage)]
+                    for m in search(text or "", items, coverage):
+                        n = changes(text, m[0], items, m[5], m[6])
+                        n = m[3] if n is None else n
+                        out.append((name.as_py(), *m[:3], n, n == 0, *m[5:]))
                 cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
                 kinds = [part.schema.field(0).type, item_arrow, *[pa.int64()] * 3, pa.bool_(), *[pa.int64()] * 2]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
