@@ -73,6 +73,16 @@ def test_snapshots_of_other_column_order(spark, tmp_path):
     assert len(rows) == 2 and all(r["bids[24].amount"] == names.index("bids[24].amount") and r["asks[0].price"] == 0 for r in rows)
 
 
+def test_one_header_for_all_files_is_checked(spark, tmp_path):
+    names = book_columns()
+    for name, order in (("a", names), ("b", names), ("c", names[::-1])):
+        (tmp_path / f"{name}.csv").write_text(",".join(["timestamp", *order]) + "\n" + ",".join(["1000", *[str(names.index(c)) for c in order]]) + "\n")
+    files = [str(tmp_path / f"{n}.csv") for n in "abc"]
+    assert raw.read_snapshots(spark, files[:2], ["bids[24].amount"], same_header=True).count() == 2
+    with pytest.raises(Exception, match="header"):
+        raw.read_snapshots(spark, files, same_header=True).collect()
+
+
 def test_result_files_and_features(spark, tmp_path):
     for name, d in (("AAA", 1.0), ("BBB", 0.5)):
         spark.createDataFrame([(0.0, d), (1.0, 1 + d)], "y_true double, y_pred double").coalesce(1).write.parquet(f"{tmp_path}/{name}")

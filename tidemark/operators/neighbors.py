@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.shape import common_symbols, pivot_feature, unpivot_long
+from tidemark.sources.tables import staged
 
 #: Rows of a cell's chunk, distances that a task holds at once, and pivots at most.
 CELL, HELD, PIVOTS = 20_000, 4_000_000, 1_024
@@ -164,11 +165,12 @@ def nearest(query: DataFrame, train: DataFrame, n: int, p: float | str = 2, key:
     chunks; no task holds more than about ``cell`` rows of either side. A query first meets one chunk of
     its own cell, which bounds its n-th distance, then only cells whose radius reaches into that bound
     (triangle inequality). ``distance`` has no root taken. Rows with a null key, vector or component take
-    no part. ``train`` is kept while the search runs.
+    no part. ``train`` and its cells are written once to the scratch folder, so nothing is kept in memory behind the search.
     """
     sound = F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
     query = query.where(sound).select(F.col(key).alias("_q"), F.col(vector).cast("array<double>").alias("_x"))
-    train = train.where(sound).select(F.col(key).alias("_t"), F.col(vector).cast("array<double>").alias("_x")).persist()
+    train = train.where(sound).select(F.col(key).alias("_t"), F.col(vector).cast("array<double>").alias("_x"))
+    train = staged(train)
     most = n + int(exclude_self)
     kind, q_kind = train.schema["_t"].dataType.simpleString(), query.schema["_q"].dataType.simpleString()
     wanted = min(PIVOTS, max(1, -(-train.count() // cell)))
@@ -188,7 +190,7 @@ def nearest(query: DataFrame, train: DataFrame, n: int, p: float | str = 2, key:
             yield rows.assign(_cell=own.astype(np.int32), _far=far[np.arange(len(rows)), own])
 
     if len(pivots) > 1:
-        train = train.mapInPandas(settled, f"_t {kind}, _x array<double>, _cell int, _far double").persist()
+        train = staged(train.mapInPandas(settled, f"_t {kind}, _x array<double>, _cell int, _far double"))
     else:
         train = train.withColumns({"_cell": F.lit(0), "_far": F.lit(0.0)})
     sizes = train.groupBy("_cell").agg(F.ceil(F.count("*") / cell).cast("int").alias("_chunks"), F.max("_far").alias("_radius"))

@@ -17,6 +17,7 @@ from tidemark.operators.datasets import assembled
 from tidemark.operators.metrics import evaluate
 from tidemark.operators.resample import previous
 from tidemark.plans.boosting import LeafParams, train_leafwise
+from tidemark.sources.tables import staged
 
 
 @dataclass(frozen=True)
@@ -70,10 +71,10 @@ def train_window(own: DataFrame, features: list[str], target: str, keep: list[st
 def train_windows(splits: DataFrame, features: list[str], target: str, keep: list[str], params: BoostParams | LeafParams = BoostParams(), done: tuple[str, ...] = (), at_once: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fit on each window's train rows, predict its test rows: (predictions, importances, metrics per window).
 
-    Windows named in ``done`` are left out. ``splits`` is kept while ``at_once`` windows are fitted side by side, so that
+    Windows named in ``done`` are left out. ``splits`` is written once, and ``at_once`` windows are fitted side by side, so that
     one window's small jobs don't leave the cluster idle; only window names come to the driver.
     """
-    splits = splits.persist()
+    splits = staged(splits)
     sizes = splits.groupBy("window_name").agg(*[F.count_if(F.col("split") == s).alias(s) for s in ("train", "test")]).collect()
     if not [r for r in sizes if r.window_name not in done]:
         raise ValueError("no window to train")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,16 +34,26 @@ def snapshot_path(root: str, symbol: str, date: str) -> str:
     return f"{root}/{symbol}/book_snapshot_25/binance-futures_book_snapshot_25_{date}_{symbol}.csv"
 
 
-def read_snapshots(spark: SparkSession, paths: list[str], columns: list[str] | None = None, timestamp: str = "timestamp") -> DataFrame:
+def read_snapshots(spark: SparkSession, paths: list[str], columns: list[str] | None = None, timestamp: str = "timestamp", same_header: bool = False) -> DataFrame:
     """CSV book snapshots (also gz or zst) with an explicit schema: int64 microseconds, doubles; ``ts`` is added.
 
-    Columns are found by name, in each file's own order: files are grouped by their header row, which is read first.
+    Columns are found by name, in each file's own order: files are grouped by their header row, which is read first, 16 files at
+    a time. With ``same_header`` only the first file's is read beforehand, however many files there are; one that has another fails
+    when it is read, because Spark compares each file's header with the schema.
     """
     wanted = columns or book_columns()
     known = T.StructType([T.StructField(timestamp, T.LongType()), *[T.StructField(c, T.DoubleType()) for c in book_columns()]])
     alike: dict[tuple, list[str]] = {}
-    for path in paths:
-        alike.setdefault(tuple(spark.read.option("header", True).csv(path).columns), []).append(path)
+
+    def head(path: str) -> tuple:
+        return tuple(spark.read.option("header", True).csv(path).columns)
+
+    if same_header:
+        alike[head(paths[0])] = paths
+    else:
+        with ThreadPoolExecutor(16) as pool:
+            for path, names in zip(paths, pool.map(inheritable_thread_target(spark)(head), paths), strict=True):
+                alike.setdefault(names, []).append(path)
 
     def read(head: tuple, files: list[str]) -> DataFrame:
         schema = T.StructType([known[c] if c in known.names else T.StructField(c, T.StringType()) for c in head])

@@ -132,6 +132,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written once under ``scratch_dir`` and read back: computed once, outlives lost executors, and nothing stays in their memory."""
+    path = f"{scratch_dir(df.sparkSession)}/staged"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def feature_columns(df: DataFrame, keys: tuple[str, ...] = ("ts", "symbol", "date"), target: str | None = None) -> list[str]:
     return [c for c in df.columns if c not in keys and c != target]
 
