@@ -56,6 +56,14 @@ def test_buckets_errors_and_disagreement(spark):
     assert truth_disagreements(df, df.withColumn("y_true", F.lit(2.5)), ["id"]).count() == 2
 
 
+def test_true_values_agree_within_tolerances(spark):
+    inf, nan = math.inf, math.nan
+    pairs = [(1.0, 1.00005), (1.0, 1.0002), (1e6, 1e6 + 0.01), (1e6, 1e6 + 0.02), (inf, inf), (inf, -inf), (inf, 1.0), (nan, nan), (None, None), (None, 1.0), (1.0, None)]
+    left, right = (spark.createDataFrame([(i, p[k]) for i, p in enumerate(pairs)], "id int, y_true double") for k in (0, 1))
+    assert sorted(r.id for r in truth_disagreements(left, right, ["id"]).collect()) == [1, 3, 5, 6, 7, 9, 10]
+    assert truth_disagreements(left, right, ["id"], absolute=1e-9, relative=0.0).count() == 9
+
+
 def days(spark, which):
     return spark.createDataFrame([(dt.date(2024, 1, d), d, k) for d in which for k in range(2)], "date date, d int, k int")
 

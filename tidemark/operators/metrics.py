@@ -77,10 +77,21 @@ def with_errors(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFram
     return df.withColumns({"error": F.col(p) - F.col(y), "abs_error": F.abs(F.col(p) - F.col(y))})
 
 
-def truth_disagreements(df: DataFrame, other: DataFrame, keys: list[str], y: str = "y_true", tolerance: float = 1e-9) -> DataFrame:
-    """Rows of equal keys whose true values differ: models must be judged on the same truth."""
+# The tolerances within which two models' true values count as equal.
+TRUTH_ABSOLUTE, TRUTH_RELATIVE = 1e-4, 1e-8
+
+
+def truth_disagreements(df: DataFrame, other: DataFrame, keys: list[str], y: str = "y_true", absolute: float = TRUTH_ABSOLUTE, relative: float = TRUTH_RELATIVE) -> DataFrame:
+    """Rows of equal keys whose true values differ by more than ``absolute`` plus ``relative`` of the other's: models must be judged on the same truth.
+
+    Equal infinities agree, NaN agrees with nothing, null with null alone.
+    """
     both = df.select(*keys, F.col(y).alias("_a")).join(other.select(*keys, F.col(y).alias("_b")), keys)
-    return both.where(F.abs(F.col("_a") - F.col("_b")) > tolerance).select(*keys, F.col("_a").alias("y_left"), F.col("_b").alias("y_right"))
+    a, b = F.col("_a").cast("double"), F.col("_b").cast("double")
+    # two finite values are compared; any other pair must be the same infinity
+    apart = F.when(finite(a) & finite(b), F.abs(a - b) > absolute + relative * F.abs(b)).otherwise((a != b) | F.isnan(a) | F.isnan(b))
+    far = F.when(a.isNull() | b.isNull(), a.isNull() != b.isNull()).otherwise(apart)
+    return both.where(far).select(*keys, F.col("_a").alias("y_left"), F.col("_b").alias("y_right"))
 
 
 #: Statistics that metrics are made of; those of several blocks combine into those of their union.
