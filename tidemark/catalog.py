@@ -550,12 +550,27 @@ def aligned_table(spark, d):
     return rounded(out.select(*by, "ts", "vwap", "imbalance", "log_return", "spread_pct", "vol_ratio_30_120", "vol_5m_lag0", "y_vol_5m"), "vwap", "imbalance", "log_return", "spread_pct", "vol_ratio_30_120", "vol_5m_lag0", "y_vol_5m")
 
 
+READY = ["ts", "symbol", "y", "value", "value_time_nn2_mean", "value_symbol_nn2_mean"]
+
+
+def _ready(spark, d):
+    e = datasets.with_day(_dense(spark, d, "3h").withColumnRenamed("event_type", "symbol")).withColumn("value", F.coalesce("value", F.lit(0.0))).withColumn("y", F.col("value") * 2)
+    return e, pipeline.Config(["click", "purchase", "view"], ["click", "purchase", "view"], target="y", features=("value",), neighbor_counts=(2,), train_subsample="6h")
+
+
 def ready_block(spark, d):
     """A day's rows with neighbour features out of the week before."""
-    e = datasets.with_day(_dense(spark, d, "3h").withColumnRenamed("event_type", "symbol")).withColumn("value", F.coalesce("value", F.lit(0.0))).withColumn("y", F.col("value") * 2)
-    config = pipeline.Config(["click", "purchase", "view"], ["click", "purchase", "view"], target="y", features=("value",), neighbor_counts=(2,), train_subsample="6h")
-    out = pipeline.ready_block(e, "2024-01-20", config).select("ts", "symbol", "y", "value", "value_time_nn2_mean", "value_symbol_nn2_mean")
-    return rounded(out, "y", "value", "value_time_nn2_mean", "value_symbol_nn2_mean")
+    e, config = _ready(spark, d)
+    return rounded(pipeline.ready_block(e, "2024-01-20", config).select(*READY), *READY[2:])
+
+
+def ready_block_stored(spark, d):
+    """Two days' rows, stored in buckets with their features and joined without an exchange; the first day is stored twice."""
+    (e, config), root = _ready(spark, d), tables.scratch_dir(spark)
+    days = ["2024-01-20", "2024-01-21"]
+    for day in [days[0], *days]:
+        pipeline.store_day(e, day, config, root, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rounded(pipeline.stored_blocks(spark, config, root, days).select(*READY), *READY[2:])
 
 
 def stream_downsample(spark, d):
@@ -613,6 +628,6 @@ _ALL = [
     block_starts, freq_fanout, training_sample, window_cache, history_slice, base_slice, union_dedup, null_safe_drop, alignment_check, even_counts, step_counts, grid_points, stride_sample,
     hash_sample, linear_baseline, gbt_rolling, boost_leafwise, boost_stumps, time_neighbors_manhattan, time_neighbors_chebyshev, time_neighbors_weighted, symbol_neighbors_manhattan, time_neighbors_mahalanobis, time_neighbors_correlation, time_neighbors_canberra,
     time_neighbors_trimmed, symbol_neighbors_chebyshev, symbol_neighbors_cosine, symbol_neighbors_weighted, importance_heatmap_split,
-    volatility_grid, snapshot_files, table_sinks, npz_arrays, result_files, aligned_table, ready_block, stream_downsample, stream_trailing, stream_asof, carried_windows,
+    volatility_grid, snapshot_files, table_sinks, npz_arrays, result_files, aligned_table, ready_block, ready_block_stored, stream_downsample, stream_trailing, stream_asof, carried_windows,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -123,6 +123,19 @@ TIME_RANKS, SYMBOL_RANKS = time_ranks(SQUARES), symbol_ranks("sum((a.value - b.v
 FORECAST = "SELECT event_id, ts, event_type, value AS y_true, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS y_pred FROM events"
 
 
+def ready(day: str) -> str:
+    """A day's rows of three types with their neighbours' means out of the week before it."""
+    return f"""
+WITH {dense("3h")}, e AS (SELECT event_type AS symbol, ts, coalesce(value, 0) AS value FROM dense WHERE event_type IN ('click', 'purchase', 'view')),
+tf AS (SELECT symbol, {floor_ts("6h")} AS ts, avg(value) AS value FROM e WHERE ts >= TIMESTAMP '{day}' - INTERVAL 7 DAY AND ts < TIMESTAMP '{day}' GROUP BY ALL),
+qf AS (SELECT * FROM e WHERE ts >= TIMESTAMP '{day}' AND ts < TIMESTAMP '{day}' + INTERVAL 1 DAY),
+apart AS (SELECT q.ts AS ts, t.ts AS near, {SQUARES} AS d FROM qf q JOIN tf t ON q.symbol = t.symbol GROUP BY 1, 2),
+ranked AS (SELECT ts, near, row_number() OVER (PARTITION BY ts ORDER BY d, near) AS k FROM apart),
+by_time AS (SELECT r.ts, t.symbol, avg(value) AS n2 FROM ranked r JOIN tf t ON t.ts = r.near WHERE k <= 2 GROUP BY 1, 2), {SYMBOL_RANKS}
+SELECT q.ts, q.symbol, {r6("q.value * 2")} AS y, {r6("q.value")} AS value, {r6("t.n2")} AS value_time_nn2_mean, {r6("s.n2")} AS value_symbol_nn2_mean
+FROM qf q LEFT JOIN by_time t USING (ts, symbol) LEFT JOIN by_symbol s USING (ts, symbol)"""
+
+
 def qlike(y: str, p: str, eps: str = "1e-12") -> str:
     r = f"(greatest({y} * {y}, {eps}) / greatest({p} * {p}, {eps}))"
     return f"{r} - ln({r}) - 1"
@@ -333,15 +346,8 @@ f AS (SELECT *, ((v + 1) * aq + v * 2) / (aq + 2) AS vwap, (aq - 2) / (aq + 2) A
 SELECT symbol, date, ts, {r6("vwap")} AS vwap, {r6("imbalance")} AS imbalance, {r6("log_return")} AS log_return, {r6("1 / mid")} AS spread_pct,
   {r6("(v * 3) / (v * 5 + 1e-9)")} AS vol_ratio_30_120, {r6("v * 2")} AS vol_5m_lag0, {r6("y")} AS y_vol_5m
 FROM (SELECT *, ln((v + 1 + v) / 2) - lag(ln((v + 1 + v) / 2)) OVER (PARTITION BY symbol, date ORDER BY ts) AS log_return FROM f) WHERE hour(ts) > 0""",
-    "ready_block": f"""
-WITH {dense("3h")}, e AS (SELECT event_type AS symbol, ts, coalesce(value, 0) AS value FROM dense WHERE event_type IN ('click', 'purchase', 'view')),
-tf AS (SELECT symbol, {floor_ts("6h")} AS ts, avg(value) AS value FROM e WHERE ts >= TIMESTAMP '2024-01-13' AND ts < TIMESTAMP '2024-01-20' GROUP BY ALL),
-qf AS (SELECT * FROM e WHERE ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-21'),
-apart AS (SELECT q.ts AS ts, t.ts AS near, {SQUARES} AS d FROM qf q JOIN tf t ON q.symbol = t.symbol GROUP BY 1, 2),
-ranked AS (SELECT ts, near, row_number() OVER (PARTITION BY ts ORDER BY d, near) AS k FROM apart),
-by_time AS (SELECT r.ts, t.symbol, avg(value) AS n2 FROM ranked r JOIN tf t ON t.ts = r.near WHERE k <= 2 GROUP BY 1, 2), {SYMBOL_RANKS}
-SELECT q.ts, q.symbol, {r6("q.value * 2")} AS y, {r6("q.value")} AS value, {r6("t.n2")} AS value_time_nn2_mean, {r6("s.n2")} AS value_symbol_nn2_mean
-FROM qf q LEFT JOIN by_time t USING (ts, symbol) LEFT JOIN by_symbol s USING (ts, symbol)""",
+    "ready_block": ready("2024-01-20"),
+    "ready_block_stored": f"SELECT * FROM ({ready('2024-01-20')}) UNION ALL SELECT * FROM ({ready('2024-01-21')})",
     "stream_downsample": f"SELECT event_type, {ceil_ts('6h')} AS ts, {_PLAN} FROM events GROUP BY event_type, {ceil_ts('6h')}",
     "vector_neighbors": f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),

@@ -18,14 +18,18 @@ from tidemark.operators.factors import base_factors, clip_to, derived_factors, t
 from tidemark.operators.importance import importance_mean, top_features
 from tidemark.operators.labels import feature_join, label_join
 from tidemark.operators.metrics import evaluate, with_errors
-from tidemark.operators.neighbors import neighbor_block
+from tidemark.operators.neighbors import neighbor_block, symbol_neighbors, time_neighbors
 from tidemark.operators.resample import downsample_left
 from tidemark.plans.models import BoostParams, train_windows
+from tidemark.sources.bucketed import add_bucketed, join_bucketed, open_bucketed
 from tidemark.sources.tables import list_partitions, write_json, write_table
 
 #: Base factors that serve as features unless others are named.
 DEFAULT_FEATURES = ("vwap", "imbalance", "spread", "mid", "log_return")
 
+#: What rows of stored day tables are bucketed by and joined on.
+KEYS = ["symbol", "ts"]
+
 
 @dataclass(frozen=True)
 class Config:
@@ -132,6 +136,30 @@ def ready_block(df: DataFrame, day: str, config: Config) -> DataFrame:
     return near.join(of_days(df, day, day), ["ts", "symbol"], "left")
 
 
+def store_day(df: DataFrame, day: str, config: Config, root: str, buckets: int) -> None:
+    """A day's rows, and the neighbour features of each feature, as tables under ``root`` bucketed by time and symbol; a day stored before is replaced."""
+    train, query = window_cache(df, day, config)
+    on = lambda rows: rows.withColumn("date", F.lit(day).cast("date"))
+    add_bucketed(on(query.select("ts", "symbol")), f"{root}/query", KEYS, buckets, ["date"])
+    start = F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
+    own = of_days(df, day, day).where((F.col("ts") >= start) & (F.col("ts") < offset(start, "1d")))
+    add_bucketed(on(own.drop("date")), f"{root}/base", KEYS, buckets, ["date"])
+    for f in config.features:
+        for kind, make in (("time", time_neighbors), ("symbol", symbol_neighbors)):
+            add_bucketed(on(make(train, query, f, list(config.neighbor_counts), config.base_symbols)), f"{root}/{kind}_{f}", KEYS, buckets, ["date"])
+
+
+def stored_blocks(spark: SparkSession, config: Config, root: str, days: list[str]) -> DataFrame:
+    """``ready_block`` of all these days out of ``store_day``'s tables: two joins a feature and one with the base, and no row is exchanged."""
+
+    def table(name: str) -> DataFrame:
+        rows = open_bucketed(spark, f"{root}/{name}")
+        return rows.where(F.col("date").isin([date.fromisoformat(d) for d in days]))
+
+    parts = [f"{kind}_{f}" for f in config.features for kind in ("time", "symbol")]
+    return join_bucketed(table("query"), [table(name).drop("date") for name in [*parts, "base"]], KEYS)
+
+
 def training_dataset(ready: DataFrame, config: Config, newest_only: bool = False) -> DataFrame:
     """Rolling windows by day at every frequency: split train is bucketed, val and test trail."""
     features = manifest(ready.columns, config.target)
