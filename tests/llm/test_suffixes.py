@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -122,3 +123,37 @@ def test_no_table_stays_in_the_catalog(spark):
     out = duplicate_spans(docs)
     assert {t.name for t in spark.catalog.listTables()} == before
     assert [r.n_removed for r in out.collect()] == [600, 600]
+
+
+def suffixes_of(texts):
+    """(gram, right, left, near, far) of every anchor."""
+    for t in (x.encode() for x in texts):
+        for hs, ps, near, far in anchors(t):
+            for h, p, a, b in zip(hs.view(np.uint64).tolist(), ps.tolist(), near.tolist(), far.tolist(), strict=True):
+                yield h, t[p : p + LENGTH - a], t[p - b : p][::-1], a, b
+
+
+def test_a_line_of_nearly_the_length_in_many_surroundings(spark):
+    """190 bytes in common, what lies around differs, but for a few: no key holds different suffixes of more than the bound."""
+    rng = random.Random(9)
+    for _ in range(30):
+        line = words(rng, 80).encode().decode("ascii", "ignore")[:190]
+        texts = [words(rng, 6) + line + words(rng, 6) for _ in range(300)]
+        suffixes = list(suffixes_of(texts))
+        seen = Counter(key for s in suffixes for key, *_ in windows(*s))
+        if max(seen.values()) > 250:  # a line whose anchor lies such that one window has it nearly whole
+            break
+    assert max(seen.values()) > 250
+    crowded, kinds = frozenset(k for k, n in seen.items() if n > 50), {}
+    for s in suffixes:
+        for key, *rest in windows(*s, crowded):
+            kinds.setdefault(key, set()).add(tuple(rest))
+    assert max(map(len, kinds.values())) <= 50
+    assert sum(b - a + 1 for *_, a, b in suffixes) == sum(b - a + 1 for s in suffixes for *_, a, b in windows(*s, crowded))
+
+    texts += [f"{k} qqqqqq" + line + "zzzz" + words(rng, 5) for k in range(9)] + [line, "qqqqqq" + line + "zzzz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (50, 400):
+        rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in duplicate_spans(docs, hot=hot, part=50).collect()}
+        assert [rows[i] for i in range(len(texts))] == brute(texts)
+    assert sum(r[1] > 0 for r in rows.values()) >= 10

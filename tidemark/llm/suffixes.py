@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +24,8 @@ GRAM = 64
 #: Bytes hashed at once, and suffixes that a task sorts at once.
 CHUNK, HELD = 1 << 19, 60_000
 #: Suffixes of a part that one merge takes on average. Suffixes at grams seen over HOT times are cut by distance to the string's
-#: start into windows of WINDOW distances, whose strings have all but so many bytes in common: these name the part.
+#: start into windows of WINDOW distances, whose strings have all but so many bytes in common: these name the part. Windows that are
+#: seen over HOT times themselves (a line of nearly LENGTH bytes in many surroundings) are cut into single distances: whole strings.
 PART, HOT, WINDOW = 50_000, 100_000, 17
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -167,17 +168,48 @@ RUN = "part long, lcp binary, sizes binary, rest binary, lefts binary, before bi
 SPANS = "k1 long, k2 long, spans array<long>"
 
 
-def windows(h: int, right: bytes, left: bytes, near: int, far: int) -> Iterator[tuple[int, bytes, bytes, int, int]]:
+def windows(h: int, right: bytes, left: bytes, near: int, far: int, crowded: frozenset[int] = frozenset()) -> Iterator[tuple[int, bytes, bytes, int, int]]:
     """(key, right, left, near, far) of a suffix at a very frequent gram, for each window of distances from start to anchor.
 
     ``right`` begins at the gram, ``left`` are the bytes before it, backwards. At distances a to b, equal
-    strings share LENGTH - b bytes to the right and a to the left: the key is made of these.
+    strings share LENGTH - b bytes to the right and a to the left: the key is made of these. In place of a window whose key is
+    ``crowded`` come its distances one by one, keyed by the whole string: under such a key all strings are equal.
     """
+
+    def key(a: int, b: int, single: bool) -> int:
+        return h ^ int.from_bytes(hashlib.blake2b(right[: LENGTH - b] + b"|" + left[:a], digest_size=8, salt=a.to_bytes(2) + bytes([single])).digest())
+
     for a in range(near // WINDOW * WINDOW, far + 1, WINDOW):
         b = min(a + WINDOW - 1, LENGTH - GRAM)
-        shared = hashlib.blake2b(right[: LENGTH - b] + b"|" + left[:a], digest_size=8, salt=a.to_bytes(2)).digest()
-        low, high = max(near, a), min(far, b)
-        yield h ^ int.from_bytes(shared), right[: LENGTH - low], left[:high], low, high
+        low, high, shared = max(near, a), min(far, b), key(a, b, False)
+        if shared not in crowded:
+            yield shared, right[: LENGTH - low], left[:high], low, high
+            continue
+        for d in range(low, high + 1):
+            yield key(d, d, True), right[: LENGTH - d], left[:d], d, d
+
+
+def _often(text: bytes, often: np.ndarray) -> Iterator[tuple[int, bytes, bytes, int, int, int]]:
+    """(gram's hash, bytes from it on, bytes before it backwards, near, far, place) of the anchors at very frequent grams."""
+    if not len(often):
+        return
+    for h, p, near, far in anchors(text):
+        at = np.isin(h, often)
+        for x, place, a, b in zip(h[at].view(np.uint64).tolist(), p[at].tolist(), near[at].tolist(), far[at].tolist(), strict=True):
+            yield x, text[place : place + LENGTH - a], text[place - b : place][::-1], a, b, place
+
+
+def _window_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, key, n) for rows (k1, k2, text, often): how often a text has each window of its very frequent grams."""
+    for batch in batches:
+        for i, text in enumerate(batch.column(2).to_pylist()):
+            found: Counter = Counter()
+            for *suffix, _ in _often(text, np.array(batch.column(3)[i].values.to_numpy(zero_copy_only=False), np.int64)):
+                found.update(key for key, *_ in windows(*suffix))
+            if found:
+                keys = pa.array(np.array(list(found), np.uint64).view(np.int64))
+                own = [pa.array([batch.column(c)[i].as_py()] * len(found), pa.int64()) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, keys, pa.array(list(found.values()), pa.int64())], ["k1", "k2", "key", "n"])
 
 
 def collapsed(held: dict[int, dict]) -> tuple[dict[int, list], list[tuple]]:
@@ -265,7 +297,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twice with all that counts of their surroundings are one; they are sorted where they are, cut into
     parts by gram and exchanged front-coded; a loser tree merges each part's runs. Suffixes at grams seen more than
     ``hot`` times go the same way, but as several of fewer distances each, dealt out by far longer strings than the gram
-    (``windows``), so no group lands in one task. Null texts
+    (``windows``). These windows are counted, too, and those seen more than ``hot`` times come as whole strings, of which a task sends
+    one for all that are equal: no group lands in one task. Null texts
     are empty; texts under ``LENGTH`` bytes keep all; repeated rows and null ids each give a row; an
     empty table gives none; further columns are not read.
     """
@@ -289,11 +322,18 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = texts.select("k1", "k2", F.encode("text", "UTF-8").alias("text"))
     seen = stage(whole.mapInArrow(grams, "k1 long, k2 long, h long, n long"))
     twice = stage(seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
-    total = twice.agg(F.sum("n").alias("n")).first()
+    total = twice.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > hot, F.col("n"))).alias("hot")).first()
     wanted = seen.select("k1", "k2", "h").join(twice.select("h", (F.col("n") > hot).alias("hot")), "h")
     lists = wanted.groupBy("k1", "k2").agg(*[F.collect_list(F.when(c, F.col("h"))).alias(name) for c, name in ((~F.col("hot"), "h"), (F.col("hot"), "often"))])
-    found = whole.join(lists, ["k1", "k2"])
-    parts = max(4 * n, -(-(total.n or 0) // part))
+    found, more = whole.join(lists, ["k1", "k2"]).withColumn("crowded", F.array().cast("array<long>")), 0
+    if total.hot:  # without such grams there are no windows to count
+        asked = whole.join(lists.where("size(often) > 0").select("k1", "k2", "often"), ["k1", "k2"])
+        keys = stage(asked.mapInArrow(_window_keys, "k1 long, k2 long, key long, n long"))
+        crowds = stage(keys.groupBy("key").agg(F.sum("n").alias("all")).where(F.col("all") > hot))
+        more = (keys.agg(F.sum("n")).first()[0] or 0) + WINDOW * (crowds.agg(F.sum("all")).first()[0] or 0)
+        own = keys.join(crowds, "key").groupBy("k1", "k2").agg(F.collect_list("key").alias("keys"))
+        found = found.join(own, ["k1", "k2"], "left").withColumn("crowded", F.coalesce("keys", "crowded"))
+    parts = max(4 * n, -(-((total.n or 0) + more) // part))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict] = defaultdict(lambda: defaultdict(list))
@@ -301,16 +341,21 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for i, text in enumerate(batch.column(2).to_pylist()):
                 place = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                good, often = (np.array(batch.column(c)[i].values.to_numpy(zero_copy_only=False), np.int64) for c in (3, 4))
+                good, often, crowded = (np.array(batch.column(c)[i].values.to_numpy(zero_copy_only=False), np.int64) for c in (3, 4, 5))
                 for h, p, near, far in anchors(text):
-                    keep, split = np.isin(h, good), np.isin(h, often)
+                    keep = np.isin(h, good)
                     for x, at, a, b in zip((h[keep].view(np.uint64) % np.uint64(parts)).tolist(), p[keep].tolist(), near[keep].tolist(), far[keep].tolist(), strict=True):
                         held[x][text[at : at + LENGTH - a], text[at - b : at][::-1], a, b].append((at, *place))
                         size += 1
-                    for x, at, a, b in zip(h[split].view(np.uint64).tolist(), p[split].tolist(), near[split].tolist(), far[split].tolist(), strict=True):
-                        for key, *suffix in windows(x, text[at : at + LENGTH - a], text[at - b : at][::-1], a, b):
-                            held[key % parts][tuple(suffix)].append((at, *place))
-                            size += 1
+                    if size >= HELD:
+                        yield _runs(*collapsed(held), home)
+                        held.clear()
+                        size = 0
+                crowded = frozenset(crowded.view(np.uint64).tolist())
+                for *suffix, at in _often(text, often):
+                    for key, *cut_out in windows(*suffix, crowded):
+                        held[key % parts][tuple(cut_out)].append((at, *place))
+                        size += 1
                     if size >= HELD:
                         yield _runs(*collapsed(held), home)
                         held.clear()
@@ -331,7 +376,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if held:
             yield merged_spans(held)
 
-    spans = found.select("k1", "k2", "text", "h", "often").mapInArrow(sort, RUN)
+    spans = found.select("k1", "k2", "text", "h", "often", "crowded").mapInArrow(sort, RUN)
     spans = spans.repartition(n, "part").sortWithinPartitions("part").mapInArrow(combine, SPANS)
     spans = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
