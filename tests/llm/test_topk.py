@@ -72,3 +72,20 @@ def test_stored_tree_finds_the_same():
     again = MTree.unpack(tree.pack())
     for q in x[::300].astype(np.float64):
         assert sorted(tree.search(-1, q, [], 5)) == sorted(again.search(-1, q, [], 5))
+
+
+def test_many_queries_side_by_side_find_what_each_finds_alone():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 300, (20, 12))
+    x = np.floor(centres[rng.integers(0, 20, 4000)] + rng.normal(0, 20, (4000, 12))).astype(np.int64)
+    x[100:140] = x[100]  # ties
+    ids = rng.permutation(4000)
+    tree, own = MTree(ids, x), ids[::20]
+    q = x[::20].astype(np.float64)
+    once = tree.search_all(own, q, [[] for _ in own], 5)
+    alone = [tree.search(int(i), v, [], 5) for i, v in zip(own, q, strict=True)]
+    assert [sorted(b) for b in once] == [sorted(b) for b in alone]
+    for i, v, b in zip(own, x[::20], once, strict=True):
+        assert sorted(b, reverse=True) == sorted(((int(s), -int(j)) for s, j in zip(x @ v, ids, strict=True) if j != i), reverse=True)[:5]
+    again = tree.search_all(own, q, [list(b) for b in once], 5)  # what is known already keeps its place, and comes in again
+    assert all(max(a) == max(b) for a, b in zip(again, once, strict=True))

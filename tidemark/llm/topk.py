@@ -18,10 +18,18 @@ from tidemark.llm.common import stage
 K, SCALE, EVERY = 5, 256, 50
 #: Vectors of a leaf page and of one tree; children of an inner node.
 PAGE, TREE, FANOUT = 128, 16_384, 16
+#: Open nodes that a query with k candidates takes before its bound is looked at again.
+STEPS = 16
 #: Queries of a row (2,048 at most: their number takes 11 bits), and inner products that a cell of trees and queries would need without any bound.
 QUERIES, WORK = 2_048, 20_000_000_000
 
 
+def _narrow(whole: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as hold them."""
+    top = np.abs(whole).max(initial=0)
+    return whole.astype(next(t for t in (np.int16, np.int32, np.int64) if top <= np.iinfo(t).max))
+
+
 class MTree:
     """Paged metric nodes with covering radii and stored distances to the parent's pivot.
 
@@ -43,7 +51,7 @@ class MTree:
 
     def pack(self) -> bytes:
         """The tree as it is stored: ids, whole-number vectors and nodes; the rest follows from them."""
-        return pickle.dumps((self.ids, self.exact.astype(np.int64), self.nodes), pickle.HIGHEST_PROTOCOL)
+        return pickle.dumps((self.ids, _narrow(self.exact), self.nodes), pickle.HIGHEST_PROTOCOL)
 
     @classmethod
     def unpack(cls, data: bytes) -> MTree:
@@ -84,46 +92,82 @@ class MTree:
 
     def search(self, own: int, query: np.ndarray, best: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
         """The ``k`` best (score, -id) of ``best`` and the tree, the query's own id left out."""
-        q = np.append(query, 0.0)
-        size = float(query @ query)
-
-        def bound() -> float:
-            if len(best) < k:
-                return np.inf
-            return np.sqrt(max(size + self.top - 2 * best[0][0], 0)) + 1e-6 * (1 + np.sqrt(size + self.top))
-
-        heapq.heapify(best)
-        start = float(np.sqrt(((self.centre - q) ** 2).sum()))
-        todo = [(0.0, 0, start)]
-        while todo:
-            low, number, far = heapq.heappop(todo)
-            limit = bound()
-            if low > limit:
-                break
-            node = self.nodes[number]
-            if node[0] == "page":
-                _, rows, up = node
-                a, b = np.searchsorted(up, [far - limit, far + limit + 1e-9])  # the triangle inequality leaves these
-                rows = rows[a:b]
-                rows = rows[self.ids[rows] != own]  # before the cut below, which would count it
-                score = self.exact[rows] @ query
-                if len(best) == k:
-                    at = score >= best[0][0]
-                    rows, score = rows[at], score[at]
-                if len(rows) > 4 * k:
-                    cut = np.partition(score, len(score) - k)[len(score) - k]
-                    rows, score = rows[score >= cut], score[score >= cut]
-                for s, i in zip(score.tolist(), self.ids[rows].tolist(), strict=True):
-                    (heapq.heappush if len(best) < k else heapq.heappushpop)(best, (int(s), -i))
-                continue
-            _, pivots, radii, up, children = node
-            may = np.abs(far - up) - radii <= limit  # known without computing a distance
-            d = np.sqrt(((pivots[may] - q) ** 2).sum(1))
-            lows = np.maximum(d - radii[may], 0)
-            for x, c, y in zip(lows.tolist(), children[may].tolist(), d.tolist(), strict=True):
-                if x <= limit:
-                    heapq.heappush(todo, (x, c, y))
-        return best
+        return self.search_all(np.array([own]), query[None, :], [best], k)[0]
+
+    def search_all(self, own: np.ndarray, queries: np.ndarray, best: list[list[tuple[int, int]]], k: int) -> list[list[tuple[int, int]]]:
+        """``search`` for many queries side by side, each best first by its own bounds.
+
+        Each query takes its nearest open nodes, ``STEPS`` at a time; those that take the same node are compared with it at once. A
+        bound may be a step old by then, which costs products but loses nothing: it only falls.
+        """
+        size = (queries * queries).sum(1)
+        slack = 4e-6 * (1 + np.sqrt(size + self.top))  # more than rounding can do to a distance
+        floor = np.full(len(queries), -np.inf)
+        for q, found in enumerate(best):
+            heapq.heapify(found)
+            if len(found) == k:
+                floor[q] = found[0][0]
+
+        def limits() -> np.ndarray:
+            return np.sqrt(np.maximum(size + self.top - 2 * floor, 0)) + slack
+
+        def apart(of: np.ndarray, points: np.ndarray) -> np.ndarray:
+            inner = queries[of] @ points[:, :-1].T  # a query's last coordinate is 0
+            return np.sqrt(np.maximum(size[of][:, None] + (points**2).sum(1) - 2 * inner, 0))
+
+        far = apart(np.arange(len(queries)), self.centre[None, :])[:, 0]
+        todo = [[(0.0, 0, x)] for x in far.tolist()]
+        while True:
+            limit, taken = limits(), {}
+            for q, (heap, most) in enumerate(zip(todo, limit.tolist(), strict=True)):
+                for _ in range(STEPS if len(best[q]) == k else 1):
+                    if heap and heap[0][0] <= most:
+                        _, number, x = heapq.heappop(heap)
+                        taken.setdefault(number, ([], []))
+                        taken[number][0].append(q)
+                        taken[number][1].append(x)
+                    else:
+                        break
+            if not taken:
+                return best
+            for number, (asking, x) in taken.items():
+                node, of, x = self.nodes[number], np.array(asking), np.array(x)
+                if node[0] == "page":
+                    self._page(node, of, x, limit[of], queries, own, best, floor, k)
+                    continue
+                _, pivots, radii, up, children = node
+                may = np.abs(x[:, None] - up) - radii <= limit[of][:, None]  # known without computing a distance
+                near = np.flatnonzero(may.any(0))
+                if not len(near):
+                    continue
+                d = apart(of, pivots[near])
+                low = np.maximum(d - radii[near], 0)
+                at, child = np.nonzero(may[:, near] & (low <= limit[of][:, None]))
+                for q, b, c, y in zip(of[at].tolist(), low[at, child].tolist(), children[near[child]].tolist(), d[at, child].tolist(), strict=True):
+                    heapq.heappush(todo[q], (b, c, y))
+
+    def _page(self, node: tuple, of: np.ndarray, far: np.ndarray, limit: np.ndarray, queries: np.ndarray, own: np.ndarray, best: list, floor: np.ndarray, k: int) -> None:
+        """The rows of a page that the triangle inequality leaves to any of the queries ``of`` that take it."""
+        _, rows, up = node
+        first, last = np.searchsorted(up, far - limit), np.searchsorted(up, far + limit + 1e-9)
+        rows = rows[first.min() : last.max()]
+        if not len(rows):
+            return
+        ids = self.ids[rows]
+        score = queries[of] @ self.exact[rows].T
+        score[ids[None, :] == own[of][:, None]] = -np.inf
+        least = floor[of]
+        if len(rows) > 4 * k:  # no more than the page's own best k of each query, with ties
+            crowd = np.flatnonzero((score >= least[:, None]).sum(1) > 4 * k)
+            if len(crowd):
+                least[crowd] = np.maximum(least[crowd], np.partition(score[crowd], len(rows) - k, axis=1)[:, len(rows) - k])
+        at, row = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        for q, s, i in zip(of[at].tolist(), score[at, row].tolist(), ids[row].tolist(), strict=True):
+            found = best[q]
+            (heapq.heappush if len(found) < k else heapq.heappushpop)(found, (int(s), -i))
+        for q in set(of[at].tolist()):
+            if len(best[q]) == k:
+                floor[q] = best[q][0][0]
 
 
 def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
@@ -178,7 +222,7 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, number, size, ids, vectors in _cut(batches, block):
-            cols = [pa.array([value], kind) for value, kind in ((part, pa.int64()), (number, pa.int64()), (size, pa.int64()), (len(ids), pa.int64()), (pickle.dumps((ids, vectors)), pa.binary()))]
+            cols = [pa.array([value], kind) for value, kind in ((part, pa.int64()), (number, pa.int64()), (size, pa.int64()), (len(ids), pa.int64()), (pickle.dumps((ids, _narrow(vectors))), pa.binary()))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["part", "number", "size", "n", "data"]
@@ -217,7 +261,7 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
                     best += [[] for _ in ids]
                 elif asking:
                     one = MTree.unpack(data.as_py())
-                    best = [one.search(own, v, b, k) for (_, own, v), b in zip(asking, best, strict=True)]
+                    best = one.search_all(np.array([own for _, own, _ in asking]), np.array([v for *_, v in asking]), best, k)
         yield found()
 
     out = both.mapInArrow(search, "uid long, query_id long, vec_id long, score long")
