@@ -141,3 +141,14 @@ def test_merged_partials_equal_metrics_over_all_rows(spark):
             assert got[k].n == w.n
             for c in ("rmse", "mae", "corr", "qlike"):
                 assert got[k][c] == (w[c] if w[c] is None else pytest.approx(w[c], rel=1e-8)), (k, c)
+
+
+def test_readiness_of_each_entity(spark):
+    from tidemark.operators.checks import readiness
+
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-02 05:00:00"), ("a", "2024-01-02 06:00:00"), ("b", "2024-01-02 00:00:01"), ("c", None), (None, "2024-01-01 10:00:00")]
+    df = spark.createDataFrame(rows, "symbol string, ts string").selectExpr("symbol", "cast(ts as timestamp_ntz) as ts")
+    start = F.lit("2024-01-02").cast("timestamp_ntz")
+    got = {r.symbol: (r.n_days, r.full_history, r.enough_days, r.first_ts is None) for r in readiness(df, ["symbol"], start, 2).collect()}
+    assert got == {"a": (2, True, True, False), "b": (1, False, False, False), "c": (0, False, False, True), None: (1, True, False, False)}
+    assert readiness(df.limit(0), ["symbol"], start, 2).collect() == []

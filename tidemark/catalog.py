@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog_sql import ORACLE_SQL
 from tidemark.functions.scalars import no_nulls, r6, r9
-from tidemark.functions.timeops import epoch_us, offset
+from tidemark.functions.timeops import as_ntz, epoch_us, offset
 from tidemark.operators import asof, checks, datasets, factors, importance, labels, metrics, neighbors, resample, shape, watch
 from tidemark.operators.factors import book_columns
 from tidemark.plans import boosting, carried, models, pipeline
@@ -420,6 +421,77 @@ def base_slice(spark, d):
     return tables.base_slice(e, e.where("symbol = 'click' and value > 20").select("ts", "symbol")).select("event_id", "symbol", "ts")
 
 
+def symbol_readiness(spark, d):
+    """Which users have a history from the third of the month on, and rows on eight days."""
+    return checks.readiness(events(spark, d, "user_id", "ts"), ["user_id"], at("2024-01-03"), 8)
+
+
+def typed_times(spark, d):
+    """Times out of whole nanoseconds, out of texts of which some are no times, and out of dates."""
+    text = F.when(F.col("event_type") == "click", "no time").otherwise(F.col("ts").cast("string"))
+    e = events(spark, d).select("event_id", (epoch_us("ts") * 1000 + 999).alias("from_ns"), text.alias("from_text"), F.to_date("ts").alias("from_date"))
+    for c in ("from_ns", "from_text", "from_date"):
+        e = as_ntz(e, c)
+    return e
+
+
+def stored_tails(spark, d):
+    """Blocks of six hours, stored by day; for each stored day until the tenth the last two blocks of the day before."""
+    root = tables.scratch_dir(spark)
+    tables.write_table(datasets.with_day(pipeline.blocks(events(spark, d), "6h")), root, "blocks")
+    days = tables.list_partitions(spark, root, "blocks", "2024-01-10")
+    rows = [(day, block) for day in days for block in tables.previous_day_tail(spark, root, str(day), 2)]
+    return spark.createDataFrame(rows, "date date, block_start timestamp_ntz")
+
+
+def feature_tables(spark, d):
+    """Features stored each by itself and joined again; of four asked for, one table is empty and one isn't there."""
+    e, root = events(spark, d), tables.scratch_dir(spark)
+    kept = {"value": e, "user_id": e, "event_type": e.limit(0)}
+    for name, rows in kept.items():
+        rows.select("event_id", "ts", name).write.parquet(f"{root}/{name}")
+    frames = tables.read_features(spark, {name: f"{root}/{name}" for name in [*kept, "props"]}, ["event_id", "ts"])
+    out = events(spark, d, "event_id", "ts").withColumn("n_features", F.lit(len(frames)))
+    for rows in frames.values():
+        out = out.join(rows, ["event_id", "ts"], "left")
+    return out
+
+
+def prediction_blocks(spark, d):
+    """Predictions and errors stored by block; two blocks are read, by their folders."""
+    root = tables.scratch_dir(spark)
+    made = metrics.with_errors(_forecast(spark, d)).withColumnRenamed("event_type", "block_name")
+    tables.write_table(made, root, "predictions")
+    return rounded(tables.read_table(spark, root, "predictions", ["event_id", "block_name", "y_true", "y_pred", "abs_error"], F.col("block_name").isin("click", "view")), "abs_error")
+
+
+def run_summary(spark, d):
+    """What a finished run leaves: overall metrics and mean importances as tables, and a summary in JSON."""
+    root, f = tables.scratch_dir(spark), _forecast(spark, d)
+    config = pipeline.Config([], [])
+    pipeline.freq_summary(spark, config, root, "6h", metrics.evaluate(f, PAIR), _importances(spark, d), metrics.evaluate(f, []))
+    said = tables.read_json(spark, f"{root}/meta/run_summary.json")
+    over = rounded(spark.read.parquet(f"{root}/overall").select("n", *METRICS[:3]), *METRICS[:3])
+    gains = rounded(spark.read.parquet(f"{root}/importance_mean"), "mean_gain").select("feature", "mean_gain")
+    return gains.join(F.broadcast(over)).withColumns({"freq": F.lit(said["freq"]), "n_windows": F.lit(said["n_windows"]).cast("long")})  # one row
+
+
+def prepared_block(spark, d):
+    """A block without rows that hold nulls, symbols as codes, features as 32-bit vectors and the label."""
+    block = datasets.raw_block(_features(spark, d)[0].withColumnRenamed("event_type", "symbol"), "value")
+    made = datasets.assembled(datasets.resolve_symbol_code(block), ["value_lag3h", "value_lag1d", "symbol_code"], "value").select("ts", "symbol", "label", vector_to_array("features").alias("x"))
+    return rounded(made.select("ts", "symbol", "label", *[F.col("x")[k].alias(n) for k, n in enumerate(("lag3h", "lag1d", "code"))]), "label", "lag3h", "lag1d")
+
+
+def report_frames(spark, d):
+    """The frames behind a report, one below the other: overall, by symbol, leading features."""
+    made = pipeline.report(_forecast(spark, d).withColumnRenamed("event_type", "symbol"), _importances(spark, d), 5)
+    cols, none = ["n", "rmse", "mae"], F.lit(None).cast("double")
+    parts = [made["overall"].select(F.lit("all").alias("item"), *cols, none.alias("mean_gain")), made["by_symbol"].select(F.col("symbol").alias("item"), *cols, none.alias("mean_gain"))]
+    parts.append(made["top_features"].select(F.col("feature").alias("item"), F.lit(None).cast("long").alias("n"), none.alias("rmse"), none.alias("mae"), "mean_gain"))
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "rmse", "mae", "mean_gain")
+
+
 def union_dedup(spark, d):
     e = events(spark, d)
     kept = e.where(F.col("event_type").isin(["click", "view"])).select("user_id", "event_type")
@@ -629,5 +701,6 @@ _ALL = [
     hash_sample, linear_baseline, gbt_rolling, boost_leafwise, boost_stumps, time_neighbors_manhattan, time_neighbors_chebyshev, time_neighbors_weighted, symbol_neighbors_manhattan, time_neighbors_mahalanobis, time_neighbors_correlation, time_neighbors_canberra,
     time_neighbors_trimmed, symbol_neighbors_chebyshev, symbol_neighbors_cosine, symbol_neighbors_weighted, importance_heatmap_split,
     volatility_grid, snapshot_files, table_sinks, npz_arrays, result_files, aligned_table, ready_block, ready_block_stored, stream_downsample, stream_trailing, stream_asof, carried_windows,
+    symbol_readiness, typed_times, stored_tails, feature_tables, prediction_blocks, run_summary, prepared_block, report_frames,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -362,3 +362,26 @@ WITH l AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'p
 r AS (SELECT user_id, ts AS matched_ts, arg_max(event_id, event_id) AS view_id, arg_max(value, event_id) AS view_value FROM events WHERE event_type = 'view' GROUP BY 1, 2),
 m AS (SELECT l.*, matched_ts, view_id, view_value, matched_ts >= ts - INTERVAL 5 DAY AS near FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.matched_ts)
 SELECT event_id, user_id, ts, value, CASE WHEN near THEN matched_ts END AS matched_ts, CASE WHEN near THEN view_id END AS view_id, CASE WHEN near THEN view_value END AS view_value FROM m"""
+ORACLE_SQL |= {
+    "symbol_readiness": """
+SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT ts::DATE) AS n_days, min(ts) <= TIMESTAMP '2024-01-03' AS full_history, count(DISTINCT ts::DATE) >= 8 AS enough_days FROM events GROUP BY 1""",
+    "typed_times": "SELECT event_id, ts AS from_ns, CASE WHEN event_type <> 'click' THEN ts END AS from_text, ts::DATE::TIMESTAMP AS from_date FROM events",
+    "stored_tails": """
+WITH b AS (SELECT DISTINCT ts::DATE AS date, make_timestamp(CAST(o + ((epoch_us(ts) - o) // 21600000000) * 21600000000 AS BIGINT)) AS block_start FROM (SELECT ts, min(epoch_us(ts)) OVER () AS o FROM events)),
+r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY block_start DESC) AS k FROM b)
+SELECT d.date, r.block_start FROM (SELECT DISTINCT date FROM b WHERE date <= DATE '2024-01-10') d JOIN r ON r.date = d.date - 1 AND k <= 2""",
+    "feature_tables": "SELECT event_id, ts, 2 AS n_features, value, user_id FROM events",
+    "prediction_blocks": f"SELECT event_id, event_type AS block_name, y_true, y_pred, {r6('abs(y_pred - y_true)')} AS abs_error FROM ({FORECAST}) WHERE event_type IN ('click', 'view')",
+    "run_summary": f"""
+WITH f AS (SELECT * FROM ({FORECAST}) WHERE y_pred IS NOT NULL), o AS (SELECT {SCORES} FROM f), i AS (SELECT feature, {r6("avg(gain)")} AS mean_gain FROM ({IMPORTANCES}) GROUP BY 1)
+SELECT feature, mean_gain, n, rmse, mae, corr, '6h' AS freq, (SELECT count(DISTINCT event_type) FROM f) AS n_windows FROM i CROSS JOIN o""",
+    "prepared_block": f"""
+WITH {dense("3h")}, l AS (SELECT event_type AS symbol, ts, value, lag(value, 1) OVER w AS a, lag(value, 2) OVER w AS b, lag(value, 8) OVER w AS c FROM dense WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+k AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS code FROM (SELECT DISTINCT symbol FROM l WHERE value + a + b + c IS NOT NULL))
+SELECT ts, symbol, {r6("CAST(value AS FLOAT)::DOUBLE")} AS label, {r6("CAST(a AS FLOAT)::DOUBLE")} AS lag3h, {r6("CAST(c AS FLOAT)::DOUBLE")} AS lag1d, CAST(code AS DOUBLE) AS code
+FROM l JOIN k USING (symbol) WHERE value + a + b + c IS NOT NULL""",
+    "report_frames": f"""
+WITH f AS (SELECT * FROM ({FORECAST}) WHERE y_pred IS NOT NULL), s AS (SELECT 'all' AS item, {SCORES} FROM f UNION ALL SELECT event_type, {SCORES} FROM f GROUP BY 1)
+SELECT item, n, rmse, mae, NULL::DOUBLE AS mean_gain FROM s
+UNION ALL SELECT * FROM (SELECT feature, NULL, NULL, NULL, {r6("avg(gain)")} FROM ({IMPORTANCES}) GROUP BY 1 ORDER BY avg(gain) DESC, feature LIMIT 5)""",
+}

@@ -103,6 +103,16 @@ def require_history(df: DataFrame, start: Column, ts: str = "ts") -> None:
         raise ValueError("history doesn't reach back to the start of the window")
 
 
+def readiness(df: DataFrame, by: list[str], start: Column, least: int, ts: str = "ts") -> DataFrame:
+    """Per entity, in one aggregate: first_ts, last_ts, n_days (with rows), full_history (rows at or before ``start``), enough_days (``least``).
+
+    For runs that leave out what ``require_history`` and ``require_days`` would raise on. Null times count for nothing; an entity
+    without any has null times, no days and neither history nor days enough.
+    """
+    made = df.groupBy(*by).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.countDistinct(F.to_date(ts)).alias("n_days"))
+    return made.withColumns({"full_history": F.coalesce(F.col("first_ts") <= start, F.lit(False)), "enough_days": F.col("n_days") >= least})
+
+
 def require_days(df: DataFrame, least: int, day: str = "date") -> list:
     """Sorted distinct days, ``least`` at least (days are few; they come to the driver)."""
     days = sorted(r[0] for r in df.select(day).distinct().collect())

@@ -44,8 +44,10 @@ def table_path(root: str, kind: str, freq: str | None = None) -> str:
 
 
 def read_table(spark: SparkSession, root: str, kind: str, columns: list[str] | None = None, where: Column | None = None, freq: str | None = None) -> DataFrame:
-    """A stored table; filters on partition columns prune directories, others reach the scan."""
+    """A stored table; filters on partition columns prune directories, others reach the scan. Block starts are TIMESTAMP_NTZ again, whatever folder names look like."""
     df = spark.read.parquet(table_path(root, kind, freq))
+    if "block_start" in LAYOUT[kind]:
+        df = df.withColumn("block_start", F.col("block_start").cast("timestamp_ntz"))
     df = df if where is None else df.where(where)
     return df.select(*columns) if columns else df
 
