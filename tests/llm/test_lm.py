@@ -1,4 +1,5 @@
 import math
+import re
 import random
 import zlib
 from collections import Counter
@@ -126,3 +127,52 @@ def test_long_texts_are_cut_at_spaces(monkeypatch):
 
 def test_empty_table(spark):
     assert lm_scores(spark.createDataFrame([], "doc_id long, text string, h long")).collect() == []
+
+
+def plain_scores(texts):
+    """log10 of each token's probability by the model's definition, from counts in dictionaries and with no filter."""
+    end, lines = None, [[None, None, *re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for t in texts]
+    counts = [Counter(), Counter(), Counter()]
+    for line in lines:
+        for k in range(2, len(line)):
+            for kind in range(3):
+                counts[kind][tuple(line[k - kind : k + 1])] += 1
+    rank = lambda c: math.floor(math.log(c) / math.log(lm.STEP) + 1e-9) + 1 if c else 0
+    at_level = [{}, {}, {}]
+    for kind, found in enumerate(counts):
+        for c in found.values():
+            at_level[kind].setdefault(rank(c), []).append(c)
+    rough = lambda kind, gram: sum(x := at_level[kind][rank(counts[kind][gram])]) / len(x) if counts[kind][gram] >= lm.LEAST[kind] else 0
+    rests = [{}, {}]
+    for kind, least in ((1, lm.LEAST[1]), (2, lm.LEAST[2])):
+        taken, total = Counter(), Counter()
+        for gram, c in counts[kind].items():
+            total[gram[:-1]] += c
+            taken[gram[:-1]] += c - lm.DISCOUNT if c >= least else 0
+        for context, n in total.items():
+            rests[kind - 1][context] = lm.SHARE ** round(math.log(max(1 - taken[context] / n, 0.02)) / math.log(lm.SHARE))
+    mass, out = sum(counts[0].values()) + len(counts[0]) + 1, []
+    for line in lines:
+        for k in range(2, len(line)):
+            a, b, c = line[k - 2 : k + 1]
+            p = (counts[0][c,] + 1) / mass
+            twice = len(texts) if b is end else rough(1, (a, b))
+            triple = rough(2, (a, b, c)) if rank(counts[1][b, c]) >= lm.LEAST[2] and twice >= lm.LEAST[2] else 0
+            for own, often, rest in ((rough(1, (b, c)), counts[0][b,], rests[0][b,]), (triple, twice, rests[1][a, b])):
+                p = min(max(own - lm.DISCOUNT, 0) / max(often, 1), 1 - rest) + rest * p if often else p
+            out.append(math.log10(min(p, 1)))
+    return np.array(out)
+
+
+def test_scores_against_plain_counts(spark):
+    """Token by token; the filter's false positives (about one in a hundred a probe) are all that may differ."""
+    texts = corpus()
+    model, _ = lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("text"))
+    tokens = np.concatenate([t for t, _ in groups(texts)])
+    wanted = lm.Wanted(tokens, lm.START)
+    got, exact = wanted.scores(model, lm.probed(model.filter, wanted.keys, model.bits))
+    want = plain_scores(texts)
+    assert len(got) == len(want) and (exact > 0).all()
+    differ = np.abs(got - want)
+    assert (differ < 1e-9).mean() > 0.85, (differ < 1e-9).mean()
+    assert differ.mean() < 0.02, differ.mean()
