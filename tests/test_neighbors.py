@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -147,3 +148,25 @@ def test_any_callable_over_neighbours(spark):
         x, y = (sorted(f.collect(), key=lambda r: (r.ts, r.symbol)) for f in (a, b))
         for r, w in zip(x, y):
             assert tuple(r)[:2] == tuple(w)[:2] and tuple(r)[2:] == pytest.approx(tuple(w)[2:])
+
+
+def test_nearest_by_products_are_those_by_differences_in_a_fraction_of_the_time():
+    rng = np.random.default_rng(5)
+    for shift, scale in ((0, 1), (1e6, 1e-3), (-3, 1e60)):
+        t, q = (shift + scale * rng.standard_normal((n, 8)) for n in (3000, 40))
+        t[1000:1400] = t[7]  # copies: ties
+        q[:3] = t[5:8]
+        keys = rng.permutation(len(t))
+        d = neighbors._distances(q, t, 2)
+        want = [sorted((d[i, j], keys[j]) for j in range(len(t)))[:6] for i in range(len(q))]
+        i, j, far = neighbors._best(q, t, keys, 6, 2)
+        assert [list(zip(far[i == k], keys[j[i == k]], strict=True)) for k in range(len(q))] == want
+        most = np.array([w[2][0] for w in want])  # a bound that was met before
+        i, j, far = neighbors._best(q, t, keys, 6, 2, most)
+        assert [list(zip(far[i == k], keys[j[i == k]], strict=True)) for k in range(len(q))] == [[x for x in w if x[0] <= m] for w, m in zip(want, most, strict=True)]
+    t, q = rng.standard_normal((20_000, 64)), rng.standard_normal((400, 64))
+    at = time.process_time()
+    neighbors._best(q, t, np.arange(len(t)), 6, 2)
+    quick, at = time.process_time() - at, time.process_time()
+    np.argsort(neighbors._distances(q, t, 2), axis=1, kind="stable")
+    assert quick < (time.process_time() - at) / 3

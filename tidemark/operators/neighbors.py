@@ -40,18 +40,64 @@ def _distances(q: np.ndarray, t: np.ndarray, p: float | str) -> np.ndarray:
     return out
 
 
-def _best(q: np.ndarray, t: np.ndarray, keys: np.ndarray, n: int, p: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``t`` and distances of each query's ``n`` nearest, ties to the smaller key."""
+def _pairs(q: np.ndarray, t: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (i, j), summed coordinate by coordinate as in ``_distances``."""
+    out = np.zeros(len(i))
+    for k in range(q.shape[1]):
+        d = q[i, k] - t[j, k]
+        out += d * d
+    return out
+
+
+def _ranked(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's ``n`` nearest of the pairs (i, j), ties to the smaller j."""
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < n], j[place < n], d[place < n]
+
+
+def _best(q: np.ndarray, t: np.ndarray, keys: np.ndarray, n: int, p: float | str, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place in ``t``, distance) of each query's ``n`` nearest that are no farther than ``most``, ties to the smaller key.
+
+    Squared Euclidean distances come from one matrix product about the centre of ``t``; pairs that its rounding error can't
+    exclude are computed again coordinate by coordinate, and only these distances are compared and given.
+    """
     order = np.argsort(keys, kind="stable")
     t = t[order]
     n = min(n, len(t))
-    at, far = np.empty((len(q), n), np.int64), np.empty((len(q), n))
-    rows = max(1, HELD // max(1, len(t)))
+    most = np.full(len(q), np.inf) if most is None else most
+    size = max(np.abs(q).max(initial=0), np.abs(t).max(initial=0))
+    rows, found = max(1, HELD // max(1, len(t))), []
+    quick = p == 2 and 1e-100 < size < 1e100
+    if quick:
+        centre = t.mean(0)
+        about, far = q - centre, t - centre
+        q_norm, t_norm = (about * about).sum(1), (far * far).sum(1)
+        off = 4 * (q.shape[1] + 8) * np.finfo(float).eps * (np.sqrt(q_norm) + np.sqrt(t_norm.max())) ** 2 + 1e-250  # more than rounding can do
+        about, far = np.hstack([-2 * about, np.ones((len(q), 1))]), np.hstack([far, t_norm[:, None]]).T.copy()
     for a in range(0, len(q), rows):
-        d = _distances(q[a : a + rows], t, p)
-        best = np.argsort(d, axis=1, kind="stable")[:, :n]
-        at[a : a + rows], far[a : a + rows] = order[best], np.take_along_axis(d, best, 1)
-    return at, far
+        own, limit = q[a : a + rows], most[a : a + rows].copy()
+        if quick:
+            d = about[a : a + rows] @ far  # less the query's own norm, which is the same in a row
+            norm, slack = q_norm[a : a + rows], off[a : a + rows]
+            limit += slack - norm
+            free = np.flatnonzero(np.isinf(limit))
+            if len(free):
+                limit[free] = np.partition(d[free], n - 1, axis=1)[:, n - 1] + 2 * slack[free]
+            i, j = np.divmod(np.flatnonzero(d <= limit[:, None]), len(t))
+            i, j, d = _ranked(i, j, _pairs(own, t, i, j), n)
+        else:
+            d = _distances(own, t, p)
+            if np.isfinite(size):
+                i, j = np.divmod(np.flatnonzero(d <= np.partition(d, n - 1, axis=1)[:, n - 1 : n]), len(t))
+                i, j, d = _ranked(i, j, d[i, j], n)
+            else:
+                j = np.argsort(d, axis=1, kind="stable")[:, :n]
+                i, d, j = np.repeat(np.arange(len(own)), n), np.take_along_axis(d, j, 1).ravel(), j.ravel()
+        near = ~(d > most[a : a + rows][i])
+        found.append((a + i[near], order[j[near]], d[near]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 #: Metrics with sums of their own; the last keeps no triangle inequality, so that all cells are met.
@@ -164,7 +210,7 @@ def nearest(query: DataFrame, train: DataFrame, n: int, p: float | str = 2, key:
     of up to ``PIVOTS`` pivots (train rows taken by hash, which every task knows), large cells in several
     chunks; no task holds more than about ``cell`` rows of either side. A query first meets one chunk of
     its own cell, which bounds its n-th distance, then only cells whose radius reaches into that bound
-    (triangle inequality). ``distance`` has no root taken. Rows with a null key, vector or component take
+    (triangle inequality), and there only what is within it is given out. ``distance`` has no root taken. Rows with a null key, vector or component take
     no part. ``train`` and its cells are written once to the scratch folder, so nothing is kept in memory behind the search.
     """
     sound = F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
@@ -205,8 +251,8 @@ def nearest(query: DataFrame, train: DataFrame, n: int, p: float | str = 2, key:
     def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
             return pd.DataFrame({"_q": q["_q"][:0], "_t": t["_t"][:0], "_d": np.zeros(0)})
-        at, far = _best(np.stack(q["_x"]), np.stack(t["_x"]), t["_t"].to_numpy(), most, p)
-        return pd.DataFrame({"_q": np.repeat(q["_q"].to_numpy(), at.shape[1]), "_t": t["_t"].to_numpy()[at.ravel()], "_d": far.ravel()})
+        own, at, far = _best(np.stack(q["_x"]), np.stack(t["_x"]), t["_t"].to_numpy(), most, p, q["_most"].to_numpy())
+        return pd.DataFrame({"_q": q["_q"].to_numpy()[own], "_t": t["_t"].to_numpy()[at], "_d": far})
 
     def met(q: DataFrame) -> DataFrame:
         """Queries and train rows of the same chunk; a crowd of queries comes in parts, each with the chunk's rows."""
@@ -220,7 +266,7 @@ def nearest(query: DataFrame, train: DataFrame, n: int, p: float | str = 2, key:
     def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in pieces(parts):
             own = np.where(there, lengths(rows["_x"]), np.inf).argmin(1)
-            yield rows.assign(_cell=own.astype(np.int32), _chunk=np.int32(0))
+            yield rows.assign(_cell=own.astype(np.int32), _chunk=np.int32(0), _most=np.inf)
 
     def within(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row for each chunk of each cell that may hold one of the query's nearest."""
@@ -229,15 +275,16 @@ def nearest(query: DataFrame, train: DataFrame, n: int, p: float | str = 2, key:
             i, c = np.nonzero(there & (lengths(rows["_x"]) - radius <= reach[:, None] * (1 + 1e-9) + 1e-12))
             many = chunks[c]
             number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            yield rows.iloc[np.repeat(i, many)][["_q", "_x"]].assign(_cell=np.repeat(c, many).astype(np.int32), _chunk=number.astype(np.int32))
+            own = rows.iloc[np.repeat(i, many)]
+            yield own[["_q", "_x"]].assign(_cell=np.repeat(c, many).astype(np.int32), _chunk=number.astype(np.int32), _most=own["_d"].fillna(np.inf))
 
-    schema = f"_q {q_kind}, _x array<double>, _cell int, _chunk int"
+    schema = f"_q {q_kind}, _x array<double>, _cell int, _chunk int, _most double"
     if len(pivots) > 1 or chunks.sum() > 1:
         bound = met(query.mapInPandas(first, schema)).groupBy("_q").agg(F.max("_d").alias("_d"), F.count("*").alias("_n")).where(F.col("_n") >= most)
         root = F.pow("_d", F.lit(1 / p)) if _rooted(p) else F.col("_d")
-        query = query.join(bound.select("_q", root.alias("_r")), "_q", "left").mapInPandas(within, schema)
+        query = query.join(bound.select("_q", "_d", root.alias("_r")), "_q", "left").mapInPandas(within, schema)
     else:
-        query = query.withColumns({"_cell": F.lit(0), "_chunk": F.lit(0)})
+        query = query.withColumns({"_cell": F.lit(0), "_chunk": F.lit(0), "_most": F.lit(float("inf"))})
     found = met(query)
     if exclude_self:
         found = found.where("_q <> _t")
