@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemark.llm import mixing
 from tidemark.llm.mixing import TARGETS, Buckets, fit_topics, margins, mix, mixture, rake, word_counts
 
 
@@ -92,3 +93,38 @@ def test_empty_table_and_missing_columns(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert mix(none).collect() == [] and mixture(none).collect() == []
     assert mix(spark.createDataFrame([(1, "some words here")], "doc_id long, text string")).count() == 1
+
+
+def test_topics_are_fitted_on_every_row(spark, monkeypatch):
+    """Subjects and rarities come from all rows, however many and however they are dealt; the table is read whole."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices([f"common{k}" for k in range(20)], k=20)), "en", "src1") for i in range(6000)]
+    rows += [(6000 + i, " ".join(rng.choices([f"rare{k}" for k in range(10)], k=20)), "en", "src1") for i in range(30)]
+    docs, fitted = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), []
+    monkeypatch.setattr(mixing, "fit_topics", lambda *a, real=mixing.fit_topics: fitted.append(real(*a)) or fitted[-1])
+    got = [sorted((r.doc_id, r.topic) for r in mix(d).collect()) for d in (docs, docs.repartition(9))]
+    assert got[0] == got[1] and np.array_equal(fitted[0].centres, fitted[1].centres)
+    memo = Buckets()
+    counted = [word_counts(t.split(), memo) for _, t, _, _ in rows]
+    seen = np.bincount(np.concatenate([at for at, _ in counted]), minlength=mixing.BUCKETS)
+    assert np.allclose(fitted[0].rarity, np.log((1 + len(rows)) / (1 + seen)))
+
+
+def test_rounds_give_the_centres_of_plain_sums(monkeypatch):
+    """One round against a plain version over dense vectors."""
+    rng, memo = random.Random(9), Buckets()
+    rows = [(rng.choice("xy"), *word_counts(rng.choices([f"w{k}" for k in range(60)], k=12), memo)) for _ in range(300)]
+    monkeypatch.setattr(mixing, "HELD", -1)  # no early end
+    a, b = fit_topics(rows, k=3, rounds=4), fit_topics(rows, k=3, rounds=5)
+    x = np.zeros((len(rows), mixing.BUCKETS))
+    for i, (_, at, n) in enumerate(rows):
+        x[i, at] = np.log1p(n)
+    x *= a.rarity
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    langs = np.array([r[0] for r in rows])
+    for name in "xy":
+        x[langs == name] -= x[langs == name].mean(0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ a.centres).argmax(1)
+    want = np.array([x[near == j].sum(0) for j in range(3)])
+    assert np.allclose(b.centres.T, want / np.linalg.norm(want, axis=1, keepdims=True), atol=1e-4)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import stage
 
@@ -28,8 +29,14 @@ ROUNDS, TOLERANCE = 200, 1e-6
 SEED = 20_240
 
 WORD = re.compile(r"\w+")
-#: Rows that the topic model is fitted on, at most, and hashed words that it knows.
-SAMPLE, BUCKETS = 4_000, 4_096
+#: Hashed words that the topic model knows, and rows that are measured or placed at once.
+BUCKETS, ROWS = 4_096, 2_000
+#: Sums over all rows are of whole numbers, so many to 1: they don't depend on how rows are dealt to tasks.
+WHOLE = 1 << 20
+#: Rounds end when the sum of all texts' closeness to their centre grows by no more than this share.
+HELD = 5e-4
+#: A text nearer to its language's mean than this has no direction of its own.
+NEAR = 1e-3
 #: Words whose bucket a worker remembers before it starts anew.
 MEMO_WORDS = 400_000
 
@@ -52,6 +59,47 @@ def word_counts(words: list[str], memo: Buckets) -> tuple[np.ndarray, np.ndarray
     return at, hashed[at]
 
 
+@dataclass
+class Block:
+    """Texts with words: hash of the name and number of the language of each, and the buckets and counts of all, one text after the other.
+
+    Once they are ``moved``, ``n`` are no counts but the parts of a vector, of which ``over`` times the language's mean is still to be taken.
+    """
+
+    hashes: np.ndarray
+    langs: np.ndarray
+    over: np.ndarray
+    sizes: np.ndarray
+    at: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, langs: np.ndarray, over: np.ndarray, sizes: np.ndarray, at: np.ndarray, n: np.ndarray) -> Block:
+        some = sizes > 0
+        return cls(hashes[some], langs[some], over[some], sizes[some], at, n)
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    def text(self, i: int) -> tuple[int, float, tuple, tuple]:
+        part = slice(self.starts[i], self.starts[i] + self.sizes[i])
+        return int(self.langs[i]), float(self.over[i]), tuple(self.at[part].tolist()), tuple(self.n[part].tolist())
+
+    def units(self, rarity: np.ndarray) -> np.ndarray:
+        """Log counts by rarity, each text of length 1."""
+        weight = np.log1p(self.n) * rarity[self.at]
+        return weight / np.repeat(np.sqrt(np.add.reduceat(weight**2, self.starts)) + 1e-12, self.sizes)
+
+    def moved(self, rarity: np.ndarray, means: np.ndarray) -> Block:
+        """The texts less their language's means, at length 1 (0: no direction)."""
+        units, own = self.units(rarity), np.repeat(self.langs, self.sizes)
+        apart = np.add.reduceat(units * (units - 2 * means[own, self.at]), self.starts) + (means**2).sum(1)[self.langs]
+        apart = np.sqrt(np.maximum(apart, 0))
+        over = np.where(apart > NEAR, 1 / np.maximum(apart, NEAR), 0)
+        return Block(self.hashes, self.langs, over, self.sizes, self.at, (units * np.repeat(over, self.sizes)).astype(np.float32))
+
+
 @dataclass
 class Topics:
     """Spherical k-means over hashed words. ``rest``: what a language's mean alone has with each centre, which is taken off."""
@@ -62,51 +110,211 @@ class Topics:
 
     def of(self, texts: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> list[str]:
         """The nearest centre of each text; texts without words are "other"."""
-        sizes = np.array([len(at) for at, _ in texts])
-        names = np.full(len(texts), "other", object)
+        sizes = np.array([len(at) for at, _ in texts], np.int64)
         if not sizes.sum():
-            return names.tolist()
-        at, n = (np.concatenate(x) for x in zip(*texts, strict=True))
-        weight = np.log1p(n) * self.rarity[at]
+            return ["other"] * len(texts)
+        return self.named(sizes, *(np.concatenate(x) for x in zip(*texts, strict=True)), langs)
+
+    def named(self, sizes: np.ndarray, at: np.ndarray, n: np.ndarray, langs: list[str]) -> list[str]:
+        names = np.full(len(sizes), "other", object)
         some = np.flatnonzero(sizes)
-        starts = (np.cumsum(sizes) - sizes)[some]
-        scores = np.add.reduceat(self.centres[at] * weight[:, None], starts)
-        scores /= np.sqrt(np.add.reduceat(weight**2, starts))[:, None] + 1e-12
-        none = np.zeros(self.centres.shape[1])
-        best = (scores - np.array([self.rest.get(langs[i], none) for i in some])).argmax(1)
-        names[some] = [f"t{k}" for k in best]
+        if len(some):
+            block = Block.of(some, some, some, sizes[some], at.astype(np.int64), n)
+            none = np.zeros(self.centres.shape[1])
+            best = (_products(block, block.units(self.rarity), self.centres.T) - np.array([self.rest.get(langs[i], none) for i in some])).argmax(1)
+            names[some] = [f"t{k}" for k in best]
         return names.tolist()
 
 
-def fit_topics(rows: list[tuple[str, list[int], list[int]]], k: int = TOPICS, rounds: int = 25, seed: int = SEED) -> Topics:
-    """Topics of (language, buckets, counts) rows.
+def _products(block: Block, values: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Inner products of each text with each centre (a row each)."""
+    return np.stack([np.add.reduceat(np.ascontiguousarray(c)[block.at] * values, block.starts) for c in centres], 1)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * WHOLE)
+
+
+@dataclass
+class Rows:
+    """(language, buckets, counts) rows in memory, as a table of counted texts is to ``Counted``."""
+
+    block: Block
+    langs: list[str]
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, list[int], list[int]]]) -> Rows:
+        langs = sorted({str(lang) for lang, _, _ in rows})
+        at, n = (np.concatenate([np.asarray(r[k], np.int64) for r in rows] or [np.zeros(0, np.int64)]) for k in (1, 2))
+        number = np.arange(len(rows))
+        return cls(Block.of(number, np.array([langs.index(str(r[0])) for r in rows], np.int64), number, np.array([len(r[1]) for r in rows], np.int64), at, n), langs)
+
+    def sums(self, width: int, work) -> np.ndarray:
+        return work(self.block).astype(np.int64) if len(self.block.sizes) else np.zeros(width, np.int64)
+
+    def first(self, key) -> tuple:
+        return _first(self.block, key)
+
+    def moved(self, rarity: np.ndarray, means: np.ndarray) -> Rows:
+        return Rows(self.block.moved(rarity, means), self.langs)
+
+
+def _first(block: Block, key) -> tuple:
+    """(key, hash, language, over, buckets, parts) of the text with the greatest key."""
+    keys = key(block)
+    return max((float(keys[i]), int(block.hashes[i]), *block.text(i)) for i in np.flatnonzero(keys == keys.max()))
+
+
+def packed(at: np.ndarray, n: np.ndarray) -> bytes:
+    """A text's buckets and counts, or parts, eight bytes each."""
+    n = n.view("<u4") if n.dtype == np.float32 else n
+    return (at.astype("<u8") << 48 | n.astype("<u8")).tobytes()
+
+
+def unpacked(column: pa.Array, parts: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the texts of a column, and the buckets and counts of all."""
+    texts = [x or b"" for x in column.to_pylist()]
+    flat = np.frombuffer(b"".join(texts), "<u8")
+    n = flat.astype("<u4").view("<f4") if parts else (flat & np.uint64((1 << 48) - 1)).astype(np.float64)
+    return np.array([len(x) // 8 for x in texts], np.int64), (flat >> np.uint64(48)).astype(np.int64), n
+
+
+@dataclass
+class Counted:
+    """All rows (h, lang, over, counts) of a stored table: every pass reads it whole, task by task; only sums of fixed size leave a task."""
+
+    table: DataFrame
+    langs: list[str]
+    parts: bool = False
+
+    @classmethod
+    def of(cls, rows: DataFrame) -> Counted:
+        langs = sorted(r.lang for r in rows.select("lang").distinct().collect())  # as the targets have, and "other"
+        return cls(rows.select("h", "lang", F.lit(0.0).alias("over"), "counts"), langs)
+
+    def _over(self, work, schema: str) -> DataFrame:
+        """Record batches that ``work`` makes of a task's blocks."""
+        langs, parts = self.langs, self.parts
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+            for whole in batches:
+                for a in range(0, whole.num_rows, ROWS):
+                    part = whole.slice(a, ROWS)
+                    numbers = np.array([langs.index(x) for x in part.column(1).to_pylist()], np.int64)
+                    block = Block.of(part.column(0).to_numpy(), numbers, part.column(2).to_numpy(), *unpacked(part.column(3), parts))
+                    if len(block.sizes):
+                        yield block
+
+        return self.table.mapInArrow(lambda batches: work(blocks(batches)), schema)
+
+    def sums(self, width: int, work) -> np.ndarray:
+        """Whole-number sums of ``work`` over all blocks."""
+
+        def apply(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width, np.int64)
+            for block in blocks:
+                total += work(block).astype(np.int64)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["place", "value"])
+
+        got = self._over(apply, "place long, value long").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+        out = np.zeros(width, np.int64)
+        out[got.column("place").to_numpy()] = got.column("value").to_numpy()
+        return out
+
+    def first(self, key) -> tuple:
+        """The text with the greatest key of all."""
+        kinds = {"key": pa.float64(), "h": pa.int64(), "lang": pa.int64(), "over": pa.float64(), "at": pa.list_(pa.int64()), "n": pa.list_(pa.float64())}
+
+        def apply(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+            best = max((_first(block, key) for block in blocks), default=None)
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(best, kinds.values(), strict=True)], list(kinds))
+
+        rows = self._over(apply, "key double, h long, lang long, over double, at array<long>, n array<double>")
+        return tuple(rows.agg(F.max(F.struct(*kinds)).alias("x")).first().x)
+
+    def moved(self, rarity: np.ndarray, means: np.ndarray) -> Counted:
+        """The texts' vectors, stored once for all rounds."""
+        langs = self.langs
+
+        def apply(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+            for block in blocks:
+                made = block.moved(rarity, means)
+                cuts = np.cumsum(made.sizes)[:-1]
+                vectors = [packed(at, n) for at, n in zip(np.split(made.at, cuts), np.split(made.n, cuts), strict=True)]
+                cols = [pa.array(made.hashes, pa.int64()), pa.array([langs[x] for x in made.langs], pa.string()), pa.array(made.over, pa.float64()), pa.array(vectors, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["h", "lang", "over", "counts"])
+
+        return Counted(stage(self._over(apply, "h long, lang string, over double, counts binary")), langs, True)
+
+
+def _drawn(hashes: np.ndarray, turn: int, seed: int) -> np.ndarray:
+    """A number in (0, 1) for each hash and turn."""
+    x = hashes.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (turn + 1 + seed)) % (1 << 64))
+    for by, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(by))) * np.uint64(times)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 2.0**-54
+
+
+def fit_topics(rows: list[tuple[str, list[int], list[int]]] | DataFrame, k: int = TOPICS, rounds: int = 25, seed: int = SEED) -> Topics:
+    """Topics of (language, buckets, counts) rows, or of all rows of a stored table (h, lang, counts).
 
     Texts are vectors of log counts by rarity, of length 1, less the mean of their language: so the
-    clusters tell subjects apart and not languages, which are a margin of their own.
+    clusters tell subjects apart and not languages, which are a margin of their own. Rarities, means and
+    the centres of every round are sums over all texts that have words; far texts, drawn by hash, make the first
+    centres. Rounds end early when the texts come no closer (``HELD``).
     """
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, (_, at, n) in enumerate(rows):
-        x[i, at] = np.log1p(n)
-    rarity = np.log((1 + len(rows)) / (1 + (x > 0).sum(0)))
-    x *= rarity
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    langs = np.array([lang for lang, _, _ in rows])
-    means = {str(name): x[langs == name].mean(0) for name in np.unique(langs)}
-    for name, mean in means.items():
-        x[langs == name] -= mean
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rng = np.random.default_rng(seed)
-    centres = x[[int(rng.integers(len(x)))]] if len(x) else np.zeros((1, BUCKETS), np.float32)
-    while len(centres) < k and len(x):  # far texts make the first centres
-        far = np.maximum(1 - (x @ centres.T).max(1), 0) ** 2 + 1e-9
-        centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum())]])
+    rows = (Counted if isinstance(rows, DataFrame) else Rows).of(rows)
+    many = len(rows.langs)
+
+    def seen(block: Block) -> np.ndarray:
+        return np.append(np.bincount(block.at, minlength=BUCKETS), len(block.sizes))
+
+    count = rows.sums(BUCKETS + 1, seen)
+    rarity = np.log((1 + count[-1]) / (1 + count[:-1]))
+    if not count[-1]:
+        return Topics(rarity, np.zeros((BUCKETS, 1)), {})
+
+    def of_langs(block: Block) -> np.ndarray:
+        own = np.repeat(block.langs, block.sizes)
+        return np.append(np.bincount(own * BUCKETS + block.at, _whole(block.units(rarity)), many * BUCKETS), np.bincount(block.langs, minlength=many))
+
+    total = rows.sums(many * BUCKETS + many, of_langs)
+    means = total[: many * BUCKETS].reshape(many, BUCKETS) / np.maximum(total[many * BUCKETS :], 1)[:, None] / WHOLE
+    moved = rows.moved(rarity, means)
+
+    def near(block: Block, centres: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        return _products(block, block.n, centres) - block.over[:, None] * rest[block.langs]
+
+    centres = np.zeros((0, BUCKETS))
+    for turn in range(k):
+
+        def key(block: Block, turn: int = turn, centres: np.ndarray = centres.astype(np.float32), rest: np.ndarray = means @ centres.T) -> np.ndarray:
+            far = np.maximum(1 - near(block, centres, rest).max(1), 0) ** 2 + 1e-9 if len(centres) else 1.0
+            return np.log(_drawn(block.hashes, turn, seed)) / far
+
+        _, _, lang, over, at, n = moved.first(key)
+        centre = -over * means[lang]
+        centre[list(at)] += n
+        centres = np.vstack([centres, centre])
+    met = None
     for _ in range(rounds):
-        near = (x @ centres.T).argmax(1) if len(x) else np.zeros(0, int)
-        for j in range(len(centres)):
-            if (near == j).any():
-                mean = x[near == j].sum(0)
-                centres[j] = mean / max(float(np.linalg.norm(mean)), 1e-12)
-    return Topics(rarity, centres.T.copy(), {name: centres @ mean for name, mean in means.items()})
+
+        def by_centre(block: Block, centres: np.ndarray = centres.astype(np.float32), rest: np.ndarray = means @ centres.T) -> np.ndarray:
+            close = near(block, centres, rest)
+            own = close.argmax(1)
+            sums = np.bincount(np.repeat(own, block.sizes) * BUCKETS + block.at, _whole(block.n), k * BUCKETS)
+            return np.concatenate([sums, np.bincount(own * many + block.langs, _whole(block.over), k * many), np.bincount(own, minlength=k), [_whole(close.max(1)).sum()]])
+
+        total = moved.sums(k * BUCKETS + k * many + k + 1, by_centre)
+        sums = total[: k * BUCKETS].reshape(k, BUCKETS) - total[k * BUCKETS : k * (BUCKETS + many)].reshape(k, many) @ means
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where((total[-k - 1 : -1] > 0)[:, None], sums / np.maximum(size, 1), centres)
+        if met is not None and total[-1] - met <= HELD * abs(met):
+            break
+        met = total[-1]
+    return Topics(rarity, centres.T.copy(), {name: centres @ mean for name, mean in zip(rows.langs, means, strict=True)})
 
 
 def rake(tokens: np.ndarray, cells: list[tuple], targets: dict, fraction: float = FRACTION) -> np.ndarray:
@@ -144,7 +352,7 @@ def mix(docs: DataFrame, targets: dict | None = None, fraction: float = FRACTION
     """Per row: id, source, lang, topic, n_tokens, weight, prob, draw, selected.
 
     ``n_tokens`` counts words, or is the column ``tokens_col`` (what ``token_counts`` found, say; null: 0).
-    Topics are clusters of hashed words, fitted on ``SAMPLE`` rows at most. Token weights are raked to the source, language and topic shares of
+    Topics are clusters of hashed words, fitted on all rows. Token weights are raked to the source, language and topic shares of
     ``targets``; ``prob`` is the cell's calibrated probability, ``weight`` its inverse, ``draw`` a
     hash of the id in [0, 1), and a row is ``selected`` if draw < prob: the same rows at every run,
     each on its own. Values that the targets don't name, and nulls, fall under "other"; so there are
@@ -181,39 +389,20 @@ def mixture(docs: DataFrame, targets: dict | None = None, fraction: float = FRAC
     return rows.where(F.col("draw") < F.col("prob")).select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
-def _sampled(rows: DataFrame) -> Topics:
-    """Topics of the rows (name, text, lang) with the least hash of their name; of several of one name the first text in order. Only counts leave a task."""
-    known = rows.select(F.xxhash64("name").alias("h"), "text", "lang")
-    least = known.select("h").distinct().orderBy("h").limit(SAMPLE)
-    chosen = known.join(F.broadcast(least), "h").groupBy("h").agg(F.min(F.struct("text", "lang")).alias("x")).select("h", "x.text", "x.lang")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Buckets()
-        for part in batches:
-            found = [word_counts(WORD.findall((text or "").lower()), memo) for text in part.column(1).to_pylist()]
-            cols = [pa.array([x[j].astype(np.int32) for x in found], pa.list_(pa.int32())) for j in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *cols], ["h", "lang", "at", "n"])
-
-    got = chosen.mapInArrow(count, "h long, lang string, at array<int>, n array<int>").collect()
-    return fit_topics([(r.lang, r["at"], r.n) for r in sorted(got, key=lambda r: r.h)])
+@F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("counts", T.BinaryType())]))
+def measured(texts: pa.Array) -> pa.Array:
+    """Words of each text, and its buckets and counts as ``packed`` has them."""
+    memo, n, found = Buckets(), [], []
+    for text in texts.to_pylist():
+        words = WORD.findall((text or "").lower())
+        n.append(len(words))
+        found.append(packed(*word_counts(words, memo)))
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(found, pa.binary())], ["n", "counts"])
 
 
 def _raked(docs: DataFrame, targets: dict, fraction: float, seed: int, id_col: str, text_col: str, whole: bool, tokens_col: str | None) -> tuple[DataFrame, list[str]]:
     """Id (and, if ``whole``, the row as ``doc``), margins, n_tokens, draw and prob of each row."""
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Buckets()
-        for rows in batches:
-            n, found = [], []
-            for text in rows.column(1).to_pylist():
-                words = WORD.findall((text or "").lower())
-                n.append(len(words))
-                found.append(word_counts(words, memo))
-            names = shared.value.of(found, rows.column(3).to_pylist())
-            counts = rows.column(5) if tokens_col else pa.array(n, pa.int64())
-            cols = [rows.column(0), *rows.columns[2:5], pa.array(names, pa.string()), counts]
-            yield pa.RecordBatch.from_arrays([*cols, *rows.columns[6:]], [id_col, "source", "lang", "draw", "topic", "n_tokens", *["doc"] * whole])
-
     def margin(name: str):
         value = F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")
         return F.when(value.isin(list(targets[name])), value).otherwise("other").alias(name)
@@ -222,12 +411,18 @@ def _raked(docs: DataFrame, targets: dict, fraction: float, seed: int, id_col: s
     name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), name), 11) / F.lit(float(1 << 53))
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    shared = docs.sparkSession.sparkContext.broadcast(_sampled(docs.select(name.alias("name"), F.coalesce(text, F.lit("")).alias("text"), margin("lang"))))  # of fixed size
-    tokens = F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)) if tokens_col else F.lit(0).cast("long")
-    rows = docs.select(F.col(id_col), text.alias("text"), margin("source"), margin("lang"), draw.alias("draw"), tokens.alias("tokens"), *[doc] * whole)
-    fields = ", ".join(f"`{c}`: {t}" for c, t in docs.dtypes)
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, source string, lang string, draw double, topic string, n_tokens long" + f", doc struct<{fields}>" * whole
-    rows = stage(rows.mapInArrow(measure, schema))
+    given = [F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)).alias("given")] if tokens_col else []
+    rows = docs.select(F.col(id_col), margin("source"), margin("lang"), draw.alias("draw"), F.xxhash64(name).alias("h"), measured(text).alias("of"), *given, *[doc] * whole)
+    n_tokens = "given" if tokens_col else "of.n"
+    rows = stage(rows.select(id_col, "source", "lang", "draw", "h", F.col(n_tokens).alias("n_tokens"), F.col("of.counts").alias("counts"), *["doc"] * whole))
+    topics = fit_topics(rows.select("h", "lang", "counts"))
+    shared = docs.sparkSession.sparkContext.broadcast(topics)  # of fixed size
+
+    @F.arrow_udf("string")
+    def topic(counts: pa.Array, langs: pa.Array) -> pa.Array:
+        return pa.array(shared.value.named(*unpacked(counts), langs.to_pylist()), pa.string())
+
+    rows = rows.withColumn("topic", topic("counts", "lang")).drop("counts", "h")
     keys = ["source", "lang", "topic"]
     cells = sorted(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("n")).collect())
     prob = rake(np.array([r.n for r in cells], np.float64), [tuple(r[:3]) for r in cells], {k: targets[k] for k in keys}, fraction)
