@@ -95,3 +95,18 @@ def test_blocks_as_units_and_columns_in_the_way(spark, tmp_path):
     down, roll, _ = training_sample(split.where("split = 'train'"), split.where("split <> 'train'"), "20m", ["x"], "y", ["window_id", "window_name", "split", "s"], multi=("x",), tie=["id"])
     want = down.unionByName(roll)
     assert plain(got.select(*want.columns)) == plain(want) and got.count() > 0
+
+
+def test_more_rows_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    """A task's sorts hold its rows, so their number mustn't grow with the table."""
+    monkeypatch.setattr(carried, "TASK_ROWS", 20, raising=False)
+    sizes, real = [], carried.publish
+
+    def counted(part, root, kind, *rest):
+        if kind == carried.TRAILS:
+            sizes.extend(r["count"] for r in part.groupBy(F.spark_partition_id()).count().collect())
+        return real(part, root, kind, *rest)
+
+    monkeypatch.setattr(carried, "publish", counted)
+    arrive(rows(spark), Carried(str(tmp_path), "6h", ("s",), tuple(PLAN), 3, 2, 1, tie=("id",)))
+    assert len(sizes) > 8 and max(sizes) < sum(sizes) / 5  # the session's shuffles have 4

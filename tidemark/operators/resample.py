@@ -85,7 +85,7 @@ def previous(df: DataFrame, col: str, by: list[str], ts: str = "ts", tie: list[s
     return out.select(*df.columns, F.coalesce("_before", "_carried")["x"].alias(name))
 
 
-def rolling_trailing(df: DataFrame, width: str | int, by: list[str], plan: list[AggItem], ts: str = "ts", tie: list[str] | None = None, keep: list[str] | None = None, buckets: int = 64, drop_nulls: bool = False) -> DataFrame:
+def rolling_trailing(df: DataFrame, width: str | int, by: list[str], plan: list[AggItem], ts: str = "ts", tie: list[str] | None = None, keep: list[str] | None = None, buckets: int = 64, drop_nulls: bool = False, tasks: int | None = None) -> DataFrame:
     """For each row the plan over (t - width, t]; rows of equal time see each other.
 
     Time is cut into blocks of one ``width``. A window is then the end of one block and the beginning of the next: both are
@@ -95,6 +95,7 @@ def rolling_trailing(df: DataFrame, width: str | int, by: list[str], plan: list[
 
     Rows are dealt once, to (group, time bucket of ``buckets`` widths); those of a bucket's last width also go to the next
     bucket as its halo. So the shuffle grows by 1 / ``buckets`` at most, and a hot group isn't sorted by one task.
+    ``tasks``: how many get them, where the caller knows the rows; else as many as the session's shuffles have.
     """
     w = duration_us(width)
     keep = keep if keep is not None else [*by, ts]
@@ -113,7 +114,7 @@ def rolling_trailing(df: DataFrame, width: str | int, by: list[str], plan: list[
         *[F.col(f"`{c}`").cast("double").alias(f"_m{k}") for k, c in enumerate(moments)],
     )
     cell = [*[f"_g{k}" for k in range(len(by))], "_in"]
-    rows = rows.repartition(*cell)  # all windows below are within these
+    rows = rows.repartition(*([tasks] if tasks else []), *cell)  # all windows below are within these
     block = Window.partitionBy(*cell, "_block")
     begin = block.orderBy("_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     end = block.orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -28,6 +28,8 @@ from tidemark.operators.resample import AggItem, rolling_trailing
 from tidemark.sources.publish import done_partitions, publish, read_published
 
 PARTS, TRAILS, TAILS = "carried_parts", "carried_trails", "carried_tails"
+#: Rows that a task of the trailing windows gets, or about one group's part if that has more.
+TASK_ROWS = 25_000
 
 
 @dataclass(frozen=True)
@@ -71,7 +73,7 @@ def arrive(df: DataFrame, how: Carried) -> list[str]:
     us = epoch_us(how.ts)
     rows = df.withColumn("unit", F.col(how.unit).cast("string")).where(F.col("unit").isNotNull() & F.col(how.ts).isNotNull())
     done = carried_units(spark, how)
-    spans = [r for r in rows.groupBy("unit").agg(F.min(us).alias("a"), F.max(us).alias("b")).orderBy("unit").collect() if r.unit not in done]  # a row a unit
+    spans = [r for r in rows.groupBy("unit").agg(F.min(us).alias("a"), F.max(us).alias("b"), F.count("*").alias("n")).orderBy("unit").collect() if r.unit not in done]  # a row a unit
     if not spans:
         return []
     fresh = [r.unit for r in spans]
@@ -84,7 +86,7 @@ def arrive(df: DataFrame, how: Carried) -> list[str]:
         ends = spark.createDataFrame([(r.unit, r.b) for r in spans], "unit string, _last long")
         tail = rows.join(F.broadcast(ends), "unit").where(us > F.col("_last") - duration_us(how.freq)).drop("_last")
         publish(tail, how.root, TAILS, "skip", how.freq)
-    publish(_trails(spark, rows, [*done, *fresh], fresh, how), how.root, TRAILS, "skip", how.freq)
+    publish(_trails(spark, rows, [*done, *fresh], fresh, how, sum(r.n for r in spans)), how.root, TRAILS, "skip", how.freq)
     publish(_parts(rows, how), how.root, PARTS, "skip", how.freq)  # last: it is the mark of a unit taken in
     return fresh
 
@@ -100,8 +102,8 @@ def _parts(rows: DataFrame, how: Carried) -> DataFrame:
     return rows.groupBy("unit", *how.by, end.alias("_end")).agg(*made)
 
 
-def _trails(spark: SparkSession, rows: DataFrame, units: list[str], fresh: list[str], how: Carried) -> DataFrame:
-    """Trailing windows of the fresh units' rows, for each number ``back`` of earlier units that they look back on."""
+def _trails(spark: SparkSession, rows: DataFrame, units: list[str], fresh: list[str], how: Carried, n: int) -> DataFrame:
+    """Trailing windows of the fresh units' rows, for each number ``back`` of earlier units that they look back on; ``n`` fresh rows, dealt to as many tasks as they need."""
     seen = rows.select("*", F.col("unit").alias("_for"), F.lit(0).alias("_apart"))
     place = {u: k for k, u in enumerate(units)}
     behind = [(units[place[u] - d], u, d) for u in fresh for d in range(1, how.back + 1) if place[u] >= d]
@@ -112,7 +114,8 @@ def _trails(spark: SparkSession, rows: DataFrame, units: list[str], fresh: list[
         seen = seen.unionByName(tails.join(F.broadcast(table), "unit"))
     seen = seen.withColumn("back", F.explode(F.sequence("_apart", F.lit(how.back)))).withColumn("_fresh", F.col("_apart") == 0)
     keep = ["_for", "back", "_fresh", *how.by, how.ts]
-    out = rolling_trailing(seen, how.freq, [*how.by, "_for", "back"], list(how.plan), how.ts, list(how.tie), keep, drop_nulls=True)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * (how.back + 1) // TASK_ROWS))
+    out = rolling_trailing(seen, how.freq, [*how.by, "_for", "back"], list(how.plan), how.ts, list(how.tie), keep, drop_nulls=True, tasks=tasks)
     return out.where("_fresh").drop("_fresh").withColumnRenamed("_for", "unit")
 
 
