@@ -1,3 +1,4 @@
+import pickle
 import random
 import zlib
 
@@ -94,3 +95,58 @@ def test_repeated_ids_have_one_text_whatever_the_order(spark):
     docs, labels = frames(spark, twice, marks)
     a, b = (tox.fit(docs.repartition(n), labels) for n in (1, 5))
     assert np.array_equal(a.keys, b.keys) and np.array_equal(a.table, b.table) and a.shift == b.shift
+
+
+def test_features_are_crc32_of_words_and_heads():
+    words = ["a", "abc", "héllo", "x" * 100, "abcdefg"]
+    for word, row in zip(words, tox.features(words).tolist(), strict=True):
+        b = word.encode()
+        assert row == [zlib.crc32(b"^" + b[:n]) % tox.BUCKETS + 1 if len(b) >= n else 0 for n in tox.HEADS] + [zlib.crc32(b"^" + b + b"$") % tox.BUCKETS + 1]
+
+
+def test_every_row_is_learned_from(spark, monkeypatch):
+    """Marks that are too rare in any 1,500 rows of a class are known from all rows; blocks give the same however rows are dealt."""
+    rng = random.Random(3)
+    marks = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=8)) for _ in range(1000)]
+    vocab = [f"{a}{b}" for a in "bcdfgh" for b in ("alo", "emi", "onu", "ira", "utex")]
+    rows, labels = [], []
+    for i in range(10_000):
+        y = i % 2
+        words = rng.choices(vocab, k=8)
+        words[3] = rng.choice(marks) if y else rng.choice(vocab)
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, 1, y))
+    docs, labels = frames(spark, rows, labels)
+    got = [r for r in toxicity(docs, labels).collect() if r.held_out]
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.9
+    assert tox.fit(docs.limit(0), labels) is None
+    monkeypatch.setattr(tox, "BLOCK_TEXTS", 2500)
+    few, few_labels = docs.where("doc_id < 4000"), labels.where("doc_id < 4000")
+    a, b = (tox.fit(few.repartition(n), few_labels) for n in (1, 5))
+    assert np.array_equal(a.keys, b.keys) and np.array_equal(a.table, b.table) and a.shift == b.shift and a.thresholds == b.thresholds
+
+
+def test_blocks_are_averaged(spark, monkeypatch):
+    """The model is the mean of what the blocks make of the counts of all rows."""
+    monkeypatch.setattr(tox, "BLOCK_TEXTS", 150)
+    rows, marks = corpus(500)
+    docs, labels = frames(spark, rows, marks)
+    held = []
+    monkeypatch.setattr(tox, "_calibrated", lambda model, cal, real=tox._calibrated: held.append(pickle.loads(pickle.dumps(model))) or real(model, cal))
+    monkeypatch.setattr(tox, "_trained", lambda use, odds, real=tox._trained: held.append((use.collect(), odds)) or real(use, odds))
+    tox.fit(docs, labels)
+    (use, odds), model = held
+    assert {r.id for r in use} == {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 > 1}
+    have = {w for r in use for w in r.text.split()}
+    n1 = sum(r.y for r in use)
+    word = "wretch"
+    key, mine = tox.features([word])[0, -1], [r.y for r in use if word in r.text.split()]
+    assert have and np.isclose(odds[key], np.log((sum(mine) + 1) / (n1 + 2)) - np.log((len(mine) - sum(mine) + 1) / (len(use) - n1 + 2)))
+    blocks = [sorted((r for r in use if r.block == b), key=lambda r: r.id) for b in sorted({r.block for r in use})]
+    assert len(blocks) > 1
+    parts = [train([r.text for r in x], np.array([r.y for r in x], float), odds) for x in blocks]
+    assert np.isclose(model.shift, np.mean([p.shift for p in parts]), atol=1e-5)
+    for k, w in enumerate(model.filters):
+        assert np.allclose(w, np.mean([p.filters[k] for p in parts], 0), atol=1e-5)
+    moved = [p.table[1:][p.keys == key][0] for p in parts]
+    assert np.allclose(model.table[1:][model.keys == key][0], np.mean(moved, 0), atol=1e-5)
