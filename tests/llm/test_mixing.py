@@ -128,3 +128,22 @@ def test_rounds_give_the_centres_of_plain_sums(monkeypatch):
     near = (x @ a.centres).argmax(1)
     want = np.array([x[near == j].sum(0) for j in range(3)])
     assert np.allclose(b.centres.T, want / np.linalg.norm(want, axis=1, keepdims=True), atol=1e-4)
+
+
+def test_vectors_are_stored_as_blocks(spark, monkeypatch):
+    """Rounds read a row for many texts, and find what plain rows in memory give."""
+    rng, memo, made = random.Random(10), Buckets(), []
+    rows = [(i, rng.choice("xy"), *word_counts(rng.choices([f"w{k}" for k in range(60)], k=rng.choice([0, 12])), memo)) for i in range(1300)]
+    table = spark.createDataFrame([(i, lang, mixing.packed(at, n) if i % 7 else (mixing.packed(at, n) or None)) for i, lang, at, n in rows], "h long, lang string, counts binary").coalesce(1)
+    monkeypatch.setattr(mixing, "stage", lambda df, real=mixing.stage: made.append(real(df)) or made[-1])
+    got = fit_topics(table, k=3)
+    assert made[0].count() <= 1300 / mixing.STORED + 1
+    want = mixing.Rows.of([(lang, at.tolist(), n.tolist()) for _, lang, at, n in rows])
+    some = [sum(len(at) > 0 for _, _, at, _ in rows[:k]) for k in (650, 1300)]
+    column = made[0].toArrow()
+    assert sum(len(x.as_py()) // 8 for x in column.column("hashes")) == some[1] == len(want.block.sizes)
+    moved = want.moved(got.rarity, np.stack([np.bincount(want.block.at[own], want.block.units(got.rarity)[own], mixing.BUCKETS) / (want.block.langs == k).sum() for k in range(2) for own in [np.repeat(want.block.langs == k, want.block.sizes)]]))
+    stored = {int(h): x for i in range(column.num_rows) for b in [mixing.Block.reread([column.column(c)[i].as_buffer() for c in mixing.KINDS])] for j, h in enumerate(b.hashes) for x in [b.text(j)]}
+    for j, h in enumerate(moved.block.hashes):
+        mine, theirs = moved.block.text(j), stored[int(h)]
+        assert mine[0] == theirs[0] and mine[2] == theirs[2] and np.allclose(mine[3], theirs[3], atol=1e-4) and np.isclose(mine[1], theirs[1], rtol=1e-4)

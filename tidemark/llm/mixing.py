@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,10 @@ SEED = 20_240
 
 WORD = re.compile(r"\w+")
 #: Hashed words that the topic model knows, and rows that are measured or placed at once.
-BUCKETS, ROWS = 4_096, 2_000
+BUCKETS, ROWS = 4_096, 1_000
+#: Texts whose vectors are stored as one row, and how each of a block's columns is kept there.
+STORED = 500
+KINDS = {"hashes": "<i8", "langs": "<i4", "over": "<f8", "sizes": "<i4", "at": "<u2", "n": "<f4"}
 #: Sums over all rows are of whole numbers, so many to 1: they don't depend on how rows are dealt to tasks.
 WHOLE = 1 << 20
 #: Rounds end when the sum of all texts' closeness to their centre grows by no more than this share.
@@ -38,7 +40,7 @@ HELD = 5e-4
 #: A text nearer to its language's mean than this has no direction of its own.
 NEAR = 1e-3
 #: Words whose bucket a worker remembers before it starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 class Buckets(dict):
@@ -53,8 +55,7 @@ class Buckets(dict):
 
 def word_counts(words: list[str], memo: Buckets) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text's words, in order, and the words in each."""
-    count = Counter(words)
-    hashed = np.bincount([memo[w] for w in count], list(count.values()), BUCKETS) if count else np.zeros(BUCKETS)
+    hashed = np.bincount(np.array([memo[w] for w in words], np.int64), minlength=BUCKETS)
     at = np.flatnonzero(hashed)
     return at, hashed[at]
 
@@ -82,6 +83,20 @@ class Block:
     def starts(self) -> np.ndarray:
         return np.cumsum(self.sizes) - self.sizes
 
+    def stored(self) -> Iterator[list[bytes]]:
+        """The columns of ``STORED`` texts at a time."""
+        ends = np.append(self.starts, len(self.at))
+        for a in range(0, len(self.sizes), STORED):
+            b = min(a + STORED, len(self.sizes))
+            flat = slice(ends[a], ends[b])
+            parts = (*(x[a:b] for x in (self.hashes, self.langs, self.over, self.sizes)), self.at[flat], self.n[flat])
+            yield [x.astype(kind).tobytes() for x, kind in zip(parts, KINDS.values(), strict=True)]
+
+    @classmethod
+    def reread(cls, columns: list[pa.Buffer]) -> Block:
+        hashes, langs, over, sizes, at, n = (np.frombuffer(x, kind) for x, kind in zip(columns, KINDS.values(), strict=True))
+        return cls(hashes, langs.astype(np.int64), over, sizes.astype(np.int64), at.astype(np.int64), n)
+
     def text(self, i: int) -> tuple[int, float, tuple, tuple]:
         part = slice(self.starts[i], self.starts[i] + self.sizes[i])
         return int(self.langs[i]), float(self.over[i]), tuple(self.at[part].tolist()), tuple(self.n[part].tolist())
@@ -166,26 +181,28 @@ def _first(block: Block, key) -> tuple:
 
 
 def packed(at: np.ndarray, n: np.ndarray) -> bytes:
-    """A text's buckets and counts, or parts, eight bytes each."""
-    n = n.view("<u4") if n.dtype == np.float32 else n
+    """A text's buckets and counts, eight bytes each."""
     return (at.astype("<u8") << 48 | n.astype("<u8")).tobytes()
 
 
-def unpacked(column: pa.Array, parts: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sizes of the texts of a column, and the buckets and counts of all."""
-    texts = [x or b"" for x in column.to_pylist()]
-    flat = np.frombuffer(b"".join(texts), "<u8")
-    n = flat.astype("<u4").view("<f4") if parts else (flat & np.uint64((1 << 48) - 1)).astype(np.float64)
-    return np.array([len(x) // 8 for x in texts], np.int64), (flat >> np.uint64(48)).astype(np.int64), n
+    if column.null_count:
+        column = column.fill_null(b"")
+    column = column.cast(pa.large_binary())
+    places = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, "<u8", (places[-1] - places[0]) // 8, places[0]) if places[-1] > places[0] else np.zeros(0, "<u8")
+    return np.diff(places) // 8, (flat >> np.uint64(48)).astype(np.int64), (flat & np.uint64((1 << 48) - 1)).astype(np.float64)
 
 
 @dataclass
 class Counted:
-    """All rows (h, lang, over, counts) of a stored table: every pass reads it whole, task by task; only sums of fixed size leave a task."""
+    """All rows (h, lang, over, counts) of a stored table, or blocks of them: every pass reads it whole, task by task; only sums of fixed size leave a task."""
 
     table: DataFrame
     langs: list[str]
-    parts: bool = False
+    moved_already: bool = False
 
     @classmethod
     def of(cls, rows: DataFrame) -> Counted:
@@ -194,14 +211,17 @@ class Counted:
 
     def _over(self, work, schema: str) -> DataFrame:
         """Record batches that ``work`` makes of a task's blocks."""
-        langs, parts = self.langs, self.parts
+        langs, moved = self.langs, self.moved_already
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             for whole in batches:
+                if moved:
+                    yield from (Block.reread([c[i].as_buffer() for c in whole.columns]) for i in range(whole.num_rows))
+                    continue
                 for a in range(0, whole.num_rows, ROWS):
                     part = whole.slice(a, ROWS)
                     numbers = np.array([langs.index(x) for x in part.column(1).to_pylist()], np.int64)
-                    block = Block.of(part.column(0).to_numpy(), numbers, part.column(2).to_numpy(), *unpacked(part.column(3), parts))
+                    block = Block.of(part.column(0).to_numpy(), numbers, part.column(2).to_numpy(), *unpacked(part.column(3)))
                     if len(block.sizes):
                         yield block
 
@@ -235,18 +255,14 @@ class Counted:
         return tuple(rows.agg(F.max(F.struct(*kinds)).alias("x")).first().x)
 
     def moved(self, rarity: np.ndarray, means: np.ndarray) -> Counted:
-        """The texts' vectors, stored once for all rounds."""
-        langs = self.langs
+        """The texts' vectors, stored once for all rounds, as blocks."""
 
         def apply(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
             for block in blocks:
-                made = block.moved(rarity, means)
-                cuts = np.cumsum(made.sizes)[:-1]
-                vectors = [packed(at, n) for at, n in zip(np.split(made.at, cuts), np.split(made.n, cuts), strict=True)]
-                cols = [pa.array(made.hashes, pa.int64()), pa.array([langs[x] for x in made.langs], pa.string()), pa.array(made.over, pa.float64()), pa.array(vectors, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["h", "lang", "over", "counts"])
+                for columns in block.moved(rarity, means).stored():
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in columns], list(KINDS))
 
-        return Counted(stage(self._over(apply, "h long, lang string, over double, counts binary")), langs, True)
+        return Counted(stage(self._over(apply, ", ".join(f"{c} binary" for c in KINDS))), self.langs, True)
 
 
 def _drawn(hashes: np.ndarray, turn: int, seed: int) -> np.ndarray:
@@ -393,10 +409,11 @@ def mixture(docs: DataFrame, targets: dict | None = None, fraction: float = FRAC
 def measured(texts: pa.Array) -> pa.Array:
     """Words of each text, and its buckets and counts as ``packed`` has them."""
     memo, n, found = Buckets(), [], []
-    for text in texts.to_pylist():
-        words = WORD.findall((text or "").lower())
-        n.append(len(words))
-        found.append(packed(*word_counts(words, memo)))
+    for a in range(0, len(texts), ROWS):
+        for text in texts.slice(a, ROWS).to_pylist():
+            words = WORD.findall((text or "").lower())
+            n.append(len(words))
+            found.append(packed(*word_counts(words, memo)))
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(found, pa.binary())], ["n", "counts"])
 
 
@@ -420,7 +437,10 @@ def _raked(docs: DataFrame, targets: dict, fraction: float, seed: int, id_col: s
 
     @F.arrow_udf("string")
     def topic(counts: pa.Array, langs: pa.Array) -> pa.Array:
-        return pa.array(shared.value.named(*unpacked(counts), langs.to_pylist()), pa.string())
+        found: list[str] = []
+        for a in range(0, len(counts), ROWS):
+            found += shared.value.named(*unpacked(counts.slice(a, ROWS)), langs.slice(a, ROWS).to_pylist())
+        return pa.array(found, pa.string())
 
     rows = rows.withColumn("topic", topic("counts", "lang")).drop("counts", "h")
     keys = ["source", "lang", "topic"]
