@@ -21,7 +21,7 @@ MAP_BITS = 512
 #: Sets that one cell takes from each side; larger cells are cut into chunks of which each pair meets.
 CELL = 2048
 #: Pairs of a cell weighed at once.
-PAIRS = 1_000_000
+PAIRS = 250_000
 
 
 def least_common(n: int, similar: float) -> int:

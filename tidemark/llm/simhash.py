@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import sliced, stage
 from tidemark.llm.components import components
 from tidemark.llm.setjoin import common_shingles, linked, parity, prefix
 
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): fp as a signed long. Null texts count as empty (fingerprint zero)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in sliced(batches):
             fps = np.array([fingerprint(x or "") for x in rows.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
@@ -268,7 +268,7 @@ def one_of_each(docs: DataFrame, most: int = MOST_BITS, similar: float = SIMILAR
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, lambda x: shingles(x, WORDS)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in sliced(batches):
             texts = [x or "" for x in pc.struct_field(rows.column(0), [place]).to_pylist()]
             fps = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
             cols: list[list] = [[], [], [], []]
@@ -304,7 +304,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts' shingles are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in sliced(batches):
             sets = ([shingles(x or "", WORDS) for x in rows.column(k).to_pylist()] for k in (2, 3))
             yield rows.filter(pa.array([similarity(x, y) >= similar for x, y in zip(*sets, strict=True)], pa.bool_())).select(["a", "b"])
 
