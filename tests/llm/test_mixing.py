@@ -147,3 +147,36 @@ def test_vectors_are_stored_as_blocks(spark, monkeypatch):
     for j, h in enumerate(moved.block.hashes):
         mine, theirs = moved.block.text(j), stored[int(h)]
         assert mine[0] == theirs[0] and mine[2] == theirs[2] and np.allclose(mine[3], theirs[3], atol=1e-4) and np.isclose(mine[1], theirs[1], rtol=1e-4)
+
+
+def test_words_are_counted_as_the_pattern_finds_them(spark):
+    rng, memo = random.Random(11), Buckets()
+    letters = [*"abcXYZ019_", *" \t\n\x1c\x85\xa0.,-'", *"éßÄñ²½ªµ×÷", *"İſK“Ж中́🙂"]
+    texts = ["".join(rng.choices(letters[: rng.choice([10, 20, 30, len(letters)])], k=rng.choice([0, 1, 7, 60, 900]))) for _ in range(400)]
+    texts += [None, "", "x" * 31 + " " + "y" * 32 + " " + "z" * 33 + " " + "é" * 16 + " " + "é" * 40, "w" * 1_200_000, "b b a " * 200_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    got = {r.i: r.of for r in rows.select("i", mixing.measured("text").alias("of")).collect()}
+    for i, text in enumerate(texts):
+        words = mixing.WORD.findall((text or "").lower())
+        assert (got[i].n, bytes(got[i].counts)) == (len(words), mixing.packed(*word_counts(words, memo)))
+
+
+def test_topics_are_found_once(spark):
+    """What ``mix`` gives is read from a table that has the topics: no worker finds them again."""
+    docs = spark.createDataFrame([(i, f"some words{i % 7} here", "en", "src1") for i in range(50)], "doc_id long, text string, lang string, source string")
+    made = mix(docs)
+    assert made.where("topic like 't_'").count() == 50
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_leave_tasks_side_by_side(spark, monkeypatch):
+    """A task hands on a row for ``SIDE`` sums, not one for each, and no sum is lost or moved."""
+    table = spark.createDataFrame([(i, "x", mixing.packed(np.array([i, 4000]), np.array([1, 2]))) for i in range(600)], "h long, lang string, counts binary").coalesce(1)
+    made = []
+    monkeypatch.setattr(mixing.Counted, "_over", lambda self, *a, real=mixing.Counted._over: made.append(real(self, *a)) or made[-1])
+    width = mixing.BUCKETS + 3  # no multiple of SIDE
+    got = mixing.Counted.of(table).sums(width, lambda block: np.append(np.bincount(block.at, block.n, mixing.BUCKETS), [0, -5, len(block.sizes)]))
+    want = np.zeros(width, np.int64)
+    want[:600], want[4000], want[-2:] = 1, 1200, (-5, 600)
+    assert np.array_equal(got, want) and got.dtype == np.int64
+    assert made[0].count() <= -(-width // 16)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +30,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet into the shared folder and read it back.
+@contextmanager
+def at_once(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """For jobs run in here: so many rows go to a Python worker in one batch (None: as the session has it).
+
+    A batch is held several times over, by the JVM and the worker; long rows at the session's 10,000 a batch take up to 64 MB each time.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    if rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        if rows and before is None:
+            spark.conf.unset(name)
+        elif rows:
+            spark.conf.set(name, before)
+
+
+def stage(df: DataFrame, rows: int | None = None, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` once as Parquet into the shared folder and read it back; ``rows``: see ``at_once``.
 
     Cuts the lineage and keeps work from being done twice; the files outlive lost executors.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with at_once(spark, rows):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

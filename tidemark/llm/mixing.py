@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import at_once, stage
+from tidemark.llm.toxicity import CRC
 
 TOPICS = 8
 #: Shares wanted of each margin; values that a margin doesn't name share "other", which keeps its own share.
@@ -28,6 +29,10 @@ ROUNDS, TOLERANCE = 200, 1e-6
 SEED = 20_240
 
 WORD = re.compile(r"\w+")
+#: What each Latin-1 byte is where words are split: itself, or a blank if no word has it.
+PLAIN = bytes(c if WORD.match(chr(c)) else 32 for c in range(256))
+#: Characters of texts whose words are counted at once, and bytes that words are hashed side by side; the rest of longer words is hashed word by word.
+COUNTED, LONG = 500_000, 32
 #: Hashed words that the topic model knows, and rows that are measured or placed at once.
 BUCKETS, ROWS = 4_096, 1_000
 #: Texts whose vectors are stored as one row, and how each of a block's columns is kept there.
@@ -35,6 +40,8 @@ STORED = 500
 KINDS = {"hashes": "<i8", "langs": "<i4", "over": "<f8", "sizes": "<i4", "at": "<u2", "n": "<f4"}
 #: Sums over all rows are of whole numbers, so many to 1: they don't depend on how rows are dealt to tasks.
 WHOLE = 1 << 20
+#: Sums that leave a task side by side in one row.
+SIDE = 16
 #: Rounds end when the sum of all texts' closeness to their centre grows by no more than this share.
 HELD = 5e-4
 #: A text nearer to its language's mean than this has no direction of its own.
@@ -60,6 +67,41 @@ def word_counts(words: list[str], memo: Buckets) -> tuple[np.ndarray, np.ndarray
     return at, hashed[at]
 
 
+def only_words(text: str) -> bytes:
+    """The lower-case words' UTF-8 bytes, blanks between them; where Latin-1 holds the text, no pattern is searched."""
+    text = text.lower()
+    try:
+        plain = text.encode("latin-1").translate(PLAIN)
+    except UnicodeEncodeError:
+        return " ".join(WORD.findall(text)).encode("utf-8", "surrogatepass")
+    return plain if text.isascii() else plain.decode("latin-1").encode()
+
+
+def texts_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text (``only_words``), distinct buckets of each, and what ``word_counts`` gives for them, one text after the other."""
+    data = b"\n".join([b"", *texts, b""])
+    flat = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff((flat > 32).view(np.int8))) + 1
+    starts, ends = edges[::2], edges[1::2]
+    sizes = ends - starts
+    owner = np.searchsorted(np.flatnonzero(flat == 10), starts) - 1
+    state = np.full(len(starts), 0xFFFFFFFF, np.uint32)
+    at = np.arange(len(starts))
+    for k in range(LONG):
+        at = at[sizes[at] > k]
+        if not len(at):
+            break
+        c = state[at]
+        state[at] = CRC[(c ^ flat[starts[at] + k]) & 255] ^ c >> 8
+    for i in np.flatnonzero(sizes > LONG):
+        state[i] = ~zlib.crc32(data[starts[i] + LONG : ends[i]], int(~state[i])) & 0xFFFFFFFF
+    keys = owner * BUCKETS + ~state % BUCKETS
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    own, buckets = np.divmod(keys[first], BUCKETS)
+    return np.bincount(owner, minlength=len(texts)), np.bincount(own, minlength=len(texts)), buckets, np.diff(np.append(first, len(keys)))
+
+
 @dataclass
 class Block:
     """Texts with words: hash of the name and number of the language of each, and the buckets and counts of all, one text after the other.
@@ -209,6 +251,11 @@ class Counted:
         langs = sorted(r.lang for r in rows.select("lang").distinct().collect())  # as the targets have, and "other"
         return cls(rows.select("h", "lang", F.lit(0.0).alias("over"), "counts"), langs)
 
+    @property
+    def rows(self) -> int:
+        """Rows that a worker takes in one batch: a stored block is one, and as long as many texts."""
+        return 1 if self.moved_already else ROWS
+
     def _over(self, work, schema: str) -> DataFrame:
         """Record batches that ``work`` makes of a task's blocks."""
         langs, moved = self.langs, self.moved_already
@@ -234,13 +281,17 @@ class Counted:
             total = np.zeros(width, np.int64)
             for block in blocks:
                 total += work(block).astype(np.int64)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["place", "value"])
-
-        got = self._over(apply, "place long, value long").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
-        out = np.zeros(width, np.int64)
-        out[got.column("place").to_numpy()] = got.column("value").to_numpy()
-        return out
+            total = np.append(total, np.zeros(-width % SIDE, np.int64)).reshape(-1, SIDE)
+            at = np.flatnonzero(total.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in total[at].T)], ["place", *values])
+
+        values = [f"v{k}" for k in range(SIDE)]
+        sums = self._over(apply, f"place long, {', '.join(f'{c} long' for c in values)}").groupBy("place").agg(*[F.sum(c).alias(c) for c in values])
+        with at_once(self.table.sparkSession, self.rows):
+            got = sums.toArrow()
+        out = np.zeros((-(-width // SIDE), SIDE), np.int64)
+        out[got.column("place").to_numpy()] = np.stack([got.column(c).to_numpy() for c in values], 1)
+        return out.ravel()[:width]
 
     def first(self, key) -> tuple:
         """The text with the greatest key of all."""
@@ -252,7 +303,8 @@ class Counted:
                 yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(best, kinds.values(), strict=True)], list(kinds))
 
         rows = self._over(apply, "key double, h long, lang long, over double, at array<long>, n array<double>")
-        return tuple(rows.agg(F.max(F.struct(*kinds)).alias("x")).first().x)
+        with at_once(self.table.sparkSession, self.rows):
+            return tuple(rows.agg(F.max(F.struct(*kinds)).alias("x")).first().x)
 
     def moved(self, rarity: np.ndarray, means: np.ndarray) -> Counted:
         """The texts' vectors, stored once for all rounds, as blocks."""
@@ -262,7 +314,7 @@ class Counted:
                 for columns in block.moved(rarity, means).stored():
                     yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in columns], list(KINDS))
 
-        return Counted(stage(self._over(apply, ", ".join(f"{c} binary" for c in KINDS))), self.langs, True)
+        return Counted(stage(self._over(apply, ", ".join(f"{c} binary" for c in KINDS)), self.rows, "lz4"), self.langs, True)
 
 
 def _drawn(hashes: np.ndarray, turn: int, seed: int) -> np.ndarray:
@@ -408,13 +460,26 @@ def mixture(docs: DataFrame, targets: dict | None = None, fraction: float = FRAC
 @F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("counts", T.BinaryType())]))
 def measured(texts: pa.Array) -> pa.Array:
     """Words of each text, and its buckets and counts as ``packed`` has them."""
-    memo, n, found = Buckets(), [], []
+    n, sizes, found = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], []
+
+    def count(held: list[bytes]) -> None:
+        words, size, at, many = texts_counts(held)
+        n.append(words)
+        sizes.append(size)
+        found.append(packed(at, many))
+
+    held, size = [], 0
     for a in range(0, len(texts), ROWS):
         for text in texts.slice(a, ROWS).to_pylist():
-            words = WORD.findall((text or "").lower())
-            n.append(len(words))
-            found.append(packed(*word_counts(words, memo)))
-    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(found, pa.binary())], ["n", "counts"])
+            held.append(only_words(text or ""))
+            size += len(held[-1])
+            if size >= COUNTED:
+                count(held)
+                held, size = [], 0
+    count(held)
+    ends = 8 * np.cumsum(np.concatenate(sizes))
+    counts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(found))])
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(n), pa.int64()), counts.cast(pa.binary())], ["n", "counts"])
 
 
 def _raked(docs: DataFrame, targets: dict, fraction: float, seed: int, id_col: str, text_col: str, whole: bool, tokens_col: str | None) -> tuple[DataFrame, list[str]]:
@@ -431,7 +496,7 @@ def _raked(docs: DataFrame, targets: dict, fraction: float, seed: int, id_col: s
     given = [F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)).alias("given")] if tokens_col else []
     rows = docs.select(F.col(id_col), margin("source"), margin("lang"), draw.alias("draw"), F.xxhash64(name).alias("h"), measured(text).alias("of"), *given, *[doc] * whole)
     n_tokens = "given" if tokens_col else "of.n"
-    rows = stage(rows.select(id_col, "source", "lang", "draw", "h", F.col(n_tokens).alias("n_tokens"), F.col("of.counts").alias("counts"), *["doc"] * whole))
+    rows = stage(rows.select(id_col, "source", "lang", "draw", "h", F.col(n_tokens).alias("n_tokens"), F.col("of.counts").alias("counts"), *["doc"] * whole), ROWS)
     topics = fit_topics(rows.select("h", "lang", "counts"))
     shared = docs.sparkSession.sparkContext.broadcast(topics)  # of fixed size
 
@@ -443,8 +508,10 @@ def _raked(docs: DataFrame, targets: dict, fraction: float, seed: int, id_col: s
         return pa.array(found, pa.string())
 
     rows = rows.withColumn("topic", topic("counts", "lang")).drop("counts", "h")
+    rows = rows if whole else stage(rows, ROWS)  # whole rows aren't written once more; for them the topics are found twice
     keys = ["source", "lang", "topic"]
-    cells = sorted(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("n")).collect())
+    with at_once(docs.sparkSession, ROWS):
+        cells = sorted(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("n")).collect())
     prob = rake(np.array([r.n for r in cells], np.float64), [tuple(r[:3]) for r in cells], {k: targets[k] for k in keys}, fraction)
     table = docs.sparkSession.createDataFrame([(*r[:3], float(p)) for r, p in zip(cells, prob, strict=True)], "source string, lang string, topic string, prob double")
     return rows.join(F.broadcast(table), keys), keys  # as many rows as the targets have cells, at most
