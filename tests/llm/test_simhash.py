@@ -239,3 +239,21 @@ def test_every_similar_pair_of_a_crowd_is_joined_in_cells_of_any_size(spark, cel
         x, y = want[a], want[b]
         want = [min(x, y) if r in (x, y) else r for r in want]
     assert len(pairs) > 10 and [got[i] for i in range(len(texts))] == want
+
+
+def test_long_rows_go_to_workers_a_few_at_a_time(spark):
+    """``stage`` and ``at_once`` bound a worker's batches and leave the session as it was; the near-copy stage's texts use it."""
+    import pyarrow as pa
+
+    from tidemark.llm import common
+
+    def sizes(batches):
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([rows.num_rows])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    made = spark.range(100, numPartitions=1).mapInArrow(sizes, "n long")
+    got = [r.n for r in common.stage(made, 7).collect()]
+    assert max(got) == 7 and sum(got) == 100
+    assert spark.conf.get(name) == before

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import at_once, sliced, stage
 from tidemark.llm.components import components
 
 #: Texts whose shingles are counted for the order of shingles, and shingles that it knows, at most; both change costs only, no result.
@@ -20,8 +20,10 @@ SAMPLE, KNOWN = 20_000, 500_000
 MAP_BITS = 512
 #: Sets that one cell takes from each side; larger cells are cut into chunks of which each pair meets.
 CELL = 2048
-#: Pairs of a cell weighed at once.
+#: Pairs of a cell weighed at once, and such found that a worker holds before it hands them on.
 PAIRS = 250_000
+#: Texts that go to a worker at once, and whose shingles are counted in one go.
+ROWS = 500
 
 
 def least_common(n: int, similar: float) -> int:
@@ -39,7 +41,7 @@ def common_shingles(docs: DataFrame, text_col: str, shingles, sample: int = SAMP
     share = max(1, docs.count() // sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in sliced(batches, ROWS):
             seen: Counter = Counter()
             for x in rows.column(0).to_pylist():
                 seen.update(shingles(x).view(np.int64).tolist())
@@ -47,7 +49,8 @@ def common_shingles(docs: DataFrame, text_col: str, shingles, sample: int = SAMP
 
     rows = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
     sums = rows.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 2")
-    got = sums.orderBy(F.desc("n"), "s").limit(KNOWN).toArrow()
+    with at_once(docs.sparkSession, ROWS):
+        got = sums.orderBy(F.desc("n"), "s").limit(KNOWN).toArrow()
     names, counts = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
     order = np.argsort(names)
     return names[order], counts[order]
@@ -115,7 +118,7 @@ def _candidates(rows: DataFrame, similar: float, every: bool, cell: int) -> Data
     names = ["key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "node", "root", "n", "place", "map"]
     rows = rows.select(*names).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
 
-    def solve(cols: list, maps: np.ndarray) -> pa.RecordBatch:
+    def solve(cols: list, maps: np.ndarray) -> Iterator[pa.RecordBatch]:
         key, lo, hi, node, root, n, place = cols
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
@@ -126,6 +129,14 @@ def _candidates(rows: DataFrame, similar: float, every: bool, cell: int) -> Data
         none = np.iinfo(np.int64).max
         near, least = np.full(len(key), none), np.full(len(key), none)
         out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def made() -> pa.RecordBatch:
+            x, y = (np.concatenate(p) for p in zip(*out, strict=True))
+            out.clear()
+            a, b = np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
+            a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         at = 0
         while at < len(key):
             to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS, "right")))
@@ -146,6 +157,8 @@ def _candidates(rows: DataFrame, similar: float, every: bool, cell: int) -> Data
             x, y, far = x[keep], y[keep], far[keep]
             if every:
                 out.append((x, y))
+                if sum(len(p) for p, _ in out) >= PAIRS:
+                    yield made()
                 continue
             np.minimum.at(least, y, x)  # a cell's rows go by node
             for a, b in ((x, y), (y, x)):
@@ -154,10 +167,8 @@ def _candidates(rows: DataFrame, similar: float, every: bool, cell: int) -> Data
             for a, b in ((near, near % len(key)), (least, least)):
                 yes = np.flatnonzero(a < none)
                 out.append((yes, b[yes]))
-        x, y = (np.concatenate(p) for p in zip(*out, strict=True))
-        a, b = np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
-        a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if out:
+            yield made()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -170,9 +181,9 @@ def _candidates(rows: DataFrame, similar: float, every: bool, cell: int) -> Data
                 cols, maps = [np.concatenate(p) for p in zip(held[0], cols, strict=True)], np.concatenate([held[1], maps])
             last = int(np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)))[-1])  # this cell may go on
             if last:
-                yield solve([c[:last] for c in cols], maps[:last])
+                yield from solve([c[:last] for c in cols], maps[:last])
             held = [c[last:] for c in cols], maps[last:]
         if held is not None:
-            yield solve(*held)
+            yield from solve(*held)
 
     return rows.mapInArrow(apply, "a long, b long").where("a <> b").distinct()

@@ -30,6 +30,8 @@ CELL = 2048
 LEVELS = (16, 32, 48, 64)
 #: Node pairs expanded at once.
 PAIRS = 300_000
+#: Texts, or pairs of texts, that go to a worker at once.
+ROWS = 500
 
 
 def fingerprint(text: str) -> int:
@@ -280,7 +282,7 @@ def one_of_each(docs: DataFrame, most: int = MOST_BITS, similar: float = SIMILAR
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fps), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], [*rows.schema.names, "_fp", "_set", "_n", "_prefix", "_map"])
 
     schema = T.StructType([T.StructField("doc", docs.schema), *[T.StructField(*x) for x in (("_fp", T.LongType()), ("_set", T.BinaryType()), ("_n", T.LongType()), ("_prefix", T.ArrayType(T.LongType())), ("_map", T.BinaryType()))]])
-    rows = stage(docs.select(own).mapInArrow(apply, schema).withColumn("_row", F.monotonically_increasing_id()))
+    rows = stage(docs.select(own).mapInArrow(apply, schema).withColumn("_row", F.monotonically_increasing_id()), ROWS)
     name, text = F.col(f"doc.`{id_col}`"), F.col(f"doc.`{text_col}`").cast("string")
     known = rows.where(name.isNotNull())
     # codes and sets are named by a row that has them, so that no id has to be unique; a row links its code to its set
@@ -310,4 +312,4 @@ def _similar(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
     both = pairs.join(texts.select(F.col("_row").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("_row").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), ROWS)
