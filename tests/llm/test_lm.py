@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import lm
@@ -176,3 +177,44 @@ def test_scores_against_plain_counts(spark):
     differ = np.abs(got - want)
     assert (differ < 1e-9).mean() > 0.85, (differ < 1e-9).mean()
     assert differ.mean() < 0.02, differ.mean()
+
+
+def test_workers_take_few_texts_and_hand_on_counts_in_small_batches(spark, monkeypatch):
+    """Counting holds no long batch of texts, and what a task held goes on kind by kind, so many n-grams at a time."""
+    found = []
+
+    class Texts:
+        def mapInArrow(self, f, schema):
+            found.append(f)
+            return self
+
+        select = repartition = sortWithinPartitions = lambda self, *_: self
+
+    monkeypatch.setattr(lm, "SENT", 100)
+    monkeypatch.setattr(lm, "TOKENS", 500)
+    monkeypatch.setattr(lm, "HELD", 2000)
+    lm.counted(Texts(), 4)
+    texts = corpus()
+    counts: list[Counter] = [Counter(), Counter(), Counter()]
+    for tokens, _ in groups(texts):
+        pair, _, triple = lm.ngrams(tokens, lm.START)
+        for c, x in zip(counts, (tokens, pair, triple), strict=True):
+            c.update(x.tolist())
+    got: list[Counter] = [Counter(), Counter(), Counter()]
+    batches = (pa.record_batch({"text": pa.array(texts[k : k + 10], pa.string())}) for k in range(0, len(texts), 10))
+    for batch in found[0](batches):
+        rows = batch.to_pylist()
+        assert len({r["kind"] for r in rows}) == 1
+        assert sum(len(r["hs"]) for r in rows) // 8 < 400  # about SENT, as blocks aren't cut
+        for r in rows:
+            h = np.frombuffer(r["hs"], np.uint64)
+            assert (lm.place(r["kind"], h, lm.block_bits(4)) == r["block"]).all()
+            for x, n in zip(h.tolist(), np.frombuffer(r["cs"], np.uint32).tolist(), strict=True):
+                got[r["kind"]][x] += n
+    assert got == counts
+
+    most = []
+    real = lm.stage
+    monkeypatch.setattr(lm, "stage", lambda df, rows=None: (most.append(rows), real(df, rows))[1])
+    assert lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts)
+    assert all(rows and rows <= 1000 for rows in most)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +30,10 @@ BROADCAST = 160 << 20
 #: Words whose exact counts are broadcast, at most; the rest is joined.
 HEAD = 1 << 20
 #: Bytes of text hashed at once, tokens whose n-grams are counted (or asked for) together, or sought beside a whole filter in memory;
-#: n-grams that a task holds before it hands them on.
-GROUP, TOKENS, BESIDE, HELD = 1 << 20, 700_000, 120_000, 4_000_000
+#: n-grams that a task holds before it hands them on, and such that it hands on in one batch.
+GROUP, TOKENS, BESIDE, HELD, SENT = 1 << 20, 700_000, 120_000, 4_000_000, 500_000
+#: Rows that go to a worker at once: texts to count, or blocks' hashes; of texts to score, five times as many.
+ROWS = 200
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words, pairs and triples; and what contexts of one and of two words leave.
@@ -72,7 +74,7 @@ def word_hashes(data: bytes) -> np.ndarray:
     return mixed(np.add.reduceat(_BYTES[b[at]] * powers[place], starts) * _A)
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[int, bytes, bool]]:
+def pieces(texts: Iterable[str | None]) -> Iterator[tuple[int, bytes, bool]]:
     """(text's number, bytes, whether they are its last): long texts are cut at spaces."""
     for i, text in enumerate(texts):
         data, at = (text or "").encode("utf-8", "surrogatepass"), 0
@@ -87,7 +89,7 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, bytes, bool]]:
             yield i, data[at:], True
 
 
-def groups(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def groups(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(tokens' hashes, numbers of their texts) for about GROUP bytes at a time; every text ends in END."""
     held: list[tuple[int, bytes, bool]] = []
 
@@ -115,7 +117,7 @@ def groups(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield flush()
 
 
-def gathered(texts: list[str | None], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def gathered(texts: Iterable[str | None], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``groups`` put together until they have ``least`` tokens."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -152,8 +154,9 @@ def ngrams(tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order and their summed counts."""
+    """Distinct hashes in order and their summed counts. ``parts`` is emptied, so that what is put in order isn't held twice."""
     h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
     order = np.argsort(h)
     h, c = h[order], c[order]
     new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
@@ -250,8 +253,7 @@ def counted(texts: DataFrame, n: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], []]
 
-        def flush() -> pa.RecordBatch:
-            rows = []
+        def flush() -> Iterator[pa.RecordBatch]:
             for kind in (UNI, PAIR, TRI):
                 if held[kind]:
                     h, c = added(held[kind])
@@ -259,25 +261,32 @@ def counted(texts: DataFrame, n: int) -> DataFrame:
                     order = np.argsort(block, kind="stable")
                     cuts = np.searchsorted(block[order], np.arange((1 << bits) + 1))
                     h, c = h[order], c[order].astype(np.uint32)
-                    rows += [(k, kind, h[a:b].tobytes(), c[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-                    held[kind].clear()
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["block", "kind", "hs", "cs"])
+                    del block, order
+                    full = np.flatnonzero(np.diff(cuts))
+                    for some in np.array_split(full, min(len(full), -(-len(h) // SENT))):
+                        rows = [(k, kind, h[cuts[k] : cuts[k + 1]].tobytes(), c[cuts[k] : cuts[k + 1]].tobytes()) for k in some.tolist()]
+                        cols = zip(*rows, strict=True)
+                        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["block", "kind", "hs", "cs"])
+
+        def hold(tokens: np.ndarray, before: np.ndarray) -> int:
+            pair, _, triple = ngrams(tokens, before)
+            size = 0
+            for kind, x in ((UNI, tokens), (PAIR, pair), (TRI, triple)):
+                codes, names = pd.factorize(x)
+                held[kind].append((names, np.bincount(codes).astype(np.uint32)))
+                size += len(names)
+            return size
 
         before, size = START, 0
-        for batch in batches:
-            for tokens, _ in gathered(batch.column(0).to_pylist(), TOKENS):
-                pair, _, triple = ngrams(tokens, before)
-                for kind, x in ((UNI, tokens), (PAIR, pair), (TRI, triple)):
-                    codes, names = pd.factorize(x)
-                    held[kind].append((names, np.bincount(codes).astype(np.uint32)))
-                    size += len(names)
-                before = np.concatenate([before, tokens])[-2:]
-                if size >= HELD:
-                    yield flush()
-                    size = 0
-        yield flush()
+        texts = (x for batch in batches for x in batch.column(0).to_pylist())
+        for tokens, _ in gathered(texts, TOKENS):
+            size += hold(tokens, before)
+            before = np.concatenate([before, tokens])[-2:]
+            if size >= HELD:
+                yield from flush()
+                size = 0
+        yield from flush()
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
@@ -387,7 +396,7 @@ class Wanted:
 def fit(docs: DataFrame, head: int = HEAD, broadcast: int = BROADCAST) -> tuple[Model, DataFrame]:
     """A model of the column ``text``, and its blocks. The model has the filter if that is at most ``broadcast`` bytes."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = stage(counted(docs, n))
+    blocks = stage(counted(docs, n), ROWS)
     sums = blocks.select(F.explode("sums").alias("s")).groupBy("s.kind", "s.level").agg(F.sum("s.n").alias("n"), F.sum("s.total").alias("total"))
     found = {(r.kind, r.level): (r.n, r.total) for r in sums.collect()}  # a row for each kind and level
     tokens, words = (sum(x[k] for (kind, _), x in found.items() if kind == UNI) for k in (1, 0))
@@ -565,7 +574,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), out.alias("held_out"))
     model, blocks = fit(rows.where(~F.col("held_out")), head, broadcast)
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
-    scored = stage(scored_here(rows, model) if model.filter is not None else scored_apart(rows, model, blocks))
+    scored = stage(scored_here(rows, model), 5 * ROWS) if model.filter is not None else stage(scored_apart(rows, model, blocks))
     words = scored.select("rid", F.explode("rare").alias("h")).groupBy("rid", "h").agg(F.count("*").alias("n"))
     words = words.join(exact_counts(blocks), "h", "left")
     each = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(model.mass))
