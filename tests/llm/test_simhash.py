@@ -7,6 +7,8 @@ import xxhash
 from tidemark.llm.components import components
 from pyspark.sql import functions as F
 
+from tidemark.llm import simhash
+from tidemark.llm.common import stage
 from tidemark.llm.setjoin import linked, parity, prefix
 from tidemark.llm.simhash import GrayIndex, fingerprint, gray_rank, link_codes, one_of_each, shingles, similarity, simhash_components
 
@@ -257,3 +259,33 @@ def test_long_rows_go_to_workers_a_few_at_a_time(spark):
     got = [r.n for r in common.stage(made, 7).collect()]
     assert max(got) == 7 and sum(got) == 100
     assert spark.conf.get(name) == before
+
+
+def test_texts_that_are_in_no_pair_are_not_dealt_out(spark):
+    """Only the texts of pairs that are checked go through a shuffle, and none goes to leave out copies."""
+    rng = random.Random(7)
+    texts = [[rng.randbytes(250).hex() for _ in range(40)] for _ in range(300)]
+    texts += [[*t[:-1], rng.randbytes(250).hex()] for t in texts[:5]]
+    rows = [*[(k, " ".join(t)) for k, t in enumerate(texts)], (None, "no id"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.length()))
+
+    docs = stage(docs)
+    before = written()
+    got = one_of_each(docs).select("doc_id", F.length("text").alias("n")).collect()
+    assert written() - before < sum(len(t) for _, t in rows if t) / 8
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n or 0) for r in got) == sorted([*[(False, k, len(t)) for k, t in rows[:300]], (True, 0, 5)] + [(False, 7, 0)])
+
+
+def test_rows_named_by_their_number_are_found_exactly(spark):
+    rng = random.Random(8)
+    numbers = [p << 33 | k for p in (0, 1, 5) for k in range(200)]
+    for wanted in ([], [63], [0, 64, (1 << 33) + 63, (5 << 33) + 199], rng.sample(numbers, 300), numbers, [*numbers[:3], *numbers[:3], 999]):
+        rows = spark.createDataFrame([(n, str(n)) for n in numbers], "_row long, text string")
+        got = simhash._named(rows, spark.createDataFrame([(n,) for n in wanted], "_row long"))
+        assert got.columns == ["_row", "text"]
+        assert sorted((r._row, r.text) for r in got.collect()) == [(n, str(n)) for n in numbers if n in set(wanted)]

@@ -87,7 +87,7 @@ def linked(items: DataFrame, check, similar: float, cell: int = CELL) -> DataFra
     items = stage(items)
     facts = items.select("node", "n", "map")
     roots = items.select("node", "root")
-    shared = _apart(items.select("root", F.explode("prefix").alias("key")))
+    shared = stage(_apart(items.select("root", F.explode("prefix").alias("key"))))  # what this shuffles can go before the places are dealt
     places = items.select("node", F.posexplode("prefix").alias("place", "key"))
     cells = stage(places.join(shared, "key").select("key", "node", "place"))
     tried = None

@@ -299,7 +299,19 @@ def one_of_each(docs: DataFrame, most: int = MOST_BITS, similar: float = SIMILAR
     groups = groups.join(moved, "root", "left").groupBy(F.coalesce("top", "root").alias("root"))
     stay = groups.agg(F.min(F.struct("id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
     stay = stay.unionByName(rows.where(name.isNull()).select("_row"))
-    return rows.join(stay, "_row", "left_semi").select(*[F.col(f"doc.`{c}`") for c in docs.columns])
+    return _named(rows, stay).select(*[F.col(f"doc.`{c}`") for c in docs.columns])
+
+
+def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose ``_row`` is in ``names``.
+
+    Each 64 rows in a line have one number, with a bit for each that is named. Only these numbers are
+    broadcast (a bit a row, and their keys), so that no row is dealt out for it.
+    """
+    word, bit = F.shiftright("_row", 6), F.expr("shiftleft(1L, int(_row & 63))")
+    bits = names.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    met = rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
+    return met.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -310,6 +322,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
             sets = ([shingles(x or "", WORDS) for x in rows.column(k).to_pylist()] for k in (2, 3))
             yield rows.filter(pa.array([similarity(x, y) >= similar for x, y in zip(*sets, strict=True)], pa.bool_())).select(["a", "b"])
 
+    texts = _named(texts, pairs.select(F.explode(F.array("a", "b")).alias("_row")))
     both = pairs.join(texts.select(F.col("_row").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("_row").alias("b"), F.col("text").alias("text_b")), "b")
     return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), ROWS)
